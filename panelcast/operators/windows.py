@@ -62,7 +62,9 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
     day = Window.partitionBy(key, F.to_date(time))
     hour_w = Window.partitionBy(key, F.hour(time)).orderBy(time).rowsBetween(-KEY_HOUR_ROWS, -1)
 
-    out = base.withColumn("_dm", _mean(y, day))
+    # One hash exchange on the key serves all three window specs: (key), (key, day) and
+    # (key, hour) are all clustered by key, so the later windows only re-sort.
+    out = base.repartition(key).withColumn("_dm", _mean(y, day))
     out = out.withColumns({
         f"{p}_same_hour_2d_ago": scale(F.lag(y, LAG_2D).over(w)),
         f"{p}_same_hour_7d_ago": scale(F.lag(y, LAG_7D).over(w)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import (calendar_cols, cyclic_cols, holiday_cols, holiday_cte, r, select_list, stat_cols,
+from .oracle import (calendar_cols, div, cyclic_cols, holiday_cols, holiday_cte, r, select_list, stat_cols,
                      with_day_mean, with_panels)
 from .registry import CAL_CYC, CAL_INT, CYC_DIGITS, STAT
 
@@ -48,6 +48,68 @@ def _time_mode_sql() -> str:
             f"{select_list(wanted)} FROM dense) x WHERE present")
 
 
+def _fx_cte() -> str:
+    w = "(PARTITION BY series_key ORDER BY date_hour)"
+    roll = "(PARTITION BY series_key ORDER BY date_hour ROWS BETWEEN 743 PRECEDING AND 24 PRECEDING)"
+    return f"""fxw AS (
+  SELECT series_key, date_hour, y,
+         {div('lag(y_cents, 48) OVER ' + w, '100')} AS naive_2d,
+         {div('lag(y_cents, 168) OVER ' + w, '100')} AS naive_7d,
+         {div(f"CAST(floor({div(f'sum(y_cents) OVER {roll}', f'count(y_cents) OVER {roll}')} + 0.5) AS BIGINT)", '100')} AS roll_30d
+  FROM panel_hourly),
+fx AS (
+  SELECT series_key, date_hour, 'naive_2d' AS strategy, naive_2d AS pred FROM fxw UNION ALL
+  SELECT series_key, date_hour, 'naive_7d', naive_7d FROM fxw UNION ALL
+  SELECT series_key, date_hour, 'roll_30d', roll_30d FROM fxw),
+joined AS (
+  SELECT f.series_key, f.date_hour, f.strategy, f.pred, p.y AS actual
+  FROM fx f JOIN panel_hourly p ON f.series_key = p.series_key AND f.date_hour = p.date_hour)"""
+
+
+def metric_sql(src: str, by: str, digits: int = 6) -> str:
+    """RMSE / sMAPE / R² per group, rows with both sides non-NULL."""
+    sm = "CASE WHEN (abs(actual) + abs(pred)) / 2.0 = 0 THEN 0.0 ELSE abs(actual - pred) / ((abs(actual) + abs(pred)) / 2.0) END"
+    return f"""SELECT {by}, n,
+  {r('sqrt(sse / n)', digits)} AS rmse,
+  {r('100.0 * sm', digits)} AS mape,
+  {r('CASE WHEN n < 2 THEN NULL WHEN sst = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 - sse / sst END', digits)} AS r2
+FROM (SELECT {by}, count(*) AS n, sum((actual - pred) * (actual - pred)) AS sse,
+             var_pop(actual) * count(*) AS sst, avg({sm}) AS sm
+      FROM {src} WHERE actual IS NOT NULL AND pred IS NOT NULL GROUP BY {by}) m"""
+
+
+def _evals_cte() -> str:
+    src = "(SELECT *, CAST(date_hour AS DATE) AS date FROM joined)"
+    return (f"ev0 AS ({metric_sql(src, 'series_key, strategy, date', 17)}),\n"
+            "ev AS (SELECT series_key, date, strategy, rmse, mape, r2, "
+            "CASE WHEN date >= DATE '2024-01-20' THEN 'online' ELSE 'backtest' END AS eval_type FROM ev0)")
+
+
+def fx(extra: str = "", evals: bool = False) -> str:
+    parts = [_fx_cte()] + ([_evals_cte()] if evals else []) + ([extra] if extra else [])
+    return with_panels("panel_hourly", extra=",\n".join(parts))
+
+
+SPLIT = ("CASE WHEN row_number() OVER (PARTITION BY series_key ORDER BY date_hour) <= "
+         "floor(count(*) OVER (PARTITION BY series_key) * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END")
+
+
+def _lag_split_cte() -> str:
+    st = stat_cols()
+    return (f"lagged AS (SELECT {KEYS}, {st['y_same_hour_2d_ago']} AS y_same_hour_2d_ago, "
+            f"{st['y_same_hour_7d_ago']} AS y_same_hour_7d_ago FROM panel_hourly),\n"
+            f"split AS (SELECT *, {SPLIT} AS split FROM lagged)")
+
+
+def _weighted_blend() -> str:
+    sm = metric_sql("joined", "series_key, strategy", 17)
+    return fx(extra=f"sm AS ({sm})") + """SELECT f.series_key, f.date_hour,
+  """ + r("sum(w * pred) / sum(w)", 6) + """ AS pred
+FROM (SELECT f.*, 1.0 / (s.rmse + CAST('1e-06' AS DOUBLE)) AS w FROM fx f JOIN sm s
+      ON f.series_key = s.series_key AND f.strategy = s.strategy WHERE f.pred IS NOT NULL) f
+GROUP BY 1, 2"""
+
+
 SQL = {
     "panel_hourly": with_panels("panel_hourly") + "SELECT * FROM panel_hourly",
     "panel_daily": with_panels("panel_daily") + "SELECT * FROM panel_daily",
@@ -71,6 +133,119 @@ SQL = {
                                       ("lag", "rolling", "daily", "change", "key_hour"), True),
     "all_features_supply": _all_features_sql("panel_supply", "n_lines, qty, disc_avg",
                                              ("lag", "rolling", "daily", "change"), False),
+    "scan_time_slice": "SELECT event_type AS series_key, ts AS date_hour, TRY_CAST(value AS DOUBLE) AS value, "
+        "TRY_CAST(user_id AS DOUBLE) AS user_id FROM events "
+        "WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'",
+    "scan_pruned": "SELECT CAST(l_suppkey AS VARCHAR) AS series_key, l_shipdate AS date_hour, "
+        "TRY_CAST(l_extendedprice AS DOUBLE) AS l_extendedprice, TRY_CAST(l_quantity AS DOUBLE) AS l_quantity, "
+        "TRY_CAST(l_discount AS DOUBLE) AS l_discount, CAST(NULL AS DOUBLE) AS tem_avg FROM lineitem "
+        "WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'",
+    "coerce_numeric": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_text, "
+        "TRY_CAST(CAST(value AS VARCHAR) AS DOUBLE) AS value_text, TRY_CAST(event_type AS DOUBLE) AS type_text "
+        "FROM events",
+    "clean_panel": with_panels("panel_supply") +
+        "SELECT * FROM panel_supply WHERE y IS NOT NULL AND y >= 0.0 AND y < 10000.0",
+    "clip_values": with_panels("panel_hourly") +
+        "SELECT series_key, date_hour, CASE WHEN y < 5.0 THEN 5.0 WHEN y > 100.0 THEN 100.0 ELSE y END AS y, "
+        "CASE WHEN n_users > 3 THEN 3 ELSE n_users END AS n_users FROM panel_hourly",
+    "between_slice": with_panels("panel_hourly") +
+        "SELECT * FROM panel_hourly WHERE date_hour BETWEEN TIMESTAMP '2024-01-10 06:00:00' "
+        "AND TIMESTAMP '2024-01-12 18:00:00'",
+    "chrono_split": with_panels("panel_hourly") + f"SELECT {KEYS}, {SPLIT} AS split FROM panel_hourly",
+    "impute_train_median": with_panels("panel_hourly", extra=_lag_split_cte()) +
+        f"""SELECT {KEYS}, split,
+  coalesce(y_same_hour_2d_ago, median(y_same_hour_2d_ago) FILTER (WHERE split = 'train') OVER (PARTITION BY series_key)) AS y_same_hour_2d_ago,
+  coalesce(y_same_hour_7d_ago, median(y_same_hour_7d_ago) FILTER (WHERE split = 'train') OVER (PARTITION BY series_key)) AS y_same_hour_7d_ago
+FROM split""",
+    "impute_zero": with_panels("panel_hourly", extra=_lag_split_cte()) +
+        f"SELECT {KEYS}, split, coalesce(y_same_hour_2d_ago, 0.0) AS y_same_hour_2d_ago, "
+        "coalesce(y_same_hour_7d_ago, 0.0) AS y_same_hour_7d_ago FROM split",
+    "join_actuals": fx() + "SELECT * FROM joined",
+    "error_column": fx() + "SELECT *, actual - pred AS error FROM joined",
+    "anti_unevaluated": fx(evals=True) +
+        "SELECT f.* FROM fx f WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.eval_type = 'online' "
+        "AND ev.series_key = f.series_key AND ev.date = CAST(f.date_hour AS DATE))",
+    "daily_metrics": fx() + metric_sql("(SELECT *, CAST(date_hour AS DATE) AS date FROM joined)",
+                                       "series_key, strategy, date"),
+    "strategy_metrics": fx() + metric_sql("joined", "series_key, strategy"),
+    "eval_train_test": fx(extra=f"js AS (SELECT *, {SPLIT.replace('series_key', 'series_key, strategy')} AS split FROM joined)")
+        + metric_sql("js", "series_key, strategy, split"),
+    "evaluate_columns": fx() + metric_sql(
+        "(SELECT series_key, date_hour, strategy AS \"column\", pred, actual FROM joined "
+        "WHERE date_hour >= TIMESTAMP '2024-01-10' AND date_hour < TIMESTAMP '2024-01-25')",
+        "series_key, \"column\""),
+    "online_eval": fx(evals=True) + "SELECT series_key, date, 'TwoStage_Stacking' AS strategy, rmse, mape, r2, "
+        "'online' AS eval_type FROM (" + metric_sql(
+            "(SELECT j.*, CAST(j.date_hour AS DATE) AS date FROM joined j WHERE j.strategy = 'roll_30d' AND NOT EXISTS "
+            "(SELECT 1 FROM ev WHERE ev.eval_type = 'online' AND ev.series_key = j.series_key "
+            "AND ev.date = CAST(j.date_hour AS DATE)))", "series_key, date") + ") m",
+    "leaderboard": fx(evals=True) + f"SELECT strategy, eval_type, {r('avg(rmse)', 6)} AS avg_rmse, "
+        f"{r('avg(mape)', 6)} AS avg_mape, {r('avg(r2)', 6)} AS avg_r2, count(*) AS n_days "
+        "FROM ev GROUP BY 1, 2 ORDER BY eval_type, avg_rmse",
+    "best_strategy": fx(evals=True) + f"""SELECT series_key, strategy, {r('avg_metric', 6)} AS avg_metric FROM (
+  SELECT series_key, strategy, avg_metric, row_number() OVER (PARTITION BY series_key
+    ORDER BY avg_metric ASC NULLS LAST, strategy) AS rk
+  FROM (SELECT series_key, strategy, avg(rmse) AS avg_metric FROM ev WHERE eval_type = 'backtest' GROUP BY 1, 2) g) b
+WHERE rk = 1""",
+    "best_strategy_global": fx(evals=True) + f"""SELECT coalesce(max(strategy), 'LightGBM') AS strategy,
+  {r('max(avg_metric)', 6)} AS avg_metric FROM (
+  SELECT strategy, avg(mape) AS avg_metric FROM ev WHERE eval_type = 'backtest' GROUP BY 1
+  ORDER BY avg_metric ASC NULLS LAST, strategy LIMIT 1) b""",
+    "pred_best": fx(evals=True) + """SELECT w.series_key, w.date_hour, w.naive_2d, w.naive_7d, w.roll_30d,
+  CASE coalesce(b.strategy, 'roll_30d') WHEN 'naive_2d' THEN w.naive_2d WHEN 'naive_7d' THEN w.naive_7d
+       WHEN 'roll_30d' THEN w.roll_30d ELSE w.roll_30d END AS pred_best
+FROM fxw w LEFT JOIN (
+  SELECT series_key, strategy FROM (
+    SELECT series_key, strategy, row_number() OVER (PARTITION BY series_key
+      ORDER BY avg_metric ASC NULLS LAST, strategy) AS rk
+    FROM (SELECT series_key, strategy, avg(rmse) AS avg_metric FROM ev WHERE eval_type = 'backtest' GROUP BY 1, 2) g) x
+  WHERE rk = 1) b ON w.series_key = b.series_key""",
+    "panel_profile": with_panels("panel_hourly") +
+        f"SELECT series_key, count(*) AS n_rows, min(date_hour) AS first_ts, max(date_hour) AS last_ts, "
+        f"{r('avg(y)', 6)} AS mean_y FROM panel_hourly GROUP BY 1",
+    "histogram50": with_panels("panel_hourly") + """SELECT series_key, bucket, lo + (bucket - 1) * w AS lo_edge,
+  lo + bucket * w AS hi_edge, count(*) AS n FROM (
+  SELECT p.series_key, b.lo, (b.hi - b.lo) / CAST(50 AS DOUBLE) AS w,
+         CAST(CASE WHEN b.hi = b.lo THEN 1 ELSE least(50, floor((p.y - b.lo) / (b.hi - b.lo) * CAST(50 AS DOUBLE)) + 1) END AS INTEGER) AS bucket
+  FROM panel_hourly p JOIN (SELECT series_key, min(y) AS lo, max(y) AS hi FROM panel_hourly WHERE y IS NOT NULL GROUP BY 1) b
+    ON p.series_key = b.series_key WHERE p.y IS NOT NULL) h
+GROUP BY series_key, bucket, lo, w""",
+    "feature_availability": with_panels("panel_hourly") + f"""SELECT series_key, CAST(date_hour AS DATE) AS date,
+  bool_or(y_same_hour_7d_ago IS NOT NULL) AS y_same_hour_7d_ago, bool_or(y_hour8_30d_mean IS NOT NULL) AS y_hour8_30d_mean,
+  bool_or(k_avg IS NOT NULL) AS k_avg, false AS tem_avg
+FROM (SELECT series_key, date_hour, k_avg, {stat_cols()['y_same_hour_7d_ago']} AS y_same_hour_7d_ago,
+             {stat_cols()['y_hour8_30d_mean']} AS y_hour8_30d_mean FROM panel_hourly) f GROUP BY 1, 2""",
+    "predictions_long": fx() + "SELECT series_key, date_hour, strategy, pred FROM fx",
+    "predictions_wide": fx() + "SELECT series_key, date_hour, naive_2d, naive_7d, roll_30d FROM fxw",
+    "blend_mean": fx() + f"SELECT series_key, date_hour, {r('avg(pred)', 6)} AS pred FROM fx GROUP BY 1, 2",
+    "blend_median": fx() + "SELECT series_key, date_hour, median(pred) AS pred FROM fx GROUP BY 1, 2",
+    "blend_weighted": _weighted_blend(),
+    "time_folds": with_panels("panel_hourly") + f"""SELECT {KEYS}, rn,
+  CAST(CASE WHEN ts > 0 AND rn - 1 >= n - 3 * ts THEN floor((rn - 1 - (n - 3 * ts)) / ts) END AS INTEGER) AS fold,
+  CAST(ts AS INTEGER) AS test_size
+FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date_hour) AS rn,
+             count(*) OVER (PARTITION BY series_key) AS n,
+             count(*) OVER (PARTITION BY series_key) // 4 AS ts FROM panel_hourly) x""",
+    "rolling_origin_folds": with_panels("panel_hourly", extra="""days AS (
+  SELECT unnest(generate_series(min(CAST(date_hour AS DATE)), max(CAST(date_hour AS DATE)) - 1, INTERVAL 1 DAY))::DATE AS origin
+  FROM panel_hourly),
+ex AS (
+  SELECT p.series_key, p.date_hour, p.y, p.y_cents, d.origin,
+         CASE WHEN CAST(p.date_hour AS DATE) = d.origin THEN 'test' ELSE 'train' END AS role
+  FROM panel_hourly p JOIN days d
+    ON p.date_hour >= CAST(d.origin - INTERVAL 60 DAY AS TIMESTAMP) AND p.date_hour < CAST(d.origin + INTERVAL 1 DAY AS TIMESTAMP)),
+ok AS (
+  SELECT series_key, origin FROM ex GROUP BY 1, 2
+  HAVING sum(CASE WHEN role = 'train' AND y IS NOT NULL THEN 1 ELSE 0 END) >= 24
+     AND sum(CASE WHEN role = 'test' THEN 1 ELSE 0 END) > 0)""") +
+        f"SELECT ex.series_key, ex.date_hour, ex.y, ex.origin, ex.role FROM ex "
+        "JOIN ok ON ex.series_key = ok.series_key AND ex.origin = ok.origin",
+    "eval_day_spine": with_panels("panel_hourly") +
+        "SELECT unnest(generate_series(min(CAST(date_hour AS DATE)), max(CAST(date_hour AS DATE)), "
+        "INTERVAL 1 DAY))::DATE AS origin FROM panel_hourly",
+    "topk_preview": with_panels("panel_hourly") + f"""SELECT {KEYS}, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY series_key ORDER BY y DESC, date_hour ASC) AS INTEGER) AS rank
+  FROM panel_hourly) t WHERE rank <= 10""",
     "daily_summary": with_panels("panel_hourly") +
         f"SELECT series_key, CAST(date_hour AS DATE) AS day, {r('avg(y)', 6)} AS mean_y, min(y) AS min_y, "
         "max(y) AS max_y FROM panel_hourly GROUP BY 1, 2",

@@ -16,7 +16,14 @@ from .functions.calendar import add_calendar
 from .functions.exprs import round_half_up
 from .operators.holidays import add_holidays
 from .operators.windows import add_history_stats
-from .sources.testdata import panel_daily, panel_hourly, panel_supply
+from .operators import metrics as M
+from .operators.clean import (between_slice, clean_panel, clip_columns, error_column, impute_train_median,
+                              impute_zero, pred_best)
+from .operators.folds import chrono_split, eval_day_spine, rolling_origins, time_folds
+from .operators.reshape import blend, to_long, to_wide
+from .sources.scan import coerce_numeric, scan_panel
+from .sources.testdata import (FX_STRATEGIES, evaluations_fx, panel_daily, panel_hourly, panel_supply,
+                               predictions_fx, predictions_fx_wide)
 
 CAL_INT = ["year", "month", "dayofmonth", "dayofyear", "hour", "dayofweek", "week", "weekofyear",
            "quarter", "is_weekend", "season_num"]
@@ -116,7 +123,221 @@ def q_daily_summary(spark, d):
             .withColumn("mean_y", round_half_up(F.col("mean_y"), 6)))
 
 
+MET = ["rmse", "mape", "r2"]
+
+
+def _r6(df: DataFrame, cols) -> DataFrame:
+    return _round(df, cols, 6)
+
+
+def q_scan_time_slice(spark, d):
+    return scan_panel(spark, f"{d}/events.parquet", key="event_type", time="ts", target="value",
+                      features=["user_id"], start="2024-01-05", end="2024-01-12")
+
+
+def q_scan_pruned(spark, d):
+    return scan_panel(spark, f"{d}/lineitem.parquet", key="l_suppkey", time="l_shipdate", target="l_extendedprice",
+                      features=["l_quantity", "l_discount", "tem_avg"], start="1996-01-01", end="1997-01-01")
+
+
+def q_coerce_numeric(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    t = ev.select("event_id", F.get_json_object("props", "$.k").alias("k_text"),
+                  F.col("value").cast("string").alias("value_text"), F.col("event_type").alias("type_text"))
+    return coerce_numeric(t, ["k_text", "value_text", "type_text", "absent_col"])
+
+
+def q_clean_panel(spark, d):
+    return clean_panel(panel_supply(spark, d))
+
+
+def q_clip_values(spark, d):
+    return clip_columns(panel_hourly(spark, d), {"y": (5.0, 100.0), "n_users": (None, 3)}).select(
+        *KEYS, "n_users")
+
+
+def q_between_slice(spark, d):
+    return between_slice(panel_hourly(spark, d), "2024-01-10 06:00:00", "2024-01-12 18:00:00")
+
+
+def q_chrono_split(spark, d):
+    return chrono_split(panel_hourly(spark, d)).select(*KEYS, "split")
+
+
+def _lagged_split(spark, d):
+    base = exact_history_stats(panel_hourly(spark, d)).select(*KEYS, *STAT["lag"])
+    return chrono_split(base)
+
+
+def q_impute_train_median(spark, d):
+    sp = _lagged_split(spark, d)
+    tr, te = impute_train_median(sp.where(F.col("split") == "train"), [sp.where(F.col("split") == "test")],
+                                 STAT["lag"])
+    return tr.unionByName(te)
+
+
+def q_impute_zero(spark, d):
+    return impute_zero(_lagged_split(spark, d), STAT["lag"])
+
+
+def _joined(spark, d):
+    return M.join_actuals(predictions_fx(spark, d), panel_hourly(spark, d))
+
+
+def q_join_actuals(spark, d):
+    return _joined(spark, d)
+
+
+def q_error_column(spark, d):
+    return error_column(_joined(spark, d))
+
+
+def q_anti_unevaluated(spark, d):
+    return M.unevaluated(predictions_fx(spark, d), evaluations_fx(spark, d), "online")
+
+
+def q_daily_metrics(spark, d):
+    return _r6(M.daily_metrics(_joined(spark, d), ["series_key", "strategy"]), MET)
+
+
+def _strategy_metrics(spark, d):
+    return M.metrics(_joined(spark, d), ["series_key", "strategy"])
+
+
+def q_strategy_metrics(spark, d):
+    return _r6(_strategy_metrics(spark, d), MET)
+
+
+def q_eval_train_test(spark, d):
+    return _r6(M.metrics(chrono_split(_joined(spark, d), key=["series_key", "strategy"]),
+                         ["series_key", "strategy", "split"]), MET)
+
+
+def q_evaluate_columns(spark, d):
+    out = M.evaluate_columns(predictions_fx_wide(spark, d), panel_hourly(spark, d), FX_STRATEGIES,
+                             "2024-01-10", "2024-01-25")
+    return _r6(out, MET)
+
+
+def q_online_eval(spark, d):
+    out = M.evaluate_online(predictions_fx_wide(spark, d), panel_hourly(spark, d), evaluations_fx(spark, d),
+                            pred_col="roll_30d")
+    return _r6(out, MET)
+
+
+def q_leaderboard(spark, d):
+    return _r6(M.leaderboard(evaluations_fx(spark, d)), ["avg_rmse", "avg_mape", "avg_r2"])
+
+
+def q_best_strategy(spark, d):
+    return _r6(M.best_strategy(evaluations_fx(spark, d), by=["series_key"]), ["avg_metric"])
+
+
+def q_best_strategy_global(spark, d):
+    return _r6(M.best_strategy(evaluations_fx(spark, d), metric="mape"), ["avg_metric"])
+
+
+def q_pred_best(spark, d):
+    best = M.best_strategy(evaluations_fx(spark, d), by=["series_key"])
+    return pred_best(predictions_fx_wide(spark, d), best, mapping={s: s for s in FX_STRATEGIES},
+                     default="roll_30d")
+
+
+def q_panel_profile(spark, d):
+    return _r6(M.profile(panel_hourly(spark, d)), ["mean_y"])
+
+
+def q_histogram50(spark, d):
+    return M.histogram(panel_hourly(spark, d), "y", 50)
+
+
+def q_feature_availability(spark, d):
+    base = exact_history_stats(panel_hourly(spark, d))
+    return M.feature_availability(base, ["y_same_hour_7d_ago", "y_hour8_30d_mean", "k_avg", "tem_avg"])
+
+
+def q_predictions_long(spark, d):
+    return to_long(predictions_fx_wide(spark, d), FX_STRATEGIES)
+
+
+def q_predictions_wide(spark, d):
+    return to_wide(predictions_fx(spark, d), FX_STRATEGIES)
+
+
+def q_blend_mean(spark, d):
+    return _r6(blend(predictions_fx(spark, d), "mean"), ["pred"])
+
+
+def q_blend_median(spark, d):
+    return blend(predictions_fx(spark, d), "median")
+
+
+def q_blend_weighted(spark, d):
+    w = _strategy_metrics(spark, d).select("series_key", "strategy", "rmse")
+    return _r6(blend(predictions_fx(spark, d), "weighted", weights=w), ["pred"])
+
+
+def q_time_folds(spark, d):
+    return time_folds(panel_hourly(spark, d)).select(*KEYS, "rn", "fold", "test_size")
+
+
+def _panel_days(spark, d):
+    b = panel_hourly(spark, d).agg(F.min("date_hour").alias("lo"), F.max("date_hour").alias("hi")).first()
+    return b["lo"].date(), b["hi"].date()
+
+
+def q_rolling_origin_folds(spark, d):
+    lo, hi = _panel_days(spark, d)
+    return rolling_origins(panel_hourly(spark, d), lo, hi, train_days=60, min_train_rows=24).select(
+        *KEYS, "origin", "role")
+
+
+def q_eval_day_spine(spark, d):
+    p = panel_hourly(spark, d).agg(F.min("date_hour").alias("lo"), F.max("date_hour").alias("hi"))
+    return p.select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("origin"))
+
+
+def q_topk_preview(spark, d):
+    from pyspark.sql import Window
+    w = Window.partitionBy("series_key").orderBy(F.col("y").desc(), F.col("date_hour").asc())
+    return panel_hourly(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select(
+        *KEYS, "rank")
+
+
 QUERIES = {
+    "scan_time_slice": q_scan_time_slice,
+    "scan_pruned": q_scan_pruned,
+    "coerce_numeric": q_coerce_numeric,
+    "clean_panel": q_clean_panel,
+    "clip_values": q_clip_values,
+    "between_slice": q_between_slice,
+    "chrono_split": q_chrono_split,
+    "impute_train_median": q_impute_train_median,
+    "impute_zero": q_impute_zero,
+    "join_actuals": q_join_actuals,
+    "error_column": q_error_column,
+    "anti_unevaluated": q_anti_unevaluated,
+    "daily_metrics": q_daily_metrics,
+    "strategy_metrics": q_strategy_metrics,
+    "eval_train_test": q_eval_train_test,
+    "evaluate_columns": q_evaluate_columns,
+    "online_eval": q_online_eval,
+    "leaderboard": q_leaderboard,
+    "best_strategy": q_best_strategy,
+    "best_strategy_global": q_best_strategy_global,
+    "pred_best": q_pred_best,
+    "panel_profile": q_panel_profile,
+    "histogram50": q_histogram50,
+    "feature_availability": q_feature_availability,
+    "predictions_long": q_predictions_long,
+    "predictions_wide": q_predictions_wide,
+    "blend_mean": q_blend_mean,
+    "blend_median": q_blend_median,
+    "blend_weighted": q_blend_weighted,
+    "time_folds": q_time_folds,
+    "rolling_origin_folds": q_rolling_origin_folds,
+    "eval_day_spine": q_eval_day_spine,
+    "topk_preview": q_topk_preview,
     "panel_hourly": q_panel_hourly,
     "panel_daily": q_panel_daily,
     "panel_supply": q_panel_supply,

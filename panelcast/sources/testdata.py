@@ -8,7 +8,7 @@ sums divided once, which is what lets the SQL oracle match bit for bit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import day_start, hour_start
@@ -76,4 +76,45 @@ def panel_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finish(g)
 
 
+def _naive_cents(panel: DataFrame) -> DataFrame:
+    w = Window.partitionBy("series_key").orderBy("date_hour")
+    roll = w.rowsBetween(-743, -24)
+    return panel.select(
+        "series_key", "date_hour", "y",
+        F.lag("y_cents", 48).over(w).alias("naive_2d"),
+        F.lag("y_cents", 168).over(w).alias("naive_7d"),
+        F.floor(ratio(F.sum("y_cents").over(roll), F.count("y_cents").over(roll)) + F.lit(0.5))
+        .cast("bigint").alias("roll_30d"))
+
+
+FX_STRATEGIES = ("naive_2d", "naive_7d", "roll_30d")
+FX_ONLINE_FROM = "2024-01-20"
+
+
+def predictions_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic stand-in strategies on the hourly panel, long form ``(series_key, date_hour, strategy, pred)``.
+
+    ``naive_2d`` = value 48 rows back, ``naive_7d`` = 168 rows back,
+    ``roll_30d`` = the rolling 720-row mean shifted by 24, rounded to cents.
+    """
+    wide = _naive_cents(panel_hourly(spark, sf_dir))
+    long = wide.unpivot(["series_key", "date_hour"], list(FX_STRATEGIES), "strategy", "pred_cents")
+    return long.select("series_key", "date_hour", "strategy", (F.col("pred_cents") / F.lit(100.0)).alias("pred"))
+
+
+def predictions_fx_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = _naive_cents(panel_hourly(spark, sf_dir))
+    return wide.select("series_key", "date_hour", *[(F.col(s) / F.lit(100.0)).alias(s) for s in FX_STRATEGIES])
+
+
+def evaluations_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily metrics of ``predictions_fx`` as evaluation rows; days from 2024-01-20 are 'online'."""
+    from ..operators.metrics import daily_metrics, join_actuals
+    p = join_actuals(predictions_fx(spark, sf_dir), panel_hourly(spark, sf_dir))
+    m = daily_metrics(p, ["series_key", "strategy"])
+    return m.select("series_key", "date", "strategy", "rmse", "mape", "r2",
+                    F.when(F.col("date") >= F.lit(FX_ONLINE_FROM).cast("date"), "online")
+                    .otherwise("backtest").alias("eval_type"))
+
+
 PANELS = {"hourly": panel_hourly, "daily": panel_daily, "supply": panel_supply}
