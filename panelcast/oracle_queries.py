@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .oracle import (calendar_cols, div, cyclic_cols, holiday_cols, holiday_cte, r, select_list, stat_cols,
                      with_day_mean, with_panels)
+from .constants import KEY_HOURS
 from .registry import CAL_CYC, CAL_INT, CYC_DIGITS, STAT
 
 KEYS = "series_key, date_hour, y"
@@ -110,7 +111,61 @@ FROM (SELECT f.*, 1.0 / (s.rmse + CAST('1e-06' AS DOUBLE)) AS w FROM fx f JOIN s
 GROUP BY 1, 2"""
 
 
+def _future_ctes() -> str:
+    return f"""hist AS (SELECT series_key, date_hour AS u, y_cents AS yc FROM panel_hourly
+  WHERE date_hour < TIMESTAMP '2024-01-24' AND y_cents IS NOT NULL),
+fut AS (SELECT * FROM panel_hourly WHERE date_hour >= TIMESTAMP '2024-01-24'),
+lb AS (SELECT f.series_key, f.date_hour AS t, h.u, h.yc FROM fut f JOIN hist h ON h.series_key = f.series_key
+  AND h.u >= f.date_hour - INTERVAL 31 DAY AND h.u < f.date_hour - INTERVAL 1 DAY),
+sh AS (SELECT series_key, t, {div('sum(yc)', 'count(yc)')} AS m, stddev_samp(yc) AS s, min(yc) AS mn, max(yc) AS mx
+  FROM lb WHERE hour(u) = hour(t) GROUP BY 1, 2),
+dd AS (SELECT series_key, t, CAST(u AS DATE) AS d, {div('sum(yc)', 'count(yc)')} AS m FROM lb GROUP BY 1, 2, 3),
+dr AS (SELECT *, row_number() OVER (PARTITION BY series_key, t ORDER BY d DESC) AS rk,
+  count(*) OVER (PARTITION BY series_key, t) AS nd FROM dd),
+ds AS (SELECT series_key, t, max(CASE WHEN rk = 2 AND nd > 1 THEN m END) AS dm2, max(CASE WHEN rk = 7 THEN m END) AS dm7,
+  CASE WHEN max(nd) > 1 THEN avg(CASE WHEN rk <= 7 THEN m END) END AS dmr FROM dr GROUP BY 1, 2),
+lr AS (SELECT *, row_number() OVER (PARTITION BY series_key, t ORDER BY u DESC) AS rk,
+  count(*) OVER (PARTITION BY series_key, t) AS n FROM lb),
+cg AS (SELECT series_key, t, max(CASE WHEN rk = 1 THEN yc END) - max(CASE WHEN rk = 2 THEN yc END) AS hc,
+  max(CASE WHEN rk = 1 THEN yc END) - max(CASE WHEN rk = 25 THEN yc END) AS dc FROM lr WHERE n > 24 GROUP BY 1, 2),
+ff AS (SELECT f.*, {div('h2.yc', '100')} AS y_same_hour_2d_ago, {div('h7.yc', '100')} AS y_same_hour_7d_ago,
+  {div('sh.m', '100')} AS y_same_hour_30d_mean, {r(div('sh.s', '100'), 6)} AS y_same_hour_30d_std,
+  {div('sh.mn', '100')} AS y_same_hour_30d_min, {div('sh.mx', '100')} AS y_same_hour_30d_max,
+  {div('ds.dm2', '100')} AS y_daily_mean_2d_ago, {div('ds.dm7', '100')} AS y_daily_mean_7d_ago,
+  {r(div('ds.dmr', '100'), 6)} AS y_daily_mean_7d_rolling,
+  {div('cg.hc', '100')} AS y_hourly_change, {div('cg.dc', '100')} AS y_daily_change,
+  {', '.join(f"CASE WHEN hour(f.date_hour) = {h} THEN {div('sh.m', '100')} END AS y_hour{h}_30d_mean" for h in KEY_HOURS)}
+  FROM fut f
+  LEFT JOIN hist h2 ON h2.series_key = f.series_key AND h2.u = f.date_hour - INTERVAL 2 DAY
+  LEFT JOIN hist h7 ON h7.series_key = f.series_key AND h7.u = f.date_hour - INTERVAL 7 DAY
+  LEFT JOIN sh ON sh.series_key = f.series_key AND sh.t = f.date_hour
+  LEFT JOIN ds ON ds.series_key = f.series_key AND ds.t = f.date_hour
+  LEFT JOIN cg ON cg.series_key = f.series_key AND cg.t = f.date_hour)"""
+
+
+def _future_sql(cols) -> str:
+    return with_panels("panel_hourly", extra=_future_ctes()) + f"SELECT series_key, date_hour, {', '.join(cols)} FROM ff"
+
+
+def _future_all_sql() -> str:
+    cal = calendar_cols()
+    hol = holiday_cols()
+    inner = f"(SELECT *, {select_list(cal)}, {select_list(hol)} FROM ff)"
+    allstat = [c for g in STAT.values() for c in g]
+    return (with_panels("panel_hourly", extra=_future_ctes() + ",\n" + holiday_cte()) +
+            f"SELECT series_key, date_hour, n_events, n_users, k_avg, {', '.join(CAL_INT)}, "
+            f"{select_list(cyclic_cols(CYC_DIGITS))}, {', '.join(hol)}, {', '.join(allstat)} FROM {inner} x")
+
+
 SQL = {
+    "future_timeline": with_panels("panel_hourly") + """SELECT series_key,
+  unnest(generate_series(mx + INTERVAL 1 HOUR, mx + INTERVAL 168 HOUR, INTERVAL 1 HOUR)) AS date_hour
+FROM (SELECT series_key, max(date_hour) AS mx FROM panel_hourly GROUP BY 1) m""",
+    "lookback_exact": _future_sql(["y_same_hour_2d_ago", "y_same_hour_7d_ago"]),
+    "future_same_hour": _future_sql(STAT["rolling"] + STAT["key_hour"]),
+    "future_daily_stats": _future_sql(STAT["daily"]),
+    "future_changes": _future_sql(STAT["change"]),
+    "future_features": _future_all_sql(),
     "panel_hourly": with_panels("panel_hourly") + "SELECT * FROM panel_hourly",
     "panel_daily": with_panels("panel_daily") + "SELECT * FROM panel_daily",
     "panel_supply": with_panels("panel_supply") + "SELECT * FROM panel_supply",

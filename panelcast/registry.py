@@ -19,6 +19,7 @@ from .operators.windows import add_history_stats
 from .operators import metrics as M
 from .operators.clean import (between_slice, clean_panel, clip_columns, error_column, impute_train_median,
                               impute_zero, pred_best)
+from .operators.future import add_future_stats, build_future_features, future_timeline
 from .operators.folds import chrono_split, eval_day_spine, rolling_origins, time_folds
 from .operators.reshape import blend, to_long, to_wide
 from .sources.scan import coerce_numeric, scan_panel
@@ -304,7 +305,56 @@ def q_topk_preview(spark, d):
         *KEYS, "rank")
 
 
+FUTURE_FROM = "2024-01-24"
+FUT = {
+    "exact": ["y_same_hour_2d_ago", "y_same_hour_7d_ago"],
+    "same_hour": STAT["rolling"] + STAT["key_hour"],
+    "daily": STAT["daily"],
+    "change": STAT["change"],
+}
+
+
+def _hist_future(spark, d):
+    p = panel_hourly(spark, d)
+    cut = F.lit(FUTURE_FROM).cast("timestamp_ntz")
+    return p.where(F.col("date_hour") < cut), p.where(F.col("date_hour") >= cut).drop("y", "y_cents")
+
+
+def _future_stats(spark, d):
+    hist, fut = _hist_future(spark, d)
+    out = add_future_stats(fut, hist, "y_cents", prefix="y", divisor=100)
+    out = _round(out, ["y_same_hour_30d_std"], STD_DIGITS)
+    return _round(out, ["y_daily_mean_7d_rolling"], DAILY_DIGITS)
+
+
+def _future_query(group):
+    def q(spark, d):
+        return _future_stats(spark, d).select("series_key", "date_hour", *FUT[group])
+    q.__name__ = f"q_future_{group}"
+    return q
+
+
+def q_future_timeline(spark, d):
+    return future_timeline(panel_hourly(spark, d), days=7)
+
+
+def q_future_features(spark, d):
+    hist, fut = _hist_future(spark, d)
+    out = build_future_features(fut, hist, "y_cents", prefix="y", divisor=100)
+    out = _round(out, ["y_same_hour_30d_std"], STD_DIGITS)
+    out = _round(out, ["y_daily_mean_7d_rolling"], DAILY_DIGITS)
+    out = _round(out, CAL_CYC, CYC_DIGITS)
+    return out.select("series_key", "date_hour", "n_events", "n_users", "k_avg", *CAL_INT, *CAL_CYC, *HOL,
+                      *[c for g in STAT.values() for c in g])
+
+
 QUERIES = {
+    "future_timeline": q_future_timeline,
+    "lookback_exact": _future_query("exact"),
+    "future_same_hour": _future_query("same_hour"),
+    "future_daily_stats": _future_query("daily"),
+    "future_changes": _future_query("change"),
+    "future_features": q_future_features,
     "scan_time_slice": q_scan_time_slice,
     "scan_pruned": q_scan_pruned,
     "coerce_numeric": q_coerce_numeric,
