@@ -5,7 +5,7 @@ from __future__ import annotations
 from .oracle import (calendar_cols, div, cyclic_cols, holiday_cols, holiday_cte, r, select_list, stat_cols,
                      with_day_mean, with_panels)
 from .constants import KEY_HOURS
-from .registry import CAL_CYC, CAL_INT, CYC_DIGITS, STAT
+from .registry import ALL_FEATS, CAL_CYC, CAL_INT, CYC_DIGITS, PAIR_COLS, SCALE_COLS, STAT
 
 KEYS = "series_key, date_hour, y"
 
@@ -157,7 +157,74 @@ def _future_all_sql() -> str:
             f"{select_list(cyclic_cols(CYC_DIGITS))}, {', '.join(hol)}, {', '.join(allstat)} FROM {inner} x")
 
 
-SQL = {
+def _af_body() -> str:
+    """The ``all_features`` statement as a CTE named ``af``."""
+    body = SQL_BASE["all_features"]
+    head, select = body.split("\nSELECT ", 1)
+    return head + ",\naf AS (SELECT " + select + ")\n"
+
+
+def _corr(a: str, b: str) -> str:
+    both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+    x, y = f"CASE WHEN {both} THEN {a} END", f"CASE WHEN {both} THEN {b} END"
+    return f"covar_pop({x}, {y}) / NULLIF(stddev_pop({x}) * stddev_pop({y}), 0)"
+
+
+def _tc_cte() -> str:
+    parts = " UNION ALL\n  ".join(f"SELECT '{f}' AS feature, {_corr(f, 'y')} AS corr FROM af" for f in ALL_FEATS)
+    return f"tc AS (\n  {parts})"
+
+
+def _rank_ctes() -> str:
+    return (_tc_cte() + ",\nrk AS (SELECT feature, abs(corr) AS abs_corr, row_number() OVER (ORDER BY abs(corr) DESC "
+            "NULLS LAST, feature) AS rank, count(*) OVER () AS k FROM tc)")
+
+
+def _corr_prune_sql() -> str:
+    cols = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in ALL_FEATS)
+    on = ", ".join(ALL_FEATS)
+    return (_af_body().replace("\n)\n", "\n)\n", 1).rstrip("\n") + ",\n" + _rank_ctes() + f""",
+top AS (SELECT feature, rank, abs_corr FROM rk WHERE rank <= floor(k * CAST(0.5 AS DOUBLE))),
+lng AS (UNPIVOT (SELECT row_number() OVER () AS rid, {cols} FROM af) ON {on} INTO NAME feature VALUE v),
+pc AS (SELECT a.feature AS a, b.feature AS b, covar_pop(a.v, b.v) / NULLIF(stddev_pop(a.v) * stddev_pop(b.v), 0) AS corr
+  FROM lng a JOIN lng b ON a.rid = b.rid AND a.feature < b.feature
+  WHERE a.feature IN (SELECT feature FROM top) AND b.feature IN (SELECT feature FROM top) GROUP BY 1, 2),
+pr AS (SELECT CASE WHEN ta.rank < tb.rank THEN a ELSE b END AS early, CASE WHEN ta.rank < tb.rank THEN b ELSE a END AS late,
+  CASE WHEN ta.rank < tb.rank THEN ta.abs_corr ELSE tb.abs_corr END AS ce,
+  CASE WHEN ta.rank < tb.rank THEN tb.abs_corr ELSE ta.abs_corr END AS cl
+  FROM pc JOIN top ta ON ta.feature = pc.a JOIN top tb ON tb.feature = pc.b WHERE abs(pc.corr) > 0.95),
+drops AS (SELECT DISTINCT CASE WHEN cl < ce THEN late ELSE early END AS feature FROM pr)
+SELECT t.feature, t.rank, {r('t.abs_corr', 9)} AS abs_corr, t.feature IN (SELECT feature FROM drops) AS dropped FROM top t""")
+
+
+def _importance_sql() -> str:
+    cov = " UNION ALL\n  ".join(
+        f"SELECT 'abs_cov' AS model, '{f}' AS feature, abs(covar_pop(CASE WHEN {f} IS NOT NULL AND y IS NOT NULL THEN {f} END, "
+        f"CASE WHEN {f} IS NOT NULL AND y IS NOT NULL THEN y END)) AS importance FROM af" for f in ALL_FEATS)
+    return (_af_body().rstrip("\n") + ",\n" + _tc_cte() + f""",
+imp AS (SELECT 'abs_corr' AS model, feature, abs(corr) AS importance FROM tc UNION ALL
+  {cov}),
+nrm AS (SELECT i.feature, i.importance / NULLIF(t.tot, 0) AS n FROM imp i
+  JOIN (SELECT model, sum(importance) AS tot FROM imp GROUP BY 1) t ON i.model = t.model),
+comb AS (SELECT feature, avg(n) AS importance FROM nrm GROUP BY 1)
+SELECT feature, {r('importance', 9)} AS importance, importance > (SELECT median(importance) FROM comb) AS selected FROM comb""")
+
+
+def _standardize_sql() -> str:
+    st = stat_cols()
+    base = (f"base AS (SELECT {KEYS}, n_events, n_users, k_avg, {st['y_same_hour_2d_ago']} AS y_same_hour_2d_ago, "
+            f"{st['y_same_hour_7d_ago']} AS y_same_hour_7d_ago, CAST(isodow(date_hour) - 1 >= 5 AS INTEGER) AS is_weekend "
+            "FROM panel_hourly),\n"
+            f"sp AS (SELECT *, {SPLIT} AS split FROM base)")
+    cols = []
+    for c in SCALE_COLS:
+        mu = f"avg({c}) FILTER (WHERE split = 'train') OVER ()"
+        sd = f"stddev_pop({c}) FILTER (WHERE split = 'train') OVER ()"
+        cols.append(f"{r(f'({c} - {mu}) / (CASE WHEN {sd} = 0 THEN 1.0 ELSE {sd} END)', 9)} AS {c}")
+    return with_panels("panel_hourly", extra=base) + f"SELECT {KEYS}, split, {', '.join(cols)} FROM sp"
+
+
+SQL_BASE = {
     "future_timeline": with_panels("panel_hourly") + """SELECT series_key,
   unnest(generate_series(mx + INTERVAL 1 HOUR, mx + INTERVAL 168 HOUR, INTERVAL 1 HOUR)) AS date_hour
 FROM (SELECT series_key, max(date_hour) AS mx FROM panel_hourly GROUP BY 1) m""",
@@ -306,3 +373,16 @@ ok AS (
         "max(y) AS max_y FROM panel_hourly GROUP BY 1, 2",
 }
 
+SQL = dict(SQL_BASE)
+SQL.update({
+    "corr_target": _af_body() + f"SELECT feature, {r('corr', 9)} AS corr FROM (\n  " +
+        " UNION ALL\n  ".join(f"SELECT '{f}' AS feature, {_corr(f, 'y')} AS corr FROM af" for f in ALL_FEATS) + ") t",
+    "corr_matrix": _af_body() + "SELECT * FROM (\n  " + " UNION ALL\n  ".join(
+        f"SELECT '{PAIR_COLS[i]}' AS a, '{PAIR_COLS[j]}' AS b, {r(_corr(PAIR_COLS[i], PAIR_COLS[j]), 9)} AS corr FROM af"
+        for i in range(len(PAIR_COLS)) for j in range(i + 1, len(PAIR_COLS))) + ") t",
+    "corr_topk": _af_body().rstrip("\n") + ",\n" + _rank_ctes() +
+        f"\nSELECT feature, {r('abs_corr', 9)} AS abs_corr, rank, true AS top FROM rk WHERE rank <= floor(k * CAST(0.5 AS DOUBLE))",
+    "corr_prune": _corr_prune_sql(),
+    "importance_cut": _importance_sql(),
+    "standardize": _standardize_sql(),
+})

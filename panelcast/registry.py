@@ -21,7 +21,10 @@ from .operators.clean import (between_slice, clean_panel, clip_columns, error_co
                               impute_zero, pred_best)
 from .operators.future import add_future_stats, build_future_features, future_timeline
 from .operators.folds import chrono_split, eval_day_spine, rolling_origins, time_folds
+from .operators.selection import (apply_standardizer, correlation_pairs, fit_standardizer, importance_cut,
+                                  prune_correlated, rank_by_correlation, target_correlation)
 from .operators.reshape import blend, to_long, to_wide
+from .session import cut_lineage
 from .sources.scan import coerce_numeric, scan_panel
 from .sources.testdata import (FX_STRATEGIES, evaluations_fx, panel_daily, panel_hourly, panel_supply,
                                predictions_fx, predictions_fx_wide)
@@ -348,7 +351,60 @@ def q_future_features(spark, d):
                       *[c for g in STAT.values() for c in g])
 
 
+ALL_FEATS = (["n_events", "n_users", "k_avg"] + CAL_INT + CAL_CYC + HOL +
+             [c for g in STAT.values() for c in g])
+PAIR_COLS = ["y", "n_events", "n_users", "k_avg", "y_same_hour_2d_ago", "y_same_hour_30d_mean"]
+SCALE_COLS = ["n_events", "n_users", "k_avg", "y_same_hour_2d_ago", "y_same_hour_7d_ago", "is_weekend"]
+
+
+def feature_table(spark, d):
+    """The hourly feature table, materialised once in the checkpoint folder (selection reads it many times)."""
+    return cut_lineage(q_all_features(spark, d))
+
+
+def q_corr_target(spark, d):
+    return _round(target_correlation(feature_table(spark, d), "y", ALL_FEATS), ["corr"], 9)
+
+
+def q_corr_matrix(spark, d):
+    return _round(correlation_pairs(feature_table(spark, d), PAIR_COLS), ["corr"], 9)
+
+
+def q_corr_topk(spark, d):
+    out = rank_by_correlation(target_correlation(feature_table(spark, d), "y", ALL_FEATS), 0.5)
+    return _round(out.where("top"), ["abs_corr"], 9)
+
+
+def q_corr_prune(spark, d):
+    return _round(prune_correlated(feature_table(spark, d), "y", ALL_FEATS, 0.5, 0.95), ["abs_corr"], 9)
+
+
+def q_importance_cut(spark, d):
+    af = feature_table(spark, d)
+    tc = target_correlation(af, "y", ALL_FEATS)
+    cov = af.agg(*[F.covar_pop(F.when(F.col(c).isNotNull() & F.col("y").isNotNull(), F.col(c)),
+                               F.when(F.col(c).isNotNull() & F.col("y").isNotNull(), F.col("y"))).alias(c)
+                   for c in ALL_FEATS]).unpivot([], ALL_FEATS, "feature", "cov")
+    imp = (tc.select(F.lit("abs_corr").alias("model"), "feature", F.abs("corr").alias("importance"))
+           .unionByName(cov.select(F.lit("abs_cov").alias("model"), "feature", F.abs("cov").alias("importance"))))
+    return _round(importance_cut(imp, "median"), ["importance"], 9)
+
+
+def q_standardize(spark, d):
+    base = chrono_split(exact_history_stats(panel_hourly(spark, d)).withColumn(
+        "is_weekend", (F.weekday("date_hour") >= 5).cast("int")))
+    stats = fit_standardizer(base.where(F.col("split") == "train"), SCALE_COLS)
+    out = apply_standardizer(base, stats, SCALE_COLS).select(*KEYS, "split", *SCALE_COLS)
+    return _round(out, SCALE_COLS, 9)
+
+
 QUERIES = {
+    "corr_target": q_corr_target,
+    "corr_matrix": q_corr_matrix,
+    "corr_topk": q_corr_topk,
+    "corr_prune": q_corr_prune,
+    "importance_cut": q_importance_cut,
+    "standardize": q_standardize,
     "future_timeline": q_future_timeline,
     "lookback_exact": _future_query("exact"),
     "future_same_hour": _future_query("same_hour"),
