@@ -49,6 +49,12 @@ def impute_train_median(train: DataFrame, others: Sequence[DataFrame], cols: Seq
     """
     by = list(by)
     med = exact_median(train, by, cols, suffix="__med")
+    if not by:
+        # One row of fitted medians: held on the driver and applied as literals.
+        row = med.first()
+        fill = {c: (row[c + "__med"] if row is not None else None) for c in cols}
+        return [df.withColumns({c: F.coalesce(F.col(c), F.lit(fill[c]).cast("double")) for c in cols})
+                for df in [train, *others]]
     out = []
     for df in [train, *others]:
         j = df.join(med, by, "left")

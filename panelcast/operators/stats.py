@@ -24,36 +24,57 @@ from pyspark.sql import functions as F
 ACCURACY = 100_000
 
 
+def _pick(mid, n, below):
+    k1 = F.floor((n - 1) / 2) - below
+    k2 = F.ceil((n - 1) / 2) - below
+    inside = (k1 >= 0) & (k2 < F.size(mid))
+    a = F.when(inside, F.element_at(mid, (k1 + 1).cast("int")))
+    b = F.when(inside, F.element_at(mid, (k2 + 1).cast("int")))
+    return a + (b - a) / F.lit(2.0)
+
+
 def exact_median(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str],
                  accuracy: int = ACCURACY, suffix: str = "") -> DataFrame:
     """One row per group with the exact median of each value column (NULLs ignored)."""
     group_cols = list(group_cols)
     eps = 3.0 / accuracy
     p_lo, p_hi = max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)
+    if not group_cols:
+        return _exact_median_all(df, value_cols, accuracy, suffix, p_lo, p_hi)
     out = None
     for c in value_cols:
         v = F.col(c)
-        # The value is stored both in `c` (the bracket filter needs it) and as the pass-2 `_v`.
         b = (df.where(v.isNotNull()).groupBy(*group_cols)
              .agg(F.count(v).alias("_n"),
                   F.percentile_approx(v, [p_lo, p_hi], accuracy).alias("_q")))
         b = b.select(*group_cols, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-        j = df.select(*group_cols, v.alias("_v")).where(F.col("_v").isNotNull()).join(b, group_cols)
-        s = (j.groupBy(*group_cols, "_n")
+        vals = df.select(*group_cols, v.alias("_v")).where(F.col("_v").isNotNull())
+        s = (vals.join(b, group_cols).groupBy(*group_cols, "_n")
              .agg(F.sum((F.col("_v") < F.col("_lo")).cast("long")).alias("_below"),
                   F.sort_array(F.collect_list(F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")),
                                                      F.col("_v")))).alias("_mid")))
-        k1 = F.floor((F.col("_n") - 1) / 2) - F.col("_below")
-        k2 = F.ceil((F.col("_n") - 1) / 2) - F.col("_below")
-        inside = (k1 >= 0) & (k2 < F.size("_mid"))
-        a = F.when(inside, F.element_at("_mid", (k1 + 1).cast("int")))
-        bb = F.when(inside, F.element_at("_mid", (k2 + 1).cast("int")))
-        m = s.select(*group_cols, (a + (bb - a) / F.lit(2.0)).alias(c + suffix))
+        m = s.select(*group_cols, _pick(F.col("_mid"), F.col("_n"), F.col("_below")).alias(c + suffix))
         out = m if out is None else out.join(m, group_cols, "full")
     return out
 
 
+def _exact_median_all(df, value_cols, accuracy, suffix, p_lo, p_hi) -> DataFrame:
+    """Ungrouped medians: the brackets are a handful of scalars held on the driver."""
+    cols = list(value_cols)
+    b = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
+               *[F.percentile_approx(c, [p_lo, p_hi], accuracy).alias(f"q_{i}") for i, c in enumerate(cols)]).first()
+    aggs = []
+    for i, c in enumerate(cols):
+        q = b[f"q_{i}"] or [None, None]
+        lo, hi = F.lit(q[0]).cast("double"), F.lit(q[1]).cast("double")
+        v = F.col(c)
+        aggs += [F.sum(F.when(v.isNotNull(), (v < lo).cast("long"))).alias(f"b_{i}"),
+                 F.sort_array(F.collect_list(F.when(v.between(lo, hi), v))).alias(f"m_{i}")]
+    s = df.agg(*aggs)
+    return s.select(*[_pick(F.col(f"m_{i}"), F.lit(int(b[f"n_{i}"])), F.coalesce(F.col(f"b_{i}"), F.lit(0)))
+                      .alias(c + suffix) for i, c in enumerate(cols)])
+
+
 def global_exact_median(df: DataFrame, value_cols: Sequence[str], **kw) -> DataFrame:
     """Median of whole columns (one output row)."""
-    one = df.withColumn("_g", F.lit(1))
-    return exact_median(one, ["_g"], value_cols, **kw).drop("_g")
+    return exact_median(df, [], value_cols, **kw)

@@ -386,3 +386,32 @@ SQL.update({
     "importance_cut": _importance_sql(),
     "standardize": _standardize_sql(),
 })
+
+
+def _backtest_sql() -> str:
+    st = stat_cols()
+    f = (f"f AS (SELECT series_key, date_hour, y, {st['y_same_hour_2d_ago']} AS naive_2d, "
+         f"{st['y_same_hour_7d_ago']} AS naive_7d, {st['y_same_hour_30d_mean']} AS roll_30d FROM panel_hourly),\n"
+         "days AS (SELECT unnest(generate_series(min(CAST(date_hour AS DATE)), max(CAST(date_hour AS DATE)), "
+         "INTERVAL 1 DAY))::DATE AS origin FROM panel_hourly),\n"
+         "ok AS (SELECT p.series_key, d.origin FROM panel_hourly p JOIN days d ON p.date_hour >= "
+         "CAST(d.origin - INTERVAL 60 DAY AS TIMESTAMP) AND p.date_hour < CAST(d.origin AS TIMESTAMP) "
+         "WHERE p.y IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 24),\n"
+         "t AS (SELECT f.*, CAST(f.date_hour AS DATE) AS origin FROM f JOIN ok ON ok.series_key = f.series_key "
+         "AND ok.origin = CAST(f.date_hour AS DATE)),\n"
+         "lp AS (SELECT series_key, origin, 'naive_2d' AS strategy, naive_2d AS pred, y AS actual FROM t UNION ALL "
+         "SELECT series_key, origin, 'naive_7d', naive_7d, y FROM t UNION ALL "
+         "SELECT series_key, origin, 'roll_30d', roll_30d, y FROM t)")
+    return (with_panels("panel_hourly", extra=f) + "SELECT series_key, origin AS date, strategy, rmse, mape, r2, "
+            "'backtest' AS eval_type FROM (" + metric_sql("lp", "series_key, origin, strategy") + ") m")
+
+
+SQL["backtest_metrics"] = _backtest_sql()
+SQL["replace_slice"] = fx(evals=True) + """SELECT series_key, date, strategy, """ + r("rmse", 6) + " AS rmse, " + \
+    r("mape", 6) + " AS mape, " + r("r2", 6) + """ AS r2, eval_type FROM (
+  SELECT * FROM ev WHERE NOT (eval_type = 'backtest' AND date >= DATE '2024-01-05' AND date < DATE '2024-01-15')
+  UNION ALL
+  SELECT series_key, date, strategy, rmse * 2, mape, r2, eval_type FROM ev
+  WHERE strategy = 'naive_2d' AND date >= DATE '2024-01-05' AND date < DATE '2024-01-10' AND eval_type = 'backtest') u"""
+SQL["stream_hourly_panel"] = with_panels("panel_hourly") + """SELECT series_key, date_hour, y_cents, y, n_events
+FROM panel_hourly WHERE date_hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""

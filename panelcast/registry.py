@@ -25,6 +25,7 @@ from .operators.selection import (apply_standardizer, correlation_pairs, fit_sta
                                   prune_correlated, rank_by_correlation, target_correlation)
 from .operators.reshape import blend, to_long, to_wide
 from .session import cut_lineage
+from .session import ensure_checkpoint_dir as ensure_dir
 from .sources.scan import coerce_numeric, scan_panel
 from .sources.testdata import (FX_STRATEGIES, evaluations_fx, panel_daily, panel_hourly, panel_supply,
                                predictions_fx, predictions_fx_wide)
@@ -398,7 +399,109 @@ def q_standardize(spark, d):
     return _round(out, SCALE_COLS, 9)
 
 
+ML_FEATS = ["n_events", "n_users", "k_avg", "hour", "dayofweek", "is_weekend", "hoursin", "hourcos", "is_holiday",
+            "days_to_nearest_holiday", "y_same_hour_2d_ago", "y_same_hour_7d_ago", "y_same_hour_30d_mean",
+            "y_same_hour_30d_std", "y_daily_mean_2d_ago", "y_hourly_change", "y_daily_change"]
+NAIVE = ["naive_2d", "naive_7d", "roll_30d"]
+
+
+def _day_range(spark, d):
+    lo, hi = _panel_days(spark, d)
+    import datetime as _dt
+    return lo, hi + _dt.timedelta(days=1)
+
+
+def q_backtest_metrics(spark, d):
+    from .plans.backtest import backtest
+    start, end = _day_range(spark, d)
+    ev = backtest(feature_table(spark, d), start, end, NAIVE, [], "y", prefix="y")
+    return _r6(ev, MET)
+
+
+def q_backtest_ridge(spark, d):
+    from .plans.backtest import backtest
+    start, end = _day_range(spark, d)
+    return backtest(feature_table(spark, d), start, end, ["ridge"], ML_FEATS, "y", prefix="y")
+
+
+def q_model_fit_predict(spark, d):
+    from .plans.tuning import train_eval
+    m, _, pred = train_eval(feature_table(spark, d), "random_forest", ML_FEATS, "y")
+    return pred.select(*KEYS, "split", "pred")
+
+
+def q_feature_importance(spark, d):
+    from .plans.models import fit_model
+    ft = feature_table(spark, d)
+    return fit_model(chrono_split(ft).where("split = 'train'"), "xgboost", ML_FEATS, "y").importances()
+
+
+def q_stacking(spark, d):
+    from .plans.stacking import stack_predict
+    ft = feature_table(spark, d)
+    _, end = _day_range(spark, d)
+    import datetime as _dt
+    last = end - _dt.timedelta(days=1)
+    tr = ft.where((F.col("date_hour") >= F.lit(last - _dt.timedelta(days=60)).cast("timestamp_ntz")) &
+                  (F.col("date_hour") < F.lit(last).cast("timestamp_ntz")))
+    te = ft.where(F.to_date("date_hour") == F.lit(last))
+    return stack_predict(tr, te, ML_FEATS, "y")
+
+
+def q_grid_search(spark, d):
+    from .plans.tuning import grid_search
+    return grid_search(feature_table(spark, d), "ridge", ML_FEATS, {"alpha": [0.1, 1.0, 10.0]}, "y")
+
+
+def q_auto_select(spark, d):
+    from .plans.tuning import auto_select
+    board, _ = auto_select(feature_table(spark, d), ML_FEATS, "y", kinds=("ridge", "random_forest", "xgboost"))
+    return board
+
+
+def q_forecast(spark, d):
+    from .plans.backtest import forecast
+    p = panel_hourly(spark, d)
+    cut = F.lit(FUTURE_FROM).cast("timestamp_ntz")
+    hist = cut_lineage(add_holidays(add_calendar(p.where(F.col("date_hour") < cut))).transform(
+        lambda x: add_history_stats(x, "y")))
+    fut = build_future_features(p.where(F.col("date_hour") >= cut).drop("y", "y_cents"), hist, "y")
+    best = M.best_strategy(evaluations_fx(spark, d), by=["series_key"])
+    return forecast(hist, fut, ["naive_2d", "ridge"], ML_FEATS, "y", best=best).drop("created_at")
+
+
+def q_replace_slice(spark, d):
+    from .sources.sinks import replace_slice
+    old = evaluations_fx(spark, d)
+    new = old.where((F.col("strategy") == "naive_2d") & (F.col("date") >= F.lit("2024-01-05").cast("date")) &
+                    (F.col("date") < F.lit("2024-01-10").cast("date"))).withColumn("rmse", F.col("rmse") * 2)
+    return _r6(replace_slice(old, new, "2024-01-05", "2024-01-15", "backtest"), MET)
+
+
+def q_stream_hourly_panel(spark, d):
+    from .streaming.hourly import hourly_panel_stream
+    import os
+    src = spark.read.parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    root = os.path.join(ensure_dir(spark), f"stream-{os.getpid()}-{id(stream)}")
+    q = (hourly_panel_stream(stream).writeStream.outputMode("append").format("parquet")
+         .option("path", root + "/out").option("checkpointLocation", root + "/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(root + "/out")
+
+
 QUERIES = {
+    "backtest_metrics": q_backtest_metrics,
+    "backtest_ridge": q_backtest_ridge,
+    "model_fit_predict": q_model_fit_predict,
+    "feature_importance": q_feature_importance,
+    "stacking": q_stacking,
+    "grid_search": q_grid_search,
+    "auto_select": q_auto_select,
+    "forecast": q_forecast,
+    "replace_slice": q_replace_slice,
+    "stream_hourly_panel": q_stream_hourly_panel,
     "corr_target": q_corr_target,
     "corr_matrix": q_corr_matrix,
     "corr_topk": q_corr_topk,
