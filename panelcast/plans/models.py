@@ -79,7 +79,7 @@ class FittedModel:
 
     def prepare(self, df: DataFrame) -> DataFrame:
         filled = impute_train_median(self.medians, [df], self.features, by=())[1]
-        return apply_standardizer(filled, self.scaler, self.features)
+        return apply_standardizer(filled, self.scaler, self.features).fillna(0.0, subset=self.features)
 
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
         return self.model.transform(self.prepare(df)).drop("features").withColumnRenamed("pred", out)
@@ -102,7 +102,8 @@ def fit_model(train: DataFrame, kind: str, features: Sequence[str], target: str
     medians = tr.select(*features)
     filled = impute_train_median(medians, [tr], features, by=())[1]
     scaler = fit_standardizer(filled, features)
-    prepared = apply_standardizer(filled, scaler, features)
+    # A column with no training value at all has no median: it scales to the constant 0.
+    prepared = apply_standardizer(filled, scaler, features).fillna(0.0, subset=features)
     est = make_estimator(kind, params)
     if kind == "ridge":
         # sklearn Ridge(alpha) on scaled X == MLlib normal equations with regParam = alpha * std_pop(y) / n.

@@ -17,6 +17,7 @@ is one training window (bounded).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..constants import META_RIDGE_ALPHAS_RANGE, N_FOLDS
 from ..operators.folds import time_folds
+from ..session import cut_lineage
 from .models import fit_model
 
 BASE_KINDS = ("random_forest", "xgboost", "lightgbm")
@@ -67,20 +69,28 @@ def ridge_cv_alpha(X: np.ndarray, y: np.ndarray, alphas: np.ndarray, cv: int = 3
 def stack_predict(train: DataFrame, test: DataFrame, feature_cols: Sequence[str], target: str = "y",
                   kinds: Sequence[str] = BASE_KINDS, k: int = N_FOLDS, key: str = "series_key",
                   time: str = "date_hour", model_params: Mapping | None = None,
-                  oof_mode: str = "drop") -> DataFrame:
+                  oof_mode: str = "drop", parallelism: int = 4) -> DataFrame:
     """Stacked predictions ``(key, time, pred)`` for the test rows."""
+    # The folded training window and the test rows feed 3*k fits and 6*k predictions:
+    # materialise both once (reliable checkpoint in the session's checkpoint folder).
     tr = time_folds(train.where(F.col(target).isNotNull()), k, key, time)
-    spark = train.sparkSession
-    oof, tst = [], []
-    for kind in kinds:
-        for i in range(k):
-            # Rows before fold i's validation block train fold i (expanding window).
-            val_start = F.col("rn") > F.col("_n_rows") - F.lit(k - i) * F.col("test_size")
-            fr = tr.withColumn("_n_rows", F.max("rn").over(_by_key(key)))
-            fit_rows = fr.where(~val_start & (F.col("test_size") > 0))
-            m = fit_model(fit_rows, kind, feature_cols, target, (model_params or {}).get(kind))
-            oof.append(m.predict(tr.where(F.col("fold") == i)).select(key, time, F.lit(kind).alias("model"), "pred"))
-            tst.append(m.predict(test).select(key, time, F.lit(kind).alias("model"), F.lit(i).alias("fold"), "pred"))
+    tr = cut_lineage(tr.withColumn("_n_rows", F.max("rn").over(_by_key(key))))
+    test = cut_lineage(test)
+
+    def fit_fold(job):
+        kind, i = job
+        # Rows before fold i's validation block train fold i (expanding window).
+        val_start = F.col("rn") > F.col("_n_rows") - F.lit(k - i) * F.col("test_size")
+        fit_rows = tr.where(~val_start & (F.col("test_size") > 0))
+        m = fit_model(fit_rows, kind, feature_cols, target, (model_params or {}).get(kind))
+        o = m.predict(tr.where(F.col("fold") == i)).select(key, time, F.lit(kind).alias("model"), "pred")
+        t = m.predict(test).select(key, time, F.lit(kind).alias("model"), F.lit(i).alias("fold"), "pred")
+        return o, t
+
+    # The 3*k fits are independent distributed jobs: submit them concurrently.
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        done = list(ex.map(fit_fold, [(kind, i) for kind in kinds for i in range(k)]))
+    oof, tst = [o for o, _ in done], [t for _, t in done]
     oof_df = _union(oof)
     tst_df = _union(tst).groupBy(key, time, "model").agg(F.avg("pred").alias("pred"))
     oof_w = oof_df.groupBy(key, time).pivot("model", list(kinds)).agg(F.first("pred"))
@@ -110,7 +120,6 @@ def stack_predict(train: DataFrame, test: DataFrame, feature_cols: Sequence[str]
         return out
 
     schema = f"{key} string, {time} timestamp_ntz, pred double"
-    del spark
     return both.groupBy(key).applyInPandas(meta, schema)
 
 

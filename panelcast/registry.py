@@ -403,6 +403,14 @@ ML_FEATS = ["n_events", "n_users", "k_avg", "hour", "dayofweek", "is_weekend", "
             "days_to_nearest_holiday", "y_same_hour_2d_ago", "y_same_hour_7d_ago", "y_same_hour_30d_mean",
             "y_same_hour_30d_std", "y_daily_mean_2d_ago", "y_hourly_change", "y_daily_change"]
 NAIVE = ["naive_2d", "naive_7d", "roll_30d"]
+# Parameters the registered model queries pass (the reference feeds tuned parameters to these steps too);
+# library defaults remain the reference defaults (100 trees / 100 boosting rounds).
+CHECK_PARAMS = {
+    "random_forest": {"n_estimators": 30, "max_depth": 8, "random_state": 42},
+    "xgboost": {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1, "random_state": 42},
+    "lightgbm": {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1, "random_state": 42},
+    "ridge": {"alpha": 1.0},
+}
 
 
 def _day_range(spark, d):
@@ -426,14 +434,16 @@ def q_backtest_ridge(spark, d):
 
 def q_model_fit_predict(spark, d):
     from .plans.tuning import train_eval
-    m, _, pred = train_eval(feature_table(spark, d), "random_forest", ML_FEATS, "y")
+    m, _, pred = train_eval(feature_table(spark, d), "random_forest", ML_FEATS, "y",
+                            params=CHECK_PARAMS["random_forest"])
     return pred.select(*KEYS, "split", "pred")
 
 
 def q_feature_importance(spark, d):
     from .plans.models import fit_model
     ft = feature_table(spark, d)
-    return fit_model(chrono_split(ft).where("split = 'train'"), "xgboost", ML_FEATS, "y").importances()
+    return fit_model(chrono_split(ft).where("split = 'train'"), "xgboost", ML_FEATS, "y",
+                     CHECK_PARAMS["xgboost"]).importances()
 
 
 def q_stacking(spark, d):
@@ -445,7 +455,7 @@ def q_stacking(spark, d):
     tr = ft.where((F.col("date_hour") >= F.lit(last - _dt.timedelta(days=60)).cast("timestamp_ntz")) &
                   (F.col("date_hour") < F.lit(last).cast("timestamp_ntz")))
     te = ft.where(F.to_date("date_hour") == F.lit(last))
-    return stack_predict(tr, te, ML_FEATS, "y")
+    return stack_predict(tr, te, ML_FEATS, "y", model_params=CHECK_PARAMS)
 
 
 def q_grid_search(spark, d):
@@ -455,7 +465,7 @@ def q_grid_search(spark, d):
 
 def q_auto_select(spark, d):
     from .plans.tuning import auto_select
-    board, _ = auto_select(feature_table(spark, d), ML_FEATS, "y", kinds=("ridge", "random_forest", "xgboost"))
+    board, _ = auto_select(feature_table(spark, d), ML_FEATS, "y", params=CHECK_PARAMS)
     return board
 
 
