@@ -43,51 +43,112 @@ def densify(df: DataFrame, key: str = "series_key", time: str = "date_hour", ste
 
 def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_key", time: str = "date_hour",
                       prefix: str | None = None, mode: str = "rows", key_hours=KEY_HOURS,
-                      min_lag: int = ROLL_SHIFT, divisor: float | None = None, step: str = "1 hour") -> DataFrame:
+                      min_lag: int = ROLL_SHIFT, divisor: float | None = None, step: str = "1 hour",
+                      algorithm: str = "prefix") -> DataFrame:
     """Add the 11 statistical features and the key-hour means.
 
     ``min_lag`` is the shift applied after the rolling windows: 24 reproduces
     the reference (uses day D-1 data), 48 gives the documented "D-2 or
     earlier" rule.
+
+    ``algorithm='prefix'`` (default) computes every rolling statistic in O(1)
+    per row: sums and counts as differences of running sums, the standard
+    deviation from running moments of ``y - series mean``, min/max with the
+    van Herk / Gil-Werman block decomposition (blocks as long as the window:
+    a window is a suffix of one block plus a prefix of the next).
+    ``algorithm='frame'`` uses plain sliding ROWS frames, which Spark
+    re-aggregates row by row (O(window) per row); it is kept as the
+    reference formulation for tests.
     """
     if mode not in ("rows", "time"):
         raise ValueError("mode must be 'rows' or 'time'")
+    if algorithm not in ("prefix", "frame"):
+        raise ValueError("algorithm must be 'prefix' or 'frame'")
     p = prefix or target
     base = densify(df, key, time, step) if mode == "time" else df
     y = F.col(target)
     scale = (lambda c: c / F.lit(float(divisor))) if divisor else (lambda c: c)
 
     w = Window.partitionBy(key).orderBy(time)
-    roll = w.rowsBetween(-(ROLL_ROWS + min_lag - 1), -min_lag)
+    lo, hi = ROLL_ROWS + min_lag - 1, min_lag          # frame = rows [i - lo, i - hi]
+    roll = w.rowsBetween(-lo, -hi)
     day = Window.partitionBy(key, F.to_date(time))
-    hour_w = Window.partitionBy(key, F.hour(time)).orderBy(time).rowsBetween(-KEY_HOUR_ROWS, -1)
+    hour_part = Window.partitionBy(key, F.hour(time)).orderBy(time)
 
-    # One hash exchange on the key serves all three window specs: (key), (key, day) and
-    # (key, hour) are all clustered by key, so the later windows only re-sort.
+    # One hash exchange on the key serves every window spec below: (key), (key, day),
+    # (key, hour) and (key, block) are all clustered by key, so later windows only re-sort.
     out = base.repartition(key).withColumn("_dm", _mean(y, day))
-    out = out.withColumns({
+    cols = {
         f"{p}_same_hour_2d_ago": scale(F.lag(y, LAG_2D).over(w)),
         f"{p}_same_hour_7d_ago": scale(F.lag(y, LAG_7D).over(w)),
-        f"{p}_same_hour_30d_mean": scale(_mean(y, roll)),
-        f"{p}_same_hour_30d_std": scale(F.stddev_samp(y).over(roll)),
-        f"{p}_same_hour_30d_min": scale(F.min(y).over(roll)),
-        f"{p}_same_hour_30d_max": scale(F.max(y).over(roll)),
         f"{p}_daily_mean_2d_ago": scale(F.lag("_dm", LAG_2D).over(w)),
         f"{p}_daily_mean_7d_ago": scale(F.lag("_dm", LAG_7D).over(w)),
         f"{p}_daily_mean_7d_rolling": scale(_mean(F.col("_dm"), w.rowsBetween(-(DAILY_ROLL_ROWS + min_lag - 1), -min_lag))),
         f"{p}_hourly_change": scale(F.lag(y, min_lag).over(w) - F.lag(y, min_lag + 1).over(w)),
         f"{p}_daily_change": scale(F.lag(y, min_lag).over(w) - F.lag(y, min_lag + 24).over(w)),
-    })
+    }
+    if algorithm == "frame":
+        cols.update({
+            f"{p}_same_hour_30d_mean": scale(_mean(y, roll)),
+            f"{p}_same_hour_30d_std": scale(F.stddev_samp(y).over(roll)),
+            f"{p}_same_hour_30d_min": scale(F.min(y).over(roll)),
+            f"{p}_same_hour_30d_max": scale(F.max(y).over(roll)),
+        })
+        km = scale(_mean(y, hour_part.rowsBetween(-KEY_HOUR_ROWS, -1)))
+    else:
+        out = _prefix_columns(out, y, key, time, w, hour_part)
+        n = _frame_diff("_cc", lo, hi, w)
+        s1, s2 = _frame_diff("_cd", lo, hi, w), _frame_diff("_cd2", lo, hi, w)
+        var = F.when(n >= 2, (s2 - s1 * s1 / n) / (n - F.lit(1)))
+        cols.update({
+            f"{p}_same_hour_30d_mean": scale(F.when(n > 0, _frame_diff("_cs", lo, hi, w) / n)),
+            f"{p}_same_hour_30d_std": scale(F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var))),
+            f"{p}_same_hour_30d_min": scale(F.least(F.lag("_bsmin", lo).over(w), F.lag("_bpmin", hi).over(w))),
+            f"{p}_same_hour_30d_max": scale(F.greatest(F.lag("_bsmax", lo).over(w), F.lag("_bpmax", hi).over(w))),
+        })
+        hc = F.lag("_hc", 1).over(hour_part) - F.coalesce(F.lag("_hc", KEY_HOUR_ROWS + 1).over(hour_part), F.lit(0))
+        hs = F.lag("_hs", 1).over(hour_part) - F.coalesce(F.lag("_hs", KEY_HOUR_ROWS + 1).over(hour_part), F.lit(0))
+        km = scale(F.when(hc > 0, hs / hc))
+    out = out.withColumns(cols)
     if key_hours:
-        km = scale(_mean(y, hour_w))
         hr = F.hour(time)
         out = out.withColumns({f"{p}_hour{h}_30d_mean": F.when(hr == h, km) for h in key_hours})
-    out = out.drop("_dm")
+    out = out.drop(*[c for c in out.columns if c.startswith("_") and c not in base.columns])
     if mode == "time":
         out = out.where(~F.col("_filler")).drop("_filler")
     return out
 
 
+def _frame_diff(running: str, lo: int, hi: int, w) -> Column:
+    """Sum over rows [i-lo, i-hi] from a running (prefix) sum P: P[i-hi] - P[i-lo-1] (NULL when the frame is empty)."""
+    return F.lag(running, hi).over(w) - F.coalesce(F.lag(running, lo + 1).over(w), F.lit(0))
+
+
+def _prefix_columns(out: DataFrame, y: Column, key: str, time: str, w, hour_part) -> DataFrame:
+    """Running sums, block prefix/suffix extrema and their lags needed by the O(1) rolling statistics."""
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    present = F.when(y.isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    out = out.withColumns({
+        "_rn": F.row_number().over(w),
+        "_k": F.avg(y).over(Window.partitionBy(key)),   # shift for the moments (numerical stability)
+    })
+    d = y.cast("double") - F.col("_k")
+    out = out.withColumns({
+        "_cs": F.sum(y).over(run), "_cc": F.sum(present).over(run),
+        "_cd": F.sum(d).over(run), "_cd2": F.sum(d * d).over(run),
+        "_blk": F.floor((F.col("_rn") - 1) / F.lit(ROLL_ROWS)),
+        "_hs": F.sum(y).over(hour_part.rowsBetween(Window.unboundedPreceding, 0)),
+        "_hc": F.sum(present).over(hour_part.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    blk_up = Window.partitionBy(key, "_blk").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    blk_dn = Window.partitionBy(key, "_blk").orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({
+        "_bpmin": F.min(y).over(blk_up), "_bpmax": F.max(y).over(blk_up),
+        "_bsmin": F.min(y).over(blk_dn), "_bsmax": F.max(y).over(blk_dn),
+    })
+    return out
+
+
 def add_all_features(df: DataFrame, target: str = "y", *, key: str = "series_key", time: str = "date_hour",
                      holidays: DataFrame | None = None, **kw) -> DataFrame:
     """Calendar -> holidays -> history statistics."""
