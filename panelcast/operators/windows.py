@@ -44,7 +44,7 @@ def densify(df: DataFrame, key: str = "series_key", time: str = "date_hour", ste
 def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_key", time: str = "date_hour",
                       prefix: str | None = None, mode: str = "rows", key_hours=KEY_HOURS,
                       min_lag: int = ROLL_SHIFT, divisor: float | None = None, step: str = "1 hour",
-                      algorithm: str = "prefix") -> DataFrame:
+                      algorithm: str = "prefix", split_rows: int | None = None) -> DataFrame:
     """Add the 11 statistical features and the key-hour means.
 
     ``min_lag`` is the shift applied after the rolling windows: 24 reproduces
@@ -59,7 +59,20 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
     ``algorithm='frame'`` uses plain sliding ROWS frames, which Spark
     re-aggregates row by row (O(window) per row); it is kept as the
     reference formulation for tests.
+
+    ``split_rows`` handles hot series: positions (``series_row_number``) are
+    cut into blocks of ``split_rows`` rows and the last ``H`` rows of each
+    block are copied into the next one as a halo (``H`` = the longest
+    positional lookback, ``ROLL_ROWS + min_lag``).  All windows then run per
+    ``(series, block)`` and the halo copies are dropped, so a series holding
+    a third of the data spreads over ``rows / split_rows`` tasks.  Day means
+    become a ``(series, day)`` aggregate joined back and the same-hour means
+    get their own blocking per ``(series, hour)``; every feature is exact.
     """
+    if split_rows:
+        return _split_history_stats(df, target, key=key, time=time, prefix=prefix, mode=mode,
+                                    key_hours=key_hours, min_lag=min_lag, divisor=divisor, step=step,
+                                    split_rows=int(split_rows))
     if mode not in ("rows", "time"):
         raise ValueError("mode must be 'rows' or 'time'")
     if algorithm not in ("prefix", "frame"):
@@ -149,6 +162,86 @@ def _prefix_columns(out: DataFrame, y: Column, key: str, time: str, w, hour_part
     return out
 
 
+def _halo_blocks(df: DataFrame, keys, time: str, block: int, halo: int) -> DataFrame:
+    """Assign rows to position blocks of ``block`` rows; the last ``halo`` rows of a block are also
+    emitted (flagged ``_halo``) into the next block."""
+    from .folds import series_row_number
+    if halo > block:
+        raise ValueError(f"split_rows must be at least the lookback ({halo} rows)")
+    d = series_row_number(df, keys, time, rn="_pos", n="_npos").drop("_npos")
+    b = F.floor((F.col("_pos") - 1) / F.lit(block))
+    tail = (F.col("_pos") - 1) - b * F.lit(block) >= F.lit(block - halo)
+    targets = F.when(tail, F.array(F.struct(b.alias("blk"), F.lit(False).alias("halo")),
+                                   F.struct((b + 1).alias("blk"), F.lit(True).alias("halo"))))\
+        .otherwise(F.array(F.struct(b.alias("blk"), F.lit(False).alias("halo"))))
+    d = d.withColumn("_t", F.explode(targets))
+    return d.withColumns({"_sblk": F.col("_t.blk"), "_halo": F.col("_t.halo")}).drop("_t")
+
+
+def _split_history_stats(df: DataFrame, target: str, *, key, time, prefix, mode, key_hours, min_lag, divisor,
+                         step, split_rows) -> DataFrame:
+    p = prefix or target
+    base = densify(df, key, time, step) if mode == "time" else df
+    y = F.col(target)
+    scale = (lambda c: c / F.lit(float(divisor))) if divisor else (lambda c: c)
+    lo, hi = ROLL_ROWS + min_lag - 1, min_lag
+    halo = max(lo + 1, LAG_7D, min_lag + 24, DAILY_ROLL_ROWS + min_lag - 1)
+
+    # Day means: an aggregate per (series, day), joined back.
+    dm = base.groupBy(key, F.to_date(time).alias("_day")).agg(ratio(F.sum(y), F.count(y)).alias("_dm"))
+    rows = base.withColumn("_day", F.to_date(time)).join(dm, [key, "_day"], "left").drop("_day")
+
+    # Main blocked pass: windows per (series, block) over positions with a halo.
+    blk = _halo_blocks(rows, key, time, split_rows, halo)
+    w = Window.partitionBy(key, "_sblk").orderBy("_pos")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    present = F.when(y.isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    blk = blk.withColumn("_k", F.avg(y).over(Window.partitionBy(key, "_sblk")))
+    d = y.cast("double") - F.col("_k")
+    blk = blk.withColumns({"_cs": F.sum(y).over(run), "_cc": F.sum(present).over(run),
+                           "_cd": F.sum(d).over(run), "_cd2": F.sum(d * d).over(run),
+                           "_vb": F.floor((F.col("_pos") - 1) / F.lit(ROLL_ROWS))})
+    up = Window.partitionBy(key, "_sblk", "_vb").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    dn = Window.partitionBy(key, "_sblk", "_vb").orderBy(F.col("_pos").desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    blk = blk.withColumns({"_bpmin": F.min(y).over(up), "_bpmax": F.max(y).over(up),
+                           "_bsmin": F.min(y).over(dn), "_bsmax": F.max(y).over(dn)})
+    n = _frame_diff("_cc", lo, hi, w)
+    s1, s2 = _frame_diff("_cd", lo, hi, w), _frame_diff("_cd2", lo, hi, w)
+    var = F.when(n >= 2, (s2 - s1 * s1 / n) / (n - F.lit(1)))
+    out = blk.withColumns({
+        f"{p}_same_hour_2d_ago": scale(F.lag(y, LAG_2D).over(w)),
+        f"{p}_same_hour_7d_ago": scale(F.lag(y, LAG_7D).over(w)),
+        f"{p}_same_hour_30d_mean": scale(F.when(n > 0, _frame_diff("_cs", lo, hi, w) / n)),
+        f"{p}_same_hour_30d_std": scale(F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var))),
+        f"{p}_same_hour_30d_min": scale(F.least(F.lag("_bsmin", lo).over(w), F.lag("_bpmin", hi).over(w))),
+        f"{p}_same_hour_30d_max": scale(F.greatest(F.lag("_bsmax", lo).over(w), F.lag("_bpmax", hi).over(w))),
+        f"{p}_daily_mean_2d_ago": scale(F.lag("_dm", LAG_2D).over(w)),
+        f"{p}_daily_mean_7d_ago": scale(F.lag("_dm", LAG_7D).over(w)),
+        f"{p}_daily_mean_7d_rolling": scale(_mean(F.col("_dm"), w.rowsBetween(-(DAILY_ROLL_ROWS + min_lag - 1), -min_lag))),
+        f"{p}_hourly_change": scale(F.lag(y, min_lag).over(w) - F.lag(y, min_lag + 1).over(w)),
+        f"{p}_daily_change": scale(F.lag(y, min_lag).over(w) - F.lag(y, min_lag + 24).over(w)),
+    }).where(~F.col("_halo"))
+
+    if key_hours:
+        # Same-hour means: their own positions per (series, hour), blocked with a 31-row halo.
+        hb = _halo_blocks(base.select(key, time, target).withColumn("_hr", F.hour(time)), [key, "_hr"], time,
+                          split_rows, KEY_HOUR_ROWS + 1)
+        hw = Window.partitionBy(key, "_hr", "_sblk").orderBy("_pos")
+        hb = hb.withColumns({"_hs": F.sum(y).over(hw.rowsBetween(Window.unboundedPreceding, 0)),
+                             "_hc": F.sum(present).over(hw.rowsBetween(Window.unboundedPreceding, 0))})
+        hc = F.lag("_hc", 1).over(hw) - F.coalesce(F.lag("_hc", KEY_HOUR_ROWS + 1).over(hw), F.lit(0))
+        hs = F.lag("_hs", 1).over(hw) - F.coalesce(F.lag("_hs", KEY_HOUR_ROWS + 1).over(hw), F.lit(0))
+        km = hb.select(key, time, "_halo", "_hr", scale(F.when(hc > 0, hs / hc)).alias("_km")).where(~F.col("_halo"))
+        km = km.select(key, time, *[F.when(F.col("_hr") == h, F.col("_km")).alias(f"{p}_hour{h}_30d_mean")
+                                    for h in key_hours])
+        out = out.join(km, [key, time], "left")
+    out = out.drop(*[c for c in out.columns if c.startswith("_") and c not in base.columns])
+    if mode == "time":
+        out = out.where(~F.col("_filler")).drop("_filler")
+    return out
+
+
 def add_all_features(df: DataFrame, target: str = "y", *, key: str = "series_key", time: str = "date_hour",
                      holidays: DataFrame | None = None, **kw) -> DataFrame:
     """Calendar -> holidays -> history statistics."""

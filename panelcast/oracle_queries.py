@@ -415,3 +415,5 @@ SQL["replace_slice"] = fx(evals=True) + """SELECT series_key, date, strategy, ""
   WHERE strategy = 'naive_2d' AND date >= DATE '2024-01-05' AND date < DATE '2024-01-10' AND eval_type = 'backtest') u"""
 SQL["stream_hourly_panel"] = with_panels("panel_hourly") + """SELECT series_key, date_hour, y_cents, y, n_events
 FROM panel_hourly WHERE date_hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
+SQL["split_series_features"] = with_panels("panel_daily") + "SELECT series_key, date_hour, y,\n  " + select_list(
+    {k: v for k, v in stat_cols().items()}) + f"\nFROM {with_day_mean('panel_daily')} p"

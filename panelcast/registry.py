@@ -44,9 +44,10 @@ def _round(df: DataFrame, cols, digits: int) -> DataFrame:
     return df.withColumns({c: round_half_up(F.col(c), digits) for c in cols})
 
 
-def exact_history_stats(panel: DataFrame, min_lag: int = 24, mode: str = "rows") -> DataFrame:
+def exact_history_stats(panel: DataFrame, min_lag: int = 24, mode: str = "rows", split_rows=None) -> DataFrame:
     """History statistics on an integer-cents target, scaled to currency units once."""
-    out = add_history_stats(panel, "y_cents", prefix="y", divisor=100, min_lag=min_lag, mode=mode)
+    out = add_history_stats(panel, "y_cents", prefix="y", divisor=100, min_lag=min_lag, mode=mode,
+                            split_rows=split_rows)
     out = _round(out, ["y_same_hour_30d_std"], STD_DIGITS)
     return _round(out, ["y_daily_mean_7d_rolling"], DAILY_DIGITS)
 
@@ -115,6 +116,12 @@ def q_all_features_supply(spark, d):
                       *[c for g in ("lag", "rolling", "daily", "change") for c in STAT[g]])
 
 
+def q_split_series_features(spark, d):
+    """Hot-series path: the order panel's long series cut into 800-row blocks with a halo."""
+    out = exact_history_stats(panel_daily(spark, d), split_rows=800)
+    return out.select(*KEYS, *[c for g in STAT.values() for c in g])
+
+
 def q_time_mode_lags(spark, d):
     """Lags in time mode: the panel is densified per series so a 48-row lag is exactly 48 hours."""
     out = exact_history_stats(panel_hourly(spark, d), mode="time")
@@ -570,6 +577,7 @@ QUERIES = {
     "change_features": _stat_query("change"),
     "key_hour_features": _stat_query("key_hour"),
     "time_mode_lags": q_time_mode_lags,
+    "split_series_features": q_split_series_features,
     "all_features": q_all_features,
     "all_features_supply": q_all_features_supply,
     "daily_summary": q_daily_summary,

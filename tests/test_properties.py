@@ -184,3 +184,16 @@ def test_future_depleted_history(spark):
     same = lb[lb["date_hour"].dt.hour == t.hour]["y"]
     assert abs(late["y_same_hour_30d_mean"] - same.mean()) < 1e-9      # shrinking history, as defined
     assert abs(late["y_hourly_change"] - (lb["y"].iloc[-1] - lb["y"].iloc[-2])) < 1e-9
+
+
+@pytest.mark.parametrize("mode", ["rows", "time"])
+def test_split_blocks_equal_plain_windows(spark, mode):
+    """A hot series cut into position blocks with a halo gives exactly the unsplit features."""
+    pdf = hourly(3000, series=("hot", "small"), gaps=set(range(1000, 1030)) | {2222}) if mode == "rows" \
+        else hourly(2500, series=("hot",), gaps={100, 1500})
+    plain = spark_features(spark, pdf, mode=mode)
+    split = spark_features(spark, pdf, mode=mode, split_rows=800)
+    assert len(plain) == len(split)
+    for c in STATS:
+        np.testing.assert_allclose(split[c].astype(float), plain[c].astype(float), rtol=1e-9, atol=1e-6,
+                                   equal_nan=True, err_msg=c)
