@@ -50,8 +50,8 @@ def time_folds(df: DataFrame, k: int = N_FOLDS, key: str = "series_key", time: s
     ``test_size = n // (k+1)``; fold ``i`` (0-based) validates rows
     ``[n - (k-i)*test_size, +test_size)`` and trains on every earlier row.
     Adds ``fold`` (the fold a row validates, NULL for the never-validated
-    head), ``rn`` (1-based position) and ``test_size``; the training rows of
-    fold ``i`` are ``rn <= n - (k-i)*test_size``.  ``group_cols`` number rows
+    head), ``rn`` (1-based position), ``n_rows`` and ``test_size``; the
+    training rows of fold ``i`` are ``rn <= n_rows - (k-i)*test_size``.  ``group_cols`` number rows
     per (series, group), e.g. per backtest origin.
     """
     keys = [key, *group_cols]
@@ -60,12 +60,12 @@ def time_folds(df: DataFrame, k: int = N_FOLDS, key: str = "series_key", time: s
     first_val = F.col("_n") - F.lit(k) * ts          # 0-based index of the first validated row
     idx = F.col("rn") - 1
     fold = F.when((ts > 0) & (idx >= first_val), F.floor((idx - first_val) / ts))
-    return d.withColumns({"fold": fold.cast("int"), "test_size": ts.cast("int")}).drop("_n")
+    return d.withColumns({"fold": fold.cast("int"), "test_size": ts.cast("int")}).withColumnRenamed("_n", "n_rows")
 
 
-def fold_train_end(k: int = N_FOLDS) -> F.Column:
-    """Last training ``rn`` of the fold in column ``fold_id`` (needs ``n_rows`` and ``test_size``)."""
-    return F.col("n_rows") - (F.lit(k) - F.col("fold_id")) * F.col("test_size")
+def fold_train_rows(i: int, k: int = N_FOLDS) -> F.Column:
+    """Predicate for the training rows of fold ``i`` on a ``time_folds`` frame (expanding window)."""
+    return (F.col("rn") <= F.col("n_rows") - F.lit(k - i) * F.col("test_size")) & (F.col("test_size") > 0)
 
 
 def eval_day_spine(spark, start, end) -> DataFrame:

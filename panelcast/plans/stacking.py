@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import META_RIDGE_ALPHAS_RANGE, N_FOLDS
-from ..operators.folds import time_folds
+from ..operators.folds import fold_train_rows, time_folds
 from ..session import cut_lineage
 from .models import fit_model
 
@@ -74,14 +74,12 @@ def stack_predict(train: DataFrame, test: DataFrame, feature_cols: Sequence[str]
     # The folded training window and the test rows feed 3*k fits and 6*k predictions:
     # materialise both once (reliable checkpoint in the session's checkpoint folder).
     tr = time_folds(train.where(F.col(target).isNotNull()), k, key, time)
-    tr = cut_lineage(tr.withColumn("_n_rows", F.max("rn").over(_by_key(key))))
+    tr = cut_lineage(tr)
     test = cut_lineage(test)
 
     def fit_fold(job):
         kind, i = job
-        # Rows before fold i's validation block train fold i (expanding window).
-        val_start = F.col("rn") > F.col("_n_rows") - F.lit(k - i) * F.col("test_size")
-        fit_rows = tr.where(~val_start & (F.col("test_size") > 0))
+        fit_rows = tr.where(fold_train_rows(i, k))
         m = fit_model(fit_rows, kind, feature_cols, target, (model_params or {}).get(kind))
         o = m.predict(tr.where(F.col("fold") == i)).select(key, time, F.lit(kind).alias("model"), "pred")
         t = m.predict(test).select(key, time, F.lit(kind).alias("model"), F.lit(i).alias("fold"), "pred")
@@ -123,11 +121,6 @@ def stack_predict(train: DataFrame, test: DataFrame, feature_cols: Sequence[str]
     return both.groupBy(key).applyInPandas(meta, schema)
 
 
-def _by_key(key):
-    from pyspark.sql import Window
-    return Window.partitionBy(key)
-
-
 def _union(frames):
     out = frames[0]
     for f in frames[1:]:

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import N_FOLDS, TRAIN_RATIO
-from ..operators.folds import chrono_split, time_folds
+from ..operators.folds import chrono_split, fold_train_rows, time_folds
+from ..session import cut_lineage
 from ..operators.metrics import metrics
 from ..operators.reshape import blend
 from ..operators.selection import importance_cut, prune_correlated
@@ -44,12 +45,10 @@ INT_PARAMS = {"n_estimators", "max_depth", "min_samples_leaf"}
 def fold_rmse(df: DataFrame, kind: str, params: Mapping, features: Sequence[str], target: str = "y",
               k: int = N_FOLDS, key: str = "series_key", time: str = "date_hour") -> float:
     """Mean validation RMSE over ``k`` expanding time folds (fits see only earlier rows)."""
-    f = time_folds(df.where(F.col(target).isNotNull()), k, key, time)
-    from pyspark.sql import Window
-    f = f.withColumn("_n", F.max("rn").over(Window.partitionBy(key)))
+    f = cut_lineage(time_folds(df.where(F.col(target).isNotNull()), k, key, time))
     scores = []
     for i in range(k):
-        tr = f.where((F.col("rn") <= F.col("_n") - F.lit(k - i) * F.col("test_size")) & (F.col("test_size") > 0))
+        tr = f.where(fold_train_rows(i, k))
         va = f.where(F.col("fold") == i)
         m = fit_model(tr, kind, features, target, params)
         r = metrics(m.predict(va).withColumn("_g", F.lit(1)), ["_g"], target, "pred").first()
