@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio
+from ..functions.exprs import ratio, round_half_up
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Correlation matrix as long rows ``(by..., a, b, corr)`` for every pair a < b in list order.
@@ -57,11 +57,19 @@ def target_correlation(df: DataFrame, target: str, features: Sequence[str], by:
     return g.select(*by, "feature", ratio(F.col("_c"), F.col("_sx") * F.col("_sy")).alias("corr"))
 
 
+TIE_DIGITS = 12
+
+
 def rank_by_correlation(corr: DataFrame, keep: float = 0.5) -> DataFrame:
-    """Rank features by |corr| (desc, NULL last, then name) and flag the top ``floor(k*keep)`` (O3)."""
+    """Rank features by |corr| (desc, NULL last, then name) and flag the top ``floor(k*keep)`` (O3).
+
+    |corr| is compared at ``TIE_DIGITS`` decimals so that equal columns (e.g.
+    ``week`` and ``weekofyear``) tie exactly and the name decides, whatever
+    order the engine summed in.
+    """
     w = Window.orderBy(F.col("abs_corr").desc_nulls_last(), F.col("feature").asc())
     n = F.count(F.lit(1)).over(Window.partitionBy())
-    out = corr.select("feature", F.abs("corr").alias("abs_corr"))
+    out = corr.select("feature", round_half_up(F.abs("corr"), TIE_DIGITS).alias("abs_corr"))
     out = out.withColumns({"rank": F.row_number().over(w), "_k": n})
     return out.withColumn("top", F.col("rank") <= F.floor(F.col("_k") * F.lit(float(keep)))).drop("_k")
 
@@ -116,6 +124,12 @@ def importance_cut(imp: DataFrame, threshold="median") -> DataFrame:
     return comb.withColumn("selected", F.col("importance") > th)
 
 
+def average_importance(imp: DataFrame) -> DataFrame:
+    """Mean raw importance over models per feature, sorted descending."""
+    return imp.groupBy("feature").agg(F.avg("importance").alias("importance")).orderBy(
+        F.col("importance").desc(), "feature")
+
+
 def fit_standardizer(train: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Per-column mean and population std (ddof=0) on the training rows, NULLs skipped (M1)."""
     aggs = []

@@ -84,6 +84,7 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
 
     w = Window.partitionBy(key).orderBy(time)
     lo, hi = ROLL_ROWS + min_lag - 1, min_lag          # frame = rows [i - lo, i - hi]
+    ks = key_hour_shift(min_lag)
     roll = w.rowsBetween(-lo, -hi)
     day = Window.partitionBy(key, F.to_date(time))
     hour_part = Window.partitionBy(key, F.hour(time)).orderBy(time)
@@ -100,28 +101,19 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
         f"{p}_hourly_change": scale(F.lag(y, min_lag).over(w) - F.lag(y, min_lag + 1).over(w)),
         f"{p}_daily_change": scale(F.lag(y, min_lag).over(w) - F.lag(y, min_lag + 24).over(w)),
     }
+    names = {k: f"{p}_same_hour_30d_{k}" for k in ("mean", "std", "min", "max")}
     if algorithm == "frame":
-        cols.update({
-            f"{p}_same_hour_30d_mean": scale(_mean(y, roll)),
-            f"{p}_same_hour_30d_std": scale(F.stddev_samp(y).over(roll)),
-            f"{p}_same_hour_30d_min": scale(F.min(y).over(roll)),
-            f"{p}_same_hour_30d_max": scale(F.max(y).over(roll)),
-        })
-        km = scale(_mean(y, hour_part.rowsBetween(-KEY_HOUR_ROWS, -1)))
+        stats = {"mean": _mean(y, roll), "std": F.stddev_samp(y).over(roll),
+                 "min": F.min(y).over(roll), "max": F.max(y).over(roll)}
+        km = _mean(y, hour_part.rowsBetween(-(KEY_HOUR_ROWS + ks - 1), -ks))
     else:
-        out = _prefix_columns(out, y, key, time, w, hour_part)
-        n = _frame_diff("_cc", lo, hi, w)
-        s1, s2 = _frame_diff("_cd", lo, hi, w), _frame_diff("_cd2", lo, hi, w)
-        var = F.when(n >= 2, (s2 - s1 * s1 / n) / (n - F.lit(1)))
-        cols.update({
-            f"{p}_same_hour_30d_mean": scale(F.when(n > 0, _frame_diff("_cs", lo, hi, w) / n)),
-            f"{p}_same_hour_30d_std": scale(F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var))),
-            f"{p}_same_hour_30d_min": scale(F.least(F.lag("_bsmin", lo).over(w), F.lag("_bpmin", hi).over(w))),
-            f"{p}_same_hour_30d_max": scale(F.greatest(F.lag("_bsmax", lo).over(w), F.lag("_bpmax", hi).over(w))),
-        })
-        hc = F.lag("_hc", 1).over(hour_part) - F.coalesce(F.lag("_hc", KEY_HOUR_ROWS + 1).over(hour_part), F.lit(0))
-        hs = F.lag("_hs", 1).over(hour_part) - F.coalesce(F.lag("_hs", KEY_HOUR_ROWS + 1).over(hour_part), F.lit(0))
-        km = scale(F.when(hc > 0, hs / hc))
+        out = out.withColumn("_rn", F.row_number().over(w))
+        out = _block_helpers(out, y, [key], F.col(time))
+        stats = _rolling_exprs(w, lo, hi)
+        out = out.withColumns(_hour_prefix(y, hour_part))
+        km = _key_hour_mean(hour_part, ks)
+    cols.update({names[k]: scale(v) for k, v in stats.items()})
+    km = scale(km)
     out = out.withColumns(cols)
     if key_hours:
         hr = F.hour(time)
@@ -132,34 +124,75 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
     return out
 
 
-def _frame_diff(running: str, lo: int, hi: int, w) -> Column:
-    """Sum over rows [i-lo, i-hi] from a running (prefix) sum P: P[i-hi] - P[i-lo-1] (NULL when the frame is empty)."""
-    return F.lag(running, hi).over(w) - F.coalesce(F.lag(running, lo + 1).over(w), F.lit(0))
+def key_hour_shift(min_lag: int) -> int:
+    """Same-hour rows skipped before the key-hour window: 1 (the previous day) for the reference's
+    24-hour shift, 2 for the 48-hour "D-2 or earlier" rule."""
+    return max(1, min_lag // 24)
 
 
-def _prefix_columns(out: DataFrame, y: Column, key: str, time: str, w, hour_part) -> DataFrame:
-    """Running sums, block prefix/suffix extrema and their lags needed by the O(1) rolling statistics."""
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
+def _block_helpers(df: DataFrame, y: Column, part: list, order: Column) -> DataFrame:
+    """Per-row helpers for O(1) rolling statistics over windows of ``ROLL_ROWS`` positions.
+
+    Positions (``_rn``) are cut into blocks of exactly the window length, so a
+    window is a suffix of one block plus a prefix of the next.  Per block:
+    running and total count / shifted sum / shifted sum of squares, where the
+    shift ``_K`` is the block's first non-NULL value in time order (always at or
+    before any window that uses the block, so no later data enters a feature),
+    plus running prefix and suffix min/max (van Herk / Gil-Werman).
+    """
+    df = df.withColumn("_vb", F.floor((F.col("_rn") - 1) / F.lit(ROLL_ROWS)))
+    bp = [*part, "_vb"]
+    up = Window.partitionBy(*bp).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    full = Window.partitionBy(*bp).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dn = Window.partitionBy(*bp).orderBy(order.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_K", F.first(y, ignorenulls=True).over(full).cast("double"))
+    d = y.cast("double") - F.col("_K")
     present = F.when(y.isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    out = out.withColumns({
-        "_rn": F.row_number().over(w),
-        "_k": F.avg(y).over(Window.partitionBy(key)),   # shift for the moments (numerical stability)
-    })
-    d = y.cast("double") - F.col("_k")
-    out = out.withColumns({
-        "_cs": F.sum(y).over(run), "_cc": F.sum(present).over(run),
-        "_cd": F.sum(d).over(run), "_cd2": F.sum(d * d).over(run),
-        "_blk": F.floor((F.col("_rn") - 1) / F.lit(ROLL_ROWS)),
-        "_hs": F.sum(y).over(hour_part.rowsBetween(Window.unboundedPreceding, 0)),
-        "_hc": F.sum(present).over(hour_part.rowsBetween(Window.unboundedPreceding, 0)),
+    return df.withColumns({
+        "_pc": F.sum(present).over(up), "_p1": F.sum(d).over(up), "_p2": F.sum(d * d).over(up),
+        "_tc": F.sum(present).over(full), "_t1": F.sum(d).over(full), "_t2": F.sum(d * d).over(full),
+        "_bpmin": F.min(y).over(up), "_bpmax": F.max(y).over(up),
+        "_bsmin": F.min(y).over(dn), "_bsmax": F.max(y).over(dn),
     })
-    blk_up = Window.partitionBy(key, "_blk").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    blk_dn = Window.partitionBy(key, "_blk").orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumns({
-        "_bpmin": F.min(y).over(blk_up), "_bpmax": F.max(y).over(blk_up),
-        "_bsmin": F.min(y).over(blk_dn), "_bsmax": F.max(y).over(blk_dn),
-    })
-    return out
+
+
+def _rolling_exprs(w, lo: int, hi: int) -> dict:
+    """Mean, sample std, min and max over rows ``[i-lo, i-hi]`` from ``_block_helpers`` columns."""
+    lag = lambda c, k: F.lag(c, k).over(w)
+    z = F.lit(0.0)
+    vb_a, vb_b = lag("_vb", lo), lag("_vb", hi)
+    same = vb_a.isNull() | (vb_a == vb_b)           # the window is the prefix of one block
+    c_a = F.when(same, z).otherwise(lag("_tc", lo + 1) - lag("_pc", lo + 1))
+    s1_a = F.when(same, z).otherwise(F.coalesce(lag("_t1", lo + 1), z) - F.coalesce(lag("_p1", lo + 1), z))
+    s2_a = F.when(same, z).otherwise(F.coalesce(lag("_t2", lo + 1), z) - F.coalesce(lag("_p2", lo + 1), z))
+    k_b = lag("_K", hi)
+    k_ref = F.when(same, k_b).otherwise(F.coalesce(lag("_K", lo + 1), k_b))
+    c_b, s1_b, s2_b = lag("_pc", hi), F.coalesce(lag("_p1", hi), z), F.coalesce(lag("_p2", hi), z)
+    dk = F.coalesce(k_b - k_ref, z)
+    n = c_a + c_b
+    s1 = s1_a + s1_b + c_b * dk                     # moments of (y - k_ref) over the window
+    s2 = s2_a + s2_b + F.lit(2.0) * dk * s1_b + c_b * dk * dk
+    var = F.when(n >= 2, (s2 - s1 * s1 / n) / (n - F.lit(1)))
+    return {
+        "mean": F.when(n > 0, (s1 + n * k_ref) / n),
+        "std": F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var)),
+        "min": F.least(lag("_bsmin", lo), lag("_bpmin", hi)),
+        "max": F.greatest(lag("_bsmax", lo), lag("_bpmax", hi)),
+    }
+
+
+def _hour_prefix(y: Column, hour_part) -> dict:
+    present = F.when(y.isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    run = hour_part.rowsBetween(Window.unboundedPreceding, 0)
+    return {"_hs": F.sum(y).over(run), "_hc": F.sum(present).over(run)}
+
+
+def _key_hour_mean(hour_part, ks: int) -> Column:
+    """Mean of same-hour rows ``[j-(30+ks-1), j-ks]`` from running sums (O(1) per row)."""
+    far = KEY_HOUR_ROWS + ks
+    hc = F.lag("_hc", ks).over(hour_part) - F.coalesce(F.lag("_hc", far).over(hour_part), F.lit(0))
+    hs = F.lag("_hs", ks).over(hour_part) - F.coalesce(F.lag("_hs", far).over(hour_part), F.lit(0))
+    return F.when(hc > 0, hs / hc)
 
 
 def _halo_blocks(df: DataFrame, keys, time: str, block: int, halo: int) -> DataFrame:
@@ -194,28 +227,15 @@ def _split_history_stats(df: DataFrame, target: str, *, key, time, prefix, mode,
     # Main blocked pass: windows per (series, block) over positions with a halo.
     blk = _halo_blocks(rows, key, time, split_rows, halo)
     w = Window.partitionBy(key, "_sblk").orderBy("_pos")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    present = F.when(y.isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    blk = blk.withColumn("_k", F.avg(y).over(Window.partitionBy(key, "_sblk")))
-    d = y.cast("double") - F.col("_k")
-    blk = blk.withColumns({"_cs": F.sum(y).over(run), "_cc": F.sum(present).over(run),
-                           "_cd": F.sum(d).over(run), "_cd2": F.sum(d * d).over(run),
-                           "_vb": F.floor((F.col("_pos") - 1) / F.lit(ROLL_ROWS))})
-    up = Window.partitionBy(key, "_sblk", "_vb").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    dn = Window.partitionBy(key, "_sblk", "_vb").orderBy(F.col("_pos").desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    blk = blk.withColumns({"_bpmin": F.min(y).over(up), "_bpmax": F.max(y).over(up),
-                           "_bsmin": F.min(y).over(dn), "_bsmax": F.max(y).over(dn)})
-    n = _frame_diff("_cc", lo, hi, w)
-    s1, s2 = _frame_diff("_cd", lo, hi, w), _frame_diff("_cd2", lo, hi, w)
-    var = F.when(n >= 2, (s2 - s1 * s1 / n) / (n - F.lit(1)))
+    blk = _block_helpers(blk.withColumn("_rn", F.col("_pos")), y, [key, "_sblk"], F.col("_pos"))
+    stats = _rolling_exprs(w, lo, hi)
     out = blk.withColumns({
         f"{p}_same_hour_2d_ago": scale(F.lag(y, LAG_2D).over(w)),
         f"{p}_same_hour_7d_ago": scale(F.lag(y, LAG_7D).over(w)),
-        f"{p}_same_hour_30d_mean": scale(F.when(n > 0, _frame_diff("_cs", lo, hi, w) / n)),
-        f"{p}_same_hour_30d_std": scale(F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var))),
-        f"{p}_same_hour_30d_min": scale(F.least(F.lag("_bsmin", lo).over(w), F.lag("_bpmin", hi).over(w))),
-        f"{p}_same_hour_30d_max": scale(F.greatest(F.lag("_bsmax", lo).over(w), F.lag("_bpmax", hi).over(w))),
+        f"{p}_same_hour_30d_mean": scale(stats["mean"]),
+        f"{p}_same_hour_30d_std": scale(stats["std"]),
+        f"{p}_same_hour_30d_min": scale(stats["min"]),
+        f"{p}_same_hour_30d_max": scale(stats["max"]),
         f"{p}_daily_mean_2d_ago": scale(F.lag("_dm", LAG_2D).over(w)),
         f"{p}_daily_mean_7d_ago": scale(F.lag("_dm", LAG_7D).over(w)),
         f"{p}_daily_mean_7d_rolling": scale(_mean(F.col("_dm"), w.rowsBetween(-(DAILY_ROLL_ROWS + min_lag - 1), -min_lag))),
@@ -224,15 +244,13 @@ def _split_history_stats(df: DataFrame, target: str, *, key, time, prefix, mode,
     }).where(~F.col("_halo"))
 
     if key_hours:
-        # Same-hour means: their own positions per (series, hour), blocked with a 31-row halo.
+        # Same-hour means: their own positions per (series, hour), blocked with a (30 + shift)-row halo.
+        ks = key_hour_shift(min_lag)
         hb = _halo_blocks(base.select(key, time, target).withColumn("_hr", F.hour(time)), [key, "_hr"], time,
-                          split_rows, KEY_HOUR_ROWS + 1)
+                          split_rows, KEY_HOUR_ROWS + ks)
         hw = Window.partitionBy(key, "_hr", "_sblk").orderBy("_pos")
-        hb = hb.withColumns({"_hs": F.sum(y).over(hw.rowsBetween(Window.unboundedPreceding, 0)),
-                             "_hc": F.sum(present).over(hw.rowsBetween(Window.unboundedPreceding, 0))})
-        hc = F.lag("_hc", 1).over(hw) - F.coalesce(F.lag("_hc", KEY_HOUR_ROWS + 1).over(hw), F.lit(0))
-        hs = F.lag("_hs", 1).over(hw) - F.coalesce(F.lag("_hs", KEY_HOUR_ROWS + 1).over(hw), F.lit(0))
-        km = hb.select(key, time, "_halo", "_hr", scale(F.when(hc > 0, hs / hc)).alias("_km")).where(~F.col("_halo"))
+        hb = hb.withColumns(_hour_prefix(y, hw))
+        km = hb.select(key, time, "_halo", "_hr", scale(_key_hour_mean(hw, ks)).alias("_km")).where(~F.col("_halo"))
         km = km.select(key, time, *[F.when(F.col("_hr") == h, F.col("_km")).alias(f"{p}_hour{h}_30d_mean")
                                     for h in key_hours])
         out = out.join(km, [key, time], "left")
@@ -248,3 +266,27 @@ def add_all_features(df: DataFrame, target: str = "y", *, key: str = "series_key
     out = add_calendar(df, time)
     out = add_holidays(out, holidays, time)
     return add_history_stats(out, target, key=key, time=time, **kw)
+
+
+def leakage_check(df: DataFrame, cutoff, target: str = "y", *, key: str = "series_key", time: str = "date_hour",
+                  features=None, gap_days: int = 1, **kw) -> DataFrame:
+    """Report features of day ``cutoff`` that change when the target is hidden from ``cutoff - gap_days`` on.
+
+    Builds the history statistics twice — on the panel as is and with the
+    target nulled from ``cutoff - gap_days`` — and compares the rows of day
+    ``cutoff``.  Output ``(feature, n_rows, n_changed)``; with ``min_lag=24``
+    the rolling and change features use day D-1 (as the reference does),
+    with ``min_lag=48`` nothing changes for ``gap_days=1``.
+    """
+    day = F.lit(cutoff).cast("date")
+    hide = F.to_date(time) >= F.date_sub(day, gap_days)
+    masked = df.withColumn(target, F.when(hide, F.lit(None).cast(df.schema[target].dataType)).otherwise(F.col(target)))
+    a = add_history_stats(df, target, key=key, time=time, **kw)
+    b = add_history_stats(masked, target, key=key, time=time, **kw)
+    feats = features or [c for c in a.columns if c not in df.columns]
+    on_day = F.to_date(time) == day
+    j = a.where(on_day).select(key, time, *feats).alias("a").join(
+        b.where(on_day).select(key, time, *feats).alias("b"), [key, time])
+    diff = [F.sum((~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))).cast("int")).alias(f) for f in feats]
+    return j.agg(F.count(F.lit(1)).alias("_n"), *diff).unpivot(["_n"], feats, "feature", "n_changed") \
+        .withColumnRenamed("_n", "n_rows").select("feature", "n_rows", "n_changed")

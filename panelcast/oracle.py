@@ -132,7 +132,7 @@ def holiday_cols(day: str = "CAST(date_hour AS DATE)", cap: int = HOLIDAY_DISTAN
 
 # ------------------------------------------------------------------------------ history stats
 def stat_cols(p: str = "y", t: str = "y_cents", key: str = "series_key", time: str = "date_hour",
-              min_lag: int = 24, key_hours=KEY_HOURS, std_digits: int = 6, daily_digits: int = 6) -> dict[str, str]:
+              min_lag: int = 24, key_hours=KEY_HOURS, std_digits: int = 3, daily_digits: int = 3) -> dict[str, str]:
     w = f"(PARTITION BY {key} ORDER BY {time})"
     roll = f"(PARTITION BY {key} ORDER BY {time} ROWS BETWEEN {720 + min_lag - 1} PRECEDING AND {min_lag} PRECEDING)"
     droll = f"(PARTITION BY {key} ORDER BY {time} ROWS BETWEEN {7 + min_lag - 1} PRECEDING AND {min_lag} PRECEDING)"

@@ -129,10 +129,10 @@ lr AS (SELECT *, row_number() OVER (PARTITION BY series_key, t ORDER BY u DESC)
 cg AS (SELECT series_key, t, max(CASE WHEN rk = 1 THEN yc END) - max(CASE WHEN rk = 2 THEN yc END) AS hc,
   max(CASE WHEN rk = 1 THEN yc END) - max(CASE WHEN rk = 25 THEN yc END) AS dc FROM lr WHERE n > 24 GROUP BY 1, 2),
 ff AS (SELECT f.*, {div('h2.yc', '100')} AS y_same_hour_2d_ago, {div('h7.yc', '100')} AS y_same_hour_7d_ago,
-  {div('sh.m', '100')} AS y_same_hour_30d_mean, {r(div('sh.s', '100'), 6)} AS y_same_hour_30d_std,
+  {div('sh.m', '100')} AS y_same_hour_30d_mean, {r(div('sh.s', '100'), 3)} AS y_same_hour_30d_std,
   {div('sh.mn', '100')} AS y_same_hour_30d_min, {div('sh.mx', '100')} AS y_same_hour_30d_max,
   {div('ds.dm2', '100')} AS y_daily_mean_2d_ago, {div('ds.dm7', '100')} AS y_daily_mean_7d_ago,
-  {r(div('ds.dmr', '100'), 6)} AS y_daily_mean_7d_rolling,
+  {r(div('ds.dmr', '100'), 3)} AS y_daily_mean_7d_rolling,
   {div('cg.hc', '100')} AS y_hourly_change, {div('cg.dc', '100')} AS y_daily_change,
   {', '.join(f"CASE WHEN hour(f.date_hour) = {h} THEN {div('sh.m', '100')} END AS y_hour{h}_30d_mean" for h in KEY_HOURS)}
   FROM fut f
@@ -176,8 +176,8 @@ def _tc_cte() -> str:
 
 
 def _rank_ctes() -> str:
-    return (_tc_cte() + ",\nrk AS (SELECT feature, abs(corr) AS abs_corr, row_number() OVER (ORDER BY abs(corr) DESC "
-            "NULLS LAST, feature) AS rank, count(*) OVER () AS k FROM tc)")
+    return (_tc_cte() + ",\nrk AS (SELECT feature, " + r("abs(corr)", 12) + " AS abs_corr, row_number() OVER (ORDER BY "
+            + r("abs(corr)", 12) + " DESC NULLS LAST, feature) AS rank, count(*) OVER () AS k FROM tc)")
 
 
 def _corr_prune_sql() -> str:

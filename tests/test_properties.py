@@ -197,3 +197,13 @@ def test_split_blocks_equal_plain_windows(spark, mode):
     for c in STATS:
         np.testing.assert_allclose(split[c].astype(float), plain[c].astype(float), rtol=1e-9, atol=1e-6,
                                    equal_nan=True, err_msg=c)
+
+
+def test_leakage_check_d2_rule_is_clean(spark):
+    from panelcast.operators.windows import leakage_check
+    pdf = hourly(24 * 40, series=("a",))
+    res = leakage_check(to_spark(spark, pdf), "2024-01-30", "y", min_lag=48).collect()
+    assert res and all(r["n_changed"] == 0 for r in res)
+    ref = {r["feature"]: r["n_changed"] for r in
+           leakage_check(to_spark(spark, pdf), "2024-01-30", "y", min_lag=24).collect()}
+    assert ref["y_same_hour_30d_mean"] > 0 and ref["y_same_hour_2d_ago"] == 0
