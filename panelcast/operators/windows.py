@@ -82,16 +82,24 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
     y = F.col(target)
     scale = (lambda c: c / F.lit(float(divisor))) if divisor else (lambda c: c)
 
-    w = Window.partitionBy(key).orderBy(time)
+    w0 = Window.partitionBy(key).orderBy(time)
     lo, hi = ROLL_ROWS + min_lag - 1, min_lag          # frame = rows [i - lo, i - hi]
     ks = key_hour_shift(min_lag)
-    roll = w.rowsBetween(-lo, -hi)
     day = Window.partitionBy(key, F.to_date(time))
-    hour_part = Window.partitionBy(key, F.hour(time)).orderBy(time)
+    hour_part = Window.partitionBy(key, "_hr").orderBy(time)
 
     # One hash exchange on the key serves every window spec below: (key), (key, day),
     # (key, hour) and (key, block) are all clustered by key, so later windows only re-sort.
-    out = base.repartition(key).withColumn("_dm", _mean(y, day))
+    out = base.repartition(key).withColumns({"_dm": _mean(y, day), "_hr": F.hour(time)})
+    if algorithm == "prefix":
+        # Positions and 720-row blocks; ordering the lag window by (block, time) -- the same order as
+        # time within a series -- lets it reuse the block windows' sort.
+        out = out.withColumn("_rn", F.row_number().over(w0))
+        out = out.withColumn("_vb", F.floor((F.col("_rn") - 1) / F.lit(ROLL_ROWS)))
+        w = Window.partitionBy(key).orderBy("_vb", time)
+    else:
+        w = w0
+    roll = w.rowsBetween(-lo, -hi)
     cols = {
         f"{p}_same_hour_2d_ago": scale(F.lag(y, LAG_2D).over(w)),
         f"{p}_same_hour_7d_ago": scale(F.lag(y, LAG_7D).over(w)),
@@ -107,7 +115,6 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
                  "min": F.min(y).over(roll), "max": F.max(y).over(roll)}
         km = _mean(y, hour_part.rowsBetween(-(KEY_HOUR_ROWS + ks - 1), -ks))
     else:
-        out = out.withColumn("_rn", F.row_number().over(w))
         out = _block_helpers(out, y, [key], F.col(time))
         stats = _rolling_exprs(w, lo, hi)
         out = out.withColumns(_hour_prefix(y, hour_part))
@@ -116,8 +123,7 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
     km = scale(km)
     out = out.withColumns(cols)
     if key_hours:
-        hr = F.hour(time)
-        out = out.withColumns({f"{p}_hour{h}_30d_mean": F.when(hr == h, km) for h in key_hours})
+        out = out.withColumns({f"{p}_hour{h}_30d_mean": F.when(F.col("_hr") == h, km) for h in key_hours})
     out = out.drop(*[c for c in out.columns if c.startswith("_") and c not in base.columns])
     if mode == "time":
         out = out.where(~F.col("_filler")).drop("_filler")
@@ -140,7 +146,8 @@ def _block_helpers(df: DataFrame, y: Column, part: list, order: Column) -> DataF
     before any window that uses the block, so no later data enters a feature),
     plus running prefix and suffix min/max (van Herk / Gil-Werman).
     """
-    df = df.withColumn("_vb", F.floor((F.col("_rn") - 1) / F.lit(ROLL_ROWS)))
+    if "_vb" not in df.columns:
+        df = df.withColumn("_vb", F.floor((F.col("_rn") - 1) / F.lit(ROLL_ROWS)))
     bp = [*part, "_vb"]
     up = Window.partitionBy(*bp).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     full = Window.partitionBy(*bp).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
