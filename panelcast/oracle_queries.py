@@ -417,3 +417,6 @@ SQL["stream_hourly_panel"] = with_panels("panel_hourly") + """SELECT series_key,
 FROM panel_hourly WHERE date_hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
 SQL["split_series_features"] = with_panels("panel_daily") + "SELECT series_key, date_hour, y,\n  " + select_list(
     {k: v for k, v in stat_cols().items()}) + f"\nFROM {with_day_mean('panel_daily')} p"
+SQL["stream_online_eval"] = fx() + "SELECT series_key, date, 'TwoStage_Stacking' AS strategy, rmse, mape, r2, " \
+    "'online' AS eval_type FROM (" + metric_sql(
+        "(SELECT *, CAST(date_hour AS DATE) AS date FROM joined WHERE strategy = 'roll_30d')", "series_key, date") + ") m"

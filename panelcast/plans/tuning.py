@@ -99,6 +99,21 @@ def neighbourhood(kind: str, best: Mapping) -> dict:
     return grid
 
 
+def feature_selection_pipeline(df: DataFrame, features: Sequence[str], target: str = "y", keep: float = 0.5,
+                               limit: float = 0.95, threshold="median", params: Mapping | None = None,
+                               seed: int = 42) -> DataFrame:
+    """Two-stage selection (M9 then M7): correlation pruning, then the random-forest + boosting
+    importance cut.  Output ``(feature, importance, selected)`` for the stage-1 survivors."""
+    pr = prune_correlated(df, target, features, keep, limit)
+    stage1 = [r["feature"] for r in pr.where(~F.col("dropped")).orderBy("rank").collect()]
+    imps = []
+    for kind in ("random_forest", "xgboost"):
+        p = {"n_estimators": 100, "random_state": seed, **((params or {}).get(kind) or {})}
+        m = fit_model(df, kind, stage1, target, p)
+        imps.append(m.importances().withColumn("model", F.lit(kind)))
+    return importance_cut(imps[0].unionByName(imps[1]), threshold)
+
+
 def tune_once(df: DataFrame, start, end, features: Sequence[str], target: str = "y",
               kinds: Sequence[str] = ("random_forest", "xgboost", "lightgbm"), n_random: int = 10,
               seed: int = 42, parallelism: int = 2, time: str = "date_hour") -> dict:
@@ -108,13 +123,7 @@ def tune_once(df: DataFrame, start, end, features: Sequence[str], target: str =
     """
     w = df.where((F.col(time) >= F.lit(start).cast("timestamp_ntz")) & (F.col(time) < F.lit(end).cast("timestamp_ntz"))
                  & F.col(target).isNotNull())
-    pr = prune_correlated(w, target, features)
-    stage1 = [r["feature"] for r in pr.where(~F.col("dropped")).orderBy("rank").collect()]
-    imps = []
-    for kind in ("random_forest", "xgboost"):
-        m = fit_model(w, kind, stage1, target, {"n_estimators": 100, "random_state": seed})
-        imps.append(m.importances().withColumn("model", F.lit(kind)))
-    cut = importance_cut(imps[0].unionByName(imps[1]), "median")
+    cut = feature_selection_pipeline(w, features, target, seed=seed)
     selected = [r["feature"] for r in cut.where("selected").orderBy(F.col("importance").desc()).collect()]
     params, scores = {}, []
     for kind in kinds:

@@ -499,6 +499,28 @@ def q_forecast(spark, d):
     return forecast(hist, fut, ["naive_2d", "ridge"], ML_FEATS, "y", best=best).drop("created_at")
 
 
+def q_feature_selection(spark, d):
+    """Two-stage selection on the hourly feature table (correlation pruning, then importance cut)."""
+    from .plans.tuning import feature_selection_pipeline
+    return feature_selection_pipeline(feature_table(spark, d), ALL_FEATS, "y", params=CHECK_PARAMS)
+
+
+def q_stream_online_eval(spark, d):
+    """Predictions arrive as a file stream; each micro-batch is evaluated against the actuals in
+    ``foreachBatch`` and appended, skipping days already evaluated (replay-safe)."""
+    import os
+    from .streaming.hourly import online_eval_batch
+    root = os.path.join(ensure_dir(spark), f"online-{os.getpid()}-{id(d)}")
+    # One file per day, so every micro-batch carries whole days.
+    preds = predictions_fx_wide(spark, d).withColumn("day", F.to_date("date_hour"))
+    preds.repartition("day").write.mode("overwrite").partitionBy("day").parquet(root + "/preds")
+    stream = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", 5).parquet(root + "/preds")
+    q = (stream.writeStream.foreachBatch(online_eval_batch(panel_hourly(spark, d), root + "/eval", "roll_30d"))
+         .option("checkpointLocation", root + "/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return _r6(spark.read.parquet(root + "/eval"), MET)
+
+
 def q_replace_slice(spark, d):
     from .sources.sinks import replace_slice
     old = evaluations_fx(spark, d)
@@ -530,6 +552,8 @@ QUERIES = {
     "auto_select": q_auto_select,
     "forecast": q_forecast,
     "replace_slice": q_replace_slice,
+    "feature_selection": q_feature_selection,
+    "stream_online_eval": q_stream_online_eval,
     "stream_hourly_panel": q_stream_hourly_panel,
     "corr_target": q_corr_target,
     "corr_matrix": q_corr_matrix,
