@@ -13,6 +13,8 @@ bounded fan-out:
   ``t``'s hour;
 * same-hour statistics join the history rows at ``t``'s hour on the 31
   candidate days (at most 31 rows per future row) and aggregate;
+* the exact 2- and 7-day lookbacks are same-hour rows on candidate days 2
+  and 7 and come out of the same aggregate;
 * the "n-th last row" changes use history positions from
   ``series_row_number`` and one equi-join on ``(series, position)``.
 
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from ..constants import FUTURE_GAP_DAYS, FUTURE_LOOKBACK_DAYS, KEY_HOURS
 from ..functions.calendar import add_calendar
 from ..functions.exprs import ratio
+from ..session import cut_lineage
 from .folds import series_row_number
 from .holidays import add_holidays
 
@@ -40,10 +43,6 @@ def future_timeline(df: DataFrame, days: int, key: str = "series_key", time: str
     return last.select(key, F.explode(seq).alias(time))
 
 
-def _fkey(key: str, time: str):
-    return [key, F.col(time).alias("_t")]
-
-
 def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *, key: str = "series_key",
                      time: str = "date_hour", prefix: str | None = None, key_hours=KEY_HOURS,
                      divisor: float | None = None, lookback_days: int = FUTURE_LOOKBACK_DAYS,
@@ -65,29 +64,26 @@ def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *
          .select(key, "_u", "_y"))
     h = series_row_number(h, key, "_u", rn="_pos", n="_npos").drop("_npos")
     h = h.withColumns({"_day": F.to_date("_u"), "_hr": F.hour("_u")})
-
-    # Exact lookbacks at t-2d and t-7d.
-    exact = h.select(key, "_u", "_y")
-    out = fut_keys
-    for days, name in ((2, "same_hour_2d_ago"), (7, "same_hour_7d_ago")):
-        e = exact.withColumnsRenamed({"_u": "_t", "_y": f"{p}_{name}"}).withColumn(
-            "_t", F.col("_t") + F.expr(f"interval {days} days"))
-        out = out.join(e, [key, "_t"], "left")
-    out = out.withColumns({f"{p}_same_hour_2d_ago": sc(F.col(f"{p}_same_hour_2d_ago")),
-                           f"{p}_same_hour_7d_ago": sc(F.col(f"{p}_same_hour_7d_ago"))})
+    # Both inputs feed four joins each.  They are small by construction (the future rows; the history
+    # inside the lookback of some future row), so materialise them once in the checkpoint folder
+    # instead of re-deriving them from their sources on every branch.
+    fut_keys = cut_lineage(fut_keys)
+    h = cut_lineage(h)
 
     # Candidate days: k = 1..lookback_days before t's day.
     cand = fut_keys.select(key, "_t", F.explode(F.sequence(F.lit(gap_days), F.lit(lookback_days))).alias("_k"))
     cand = cand.withColumns({"_day": F.date_sub(F.to_date("_t"), F.col("_k")), "_th": F.hour("_t")})
 
-    # Same-hour rows inside the lookback.
+    # Same-hour rows inside the lookback.  J4: the rows exactly 2 and 7 days back are
+    # same-hour rows on candidate days 2 and 7, so the same aggregate picks them up.
     t_lo = F.col("_t") - F.expr(f"interval {lookback_days} days")
     t_hi = F.col("_t") - F.expr(f"interval {gap_days} days")
+    at = lambda days: F.max(F.when(F.col("_u") == F.col("_t") - F.expr(f"interval {days} days"), F.col("_y")))
     sh = (cand.join(h.select(key, "_day", F.col("_hr").alias("_th"), "_u", "_y"), [key, "_day", "_th"])
           .where((F.col("_u") >= t_lo) & (F.col("_u") < t_hi))
           .groupBy(key, "_t").agg(ratio(F.sum("_y"), F.count("_y")).alias("_shm"),
                                   F.stddev_samp("_y").alias("_shs"), F.min("_y").alias("_shmin"),
-                                  F.max("_y").alias("_shmax")))
+                                  F.max("_y").alias("_shmax"), at(2).alias("_e2"), at(7).alias("_e7")))
 
     # Per (series, day) hourly array, cut at t's hour on the first and last candidate day.
     days = (h.groupBy(key, "_day", "_hr").agg(F.sum("_y").alias("s"), F.count("_y").alias("c"),
@@ -123,9 +119,11 @@ def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *
                                   F.max(F.when(F.col("_o") == 1, F.col("_y"))).alias("_y1"),
                                   F.max(F.when(F.col("_o") == 24, F.col("_y"))).alias("_y24")))
 
-    out = out.join(sh, [key, "_t"], "left").join(dstat, [key, "_t"], "left").join(ch, [key, "_t"], "left")
+    out = fut_keys.join(sh, [key, "_t"], "left").join(dstat, [key, "_t"], "left").join(ch, [key, "_t"], "left")
     hr = F.hour("_t")
     cols = {
+        f"{p}_same_hour_2d_ago": sc(F.col("_e2")),
+        f"{p}_same_hour_7d_ago": sc(F.col("_e7")),
         f"{p}_same_hour_30d_mean": sc(F.col("_shm")),
         f"{p}_same_hour_30d_std": sc(F.col("_shs")),
         f"{p}_same_hour_30d_min": sc(F.col("_shmin")),
@@ -138,8 +136,7 @@ def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *
     }
     for kh in key_hours:
         cols[f"{p}_hour{kh}_30d_mean"] = F.when(hr == kh, sc(F.col("_shm")))
-    out = out.select(key, "_t", f"{p}_same_hour_2d_ago", f"{p}_same_hour_7d_ago",
-                     *[v.alias(k) for k, v in cols.items()])
+    out = out.select(key, "_t", *[v.alias(k) for k, v in cols.items()])
     return future.join(out.withColumnRenamed("_t", time), [key, time], "left")
 
 
