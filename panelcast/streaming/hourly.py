@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import evaluate_online
+from ..functions.calendar import hour_start
 from ..sources.testdata import cents
 
 
@@ -20,16 +21,20 @@ def hourly_panel_stream(events: DataFrame, watermark: str = "2 hours", key: str
                         ts: str = "ts", value: str = "value") -> DataFrame:
     """Streaming ``(series_key, date_hour, y_cents, y, n_events)`` per event type and hour.
 
-    Watermarks need a zoned ``TIMESTAMP``: the NTZ wall clock is read as UTC
-    and converted back to NTZ for the output.
+    Watermarks need a zoned ``TIMESTAMP``: the NTZ wall clock is mapped to
+    the instant with the same UTC wall clock through microseconds since the
+    epoch (independent of the session time zone), and the output hour is the
+    NTZ hour itself, grouped alongside the window.
     """
-    e = events.withColumn("_ts", F.to_utc_timestamp(F.col(ts).cast("timestamp"), "UTC"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    e = events.withColumns({"_ts": F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts))),
+                            "_h": hour_start(F.col(ts))})
     agg = (e.withWatermark("_ts", watermark)
-           .groupBy(F.col(key).alias("series_key"), F.window("_ts", "1 hour"))
+           .groupBy(F.col(key).alias("series_key"), F.window("_ts", "1 hour"), "_h")
            .agg(F.sum(cents(F.col(value))).alias("_s"), F.count(F.col(value)).alias("_c"),
                 F.count(F.lit(1)).alias("n_events")))
     y_cents = F.floor(F.col("_s").cast("double") / F.col("_c").cast("double") + F.lit(0.5)).cast("bigint")
-    return agg.select("series_key", F.col("window.start").cast("timestamp_ntz").alias("date_hour"),
+    return agg.select("series_key", F.col("_h").alias("date_hour"),
                       y_cents.alias("y_cents"), (y_cents / F.lit(100.0)).alias("y"), "n_events")
 
 
