@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..constants import MIN_TRAIN_ROWS, TRAIN_DAYS
 from ..operators.folds import rolling_origins
 from ..operators.metrics import metrics
+from ..session import cut_lineage
 from .models import fit_model, ridge_by_group
 from .stacking import stack_predict
 
@@ -64,7 +65,12 @@ def backtest_predictions(features: DataFrame, start, end, strategies: Sequence[s
 
 
 def _pooled(folds: DataFrame, kind: str, feature_cols, target, key, time, model_params, parallelism) -> DataFrame:
-    """One pooled fit per origin (all series of that origin), origins submitted concurrently."""
+    """One pooled fit per origin (all series of that origin), origins submitted concurrently.
+
+    Every origin filters the fan-out frame, so it is materialised once (reliable checkpoint) instead
+    of being re-derived for each fit.  Only the list of origin days comes to the driver.
+    """
+    folds = cut_lineage(folds)
     origins = [r["origin"] for r in folds.select("origin").distinct().orderBy("origin").collect()]
 
     def one(origin):

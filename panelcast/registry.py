@@ -451,6 +451,15 @@ def q_backtest_ridge(spark, d):
     return backtest(feature_table(spark, d), start, end, ["ridge"], ML_FEATS, "y", prefix="y")
 
 
+def q_backtest_pooled(spark, d):
+    """Pooled MLlib refits per origin day (the reference's daily refit loop) over the last three days."""
+    import datetime as _dt
+    from .plans.backtest import backtest
+    _, end = _day_range(spark, d)
+    return backtest(feature_table(spark, d), end - _dt.timedelta(days=3), end, ["random_forest", "naive_2d"],
+                    ML_FEATS, "y", prefix="y", model_params=CHECK_PARAMS)
+
+
 def q_model_fit_predict(spark, d):
     from .plans.tuning import train_eval
     m, _, pred = train_eval(feature_table(spark, d), "random_forest", ML_FEATS, "y",
@@ -545,6 +554,7 @@ def q_stream_hourly_panel(spark, d):
 QUERIES = {
     "backtest_metrics": q_backtest_metrics,
     "backtest_ridge": q_backtest_ridge,
+    "backtest_pooled": q_backtest_pooled,
     "model_fit_predict": q_model_fit_predict,
     "feature_importance": q_feature_importance,
     "stacking": q_stacking,
