@@ -111,3 +111,23 @@ def test_stream_subset_of_batch(spark):
              QUERIES["panel_hourly"](spark, SF_SMALL).collect()}
     assert stream and stream <= batch
     assert F is not None
+
+
+def test_search_points_are_seeded_and_bounded():
+    from panelcast.plans.tuning import SEARCH_BOUNDS, neighbourhood, random_points
+    a = random_points("random_forest", 10, seed=42)
+    assert a == random_points("random_forest", 10, seed=42)
+    for p in a:
+        for name, (lo, hi) in SEARCH_BOUNDS["random_forest"].items():
+            assert lo <= p[name] <= hi
+    g = neighbourhood("random_forest", {"n_estimators": 60, "max_depth": 3, "min_samples_leaf": 10})
+    assert g["n_estimators"] == [50, 60, 80] and g["max_depth"] == [3, 4] and g["min_samples_leaf"] == [9, 10]
+
+
+def test_time_folds_per_group_and_fold_rows(spark):
+    from panelcast.operators.folds import fold_train_rows, time_folds
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), float(h)) for s in ("a", "b") for h in range(10)]
+    df = spark.createDataFrame(rows, "series_key string, date_hour timestamp_ntz, y double")
+    f = time_folds(df, 3)
+    assert f.where(fold_train_rows(0, 3)).where("series_key = 'a'").count() == 4
+    assert f.where(fold_train_rows(2, 3)).where("series_key = 'b'").count() == 8
