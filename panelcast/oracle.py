@@ -69,10 +69,6 @@ def with_panels(*names: str, extra: str = "") -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def cast_hugeint(x: str) -> str:
-    return f"CAST({x} AS BIGINT)"
-
-
 # ---------------------------------------------------------------------------------- calendar
 def calendar_cols(ts: str = "date_hour") -> dict[str, str]:
     dow = f"(isodow({ts}) - 1)"

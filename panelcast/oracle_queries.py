@@ -5,7 +5,7 @@ from __future__ import annotations
 from .oracle import (calendar_cols, div, cyclic_cols, holiday_cols, holiday_cte, r, select_list, stat_cols,
                      with_day_mean, with_panels)
 from .constants import KEY_HOURS
-from .registry import ALL_FEATS, CAL_CYC, CAL_INT, CYC_DIGITS, PAIR_COLS, SCALE_COLS, STAT
+from .registry import ALL_FEATS, CAL_INT, CYC_DIGITS, PAIR_COLS, SCALE_COLS, STAT
 
 KEYS = "series_key, date_hour, y"
 

@@ -8,7 +8,7 @@ both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .constants import KEY_HOURS, TIME_FEATURES
@@ -20,7 +20,7 @@ from .operators import metrics as M
 from .operators.clean import (between_slice, clean_panel, clip_columns, error_column, impute_train_median,
                               impute_zero, pred_best)
 from .operators.future import add_future_stats, build_future_features, future_timeline
-from .operators.folds import chrono_split, eval_day_spine, rolling_origins, time_folds
+from .operators.folds import chrono_split, rolling_origins, time_folds
 from .operators.selection import (apply_standardizer, correlation_pairs, fit_standardizer, importance_cut,
                                   prune_correlated, rank_by_correlation, target_correlation)
 from .operators.reshape import blend, to_long, to_wide
