@@ -41,12 +41,25 @@ def holiday_features_by_date(holidays: DataFrame, cap: int = HOLIDAY_DISTANCE_CA
     ))
 
 
+_DEFAULT_CACHE: dict = {}
+
+
+def _default_by_date(spark: SparkSession, cap: int) -> DataFrame:
+    """The default calendar's per-date table (about 2.5k rows), built once per session and cached."""
+    k = (spark.sparkContext.applicationId, cap)
+    if k not in _DEFAULT_CACHE:
+        _DEFAULT_CACHE[k] = holiday_features_by_date(holiday_table(spark), cap).cache()
+    return _DEFAULT_CACHE[k]
+
+
 def add_holidays(df: DataFrame, holidays: DataFrame | None = None, time_col: str = "date_hour",
                  cap: int = HOLIDAY_DISTANCE_CAP) -> DataFrame:
     """Add ``is_holiday, is_pre_holiday, is_post_holiday, days_to_nearest_holiday, is_major_holiday``."""
     if holidays is None:
-        holidays = holiday_table(df.sparkSession)
-    by_date = holiday_features_by_date(holidays, cap).withColumnRenamed("date", "_hdate")
+        by_date = _default_by_date(df.sparkSession, cap)
+    else:
+        by_date = holiday_features_by_date(holidays, cap)
+    by_date = by_date.withColumnRenamed("date", "_hdate")
     out = df.withColumn("_hdate", F.to_date(F.col(time_col))).join(F.broadcast(by_date), "_hdate", "left")
     return out.withColumns({
         "is_holiday": F.coalesce("is_holiday", F.lit(0)),
