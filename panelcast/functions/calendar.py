@@ -49,12 +49,11 @@ def add_calendar(df: DataFrame, time_col: str = "date_hour") -> DataFrame:
         "weekofyear": F.weekofyear(ts),
         "quarter": F.quarter(ts),
     }
-    df = df.withColumns({k: v.cast("int") for k, v in base.items()})
+    base = {k: v.cast("int") for k, v in base.items()}
+    base["is_weekend"] = (base["dayofweek"] >= 5).cast("int")
+    base["season_num"] = season_num(base["month"]).cast("int")
+    df = df.withColumns(base)
     month, hour, dow, week, doy = (F.col(c) for c in ("month", "hour", "dayofweek", "week", "dayofyear"))
-    df = df.withColumns({
-        "is_weekend": (dow >= 5).cast("int"),
-        "season_num": season_num(month).cast("int"),
-    })
     s = F.col("season_num") - 1
     return df.withColumns({
         "season_sin": cyclic(s, 4, F.sin),

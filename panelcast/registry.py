@@ -44,12 +44,16 @@ def _round(df: DataFrame, cols, digits: int) -> DataFrame:
     return df.withColumns({c: round_half_up(F.col(c), digits) for c in cols})
 
 
-def exact_history_stats(panel: DataFrame, min_lag: int = 24, mode: str = "rows", split_rows=None) -> DataFrame:
-    """History statistics on an integer-cents target, scaled to currency units once."""
+def exact_history_stats(panel: DataFrame, min_lag: int = 24, mode: str = "rows", split_rows=None,
+                        extra_round: dict | None = None) -> DataFrame:
+    """History statistics on an integer-cents target, scaled to currency units once.
+
+    The comparison rounding (and ``extra_round``: column -> digits) is one projection.
+    """
     out = add_history_stats(panel, "y_cents", prefix="y", divisor=100, min_lag=min_lag, mode=mode,
                             split_rows=split_rows)
-    out = _round(out, ["y_same_hour_30d_std"], STD_DIGITS)
-    return _round(out, ["y_daily_mean_7d_rolling"], DAILY_DIGITS)
+    digits = {"y_same_hour_30d_std": STD_DIGITS, "y_daily_mean_7d_rolling": DAILY_DIGITS, **(extra_round or {})}
+    return out.withColumns({c: round_half_up(F.col(c), n) for c, n in digits.items()})
 
 
 STAT = {
@@ -101,8 +105,7 @@ def _stat_query(group):
 
 def q_all_features(spark, d):
     p = add_holidays(add_calendar(panel_hourly(spark, d)))
-    out = exact_history_stats(p)
-    out = _round(out, CAL_CYC, CYC_DIGITS)
+    out = exact_history_stats(p, extra_round={c: CYC_DIGITS for c in CAL_CYC})
     return out.select(*KEYS, "n_events", "n_users", "k_avg", *CAL_INT, *CAL_CYC, *HOL,
                       *[c for g in STAT.values() for c in g])
 
@@ -111,7 +114,6 @@ def q_all_features_supply(spark, d):
     """The full feature build on the supplier panel (series count grows with the data)."""
     p = add_holidays(add_calendar(panel_supply(spark, d)))
     out = exact_history_stats(p)
-    out = _round(out, CAL_CYC, CYC_DIGITS)
     return out.select(*KEYS, "n_lines", "qty", "disc_avg", *CAL_INT, *HOL,
                       *[c for g in ("lag", "rolling", "daily", "change") for c in STAT[g]])
 
