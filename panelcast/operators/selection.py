@@ -65,7 +65,8 @@ def rank_by_correlation(corr: DataFrame, keep: float = 0.5) -> DataFrame:
 
     |corr| is compared at ``TIE_DIGITS`` decimals so that equal columns (e.g.
     ``week`` and ``weekofyear``) tie exactly and the name decides, whatever
-    order the engine summed in.
+    order the engine summed in.  The input has one row per feature, so the
+    un-partitioned ranking window runs over at most that many rows.
     """
     w = Window.orderBy(F.col("abs_corr").desc_nulls_last(), F.col("feature").asc())
     n = F.count(F.lit(1)).over(Window.partitionBy())
@@ -110,7 +111,8 @@ def importance_cut(imp: DataFrame, threshold="median") -> DataFrame:
 
     Importances are normalised to sum 1 per model, averaged over models,
     and features strictly above the median (or mean, or a number) are kept.
-    Output ``(feature, importance, selected)``.
+    Output ``(feature, importance, selected)``.  The threshold window spans
+    the combined table, one row per feature.
     """
     tot = imp.groupBy("model").agg(F.sum("importance").alias("_tot"))
     norm = imp.join(tot, "model").select("feature", "model", ratio(F.col("importance"), F.col("_tot")).alias("_n"))

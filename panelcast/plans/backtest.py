@@ -123,11 +123,9 @@ def forecast(history_features: DataFrame, future_features: DataFrame, strategies
     cols = [key, time, target, *feature_cols]
     both = hist.select(*cols).withColumn("_f", F.lit(False)).unionByName(
         fut.select(*cols).withColumn("_f", F.lit(True)))
-    lo = fut.agg(F.min(time)).first()[0]
-    hi = fut.agg(F.max(time)).first()[0]
-    start, end = lo.date(), (hi.date() if hi is not None else None)
+    lo, hi = fut.agg(F.min(time), F.max(time)).first()
     import datetime as _dt
-    end = end + _dt.timedelta(days=1)
+    start, end = lo.date(), hi.date() + _dt.timedelta(days=1)
     folds = rolling_origins(both, start, end, train_days, min_train_rows, key, time, target)
     folds = folds.where((F.col("role") == "train") & ~F.col("_f") | (F.col("role") == "test") & F.col("_f"))
     test = folds.where(F.col("role") == "test")
