@@ -131,3 +131,14 @@ def test_time_folds_per_group_and_fold_rows(spark):
     f = time_folds(df, 3)
     assert f.where(fold_train_rows(0, 3)).where("series_key = 'a'").count() == 4
     assert f.where(fold_train_rows(2, 3)).where("series_key = 'b'").count() == 8
+
+
+def test_scan_pushes_slice_and_prunes_columns(spark):
+    from panelcast.sources.scan import scan_panel
+    from .conftest import SF_SMALL
+    df = scan_panel(spark, f"{SF_SMALL}/lineitem.parquet", key="l_suppkey", time="l_shipdate",
+                    target="l_extendedprice", features=["l_quantity"], start="1996-01-01", end="1997-01-01")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan
+    schema = plan[plan.index("ReadSchema: struct<"):].split(">", 1)[0]
+    assert "l_comment" not in schema and "l_tax" not in schema and "l_returnflag" not in schema
