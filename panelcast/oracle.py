@@ -55,7 +55,7 @@ PANEL_SUPPLY = f"""panel_supply AS (
   SELECT series_key, date_hour, y_cents, n_lines, qty, disc_avg, {div('y_cents', '100')} AS y FROM (
     SELECT 's' || CAST(l_suppkey AS VARCHAR) AS series_key,
            CAST(CAST(l_shipdate AS DATE) + INTERVAL 28 YEAR AS TIMESTAMP) AS date_hour,
-           sum(c) AS y_cents, count(*) AS n_lines, sum(l_quantity) AS qty,
+           CAST(sum(c) AS BIGINT) AS y_cents, count(*) AS n_lines, sum(l_quantity) AS qty,
            {div('sum(d)', 'count(d)')} AS disc_avg
     FROM (SELECT l_suppkey, l_shipdate, l_quantity, {cents('l_extendedprice')} AS c,
                  {cents('l_discount')} AS d FROM lineitem) l

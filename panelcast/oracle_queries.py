@@ -176,8 +176,8 @@ def _tc_cte() -> str:
 
 
 def _rank_ctes() -> str:
-    return (_tc_cte() + ",\nrk AS (SELECT feature, " + r("abs(corr)", 12) + " AS abs_corr, row_number() OVER (ORDER BY "
-            + r("abs(corr)", 12) + " DESC NULLS LAST, feature) AS rank, count(*) OVER () AS k FROM tc)")
+    return (_tc_cte() + ",\nrk AS (SELECT feature, " + r("abs(corr)", 12) + " AS abs_corr, CAST(row_number() OVER (ORDER BY "
+            + r("abs(corr)", 12) + " DESC NULLS LAST, feature) AS INTEGER) AS rank, count(*) OVER () AS k FROM tc)")
 
 
 def _corr_prune_sql() -> str:

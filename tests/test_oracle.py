@@ -22,9 +22,18 @@ def test_entry_smoke(spark):
     assert "y_same_hour_30d_mean" in df.columns
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_query_matches_oracle(spark, duck, key):
-    got = to_py(QUERIES[key](spark, SF_SMALL).toPandas())
+    sdf = QUERIES[key](spark, SF_SMALL)
+    rel = duck.sql(SQL[key])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for name, t in sdf.dtypes:
+        assert SPARK_TO_DUCK.get(t, t) == duck_types.get(name), (name, t, duck_types.get(name))
+    got = to_py(sdf.toPandas())
     exp = to_py(duck.execute(SQL[key]).df())
     c1, r1 = rows_of(got)
     c2, r2 = rows_of(exp)
