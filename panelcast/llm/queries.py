@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, langid, mixing, ngram_join, token_counts
+from . import bpe, chat, exact_dedup, fingerprints, langid, mixing, ngram_join, pii, suffix_dedup, token_counts
 from .common import read_table
 
 
@@ -27,6 +27,10 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
@@ -48,15 +52,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_count_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {}
