@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import filled, let
 
-PIECE_END = r"(?<=[.!?|;\n。！？])"
+MARKS = ".!?|;。！？"
+#: A piece ends after its mark (with the white space that follows) or line break, before anything else.
+PIECE_END = rf"(?<=[{MARKS}\n]|[{MARKS}]\s|[{MARKS}]\s\s)(?![\s{MARKS}])"
 SUM_LANES = 8
 BIT_HASHES = 2
 BITS = 31

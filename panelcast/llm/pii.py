@@ -21,14 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import filled, let, small_enough
+from .common import filled, let, running_sums, small_enough
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 REMOVE, GENERALISE = 1.0, 0.9
 CONTEXTS = 2
 NEAR_WORDS, NEAR_CHARS = 8, 120
-SLICE = 256
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Each finds the same leftmost, non-overlapping matches as the plain pattern of its kind (card: those of 14 digits or more).
@@ -43,17 +42,6 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
-def running_sums(values: Column) -> Column:
-    """Sum of all earlier values, for each value of an array<bigint>; in slices, so that it stays near linear."""
-    zero = F.lit(0).cast("bigint")
-    total = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
-    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(SLICE))).otherwise(F.array().cast("array<int>"))
-    return let(values, lambda v: let(F.transform(starts, lambda s: F.slice(v, s, F.lit(SLICE))), lambda parts: let(
-        F.transform(parts, total), lambda totals: F.flatten(F.transform(parts, lambda p, k: let(
-            total(F.slice(totals, F.lit(1), k)), lambda base: F.transform(
-                p, lambda _, i: base + total(F.slice(p, F.lit(1), i)))))))))
-
-
 def matches(text: Column, pattern: Column) -> Column:
     """array<struct<start, end, value>> of a pattern's matches, in code points, end exclusive."""
     lengths = lambda a: F.transform(a, lambda x: F.length(x).cast("bigint"))
