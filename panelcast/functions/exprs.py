@@ -42,3 +42,13 @@ def to_double(c: Column) -> Column:
     """Lenient numeric coercion: unparsable text becomes NULL, NaN becomes NULL."""
     d = c.try_cast("double")
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+
+
+def join_null_safe(left, right, keys, how: str = "inner"):
+    """Equi-join in which NULL keys meet; the key columns of ``left`` are kept."""
+    side = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        one = left[k].eqNullSafe(side[f"_r_{k}"])
+        cond = one if cond is None else cond & one
+    return left.join(side, cond, how).drop(*[f"_r_{k}" for k in keys])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLEAN_HIGH, CLEAN_LOW, DEFAULT_STRATEGY, STRATEGY_TO_PRED_COL
 from ..functions.exprs import clip
+from ..functions.exprs import join_null_safe
 from .stats import exact_median
 
 
@@ -57,7 +58,7 @@ def impute_train_median(train: DataFrame, others: Sequence[DataFrame], cols: Seq
                 for df in [train, *others]]
     out = []
     for df in [train, *others]:
-        j = df.join(med, by, "left")
+        j = join_null_safe(df, med, by, "left")
         j = j.withColumns({c: F.coalesce(F.col(c), F.col(c + "__med")) for c in cols})
         out.append(j.drop(*[c + "__med" for c in cols]))
     return out

@@ -4,7 +4,9 @@
 series without a window over a whole series: rows are counted per
 ``(series, day)``, a running sum over that small day table gives each day's
 offset, and only the rows of one day are ranked together.  A single huge
-series therefore still spreads over many tasks.
+series therefore still spreads over many tasks.  Joins on the series key are
+null-safe: a NULL key is a series of its own.  Rows without a time come last in
+their series; they belong to no day, so rolling origins do not use them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MIN_TRAIN_ROWS, N_FOLDS, TRAIN_DAYS, TRAIN_RATIO
+from ..functions.exprs import join_null_safe
 
 
 def series_row_number(df: DataFrame, key="series_key", time: str = "date_hour",
@@ -24,11 +27,11 @@ def series_row_number(df: DataFrame, key="series_key", time: str = "date_hour",
     keys = [key] if isinstance(key, str) else list(key)
     d = df.withColumn("_day", F.to_date(time))
     days = d.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_cnt"))
-    wd = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    wd = Window.partitionBy(*keys).orderBy(F.col("_day").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     days = days.select(*keys, "_day", F.coalesce(F.sum("_cnt").over(wd), F.lit(0)).alias("_off"),
                        F.sum("_cnt").over(Window.partitionBy(*keys)).alias(n))
     local = Window.partitionBy(*keys, "_day").orderBy(time)
-    out = d.join(days, [*keys, "_day"]).withColumn(rn, F.col("_off") + F.row_number().over(local))
+    out = join_null_safe(d, days, [*keys, "_day"]).withColumn(rn, F.col("_off") + F.row_number().over(local))
     return out.drop("_day", "_off")
 
 
@@ -102,4 +105,4 @@ def rolling_origins(df: DataFrame, start, end, train_days: int = TRAIN_DAYS,
           .agg(F.sum(((F.col("role") == "train") & F.col(target).isNotNull()).cast("int")).alias("_ntr"),
                F.sum((F.col("role") == "test").cast("int")).alias("_nte"))
           .where((F.col("_ntr") >= min_train_rows) & (F.col("_nte") > 0)).select(key, "origin"))
-    return ex.join(ok, [key, "origin"], "left_semi").drop("_day", "_k")
+    return join_null_safe(ex, ok, [key, "origin"], "left_semi").drop("_day", "_k")

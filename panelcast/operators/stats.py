@@ -1,80 +1,62 @@
 """Distributed exact order statistics.
 
-``exact_median`` returns the interpolated median (pandas / SQL
-``median``) per group without gathering a group into one task:
-
-1. one aggregate per group gives the count and two approximate quantiles
-   that bracket the middle ranks (``percentile_approx`` guarantees a rank
-   error of at most ``n / accuracy``);
-2. a second aggregate counts the values below the lower bracket and
-   collects only the values inside the bracket — about ``8 n / accuracy``
-   values per group — from which the middle one or two are picked exactly.
-
-Groups small enough that the bracket is the whole group simply collect the
-group, which is then small by definition.
+``exact_median`` returns the interpolated median (pandas / SQL ``median``)
+per group and column without gathering a group into one task:
+
+1. the columns are unpivoted to ``(group, column, value)`` rows, and one aggregate gives
+   their count and two approximate quantiles that bracket the middle ranks
+   (``percentile_approx`` guarantees a rank error of at most ``n / accuracy``);
+2. a second aggregate counts the rows of each *distinct* value inside the bracket, and all rows below it.
+   Ties collapse before the shuffle, so a column of zeros and ones leaves two rows per group;
+3. running counts over those few rows pick the middle one or two values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+from ..functions.exprs import join_null_safe
+from ..session import cut_lineage
 
-
-def _pick(mid, n, below):
-    k1 = F.floor((n - 1) / 2) - below
-    k2 = F.ceil((n - 1) / 2) - below
-    inside = (k1 >= 0) & (k2 < F.size(mid))
-    a = F.when(inside, F.element_at(mid, (k1 + 1).cast("int")))
-    b = F.when(inside, F.element_at(mid, (k2 + 1).cast("int")))
-    return a + (b - a) / F.lit(2.0)
+ACCURACY = 100_000
 
 
 def exact_median(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str],
                  accuracy: int = ACCURACY, suffix: str = "") -> DataFrame:
-    """One row per group with the exact median of each value column (NULLs ignored)."""
-    group_cols = list(group_cols)
-    eps = 3.0 / accuracy
-    p_lo, p_hi = max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)
-    if not group_cols:
-        return _exact_median_all(df, value_cols, accuracy, suffix, p_lo, p_hi)
-    out = None
-    for c in value_cols:
-        v = F.col(c)
-        b = (df.where(v.isNotNull()).groupBy(*group_cols)
-             .agg(F.count(v).alias("_n"),
-                  F.percentile_approx(v, [p_lo, p_hi], accuracy).alias("_q")))
-        b = b.select(*group_cols, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-        vals = df.select(*group_cols, v.alias("_v")).where(F.col("_v").isNotNull())
-        s = (vals.join(b, group_cols).groupBy(*group_cols, "_n")
-             .agg(F.sum((F.col("_v") < F.col("_lo")).cast("long")).alias("_below"),
-                  F.sort_array(F.collect_list(F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")),
-                                                     F.col("_v")))).alias("_mid")))
-        m = s.select(*group_cols, _pick(F.col("_mid"), F.col("_n"), F.col("_below")).alias(c + suffix))
-        out = m if out is None else out.join(m, group_cols, "full")
-    return out
-
+    """One row per group with the exact median of each value column (NULLs ignored).
 
-def _exact_median_all(df, value_cols, accuracy, suffix, p_lo, p_hi) -> DataFrame:
-    """Ungrouped medians: the brackets are a handful of scalars held on the driver."""
-    cols = list(value_cols)
-    b = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
-               *[F.percentile_approx(c, [p_lo, p_hi], accuracy).alias(f"q_{i}") for i, c in enumerate(cols)]).first()
-    aggs = []
-    for i, c in enumerate(cols):
-        q = b[f"q_{i}"] or [None, None]
-        lo, hi = F.lit(q[0]).cast("double"), F.lit(q[1]).cast("double")
-        v = F.col(c)
-        aggs += [F.sum(F.when(v.isNotNull(), (v < lo).cast("long"))).alias(f"b_{i}"),
-                 F.sort_array(F.collect_list(F.when(v.between(lo, hi), v))).alias(f"m_{i}")]
-    s = df.agg(*aggs)
-    return s.select(*[_pick(F.col(f"m_{i}"), F.lit(int(b[f"n_{i}"])), F.coalesce(F.col(f"b_{i}"), F.lit(0)))
-                      .alias(c + suffix) for i, c in enumerate(cols)])
+    Without group columns there is always one row.  A column without values in a group has the median NULL.
+    """
+    groups, cols = list(group_cols), list(value_cols)
+    base = cut_lineage(df.select(*groups, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)]))
+    long = base.select(*groups, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(f"_c{i}").alias("_v")) for i in range(len(cols))])).alias("_x"))
+    long = long.select(*groups, "_x._i", "_x._v").where(F.col("_v").isNotNull())
+    keys = [*groups, "_i"]
 
-
-def global_exact_median(df: DataFrame, value_cols: Sequence[str], **kw) -> DataFrame:
-    """Median of whole columns (one output row)."""
-    return exact_median(df, [], value_cols, **kw)
+    eps = 3.0 / accuracy
+    span = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(
+        "_v", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], accuracy).alias("_q"))
+    rows = join_null_safe(long, span, keys).where(F.col("_v") <= F.col("_q")[1])
+    inside = F.when(F.col("_v") >= F.col("_q")[0], F.col("_v"))          # NULL: below the bracket
+    counts = rows.groupBy(*keys, "_n", inside.alias("_m")).agg(F.count(F.lit(1)).alias("_c"))
+
+    upward = Window.partitionBy(*keys).orderBy(F.col("_m").asc_nulls_first())
+    counts = counts.withColumn("_to", F.sum("_c").over(upward.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def at(rank):
+        hit = F.max(F.when((F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to")), F.col("_m")))
+        return F.coalesce(hit, F.raise_error(F.lit("the bracket misses the middle ranks")).cast("double"))
+
+    low, high = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    middle = counts.groupBy(*keys).agg(at(low).alias("_a"), at(high).alias("_b"))
+    middle = middle.withColumn("_med", F.col("_a") + (F.col("_b") - F.col("_a")) / F.lit(2.0))
+    wide = [F.max(F.when(F.col("_i") == i, F.col("_med"))).alias(c + suffix) for i, c in enumerate(cols)]
+    if not groups:
+        return middle.agg(*wide)
+    # Every group has a row, also one whose columns are NULL throughout.
+    out = base.select(*groups).distinct()
+    return join_null_safe(out, middle.groupBy(*groups).agg(*wide), groups, "left")

@@ -22,23 +22,41 @@ from pyspark.sql import functions as F
 from ..constants import (DAILY_ROLL_ROWS, KEY_HOUR_ROWS, KEY_HOURS, LAG_2D, LAG_7D, ROLL_ROWS,
                          ROLL_SHIFT)
 from ..functions.calendar import add_calendar
-from ..functions.exprs import ratio
+from ..functions.exprs import join_null_safe, ratio
 from .holidays import add_holidays
 
 
+SLOT_RUN = 4096
+
+
 def _mean(c: Column, w) -> Column:
     return ratio(F.sum(c).over(w), F.count(c).over(w))
 
 
 def densify(df: DataFrame, key: str = "series_key", time: str = "date_hour", step: str = "1 hour") -> DataFrame:
-    """Regular grid per series between its first and last time; filler rows get ``_filler = true``.
+    """Regular grid per series between its first and last slot; filler rows get ``_filler = true``.
 
-    The grid rows of one series come from one ``explode`` of a ``sequence``,
-    so their count is bounded by the series' span divided by the step.
+    A slot is a step of the grid that starts at the epoch (for hours: the truncated hour).  A row keeps its own
+    time and stands in the slot that contains it, so stamps off the grid stay; two rows in one slot raise an
+    error, since row offsets would no longer be time offsets.  Rows without a time are kept after the others.
+    Slots are numbered in runs of ``SLOT_RUN``, so no array grows with a series' span.
     """
-    span = df.groupBy(key).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
-    grid = span.select(key, F.explode(F.sequence("_lo", "_hi", F.expr(f"interval {step}"))).alias(time))
-    return grid.join(df.withColumn("_filler", F.lit(False)), [key, time], "left").fillna({"_filler": True})
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    size = F.timestamp_diff("MICROSECOND", epoch, epoch + F.expr(f"interval {step}"))
+    rows = df.withColumn("_slot", F.floor(F.timestamp_diff("MICROSECOND", epoch, F.col(time)) / size))
+    span = rows.groupBy(key).agg(F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi")).where("_lo is not null")
+    runs = span.select(key, "_lo", "_hi", F.explode(F.sequence(
+        F.floor(F.col("_lo") / SLOT_RUN), F.floor(F.col("_hi") / SLOT_RUN))).alias("_run"))
+    grid = runs.select(key, "_lo", "_hi", F.explode(F.sequence(
+        F.col("_run") * SLOT_RUN, F.col("_run") * SLOT_RUN + (SLOT_RUN - 1))).alias("_slot"))
+    grid = grid.where(F.col("_slot").between(F.col("_lo"), F.col("_hi"))).select(key, "_slot")
+    taken = rows.where("_slot is not null").withColumn("_in_slot", F.count(F.lit(1)).over(Window.partitionBy(key, "_slot")))
+    taken = taken.withColumn("_filler", F.when(F.col("_in_slot") > 1, F.raise_error(F.lit(
+        "two rows of a series in one step of the grid")).cast("boolean")).otherwise(F.lit(False))).drop("_in_slot")
+    start = F.timestamp_add("MICROSECOND", F.col("_slot") * size, epoch)
+    out = join_null_safe(grid, taken, [key, "_slot"], "left").withColumns({
+        time: F.coalesce(F.col(time), start), "_filler": F.coalesce("_filler", F.lit(True))}).drop("_slot")
+    return out.unionByName(rows.where("_slot is null").drop("_slot").withColumn("_filler", F.lit(False)))
 
 
 def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_key", time: str = "date_hour",
@@ -52,10 +70,9 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
     earlier" rule.
 
     ``algorithm='prefix'`` (default) computes every rolling statistic in O(1)
-    per row: sums and counts as differences of running sums, the standard
-    deviation from running moments of ``y - series mean``, min/max with the
-    van Herk / Gil-Werman block decomposition (blocks as long as the window:
-    a window is a suffix of one block plus a prefix of the next).
+    per row by the van Herk / Gil-Werman decomposition (blocks as long as the
+    window: a window is a suffix of one block plus a prefix of the next):
+    running count, sum, variance, min and max of both parts, merged.
     ``algorithm='frame'`` uses plain sliding ROWS frames, which Spark
     re-aggregates row by row (O(window) per row); it is kept as the
     reference formulation for tests.
@@ -82,21 +99,21 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
     y = F.col(target)
     scale = (lambda c: c / F.lit(float(divisor))) if divisor else (lambda c: c)
 
-    w0 = Window.partitionBy(key).orderBy(time)
+    w0 = Window.partitionBy(key).orderBy(F.col(time).asc_nulls_last())
     lo, hi = ROLL_ROWS + min_lag - 1, min_lag          # frame = rows [i - lo, i - hi]
     ks = key_hour_shift(min_lag)
     day = Window.partitionBy(key, F.to_date(time))
-    hour_part = Window.partitionBy(key, "_hr").orderBy(time)
+    hour_part = Window.partitionBy(key, "_hr").orderBy(F.col(time).asc_nulls_last())
 
     # One hash exchange on the key serves every window spec below: (key), (key, day),
     # (key, hour) and (key, block) are all clustered by key, so later windows only re-sort.
     out = base.repartition(key).withColumns({"_dm": _mean(y, day), "_hr": F.hour(time)})
     if algorithm == "prefix":
-        # Positions and 720-row blocks; ordering the lag window by (block, time) -- the same order as
+        # Positions and 720-row blocks; ordering the lag window by (block, position) -- the same order as
         # time within a series -- lets it reuse the block windows' sort.
         out = out.withColumn("_rn", F.row_number().over(w0))
         out = out.withColumn("_vb", F.floor((F.col("_rn") - 1) / F.lit(ROLL_ROWS)))
-        w = Window.partitionBy(key).orderBy("_vb", time)
+        w = Window.partitionBy(key).orderBy("_vb", "_rn")
     else:
         w = w0
     roll = w.rowsBetween(-lo, -hi)
@@ -115,7 +132,7 @@ def add_history_stats(df: DataFrame, target: str = "y", *, key: str = "series_ke
                  "min": F.min(y).over(roll), "max": F.max(y).over(roll)}
         km = _mean(y, hour_part.rowsBetween(-(KEY_HOUR_ROWS + ks - 1), -ks))
     else:
-        out = _block_helpers(out, y, [key], F.col(time))
+        out = _block_helpers(out, y, [key], F.col("_rn"))
         stats = _rolling_exprs(w, lo, hi)
         out = out.withColumns(_hour_prefix(y, hour_part))
         km = _key_hour_mean(hour_part, ks)
@@ -141,50 +158,44 @@ def _block_helpers(df: DataFrame, y: Column, part: list, order: Column) -> DataF
 
     Positions (``_rn``) are cut into blocks of exactly the window length, so a
     window is a suffix of one block plus a prefix of the next.  Per block:
-    running and total count / shifted sum / shifted sum of squares, where the
-    shift ``_K`` is the block's first non-NULL value in time order (always at or
-    before any window that uses the block, so no later data enters a feature),
-    plus running prefix and suffix min/max (van Herk / Gil-Werman).
+    running count, sum, variance, min and max from its start up to each row and
+    from each row to its end.  A window uses the part of a block that lies in
+    it and nothing else, so no later data enters a feature, and a value that
+    left the window leaves no rounding behind.
     """
     if "_vb" not in df.columns:
         df = df.withColumn("_vb", F.floor((F.col("_rn") - 1) / F.lit(ROLL_ROWS)))
     bp = [*part, "_vb"]
     up = Window.partitionBy(*bp).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    full = Window.partitionBy(*bp).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     dn = Window.partitionBy(*bp).orderBy(order.desc()).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_K", F.first(y, ignorenulls=True).over(full).cast("double"))
-    d = y.cast("double") - F.col("_K")
-    present = F.when(y.isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    return df.withColumns({
-        "_pc": F.sum(present).over(up), "_p1": F.sum(d).over(up), "_p2": F.sum(d * d).over(up),
-        "_tc": F.sum(present).over(full), "_t1": F.sum(d).over(full), "_t2": F.sum(d * d).over(full),
-        "_bpmin": F.min(y).over(up), "_bpmax": F.max(y).over(up),
-        "_bsmin": F.min(y).over(dn), "_bsmax": F.max(y).over(dn),
-    })
+    parts = {}
+    for name, w in (("p", up), ("s", dn)):
+        parts |= {f"_{name}c": F.count(y).over(w), f"_{name}t": F.sum(y).over(w), f"_{name}v": F.var_pop(y).over(w),
+                  f"_b{name}min": F.min(y).over(w), f"_b{name}max": F.max(y).over(w)}
+    return df.withColumns(parts)
 
 
 def _rolling_exprs(w, lo: int, hi: int) -> dict:
     """Mean, sample std, min and max over rows ``[i-lo, i-hi]`` from ``_block_helpers`` columns."""
     lag = lambda c, k: F.lag(c, k).over(w)
-    z = F.lit(0.0)
     vb_a, vb_b = lag("_vb", lo), lag("_vb", hi)
     same = vb_a.isNull() | (vb_a == vb_b)           # the window is the prefix of one block
-    c_a = F.when(same, z).otherwise(lag("_tc", lo + 1) - lag("_pc", lo + 1))
-    s1_a = F.when(same, z).otherwise(F.coalesce(lag("_t1", lo + 1), z) - F.coalesce(lag("_p1", lo + 1), z))
-    s2_a = F.when(same, z).otherwise(F.coalesce(lag("_t2", lo + 1), z) - F.coalesce(lag("_p2", lo + 1), z))
-    k_b = lag("_K", hi)
-    k_ref = F.when(same, k_b).otherwise(F.coalesce(lag("_K", lo + 1), k_b))
-    c_b, s1_b, s2_b = lag("_pc", hi), F.coalesce(lag("_p1", hi), z), F.coalesce(lag("_p2", hi), z)
-    dk = F.coalesce(k_b - k_ref, z)
+    c_a = F.when(same, F.lit(0)).otherwise(F.coalesce(lag("_sc", lo), F.lit(0)))
+    t_a = F.when(c_a > 0, lag("_st", lo))
+    c_b = F.coalesce(lag("_pc", hi), F.lit(0))
+    t_b = F.when(c_b > 0, lag("_pt", hi))
+    zero = F.lit(0.0)
     n = c_a + c_b
-    s1 = s1_a + s1_b + c_b * dk                     # moments of (y - k_ref) over the window
-    s2 = s2_a + s2_b + F.lit(2.0) * dk * s1_b + c_b * dk * dk
-    var = F.when(n >= 2, (s2 - s1 * s1 / n) / (n - F.lit(1)))
+    total = F.when(t_a.isNull(), t_b).when(t_b.isNull(), t_a).otherwise(t_a + t_b)
+    # Squared deviations of both parts, and what the distance of their means adds (parallel variance).
+    apart = F.when((c_a > 0) & (c_b > 0), ratio(t_b, c_b) - ratio(t_a, c_a))
+    squares = (F.coalesce(lag("_sv", lo) * c_a, zero) + F.coalesce(lag("_pv", hi) * c_b, zero)
+               + F.coalesce(apart * apart * (c_a * c_b).cast("double") / n, zero))
     return {
-        "mean": F.when(n > 0, (s1 + n * k_ref) / n),
-        "std": F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var)),
-        "min": F.least(lag("_bsmin", lo), lag("_bpmin", hi)),
-        "max": F.greatest(lag("_bsmax", lo), lag("_bpmax", hi)),
+        "mean": F.when(n > 0, ratio(total, n)),
+        "std": F.when(n >= 2, F.sqrt(squares / (n - F.lit(1)))),
+        "min": F.least(F.when(~same, lag("_bsmin", lo)), lag("_bpmin", hi)),
+        "max": F.greatest(F.when(~same, lag("_bsmax", lo)), lag("_bpmax", hi)),
     }
 
 
@@ -229,7 +240,7 @@ def _split_history_stats(df: DataFrame, target: str, *, key, time, prefix, mode,
 
     # Day means: an aggregate per (series, day), joined back.
     dm = base.groupBy(key, F.to_date(time).alias("_day")).agg(ratio(F.sum(y), F.count(y)).alias("_dm"))
-    rows = base.withColumn("_day", F.to_date(time)).join(dm, [key, "_day"], "left").drop("_day")
+    rows = join_null_safe(base.withColumn("_day", F.to_date(time)), dm, [key, "_day"], "left").drop("_day")
 
     # Main blocked pass: windows per (series, block) over positions with a halo.
     blk = _halo_blocks(rows, key, time, split_rows, halo)
@@ -260,7 +271,7 @@ def _split_history_stats(df: DataFrame, target: str, *, key, time, prefix, mode,
         km = hb.select(key, time, "_halo", "_hr", scale(_key_hour_mean(hw, ks)).alias("_km")).where(~F.col("_halo"))
         km = km.select(key, time, *[F.when(F.col("_hr") == h, F.col("_km")).alias(f"{p}_hour{h}_30d_mean")
                                     for h in key_hours])
-        out = out.join(km, [key, time], "left")
+        out = join_null_safe(out, km, [key, time], "left")
     out = out.drop(*[c for c in out.columns if c.startswith("_") and c not in base.columns])
     if mode == "time":
         out = out.where(~F.col("_filler")).drop("_filler")

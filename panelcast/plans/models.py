@@ -30,6 +30,7 @@ from ..constants import MODEL_DEFAULTS
 from ..operators.clean import impute_train_median
 from ..operators.selection import apply_standardizer, fit_standardizer
 
+MAX_DEPTH = 30  # of an MLlib tree; also stands for "no limit"
 MODEL_KINDS = ("random_forest", "ridge", "xgboost", "lightgbm")
 
 # Parameters without an MLlib counterpart: accepted names, rejected values.
@@ -38,7 +39,7 @@ UNSUPPORTED = ("min_samples_split", "reg_alpha", "reg_lambda", "num_leaves")
 
 def _merged(kind: str, params: Mapping | None) -> dict:
     if kind not in MODEL_DEFAULTS:
-        raise ValueError(f"Unsupported model type: {kind}")
+        raise ValueError(f"no model of kind {kind!r}; known: {sorted(MODEL_DEFAULTS)}")
     p = dict(MODEL_DEFAULTS[kind])
     p.update(params or {})
     bad = [k for k in UNSUPPORTED if k in p]
@@ -54,8 +55,10 @@ def make_estimator(kind: str, params: Mapping | None = None, features_col: str =
     seed = int(p.get("random_state", 42))
     common = dict(featuresCol=features_col, labelCol=label_col, predictionCol=prediction_col)
     if kind == "random_forest":
-        depth = p.get("max_depth")
-        return RandomForestRegressor(numTrees=int(p["n_estimators"]), maxDepth=min(int(depth or 30), 30),
+        depth = int(p.get("max_depth") or MAX_DEPTH)
+        if depth > MAX_DEPTH:
+            raise ValueError(f"max_depth is {MAX_DEPTH} at most")
+        return RandomForestRegressor(numTrees=int(p["n_estimators"]), maxDepth=depth,
                                      minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
                                      featureSubsetStrategy="all", seed=seed, **common)
     if kind in ("xgboost", "lightgbm"):
@@ -119,9 +122,9 @@ def fit_model(train: DataFrame, kind: str, features: Sequence[str], target: str
 # ------------------------------------------------------------------ per-group closed-form ridge
 def ridge_solve(X: np.ndarray, y: np.ndarray, alpha: float):
     """Ridge with intercept on ddof=0-standardised X: returns (mu, sd, w, y_mean)."""
-    with np.errstate(all="ignore"):
-        med = np.nanmedian(X, axis=0) if len(X) else np.zeros(X.shape[1])
-    med = np.where(np.isnan(med), 0.0, med)
+    med = np.zeros(X.shape[1])
+    some = ~np.isnan(X).all(axis=0) if len(X) else np.zeros(X.shape[1], bool)   # a column without values is filled with 0
+    med[some] = np.nanmedian(X[:, some], axis=0) if some.any() else 0.0
     Xf = np.where(np.isnan(X), med, X)
     mu = Xf.mean(axis=0)
     sd = Xf.std(axis=0)

@@ -51,7 +51,7 @@ def ridge_cv_alpha(X: np.ndarray, y: np.ndarray, alphas: np.ndarray, cv: int = 3
     """Penalty with the best mean R² over ``cv`` contiguous folds (KFold without shuffling)."""
     n = len(y)
     if n < cv * 2:
-        return float(alphas[0])
+        raise ValueError(f"choosing the penalty needs at least {cv * 2} validated rows, there are {n}")
     edges = [n // cv * i + min(i, n % cv) for i in range(cv + 1)]
     best, best_a = -np.inf, float(alphas[0])
     for a in alphas:

@@ -52,8 +52,10 @@ def fold_rmse(df: DataFrame, kind: str, params: Mapping, features: Sequence[str]
         va = f.where(F.col("fold") == i)
         m = fit_model(tr, kind, features, target, params)
         r = metrics(m.predict(va).withColumn("_g", F.lit(1)), ["_g"], target, "pred").first()
-        scores.append(float(r["rmse"]) if r else float("nan"))
-    return float(np.nanmean(scores))
+        if r is None:
+            raise ValueError(f"fold {i} has no row to validate on; use fewer folds or more rows")
+        scores.append(float(r["rmse"]))
+    return float(np.mean(scores))
 
 
 def grid_search(df: DataFrame, kind: str, features: Sequence[str], grid: Mapping | None = None, target: str = "y",
@@ -155,7 +157,7 @@ def auto_select(df: DataFrame, features: Sequence[str], target: str = "y", kinds
     """Fit every model type, add simple and inverse-RMSE blends, rank by test RMSE.
 
     Returns ``(leaderboard DataFrame (candidate, split, n, rmse, mape, r2), best candidate name)``.
-    Failing model types are skipped.
+    A model type that fails keeps a row in the leaderboard: no metrics, and the error as its ``split``.
     """
     sp = chrono_split(df.where(F.col(target).isNotNull()), ratio, key, time)
     tr = sp.where(F.col("split") == "train")
@@ -164,11 +166,15 @@ def auto_select(df: DataFrame, features: Sequence[str], target: str = "y", kinds
         try:
             m = fit_model(tr, kind, features, target, (params or {}).get(kind))
             return kind, m.predict(sp).select(key, time, "split", target, F.lit(kind).alias("strategy"), "pred")
-        except Exception:  # noqa: BLE001 - a failing candidate is skipped, like the reference
-            return kind, None
+        except Exception as error:  # noqa: BLE001 - a failing candidate does not stop the others; it is reported
+            return kind, f"failed: {type(error).__name__}: {error}"[:300]
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        fitted = [(k, p) for k, p in ex.map(one, kinds) if p is not None]
+        done = list(ex.map(one, kinds))
+    failed = [(k, p) for k, p in done if isinstance(p, str)]
+    fitted = [(k, p) for k, p in done if not isinstance(p, str)]
+    if not fitted:
+        raise ValueError(f"no model type could be fitted: {failed}")
     long = fitted[0][1]
     for _, p in fitted[1:]:
         long = long.unionByName(p)
@@ -180,5 +186,8 @@ def auto_select(df: DataFrame, features: Sequence[str], target: str = "y", kinds
     blends = simple.unionByName(weighted)
     board = per_model.unionByName(metrics(blends, ["strategy", "split"], target, "pred"))
     board = board.withColumnRenamed("strategy", "candidate")
+    if failed:
+        board = board.unionByName(df.sparkSession.createDataFrame(failed, "candidate string, split string"),
+                                  allowMissingColumns=True)
     best = board.where(F.col("split") == "test").orderBy(F.col("rmse").asc_nulls_last(), "candidate").first()
     return board, (best["candidate"] if best else None)

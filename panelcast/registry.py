@@ -8,6 +8,8 @@ both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -518,11 +520,10 @@ def q_feature_selection(spark, d):
 
 def q_stream_online_eval(spark, d):
     """Predictions arrive as a file stream; each micro-batch is evaluated against the actuals in
-    ``foreachBatch`` and appended, skipping days already evaluated (replay-safe)."""
+    ``foreachBatch``, replacing the evaluation of the days it touches (replay-safe)."""
     import os
     from .streaming.hourly import online_eval_batch
-    root = os.path.join(ensure_dir(spark), f"online-{os.getpid()}-{id(d)}")
-    # One file per day, so every micro-batch carries whole days.
+    root = os.path.join(ensure_dir(spark), f"online-{uuid.uuid4().hex}")
     preds = predictions_fx_wide(spark, d).withColumn("day", F.to_date("date_hour"))
     preds.repartition("day").write.mode("overwrite").partitionBy("day").parquet(root + "/preds")
     stream = spark.readStream.schema(preds.schema).option("maxFilesPerTrigger", 5).parquet(root + "/preds")
@@ -545,7 +546,7 @@ def q_stream_hourly_panel(spark, d):
     import os
     src = spark.read.parquet(f"{d}/events.parquet")
     stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    root = os.path.join(ensure_dir(spark), f"stream-{os.getpid()}-{id(stream)}")
+    root = os.path.join(ensure_dir(spark), f"stream-{uuid.uuid4().hex}")
     q = (hourly_panel_stream(stream).writeStream.outputMode("append").format("parquet")
          .option("path", root + "/out").option("checkpointLocation", root + "/ckpt")
          .trigger(availableNow=True).start())

@@ -55,14 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is read
-    from the session and never replaced.  Only when it is unset (local tests)
-    a fresh scratch folder is created and registered.
+    from the session and never replaced.  Only when it is unset and the master
+    is local (tests) a fresh scratch folder is created and registered; on a
+    cluster an unset folder is an error, since executors share no local disk.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="panelcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

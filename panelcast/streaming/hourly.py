@@ -3,8 +3,9 @@
 T1 builds the hourly panel from a stream of raw events with a watermark and
 tumbling one-hour windows (append mode: a window is emitted once the
 watermark passes its end).  T2 evaluates new predictions incrementally in
-``foreachBatch``: each micro-batch is anti-joined against the days already
-evaluated, so replaying a batch appends nothing twice.
+``foreachBatch``: each micro-batch keeps its predictions and replaces the evaluation
+of the days it touches, so a day that arrives in parts is scored on all of them and
+replaying a batch changes nothing.
 """
 
 from __future__ import annotations
@@ -45,15 +46,30 @@ def start_hourly_panel(events: DataFrame, sink_path: str, checkpoint: str, **kw)
 
 
 def online_eval_batch(actuals: DataFrame, eval_path: str, pred_col: str = "pred",
-                      strategy: str = "TwoStage_Stacking"):
-    """A ``foreachBatch`` function: evaluate the batch's new days and append them (T2, idempotent)."""
+                      strategy: str = "TwoStage_Stacking", store: str | None = None, key: str = "series_key",
+                      time: str = "date_hour"):
+    """A ``foreachBatch`` function: scores every day that a batch touches on all its predictions so far.
+
+    Predictions are kept under ``store`` (default: next to the evaluations), one folder per batch, which a replay
+    overwrites.  The touched days are evaluated again from there, the latest batch winning where a stamp
+    was predicted twice, and replace their ``date`` partitions.  Only the batch's range of days is read.
+    """
+    store = store or eval_path.rstrip("/") + "_predictions"
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(eval_path)
-        except Exception:  # noqa: BLE001 - first batch: no evaluation table yet
-            done = spark.createDataFrame([], "series_key string, date date, strategy string, rmse double, "
-                                             "mape double, r2 double, eval_type string")
-        new = evaluate_online(batch, actuals, done, pred_col, strategy)
-        new.write.mode("append").parquet(eval_path)
+        own = f"{store}/batch={batch_id}"
+        batch.select(key, time, F.col(pred_col).cast("double").alias("pred")).where(F.col(time).isNotNull()) \
+            .write.mode("overwrite").parquet(own)
+        days = spark.read.parquet(own).select(F.to_date(time).alias("_day")).distinct()
+        first, last = days.agg(F.min("_day"), F.max("_day")).first()
+        if first is None:
+            return
+        within = F.to_date(time).between(F.lit(first), F.lit(last))
+        kept = spark.read.option("basePath", store).parquet(store).where(within)
+        kept = kept.join(days, F.to_date(time) == F.col("_day"), "left_semi")
+        latest = kept.groupBy(key, time).agg(F.max_by("pred", "batch").alias("pred"))
+        nothing = spark.createDataFrame([], f"{key} string, date date, eval_type string")
+        new = evaluate_online(latest, actuals.where(within), nothing, "pred", strategy, key, time)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(eval_path)
     return run

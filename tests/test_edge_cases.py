@@ -4,12 +4,14 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators.clean import clean_panel, clip_columns
 from panelcast.operators.holidays import add_holidays
 from panelcast.operators.metrics import best_strategy, metrics
 from panelcast.operators.selection import prune_correlated, target_correlation
+from panelcast.operators.windows import add_history_stats
 from panelcast.plans.models import fit_model, ridge_solve
 from panelcast.sources.scan import coerce_numeric
 
@@ -142,3 +144,66 @@ def test_scan_pushes_slice_and_prunes_columns(spark):
     assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan
     schema = plan[plan.index("ReadSchema: struct<"):].split(">", 1)[0]
     assert "l_comment" not in schema and "l_tax" not in schema and "l_returnflag" not in schema
+
+
+# --- rows that must not get lost ---------------------------------------------------------------------------------------
+
+def _hours(n, key="a", start="2024-01-01 00:00:00"):
+    t0 = dt.datetime.fromisoformat(start)
+    return [(key, t0 + dt.timedelta(hours=h), float(h % 13)) for h in range(n)]
+
+
+PANEL_DDL = "series_key string, date_hour timestamp_ntz, y double"
+
+
+def test_null_keys_and_times_stay(spark):
+    from panelcast.operators.folds import chrono_split, rolling_origins, time_folds
+    rows = _hours(8) + _hours(8, None) + [("a", None, 1.0), (None, None, 2.0)]
+    df = spark.createDataFrame(rows, PANEL_DDL)
+    split = chrono_split(df, 0.5).collect()
+    assert len(split) == 18
+    assert all(r["split"] == "test" for r in split if r["date_hour"] is None)
+    assert sum(r["split"] == "train" for r in split if r["series_key"] is None) == 4
+    assert time_folds(df).count() == 18
+    origins = rolling_origins(spark.createDataFrame(_hours(96, None), PANEL_DDL), "2024-01-03", "2024-01-05")
+    assert {r["origin"].day for r in origins.collect()} == {3, 4}
+
+
+def test_time_mode_keeps_rows_off_the_grid(spark):
+    rows = _hours(60)
+    rows[0] = ("a", rows[0][1] + dt.timedelta(minutes=30), 5.0)
+    got = {r["date_hour"]: r for r in add_history_stats(spark.createDataFrame(rows + [("a", None, 9.0)], PANEL_DDL), "y",
+                                                        mode="time").collect()}
+    assert set(got) == {t for _, t, _ in rows} | {None}
+    assert got[rows[50][1]]["y_same_hour_2d_ago"] == rows[2][2] and got[rows[48][1]]["y_same_hour_2d_ago"] == 5.0
+
+
+def test_time_mode_refuses_two_rows_in_one_step(spark):
+    rows = _hours(5) + [("a", dt.datetime(2024, 1, 1, 2, 30), 1.0)]
+    with pytest.raises(Exception, match="one step of the grid"):
+        add_history_stats(spark.createDataFrame(rows, PANEL_DDL), "y", mode="time").collect()
+
+
+def test_std_after_an_outlier(spark):
+    rows = _hours(1600)
+    rows = [(k, t, 1e8 if i == 0 else v / 10) for i, (k, t, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, PANEL_DDL)
+    for options in ({}, {"split_rows": 800}):
+        got = {r["date_hour"]: r["y_same_hour_30d_std"] for r in add_history_stats(df, "y", **options).collect()}
+        for i in range(800, 1600, 37):
+            window = np.array([v for _, _, v in rows[i - 743:i - 23]])
+            assert abs(got[rows[i][1]] - window.std(ddof=1)) < 1e-6, i
+
+
+def test_median_of_ties_and_empty_groups(spark):
+    from panelcast.operators.stats import exact_median
+    df = spark.range(50_000).select(
+        F.when(F.col("id") % 5 == 0, None).otherwise("g").alias("g"), (F.col("id") % 3 == 0).cast("int").alias("flag"),
+        F.col("id").cast("double").alias("v"), F.lit(None).cast("double").alias("none"))
+    got = {r["g"]: (r["flag"], r["v"], r["none"]) for r in exact_median(df, ["g"], ["flag", "v", "none"]).collect()}
+    pdf = df.toPandas()
+    for g, part in ((None, pdf[pdf.g.isna()]), ("g", pdf[pdf.g == "g"])):
+        assert got[g] == (part.flag.median(), part.v.median(), None)
+    whole = exact_median(df, [], ["flag", "v", "none"]).first()
+    assert tuple(whole) == (0.0, 24999.5, None)
+    assert exact_median(df.limit(0), [], ["v"]).first()["v"] is None
