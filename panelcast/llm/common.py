@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 #: One white-space byte, as every operator of this package understands it (regular-expression class).
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -31,6 +34,16 @@ def single_spaced(text: Column) -> Column:
     return F.regexp_replace(text, SPACE + r"{2,}|[\x09-\x0D]", " ")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written as Parquet to the shared checkpoint folder and read again.
+
+    Cuts the lineage like a checkpoint, takes less room, and readers fetch only the columns they use.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs without white space (null: 0)."""
     flat = F.trim(single_spaced(filled(text)))

@@ -1,16 +1,19 @@
 """N-gram Jaccard join by chosen paths: all pairs of texts whose word-shingle sets have Jaccard similarity >= 0.8.
 
 Texts with equal shingle sets form one class, and classes are joined.  In a run, every set picks each of its tokens with
-probability SPREAD / |set|, by a hash that all sets share; a set goes to the node of each token it picked.  Inside a node it
-picks again by a hash of the node, and so on: similar sets tend to pick the same paths, other sets part.  A node of at
-most LEAF sets is compared by brute force, a larger one is split by the next level.  A pair of similarity 0.8 shares at
-least SPREAD * 0.8 picked tokens on average in each level, which bounds the chance that it shares a whole path; the
-number of runs follows from that chance and the target recall (and is larger than needed for pairs met in small nodes).
+probability SPREAD / |set|, by a hash that all sets share; a set goes to the node of each token it picked.  A node of at
+most LEAF sets is compared by brute force.  In a larger one its sets pick again, by a hash of the node, and so on: similar
+sets tend to pick the same paths, other sets part.  A pair of similarity 0.8 shares at least SPREAD * 0.8 picked tokens on
+average in each level, which bounds the chance that it shares a path of ``levels`` nodes; the number of runs follows from
+that chance and the target recall (most pairs meet in the first level already).
 
-What the last level leaves large (sets that are truly alike, such as a big group of near copies) is compared in blocks
-of BLOCK sets: a task gets two blocks, so no node lands in one task.  Nodes with the same members are compared once, and a pair
-that meets in several nodes is compared in the first of them only.  Comparing is exact (intersections over the sets);
-a node returns the links of each set (a number) and a spanning forest, never its pairs, so results stay linear.
+A node that keeps more than half of its parent's sets holds sets that are truly alike, such as a big group of near copies;
+splitting it further would not help.  It is compared in blocks of about BLOCK_TOKENS tokens: a task gets two blocks, so
+no node lands in one task.  Nodes with the same members are compared once, and a pair that meets in several nodes is
+compared in the first of them only.  Comparing is exact (intersections over the sets); a node returns the links of each
+set (a number) and a spanning forest, never its pairs, so results stay linear.
+
+Token sets are fetched for those classes only that share a node with another.
 
 Defined results: a null text counts as empty; texts without words are equal to each other and like no other text; a text
 of one to four words has one shingle, all its words; repeated rows are members of one class; ids may repeat or be null; an
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .arrow_rows import group_starts, map_batches, map_whole_groups
-from .common import filled, packed, small_enough
+from .common import filled, packed, small_enough, stored
 from .components import connected_components
 from .shingles import BYTE, mix64, set_key, shingle_sets
 
@@ -37,7 +40,9 @@ RECALL = 0.995
 LEVELS = 3
 SPREAD = 1.5
 LEAF = 256
-BLOCK = 512
+KEPT = 0.5
+DEPTH = 12
+BLOCK_TOKENS = 1 << 20
 FLAT = 1 << 20
 
 
@@ -49,32 +54,32 @@ def runs_for(recall: float, similarity: float = SIMILARITY, levels: int = LEVELS
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def chosen_paths(sets: list[np.ndarray], runs: int, levels: int = LEVELS, spread: float = SPREAD) -> list[list[np.ndarray]]:
-    """For each level the (set index, node, parent node) of all nodes that the sets go to, as arrays."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate([*sets, np.empty(0, np.uint64)])
-    starts = np.cumsum(sizes) - sizes
-    limit = np.where(sizes > 0, np.minimum(spread / np.maximum(sizes, 1), 1.0) * 2.0 ** 63, 0).astype(np.uint64)
-    # Roots: one per run and set.
-    owner = np.tile(np.arange(len(sets)), runs)
-    node = np.repeat(mix64(np.arange(1, runs + 1, dtype=np.uint64) * BYTE[3]), len(sets))
-    out = []
-    for _ in range(levels):
-        found = []
-        size = sizes[owner]
-        ends = np.cumsum(size)
-        for a, b in _spans(ends, FLAT):
+class Sets:
+    """Token sets, and what they pick in nodes."""
+
+    def __init__(self, sets: list[np.ndarray], spread: float = SPREAD):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.flat = np.concatenate([*sets, np.empty(0, np.uint64)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        # A token is picked when 63 bits of its hash are below this; sets of at most ``spread`` tokens pick all.
+        share = np.minimum(spread / np.maximum(self.sizes, 1), 1.0)
+        self.limit = (share * 2.0 ** 62).astype(np.uint64) * np.uint64(2)
+
+    def pick(self, owner: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of a set and a node: (index of the pair, child node) of every token picked."""
+        index, child = [], []
+        size = self.sizes[owner]
+        for a, b in _spans(np.cumsum(size), FLAT):
             n = size[a:b]
             which = np.repeat(np.arange(a, b), n)
-            token = flat[np.repeat(starts[owner[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            token = self.flat[np.repeat(self.starts[owner[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             draw = mix64(token ^ node[which])
-            hit = (draw >> np.uint64(1)) < limit[owner[which]]
-            hit |= limit[owner[which]] >= np.uint64(1 << 63)
-            found.append((owner[which[hit]], mix64(draw[hit] + BYTE[4]), node[which[hit]]))
-        owner, node, parent = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.uint64) for k in range(3))
-        owner = owner.astype(np.int64)
-        out.append([owner, node, parent])
-    return out
+            hit = (draw >> np.uint64(1)) <= self.limit[owner[which]]
+            index.append(which[hit])
+            child.append(mix64(draw[hit] + BYTE[4]))
+        if not index:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.concatenate(index), np.concatenate(child)
 
 
 def _spans(ends: np.ndarray, limit: int):
@@ -88,29 +93,51 @@ def _spans(ends: np.ndarray, limit: int):
 
 
 def shingle_paths(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
-    """id, digest (of the text), key (128 bits of the set), and the nodes it goes to, level by level, with their parents."""
+    """id, digest (of the text), key (128 bits of the set), n (its size) and the nodes of the first level."""
     rows = docs.select(F.col(id_col).alias("id"), F.md5(filled(text_col)).alias("digest"), F.col(text_col).alias("text"))
-    pair = pa.struct([("node", pa.int64()), ("parent", pa.int64())])
 
     def make():
+        roots = mix64(np.arange(1, runs + 1, dtype=np.uint64) * BYTE[3])
+
         def each(batch):
             sets = list(shingle_sets([t or "" for t in batch.column(2).to_pylist()]))
-            levels = []
-            for owner, node, parent in chosen_paths(sets, runs):
-                order = np.argsort(owner, kind="stable")
-                offsets = np.searchsorted(owner[order], np.arange(len(sets) + 1)).astype(np.int32)
-                both = pa.StructArray.from_arrays([pa.array(node[order].view(np.int64)), pa.array(parent[order].view(np.int64))],
-                                                  ["node", "parent"])
-                levels.append(pa.ListArray.from_arrays(pa.array(offsets), both))
+            # Pairs in order of set, then run, so the nodes of a set lie together.
+            index, node = Sets(sets).pick(np.repeat(np.arange(len(sets)), runs), np.tile(roots, len(sets)))
+            offsets = np.searchsorted(index, np.arange(len(sets) + 1) * runs).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([set_key(s) for s in sets], pa.binary()),
-                 *(x.cast(pa.list_(pair)) for x in levels)],
-                ["id", "digest", "key", *(f"level{k}" for k in range(1, LEVELS + 1))])
+                 pa.array([len(s) for s in sets], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(node.view(np.int64)))], ["id", "digest", "key", "n", "nodes"])
         return each
 
     kind = rows.schema["id"].dataType.simpleString()
-    levels = ", ".join(f"level{k} array<struct<node: bigint, parent: bigint>>" for k in range(1, LEVELS + 1))
-    return map_batches(rows, make, f"id {kind}, digest string, key binary, {levels}")
+    return map_batches(rows, make, f"id {kind}, digest string, key binary, n bigint, nodes array<bigint>")
+
+
+def packed_tokens(tokens: np.ndarray) -> bytes:
+    """48 bits of each token: inside one node that tells tokens apart, and it takes less room."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked_tokens(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8")[:, 0]
+
+
+def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, key, n, parent_members of the next level, for rows (node, key, n, members)."""
+    rows = rows.join(sets.select("key", "tokens"), "key").select("node", "key", "n", "members", "tokens")
+
+    def make():
+        def each(batch):
+            tokens = Sets([unpacked_tokens(t) for t in batch.column(4).to_pylist()])
+            index, child = tokens.pick(np.arange(batch.num_rows), batch.column(0).to_numpy().view(np.uint64))
+            at = pa.array(index)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(k).take(at) for k in (1, 2, 3))],
+                                             ["node", "key", "n", "parent_members"])
+        return each
+    return map_batches(rows, make, "node bigint, key binary, n bigint, parent_members bigint")
 
 
 def compare_nodes(sets: DataFrame, similarity: float) -> DataFrame:
@@ -128,7 +155,7 @@ def compare_nodes(sets: DataFrame, similarity: float) -> DataFrame:
             rows = np.array(sorted(first.values()))
             if len(rows) < 2:
                 return
-            tokens = [np.frombuffer(group.column("tokens")[int(r)].as_py(), np.uint64) for r in rows]
+            tokens = [unpacked_tokens(group.column("tokens")[int(r)].as_py()) for r in rows]
             sizes = np.array([len(t) for t in tokens])
             order = np.argsort(sizes, kind="stable")
             rows, sizes, tokens = rows[order], sizes[order], [tokens[k] for k in order]
@@ -198,25 +225,32 @@ def compare_nodes(sets: DataFrame, similarity: float) -> DataFrame:
     return map_whole_groups(sets, ["node", "i", "j"], make, "a binary, b binary, links bigint")
 
 
-def _leaf_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes to compare (node, members) and the memberships (key, node) they are taken from."""
-    chosen, rows_of, big = None, None, None
-    for k in range(1, LEVELS + 1):
-        pairs = classes.select("key", F.explode(f"level{k}").alias("at")).select("key", "at.node", "at.parent")
-        if big is not None:
-            pairs = pairs.join(small_enough(big.withColumnRenamed("node", "parent")), "parent", "left_semi")
-        pairs = pairs.select("key", "node")
-        nodes = cut_lineage(pairs.groupBy("node").agg(
-            F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("x"),
-            F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("members > 1"))
-        done = nodes if k == LEVELS else nodes.where(F.col("members") <= LEAF)
-        chosen = done if chosen is None else chosen.unionByName(done)
-        rows_of = pairs if rows_of is None else rows_of.unionByName(pairs)
-        big = nodes.where(F.col("members") > LEAF).select("node")
-        if k == LEVELS or not big.take(1):
+def _counted(rows: DataFrame) -> DataFrame:
+    """node, members, tokens, parent_members and a digest (x, y) of the members, of nodes with two members or more."""
+    return stored(rows.groupBy("node").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"), F.max("parent_members").alias("parent_members"),
+        F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("members > 1"))
+
+
+def _nodes_to_compare(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Splits nodes until they are small or do not part.  Returns (node, blocks) and the memberships (key, node)."""
+    chosen, memberships = [], []
+    for depth in range(1, DEPTH + 1):
+        whole = F.col("members") > KEPT * F.coalesce("parent_members", F.lit(float("inf")))
+        done = (F.col("members") <= LEAF) | whole | F.lit(depth == DEPTH)
+        chosen.append(nodes.where(done))
+        memberships.append(rows.select("key", "node"))
+        big = nodes.where(~done).select("node", "members")
+        if not big.take(1):
             break
+        rows = stored(_children(rows.select("node", "key", "n").join(small_enough(big), "node"), sets))
+        nodes = _counted(rows)
+    every, pairs = chosen[0], memberships[0]
+    for c, m in zip(chosen[1:], memberships[1:]):
+        every, pairs = every.unionByName(c), pairs.unionByName(m)
     # Nodes with the same members: the first stands for all.
-    return chosen.groupBy("members", "x", "y").agg(F.min("node").alias("node")).select("node", "members"), rows_of
+    every = every.groupBy("members", "tokens", "x", "y").agg(F.min("node").alias("node"))
+    return every.select("node", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks")), pairs
 
 
 def _first(id_: str, digest: str):
@@ -226,18 +260,20 @@ def _first(id_: str, digest: str):
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """The rows (id, digest, key) and what is known of each class: key, rep, class_size, first, n_links."""
-    rows = cut_lineage(shingle_paths(docs, id_col, text_col, runs_for(recall, similarity)))
-    classes = cut_lineage(rows.groupBy("key").agg(
-        F.min(_first("id", "digest")).alias("rep"), F.count(F.lit(1)).alias("class_size"),
-        *(F.any_value(f"level{k}").alias(f"level{k}") for k in range(1, LEVELS + 1))))
-
-    nodes, memberships = _leaf_nodes(classes)
-    nodes = nodes.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    members = memberships.join(nodes.select("node", "blocks"), "node").groupBy("key").agg(
+    rows = stored(shingle_paths(docs, id_col, text_col, runs_for(recall, similarity)))
+    classes = stored(rows.groupBy("key").agg(
+        F.min(_first("id", "digest")).alias("rep"), F.count(F.lit(1)).alias("class_size"), F.max("n").alias("n"),
+        F.any_value("nodes").alias("nodes")))
+
+    level = classes.select("key", "n", F.explode("nodes").alias("node"), F.lit(None).cast("bigint").alias("parent_members"))
+    nodes = _counted(level)
+    company = level.join(nodes.select("node"), "node", "left_semi").select("key").distinct()
+    sets = stored(_sets_of(classes.select("key", "rep", F.col("class_size").alias("weight")).join(company, "key"),
+                           docs, id_col, text_col))
+    chosen, memberships = _nodes_to_compare(level, nodes, sets)
+    members = memberships.join(chosen, "node").groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("node", "blocks"))).alias("nodes"))
-    members = members.join(classes.select("key", "rep", F.col("class_size").alias("weight")), "key")
-
-    compared = cut_lineage(compare_nodes(_sets_of(members, docs, id_col, text_col), similarity))
+    compared = cut_lineage(compare_nodes(_by_block(members.join(sets, "key")), similarity))
     links = compared.where(F.col("b").isNull()).groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     roots = connected_components(compared.where(F.col("b").isNotNull()), "a", "b")
 
@@ -274,38 +310,56 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _sets_of(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The token sets of classes that share a node with another, once for each node and pair of blocks.
+    """key, weight, tokens of classes (key, rep, weight).
 
     Texts meet the classes by the id and digest of their first row, so copies are not fetched.
     """
     id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id_key")
     texts = docs.select(id_key(id_col), F.md5(filled(text_col)).alias("digest"), F.col(text_col).alias("text"))
-    members = members.select("key", "weight", "nodes", id_key("rep.id"), F.col("rep.digest").alias("digest"))
-    found = members.join(texts, ["id_key", "digest"]).select("key", "weight", "nodes", "text")
+    members = members.select("key", "weight", id_key("rep.id"), F.col("rep.digest").alias("digest"))
+    found = members.join(texts, ["id_key", "digest"]).select("key", "weight", "text")
+
+    def make():
+        seen = set()  # rows that repeat id and text meet here one after the other; their set is needed once
+
+        def each(batch):
+            keys = batch.column(0).to_pylist()
+            if len(seen) > 100_000:
+                seen.clear()
+            new = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+            batch = batch.take(pa.array(new, pa.int64()))
+            sets = shingle_sets([t or "" for t in batch.column(2).to_pylist()])
+            tokens = pa.array([packed_tokens(np.unique(s & np.uint64((1 << 48) - 1))) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], ["key", "weight", "tokens"])
+        return each
+
+    return map_batches(found, make, "key binary, weight bigint, tokens binary")
+
+
+def _by_block(members: DataFrame) -> DataFrame:
+    """A row for each node of a set and each other block of that node: node, i, j, side, key, weight, nodes, tokens."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    names = ["node", "i", "j", "side", "key", "weight", "nodes", "tokens"]
 
     def make():
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
         def each(batch):
-            keys, weights, nodes = (batch.column(k).to_pylist() for k in range(3))
-            sets = shingle_sets([t or "" for t in batch.column(3).to_pylist()])
             out, size = [], 0
-            for key, weight, own, tokens in zip(keys, weights, nodes, sets):
-                data, ids = tokens.tobytes(), [x["node"] for x in own]
+            for key, own, weight, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                ids = [x["node"] for x in own]
                 for x in own:
                     block = int.from_bytes(key[:4], "big") % x["blocks"]
                     for other in range(x["blocks"]):
                         out.append((x["node"], min(block, other), max(block, other), block, key, weight, ids, data))
                         size += len(data)
-                if size > 1 << 24:
-                    yield batch_of(out)
-                    out, size = [], 0
+                        if size > 1 << 24:
+                            yield batch_of(out)
+                            out, size = [], 0
             if out:
                 yield batch_of(out)
         return each
 
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-    names = ["node", "i", "j", "side", "key", "weight", "nodes", "tokens"]
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    return map_batches(found, make, "node bigint, i int, j int, side int, key binary, weight bigint, nodes array<bigint>, tokens binary")
+    return map_batches(members.select("key", "nodes", "weight", "tokens"), make,
+                       "node bigint, i int, j int, side int, key binary, weight bigint, nodes array<bigint>, tokens binary")

@@ -159,10 +159,10 @@ def test_shingle_sets():
         assert len(next(shingle_sets([text]))) == len(shingles_by_hand(text))
 
 
-@pytest.mark.parametrize("leaf, block", [(256, 512), (4, 5)])
+@pytest.mark.parametrize("leaf, block", [(256, 1 << 20), (4, 300)])
 def test_join_equals_brute_force(spark, monkeypatch, leaf, block):
     monkeypatch.setattr(ngram_join, "LEAF", leaf)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", block)
     pairs = near_copies()
     df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
     got = sorted((g["doc_id"], g["class_id"], g["n_links"]) for g in records(ngram_join.jaccard_join(df, recall=0.99999)))
