@@ -3,42 +3,63 @@
 Correlations are pairwise complete (rows where both sides are non-NULL),
 computed as ``covar_pop / (stddev_pop * stddev_pop)`` with a guarded
 division, so a constant column gives NULL instead of an ANSI error.  All
-statistics are partial aggregates: one pass over the data per chunk of
-feature pairs, no per-row pair explosion.
+statistics are partial sums: one pass over the data, no row per pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, round_half_up
+from ..session import cut_lineage
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Correlation matrix as long rows ``(by..., a, b, corr)`` for every pair a < b in list order.
+def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Correlation matrix as long rows ``(a, b, corr)`` for every pair a < b in list order (A8), pairwise complete.
 
-    Pairwise complete.  Each row builds one array of its present
-    ``(name, value)`` entries and nested ``transform``/``slice`` emit the
-    (earlier, later) pairs — a fan-out fixed by the column list, never by the
-    data — then one grouped aggregate of three moments per pair follows;
-    partial aggregation keeps the shuffle at one row per (group, pair) and
-    partition.  (A wide aggregate with three functions per pair does the same
-    arithmetic but its plan grows with the square of the column count.)
+    One pass: every task multiplies its Arrow batches column by column (four k x k products: counts, sums, squares and
+    cross products over the rows in which both columns are present) and returns one row per pair, however many rows it
+    read; the rows are summed.  Columns are shifted by their means first, so the moments do not cancel.
     """
-    by = list(by)
     cols = list(cols)
-    entries = F.array(*[F.struct(F.lit(c).alias("n"), F.col(c).cast("double").alias("v")) for c in cols])
-    present = F.filter(entries, lambda e: e["v"].isNotNull())
-    pairs = F.flatten(F.transform(present, lambda e, i: F.transform(
-        F.slice(present, i + 2, F.lit(len(cols))),
-        lambda f: F.struct(e["n"].alias("a"), f["n"].alias("b"), e["v"].alias("x"), f["v"].alias("y")))))
-    lng = df.select(*by, F.explode(pairs).alias("_p"))
-    g = (lng.groupBy(*by, F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
-         .agg(F.covar_pop("_p.x", "_p.y").alias("_c"), F.stddev_pop("_p.x").alias("_sx"),
-              F.stddev_pop("_p.y").alias("_sy")))
-    return g.select(*by, "a", "b", ratio(F.col("_c"), F.col("_sx") * F.col("_sy")).alias("corr"))
+    data = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
+    row = data.agg(*[F.avg(f"c{i}") for i in range(len(cols))]).first()
+    shift = np.array([0.0 if m is None else m for m in row])          # one number per column
+    first, second = np.triu_indices(len(cols), 1)
+    names = ["i", "j", "n", "x", "y", "xx", "yy", "xy"]
+
+    def moments(batches):
+        total = None
+        for batch in batches:
+            values = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(cols))]).astype(float)
+            there = ~np.isnan(values)
+            x = np.where(there, values - shift, 0.0)
+            m = there.astype(float)
+            part = np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            n, s, q, c = total
+            out = [first, second, *(z.astype(float) for z in (n[first, second], s[first, second], s[second, first],
+                                                              q[first, second], q[second, first], c[first, second]))]
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in out], names)
+
+    sums = data.mapInArrow(moments, "i bigint, j bigint, " + ", ".join(f"{z} double" for z in names[2:]))
+    g = sums.groupBy("i", "j").agg(*[F.sum(z).alias(z) for z in names[2:]])
+    n = F.col("n")
+
+    def spread(z, zz):
+        """n times the variance; what rounding leaves of a constant column counts as 0."""
+        rest = F.col(zz) - ratio(F.col(z) * F.col(z), n)
+        return F.when(rest > F.col(zz) * 1e-12, rest).otherwise(F.lit(0.0))
+
+    label = F.array(*[F.lit(c) for c in cols])
+    return g.where("n > 0").select(
+        F.element_at(label, (F.col("i") + 1).cast("int")).alias("a"), F.element_at(label, (F.col("j") + 1).cast("int")).alias("b"),
+        ratio(F.col("xy") - ratio(F.col("x") * F.col("y"), n), F.sqrt(spread("x", "xx") * spread("y", "yy"))).alias("corr"))
 
 
 def target_correlation(df: DataFrame, target: str, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -86,7 +107,6 @@ def prune_correlated(df: DataFrame, target: str, features: Sequence[str], keep:
     """
     # Several passes follow (ranking, the name list, the pair aggregates): cut the lineage once on the
     # projected columns, in the session's checkpoint folder.
-    from ..session import cut_lineage
     df = cut_lineage(df.select(target, *features))
     ranked = rank_by_correlation(target_correlation(df, target, features), keep)
     top = ranked.where("top").select("feature", "rank", "abs_corr")

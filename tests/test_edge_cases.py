@@ -207,3 +207,23 @@ def test_median_of_ties_and_empty_groups(spark):
     whole = exact_median(df, [], ["flag", "v", "none"]).first()
     assert tuple(whole) == (0.0, 24999.5, None)
     assert exact_median(df.limit(0), [], ["v"]).first()["v"] is None
+
+
+def test_correlation_matrix_of_gaps_and_constants(spark):
+    from panelcast.operators.selection import correlation_pairs
+    rng = np.random.default_rng(3)
+    n = 400
+    pdf = pd.DataFrame({"a": rng.normal(1e6, 1, n), "flat": np.full(n, 0.1), "none": np.full(n, np.nan)})
+    pdf["b"] = pdf["a"] * 2 + rng.normal(0, 1, n)
+    pdf["twin"] = pdf["a"]
+    pdf.loc[rng.random(n) < 0.3, "b"] = np.nan
+    cols = ["a", "flat", "none", "b", "twin"]
+    df = spark.createDataFrame(pdf).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols]).repartition(5)
+    got = {(r["a"], r["b"]): r["corr"] for r in correlation_pairs(df, cols).collect()}
+    exp = pdf[cols].corr()
+    for (a, b), c in got.items():
+        if "flat" in (a, b) or "none" in (a, b):
+            assert c is None
+        else:
+            assert abs(c - exp.loc[a, b]) < 1e-9
+    assert ("a", "twin") in got and ("a", "none") not in got
