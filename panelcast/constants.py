@@ -148,6 +148,14 @@ STRATEGY_TO_PRED_COL = {
 }
 DEFAULT_STRATEGY = "LightGBM"
 
+# The same columns by the names that models and backtests use, so a strategy of either spelling is understood.
+STRATEGY_TO_PRED_COL |= {
+    "random_forest": "pred_randomforest",
+    "xgboost": "pred_xgboost",
+    "lightgbm": "pred_lightgbm",
+    "stacking": "pred_two_stage_stacking",
+}
+
 # --- fixed values: model defaults -----------------------------------------------------------
 MODEL_DEFAULTS = {
     "random_forest": {"n_estimators": 100, "max_depth": 10, "random_state": 42},

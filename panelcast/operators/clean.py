@@ -70,15 +70,18 @@ def pred_best(preds: DataFrame, best: DataFrame, key: str = "series_key",
     """Pick, per series, the prediction column of its best strategy.
 
     ``best`` has one row per series ``(key, strategy)``; series without one
-    use ``default``.  The choice is a CASE over the known columns, so the
+    use ``default``; a strategy without a column is an error.  The choice is a CASE over the known columns, so the
     wide rows never leave their partition except for the join on the key.
     """
     b = best.select(key, F.col("strategy").alias("_best"))
-    j = preds.join(b, key, "left").withColumn("_best", F.coalesce("_best", F.lit(default)))
-    expr = None
-    for strat, col in mapping.items():
-        if col in preds.columns:
-            expr = (F.when(F.col("_best") == strat, F.col(col)) if expr is None
-                    else expr.when(F.col("_best") == strat, F.col(col)))
-    fallback = F.col(mapping[default])
-    return j.withColumn(name, fallback if expr is None else expr.otherwise(fallback)).drop("_best")
+    j = join_null_safe(preds, b, [key], "left").withColumn("_best", F.coalesce("_best", F.lit(default)))
+    return j.withColumn(name, chosen_column("_best", {s: c for s, c in mapping.items() if c in preds.columns})).drop("_best")
+
+
+def chosen_column(strategy: str, columns: Mapping[str, str]):
+    """The column that stands for the row's strategy; an unknown strategy raises an error."""
+    unknown = F.raise_error(F.concat(F.lit("no prediction column for strategy "), F.col(strategy))).cast("double")
+    expr = unknown
+    for name, column in columns.items():
+        expr = F.when(F.col(strategy) == name, F.col(column).cast("double")).otherwise(expr)
+    return expr

@@ -77,6 +77,20 @@ def eval_day_spine(spark, start, end) -> DataFrame:
                                                       F.date_sub(F.to_date(F.lit(end)), 1))).alias("origin"))
 
 
+def eligible_origins(df: DataFrame, start, end, train_days: int = TRAIN_DAYS, min_train_rows: int = MIN_TRAIN_ROWS,
+                     key: str = "series_key", time: str = "date_hour", target: str = "y") -> DataFrame:
+    """``(key, origin)``: the days of ``[start, end)`` with rows to test and at least ``min_train_rows`` rows with a
+    target in the ``train_days`` before.  Counted per day first, then summed over the days of the window."""
+    s, e = F.to_date(F.lit(start)), F.to_date(F.lit(end))
+    t = F.col(time)
+    d = df.where((t >= F.date_sub(s, train_days).cast("timestamp_ntz")) & (t < e.cast("timestamp_ntz")))
+    days = d.groupBy(key, F.to_date(time).alias("origin")).agg(F.count(target).alias("_valid"))
+    days = days.withColumn("_no", F.datediff("origin", s))
+    before = Window.partitionBy(key).orderBy("_no").rangeBetween(-train_days, -1)
+    return days.withColumn("_ntr", F.sum("_valid").over(before)).where(
+        (F.col("origin") >= s) & (F.col("_ntr") >= min_train_rows)).select(key, "origin")
+
+
 def rolling_origins(df: DataFrame, start, end, train_days: int = TRAIN_DAYS,
                     min_train_rows: int = MIN_TRAIN_ROWS, key: str = "series_key", time: str = "date_hour",
                     target: str = "y") -> DataFrame:
@@ -89,7 +103,9 @@ def rolling_origins(df: DataFrame, start, end, train_days: int = TRAIN_DAYS,
     predicate keeps the origins inside ``[start, end)``.  The input is
     pre-filtered to ``[start - train_days, end)`` so rows that serve no origin
     are never read.  Origins are kept only when they have test rows and at
-    least ``min_train_rows`` training rows with a target.
+    least ``min_train_rows`` training rows with a target (``eligible_origins``).
+    Only per-series fits need these copies; naive strategies and pooled fits
+    work on ``origin_test_rows`` and time slices.
     """
     s = F.to_date(F.lit(start))
     e = F.to_date(F.lit(end))
@@ -101,8 +117,10 @@ def rolling_origins(df: DataFrame, start, end, train_days: int = TRAIN_DAYS,
         "origin": F.date_add("_day", F.col("_k")),
         "role": F.when(F.col("_k") == 0, "test").otherwise("train")})
     ex = ex.where((F.col("origin") >= s) & (F.col("origin") < e))
-    ok = (ex.groupBy(key, "origin")
-          .agg(F.sum(((F.col("role") == "train") & F.col(target).isNotNull()).cast("int")).alias("_ntr"),
-               F.sum((F.col("role") == "test").cast("int")).alias("_nte"))
-          .where((F.col("_ntr") >= min_train_rows) & (F.col("_nte") > 0)).select(key, "origin"))
+    ok = eligible_origins(df, start, end, train_days, min_train_rows, key, time, target)
     return join_null_safe(ex, ok, [key, "origin"], "left_semi").drop("_day", "_k")
+
+
+def origin_test_rows(df: DataFrame, origins: DataFrame, key: str = "series_key", time: str = "date_hour") -> DataFrame:
+    """The rows of each eligible origin's own day, with ``origin``; every row comes once."""
+    return join_null_safe(df.withColumn("origin", F.to_date(time)), origins, [key, "origin"], "left_semi")

@@ -349,7 +349,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date_hour) A
              count(*) OVER (PARTITION BY series_key) AS n,
              count(*) OVER (PARTITION BY series_key) // 4 AS ts FROM panel_hourly) x""",
     "rolling_origin_folds": with_panels("panel_hourly", extra="""days AS (
-  SELECT unnest(generate_series(min(CAST(date_hour AS DATE)), max(CAST(date_hour AS DATE)) - 1, INTERVAL 1 DAY))::DATE AS origin
+  SELECT unnest(generate_series(min(CAST(date_hour AS DATE)), max(CAST(date_hour AS DATE)), INTERVAL 1 DAY))::DATE AS origin
   FROM panel_hourly),
 ex AS (
   SELECT p.series_key, p.date_hour, p.y, p.y_cents, d.origin,

@@ -1,15 +1,18 @@
 """Rolling-origin backtest and forecast publishing (M5, M6, E5).
 
-The origin fan-out (``operators.folds.rolling_origins``) turns "for each day,
-train on the previous 60 days" into one DataFrame keyed by
-``(series, origin)``.  Strategies then run as:
+``operators.folds.eligible_origins`` finds the days that can be tested from
+per-day row counts.  Strategies then run as:
 
-* ``naive_*`` / ``roll_*`` — a feature column read on the test rows (no fit);
+* ``naive_*`` / ``roll_*`` — a feature column read on the test rows (no fit, no training rows);
 * ``ridge`` — one closed-form ridge per ``(series, origin)`` group in
-  ``applyInPandas`` (bounded groups, fully parallel);
+  ``applyInPandas`` (bounded groups, fully parallel), on the origin fan-out
+  ``rolling_origins`` of the columns it needs;
 * ``random_forest`` / ``xgboost`` / ``lightgbm`` / ``stacking`` — pooled MLlib
-  fits, one distributed fit per origin, origins submitted from a small
-  thread pool so independent jobs overlap.
+  fits over all series, one distributed fit per origin on a time slice of the features (written once),
+  origins submitted from a small thread pool so independent jobs overlap.
+
+Ridge is fitted per series and the pooled strategies over all of them without a series feature, so their errors
+compare the two ways of training as much as the models.
 
 Predictions are long ``(series_key, origin, date_hour, strategy, pred)``;
 metrics group by ``(series, origin, strategy)``.
@@ -23,8 +26,10 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MIN_TRAIN_ROWS, TRAIN_DAYS
-from ..operators.folds import rolling_origins
+from ..constants import MIN_TRAIN_ROWS, STRATEGY_TO_PRED_COL, TRAIN_DAYS
+from ..functions.exprs import join_null_safe
+from ..operators.clean import chosen_column
+from ..operators.folds import eligible_origins, origin_test_rows, rolling_origins
 from ..operators.metrics import metrics
 from ..session import cut_lineage
 from .models import fit_model, ridge_by_group
@@ -41,20 +46,24 @@ def backtest_predictions(features: DataFrame, start, end, strategies: Sequence[s
                          parallelism: int = 2) -> DataFrame:
     """Long test-day predictions ``(key, origin, time, strategy, pred, actual)`` for every strategy."""
     p = prefix or target
-    folds = rolling_origins(features, start, end, train_days, min_train_rows, key, time, target)
-    test = folds.where(F.col("role") == "test")
-    parts = []
+    origins = cut_lineage(eligible_origins(features, start, end, train_days, min_train_rows, key, time, target))
+    test = origin_test_rows(features, origins, key, time)
+    alpha = float((model_params or {}).get("ridge", {}).get("alpha", 1.0))
+    parts, rows = [], None
     for s in strategies:
         if s in NAIVE_COLUMNS:
             parts.append(test.select(key, "origin", time, F.lit(s).alias("strategy"),
                                      F.col(f"{p}_{NAIVE_COLUMNS[s]}").cast("double").alias("pred")))
         elif s == "ridge":
-            alpha = float((model_params or {}).get("ridge", {}).get("alpha", 1.0))
+            folds = rolling_origins(features.select(*_columns(key, time, target, feature_cols)), start, end, train_days,
+                                    min_train_rows, key, time, target)
             r = ridge_by_group(folds, [key, "origin"], feature_cols, target, alpha=alpha,
                                min_train_rows=min_train_rows)
             parts.append(r.select(key, "origin", time, F.lit(s).alias("strategy"), "pred"))
         elif s in POOLED:
-            parts.append(_pooled(folds, s, feature_cols, target, key, time, model_params, parallelism))
+            rows = rows or cut_lineage(features.select(*_columns(key, time, target, feature_cols)))
+            parts.append(_pooled(rows, origin_test_rows(rows, origins, key, time), origins, s, feature_cols, target, key, time,
+                                 train_days, model_params, parallelism))
         else:
             raise ValueError(f"unknown strategy {s!r}")
     out = parts[0]
@@ -64,18 +73,24 @@ def backtest_predictions(features: DataFrame, start, end, strategies: Sequence[s
     return out.join(act, [key, "origin", time])
 
 
-def _pooled(folds: DataFrame, kind: str, feature_cols, target, key, time, model_params, parallelism) -> DataFrame:
-    """One pooled fit per origin (all series of that origin), origins submitted concurrently.
+def _columns(key, time, target, feature_cols) -> list[str]:
+    return list(dict.fromkeys([key, time, target, *feature_cols]))
+
 
-    Every origin filters the fan-out frame, so it is materialised once (reliable checkpoint) instead
-    of being re-derived for each fit.  Only the list of origin days comes to the driver.
+def _pooled(rows: DataFrame, test: DataFrame, origins: DataFrame, kind: str, feature_cols, target, key, time, train_days,
+            model_params, parallelism) -> DataFrame:
+    """One pooled fit per origin (all series that can be tested that day), origins submitted concurrently.
+
+    ``rows`` is materialised; a fit reads the time slice of its window, no row is copied.  Only the list of
+    origin days comes to the driver.
     """
-    folds = cut_lineage(folds)
-    origins = [r["origin"] for r in folds.select("origin").distinct().orderBy("origin").collect()]
+    days = [r["origin"] for r in origins.select("origin").distinct().orderBy("origin").collect()]
 
     def one(origin):
-        fo = folds.where(F.col("origin") == F.lit(origin))
-        tr, te = fo.where(F.col("role") == "train"), fo.where(F.col("role") == "test")
+        day = F.lit(origin)
+        window = (F.col(time) >= F.date_sub(day, train_days).cast("timestamp_ntz")) & (F.col(time) < day.cast("timestamp_ntz"))
+        tr = join_null_safe(rows.where(window), origins.where(F.col("origin") == day), [key], "left_semi")
+        te = test.where(F.col("origin") == day)
         if kind == "stacking":
             pr = stack_predict(tr, te, feature_cols, target, key=key, time=time, model_params=model_params)
         else:
@@ -85,9 +100,9 @@ def _pooled(folds: DataFrame, kind: str, feature_cols, target, key, time, model_
                          F.greatest(F.col("pred"), F.lit(0.0)).alias("pred") if kind == "stacking" else "pred")
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        frames = list(ex.map(one, origins))
+        frames = list(ex.map(one, days))
     if not frames:
-        return folds.sparkSession.createDataFrame(
+        return rows.sparkSession.createDataFrame(
             [], f"{key} string, origin date, {time} timestamp_ntz, strategy string, pred double")
     out = frames[0]
     for f in frames[1:]:
@@ -115,45 +130,48 @@ def forecast(history_features: DataFrame, future_features: DataFrame, strategies
     Future rows are stacked under the history with ``role='test'`` and the
     same origin fan-out as the backtest builds each day's training window
     (future days past the first see only history, never predictions).  The
-    result is wide: one ``pred_<strategy>`` column per strategy plus
-    ``pred_best`` (per series from ``best``) and ``created_at``.
+    result is wide: one column per strategy (published names where there are any, else ``pred_<strategy>``),
+    ``pred_best`` (per series from ``best``; a strategy that was not run is an error) and ``created_at``.
     """
+    used = [f"{target}_{NAIVE_COLUMNS[s]}" for s in strategies if s in NAIVE_COLUMNS]
+    cols = _columns(key, time, target, [*feature_cols, *used])
     hist = history_features.where(F.col(target).isNotNull())
     fut = future_features.withColumn(target, F.lit(None).cast("double"))
-    cols = [key, time, target, *feature_cols]
     both = hist.select(*cols).withColumn("_f", F.lit(False)).unionByName(
         fut.select(*cols).withColumn("_f", F.lit(True)))
     lo, hi = fut.agg(F.min(time), F.max(time)).first()
     import datetime as _dt
     start, end = lo.date(), hi.date() + _dt.timedelta(days=1)
-    folds = rolling_origins(both, start, end, train_days, min_train_rows, key, time, target)
-    folds = folds.where((F.col("role") == "train") & ~F.col("_f") | (F.col("role") == "test") & F.col("_f"))
-    test = folds.where(F.col("role") == "test")
-    parts = []
+    origins = cut_lineage(eligible_origins(both, start, end, train_days, min_train_rows, key, time, target))
+    test = origin_test_rows(both.where("_f"), origins, key, time)
+    alpha = float((model_params or {}).get("ridge", {}).get("alpha", 1.0))
+    parts, rows = [], None
     for s in strategies:
         if s in NAIVE_COLUMNS:
             parts.append(test.select(key, time, F.lit(s).alias("strategy"),
                                      F.col(f"{target}_{NAIVE_COLUMNS[s]}").alias("pred")))
         elif s == "ridge":
-            r = ridge_by_group(folds, [key, "origin"], feature_cols, target, min_train_rows=min_train_rows,
+            folds = rolling_origins(both, start, end, train_days, min_train_rows, key, time, target)
+            folds = folds.where((F.col("role") == "train") & ~F.col("_f") | (F.col("role") == "test") & F.col("_f"))
+            r = ridge_by_group(folds, [key, "origin"], feature_cols, target, alpha=alpha, min_train_rows=min_train_rows,
                                clip_low=None)
             parts.append(r.select(key, time, F.lit(s).alias("strategy"), "pred"))
-        else:
-            parts.append(_pooled(folds, s, feature_cols, target, key, time, model_params, 2)
+        elif s in POOLED:
+            rows = rows or cut_lineage(hist.select(*cols))
+            parts.append(_pooled(rows, test, origins, s, feature_cols, target, key, time, train_days, model_params, 2)
                          .select(key, time, "strategy", "pred"))
+        else:
+            raise ValueError(f"unknown strategy {s!r}")
     long = parts[0]
     for x in parts[1:]:
         long = long.unionByName(x)
     wide = long.groupBy(key, time).pivot("strategy", list(strategies)).agg(F.first("pred"))
-    wide = wide.withColumnsRenamed({s: f"pred_{s}" for s in strategies})
+    names = {s: STRATEGY_TO_PRED_COL.get(s, f"pred_{s}") for s in strategies}
+    wide = wide.withColumnsRenamed(names)
     if best is not None:
-        b = best.select(key, F.col("strategy").alias("_b"))
-        wide = wide.join(b, key, "left")
+        wide = join_null_safe(wide, best.select(key, F.col("strategy").alias("_b")), [key], "left")
     else:
         wide = wide.withColumn("_b", F.lit(None).cast("string"))
-    fallback = default_strategy or strategies[0]
-    choice = F.coalesce("_b", F.lit(fallback))
-    expr = F.col(f"pred_{fallback}")
-    for s in strategies:
-        expr = F.when(choice == s, F.col(f"pred_{s}")).otherwise(expr)
+    wide = wide.withColumn("_b", F.coalesce("_b", F.lit(default_strategy or strategies[0])))
+    expr = chosen_column("_b", {s: c for s, c in {**STRATEGY_TO_PRED_COL, **names}.items() if c in wide.columns})
     return wide.withColumn("pred_best", expr).drop("_b").withColumn("created_at", F.current_timestamp())

@@ -42,10 +42,14 @@ SEARCH_BOUNDS = {
 INT_PARAMS = {"n_estimators", "max_depth", "min_samples_leaf"}
 
 
-def fold_rmse(df: DataFrame, kind: str, params: Mapping, features: Sequence[str], target: str = "y",
-              k: int = N_FOLDS, key: str = "series_key", time: str = "date_hour") -> float:
-    """Mean validation RMSE over ``k`` expanding time folds (fits see only earlier rows)."""
-    f = cut_lineage(time_folds(df.where(F.col(target).isNotNull()), k, key, time))
+def folded(df: DataFrame, target: str = "y", k: int = N_FOLDS, key: str = "series_key", time: str = "date_hour") -> DataFrame:
+    """Rows with a target and their fold, materialised: every point of a search reads the same folds."""
+    return cut_lineage(time_folds(df.where(F.col(target).isNotNull()), k, key, time))
+
+
+def fold_rmse(f: DataFrame, kind: str, params: Mapping, features: Sequence[str], target: str = "y",
+              k: int = N_FOLDS) -> float:
+    """Mean validation RMSE over ``k`` expanding time folds of a ``folded`` frame (fits see only earlier rows)."""
     scores = []
     for i in range(k):
         tr = f.where(fold_train_rows(i, k))
@@ -64,10 +68,11 @@ def grid_search(df: DataFrame, kind: str, features: Sequence[str], grid: Mapping
     grid = grid or DEFAULT_GRIDS[kind]
     names = sorted(grid)
     points = [dict(zip(names, vals)) for vals in itertools.product(*[grid[n] for n in names])]
+    folds = df if "n_rows" in df.columns and "fold" in df.columns else folded(df, target, k)
 
     def score(p):
         full = {**(base_params or {}), **p}
-        return kind, json.dumps(full, sort_keys=True, default=float), fold_rmse(df, kind, full, features, target, k)
+        return kind, json.dumps(full, sort_keys=True, default=float), fold_rmse(folds, kind, full, features, target, k)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         rows = list(ex.map(score, points))
@@ -110,7 +115,9 @@ def feature_selection_pipeline(df: DataFrame, features: Sequence[str], target: s
     stage1 = [r["feature"] for r in pr.where(~F.col("dropped")).orderBy("rank").collect()]
     imps = []
     for kind in ("random_forest", "xgboost"):
-        p = {"n_estimators": 100, "random_state": seed, **((params or {}).get(kind) or {})}
+        # An unlimited forest and the boosting library's own step and depth, not the page's defaults.
+        own = {"max_depth": None} if kind == "random_forest" else {"max_depth": 6, "learning_rate": 0.3}
+        p = {"n_estimators": 100, "random_state": seed, **own, **((params or {}).get(kind) or {})}
         m = fit_model(df, kind, stage1, target, p)
         imps.append(m.importances().withColumn("model", F.lit(kind)))
     return importance_cut(imps[0].unionByName(imps[1]), threshold)
@@ -128,12 +135,14 @@ def tune_once(df: DataFrame, start, end, features: Sequence[str], target: str =
     cut = feature_selection_pipeline(w, features, target, seed=seed)
     selected = [r["feature"] for r in cut.where("selected").orderBy(F.col("importance").desc()).collect()]
     params, scores = {}, []
+    folds = folded(w, target)
     for kind in kinds:
         pts = random_points(kind, n_random, seed)
-        res = [(p, fold_rmse(w, kind, {**p, "random_state": seed}, selected, target)) for p in pts]
-        best = min(res, key=lambda t: (np.nan_to_num(t[1], nan=np.inf)))[0]
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            res = list(ex.map(lambda p: (p, fold_rmse(folds, kind, {**p, "random_state": seed}, selected, target)), pts))
+        best = min(res, key=lambda t: t[1])[0]
         if kind == "random_forest":
-            g = grid_search(w, kind, selected, neighbourhood(kind, best), target, parallelism=parallelism,
+            g = grid_search(folds, kind, selected, neighbourhood(kind, best), target, parallelism=parallelism,
                             base_params={"random_state": seed})
             scores.append(g)
             best = json.loads(g.first()["params"])

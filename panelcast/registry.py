@@ -315,7 +315,7 @@ def _panel_days(spark, d):
 
 
 def q_rolling_origin_folds(spark, d):
-    lo, hi = _panel_days(spark, d)
+    lo, hi = _day_range(spark, d)
     return rolling_origins(panel_hourly(spark, d), lo, hi, train_days=60, min_train_rows=24).select(
         *KEYS, "origin", "role")
 
@@ -509,7 +509,7 @@ def q_forecast(spark, d):
         lambda x: add_history_stats(x, "y")))
     fut = build_future_features(p.where(F.col("date_hour") >= cut).drop("y", "y_cents"), hist, "y")
     best = M.best_strategy(evaluations_fx(spark, d), by=["series_key"])
-    return forecast(hist, fut, ["naive_2d", "ridge"], ML_FEATS, "y", best=best).drop("created_at")
+    return forecast(hist, fut, [*NAIVE, "ridge"], ML_FEATS, "y", best=best).drop("created_at")
 
 
 def q_feature_selection(spark, d):

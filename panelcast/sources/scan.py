@@ -36,12 +36,17 @@ def to_ntz(c):
 
 
 def time_slice(df: DataFrame, start=None, end=None, time_col: str = "date_hour") -> DataFrame:
-    """Half-open slice ``start <= t < end``; each bound optional."""
+    """Half-open slice ``start <= t < end``; each bound optional.
+
+    The bounds (wall clock) take the column's type, so the column itself is compared and the filter reaches the reader.
+    """
     t = F.col(time_col)
+    kind = df.schema[time_col].dataType.simpleString()
+    bound = lambda x: F.lit(x).cast("timestamp_ntz").cast(kind if kind == "timestamp" else "timestamp_ntz")
     if start is not None:
-        df = df.where(t >= F.lit(start).cast("timestamp_ntz"))
+        df = df.where(t >= bound(start))
     if end is not None:
-        df = df.where(t < F.lit(end).cast("timestamp_ntz"))
+        df = df.where(t < bound(end))
     return df
 
 
@@ -67,7 +72,8 @@ def scan_panel(spark: SparkSession, source, *, key: str | None = "series_key", t
     A source without a key column becomes a single series ``'all'``.
     """
     raw = read_source(spark, source, fmt, options)
-    raw = time_slice(raw.withColumn(time, to_ntz(F.col(time))), start, end, time)
+    raw = time_slice(raw, start, end, time)
+    raw = raw.withColumn(time, to_ntz(F.col(time)))
     feats = list(features)
     cols = [F.col(key).cast("string").alias("series_key") if key and key in raw.columns
             else F.lit("all").alias("series_key"),

@@ -227,3 +227,41 @@ def test_correlation_matrix_of_gaps_and_constants(spark):
         else:
             assert abs(c - exp.loc[a, b]) < 1e-9
     assert ("a", "twin") in got and ("a", "none") not in got
+
+
+def test_zoned_time_slice_reaches_the_reader(spark, tmp_path):
+    from panelcast.sources.scan import scan_panel
+    path = str(tmp_path / "zoned")
+    df = spark.createDataFrame(_hours(72), PANEL_DDL).withColumn("date_hour", F.col("date_hour").cast("timestamp"))
+    df.write.parquet(path)
+    got = scan_panel(spark, path, start="2024-01-02", end="2024-01-03")
+    assert got.schema["date_hour"].dataType.simpleString() == "timestamp_ntz"
+    assert sorted(r["date_hour"] for r in got.collect()) == [dt.datetime(2024, 1, 2, h) for h in range(24)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(date_hour" in pushed and "LessThan(date_hour" in pushed
+
+
+def test_feature_contract_has_68_names():
+    from panelcast.constants import BASE_FEATURES, all_feature_names, raw_features
+    names = all_feature_names()
+    assert len(names) == 68 == len(set(names)) and len(BASE_FEATURES) == 42 and len(raw_features()) == 21
+
+
+def test_average_importance(spark):
+    from panelcast.operators.selection import average_importance
+    df = spark.createDataFrame([("m1", "a", 0.2), ("m1", "b", 0.8), ("m2", "a", 0.6), ("m2", "b", 0.4)],
+                               "model string, feature string, importance double")
+    got = {r["feature"]: r["importance"] for r in average_importance(df).collect()}
+    assert got == pytest.approx({"a": 0.4, "b": 0.6})
+
+
+def test_unknown_strategy_raises(spark):
+    from panelcast.operators.clean import pred_best
+    preds = spark.createDataFrame([("a", 1.0, 2.0)], "series_key string, pred_lightgbm double, pred_randomforest double")
+    best = lambda s: spark.createDataFrame([("a", s)], "series_key string, strategy string")
+    assert pred_best(preds, best("random_forest")).first()["pred_best"] == 2.0
+    assert pred_best(preds, best("RandomForest")).first()["pred_best"] == 2.0
+    assert pred_best(preds, best(None)).first()["pred_best"] == 1.0
+    with pytest.raises(Exception, match="no prediction column"):
+        pred_best(preds, best("other")).collect()
