@@ -132,7 +132,9 @@ def stat_cols(p: str = "y", t: str = "y_cents", key: str = "series_key", time: s
     w = f"(PARTITION BY {key} ORDER BY {time})"
     roll = f"(PARTITION BY {key} ORDER BY {time} ROWS BETWEEN {720 + min_lag - 1} PRECEDING AND {min_lag} PRECEDING)"
     droll = f"(PARTITION BY {key} ORDER BY {time} ROWS BETWEEN {7 + min_lag - 1} PRECEDING AND {min_lag} PRECEDING)"
-    hw = f"(PARTITION BY {key}, hour({time}) ORDER BY {time} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)"
+    skip = max(1, min_lag // 24)
+    hw = (f"(PARTITION BY {key}, hour({time}) ORDER BY {time} "
+          f"ROWS BETWEEN {30 + skip - 1} PRECEDING AND {skip} PRECEDING)")
     s = lambda x: div(x, "100")
     cols = {
         f"{p}_same_hour_2d_ago": s(f"lag({t}, 48) OVER {w}"),

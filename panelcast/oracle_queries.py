@@ -420,3 +420,23 @@ SQL["split_series_features"] = with_panels("panel_daily") + "SELECT series_key,
 SQL["stream_online_eval"] = fx() + "SELECT series_key, date, 'TwoStage_Stacking' AS strategy, rmse, mape, r2, " \
     "'online' AS eval_type FROM (" + metric_sql(
         "(SELECT *, CAST(date_hour AS DATE) AS date FROM joined WHERE strategy = 'roll_30d')", "series_key, date") + ") m"
+
+
+def _leakage_sql(min_lag: int, cutoff: str = "2024-01-20") -> str:
+    """Both feature builds, the second with the target hidden from the day before ``cutoff`` on."""
+    cols = stat_cols(min_lag=min_lag, std_digits=9, daily_digits=9)
+    build = lambda src: f"SELECT {KEYS}, {select_list(cols)} FROM {with_day_mean(src)}"
+    one = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count(*) AS n_rows, "
+        f"CAST(sum(CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN 1 ELSE 0 END) AS BIGINT) AS n_changed "
+        f"FROM a JOIN b ON a.series_key = b.series_key AND a.date_hour = b.date_hour "
+        f"WHERE CAST(a.date_hour AS DATE) = DATE '{cutoff}'" for c in cols)
+    return with_panels("panel_hourly", extra=f"""m AS (
+  SELECT * REPLACE (CASE WHEN CAST(date_hour AS DATE) >= DATE '{cutoff}' - 1 THEN NULL ELSE y_cents END AS y_cents)
+  FROM panel_hourly),
+a AS ({build("panel_hourly")}),
+b AS ({build("m")})""") + one
+
+
+SQL["leakage_check"] = _leakage_sql(24)
+SQL["leakage_check_d2"] = _leakage_sql(48)
