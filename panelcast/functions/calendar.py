@@ -19,11 +19,6 @@ def hour_start(ts: Column) -> Column:
     return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
 
 
-def day_start(ts: Column) -> Column:
-    """Midnight of the timestamp's day as TIMESTAMP_NTZ (``date_trunc`` would return a zoned TIMESTAMP)."""
-    return F.to_date(ts).cast("timestamp_ntz")
-
-
 def season_num(month: Column) -> Column:
     """1 = Mar-May, 2 = Jun-Aug, 3 = Sep-Nov, 4 = Dec-Feb."""
     return (F.when(month.between(3, 5), 1).when(month.between(6, 8), 2)

@@ -27,11 +27,6 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def mean_of(c: Column) -> Column:
-    """``sum/count`` as explicit double division (avg of integral input is exact this way)."""
-    return ratio(F.sum(c), F.count(c))
-
-
 def smape_term(actual: Column, pred: Column) -> Column:
     """|a-p| / ((|a|+|p|)/2), defined as 0 when both are 0."""
     den = (F.abs(actual) + F.abs(pred)) / F.lit(2.0)

@@ -22,7 +22,7 @@ from .operators import metrics as M
 from .operators.clean import (between_slice, clean_panel, clip_columns, error_column, impute_train_median,
                               impute_zero, pred_best)
 from .operators.future import add_future_stats, build_future_features, future_timeline
-from .operators.folds import chrono_split, rolling_origins, time_folds
+from .operators.folds import chrono_split, eval_day_spine, rolling_origins, time_folds
 from .operators.selection import (apply_standardizer, correlation_pairs, fit_standardizer, importance_cut,
                                   prune_correlated, rank_by_correlation, target_correlation)
 from .operators.reshape import blend, to_long, to_wide
@@ -145,10 +145,9 @@ def q_time_mode_lags(spark, d):
 
 
 def q_daily_summary(spark, d):
-    p = panel_hourly(spark, d)
-    return (p.groupBy("series_key", F.to_date("date_hour").alias("day"))
-            .agg(F.avg("y").alias("mean_y"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
-            .withColumn("mean_y", round_half_up(F.col("mean_y"), 6)))
+    days = M.daily_summary(panel_hourly(spark, d), "y")
+    days = days.withColumnsRenamed({"mean_v": "mean_y", "min_v": "min_y", "max_v": "max_y"})
+    return days.withColumn("mean_y", round_half_up(F.col("mean_y"), 6))
 
 
 MET = ["rmse", "mape", "r2"]
@@ -321,8 +320,7 @@ def q_rolling_origin_folds(spark, d):
 
 
 def q_eval_day_spine(spark, d):
-    p = panel_hourly(spark, d).agg(F.min("date_hour").alias("lo"), F.max("date_hour").alias("hi"))
-    return p.select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("origin"))
+    return eval_day_spine(spark, *_day_range(spark, d))
 
 
 def q_topk_preview(spark, d):

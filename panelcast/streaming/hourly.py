@@ -39,12 +39,6 @@ def hourly_panel_stream(events: DataFrame, watermark: str = "2 hours", key: str
                       y_cents.alias("y_cents"), (y_cents / F.lit(100.0)).alias("y"), "n_events")
 
 
-def start_hourly_panel(events: DataFrame, sink_path: str, checkpoint: str, **kw):
-    """Run T1 into a parquet sink (exactly-once file sink with its own checkpoint)."""
-    return (hourly_panel_stream(events, **kw).writeStream.outputMode("append").format("parquet")
-            .option("path", sink_path).option("checkpointLocation", checkpoint).start())
-
-
 def online_eval_batch(actuals: DataFrame, eval_path: str, pred_col: str = "pred",
                       strategy: str = "TwoStage_Stacking", store: str | None = None, key: str = "series_key",
                       time: str = "date_hour"):
