@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.bpe import bpe_decode, bpe_encode
-from panelcast.llm.common import filled, read_table
+from panelcast.llm.bpe import bpe_encode
+from panelcast.llm.common import read_table
 from panelcast.llm.exact_dedup import exact_dedup
 from panelcast.llm.langid import keep_identified
 from panelcast.llm.mixing import mix
@@ -45,10 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token_ids, n_tokens and round_trip (whether decoding the ids gives the text again)."""
-    path = public_tokenizers.path(VOCABULARY)
-    out = bpe_decode(bpe_encode(docs, path), path)
-    return out.withColumn("n_tokens", F.size("token_ids").cast("bigint")) \
-        .withColumn("round_trip", F.col("decoded") == filled("text")).drop("decoded")
+    out = bpe_encode(docs, public_tokenizers.path(VOCABULARY), check_col="round_trip")
+    return out.withColumn("n_tokens", F.size("token_ids").cast("bigint"))
 
 
 STAGES = [

@@ -8,14 +8,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+ROWS = 1024
+
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` where ``make()`` builds the batch function once per task."""
+    """``df.mapInArrow`` where ``make()`` builds the batch function once per task.
+
+    The function gets at most ROWS rows at a time, so what it returns for them stays small.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            if batch.num_rows:
-                yield from each(batch)
+            for at in range(0, batch.num_rows, ROWS):
+                yield from each(batch.slice(at, ROWS))
     return df.mapInArrow(run, schema)
 
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from .arrow_rows import Memo, map_batches, texts_of
 
@@ -84,7 +85,7 @@ class Codec:
             self.shorter[i] = next((usable[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in usable), -1)
         automaton.make_automaton()
         self.automaton = automaton
-        self.compatible = Memo(self._compatible, 1_000_000)
+        self.compatible = Memo(self._compatible, 300_000)
         self.parts = Memo(self._encode_part)
 
         pool = [s.encode("latin-1") for s in text_of]
@@ -202,24 +203,29 @@ def _definition(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` with the token ids of each text (array<int>)."""
+def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids",
+               check_col: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of each text (array<int>), and in ``check_col`` whether they decode to it again."""
     shared = _definition(docs, path)
-    carried = [f for f in docs.schema.fields if f.name != ids_col]
+    new = [StructField(ids_col, ArrayType(IntegerType()))] + ([StructField(check_col, BooleanType())] if check_col else [])
+    names = {f.name for f in new}
 
     def make():
         codec = codec_of(shared.value)
 
         def each(batch):
-            names = batch.schema.names
-            ids = pa.array([codec.encode(t) for t in texts_of(batch.column(names.index(text_col)))], pa.list_(pa.int32()))
-            keep = [i for i, n in enumerate(names) if n != ids_col]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), ids], [*(names[i] for i in keep), ids_col])
+            fields = batch.schema.names
+            texts = list(texts_of(batch.column(fields.index(text_col))))
+            ids = [codec.encode(t) for t in texts]
+            out = [pa.array(ids, pa.list_(pa.int32()))]
+            if check_col:
+                out.append(pa.array([codec.decode(i) == t for i, t in zip(ids, texts)], pa.bool_()))
+            keep = [i for i, n in enumerate(fields) if n not in names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *out],
+                                             [*(fields[i] for i in keep), *(f.name for f in new)])
         return each
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-    schema = StructType([*carried, StructField(ids_col, ArrayType(IntegerType()))])
-    return map_batches(docs, make, schema)
+    return map_batches(docs, make, StructType([*(f for f in docs.schema.fields if f.name not in names), *new]))
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -237,7 +243,6 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", text_c
                                              [*(batch.schema.names[i] for i in keep), text_col])
         return each
 
-    from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType([*(f for f in encoded.schema.fields if f.name != text_col), StructField(text_col, StringType())])
     return map_batches(encoded, make, schema)
 
