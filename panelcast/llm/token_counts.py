@@ -20,7 +20,8 @@ gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,7 @@ from .arrow_rows import Memo, map_batches, texts_of
 
 SPACE = "▁"
 CHUNK = 4096
+PART = 1 << 22
 MAX_STATES = 400_000
 START = 0
 
@@ -51,15 +53,20 @@ def vocabulary(path: str) -> dict[str, float]:
     return pieces
 
 
-def merged(text: str, score: dict[str, float]) -> list[str]:
-    """Plain BPE of a short text: the best-scored adjacent pair first, the leftmost on a tie."""
+def merge_steps(text: str, score: dict[str, float]) -> Iterator[list[str]]:
+    """Plain BPE of a short text, step by step: the best-scored adjacent pair first, the leftmost on a tie."""
     parts = list(text)
     while True:
+        yield parts
         pairs = [(-score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in score]
         if not pairs:
-            return parts
+            return
         _, i = min(pairs)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2:]]
+
+
+class Words(list):
+    """Chunks that begin with a line break, or have lost the one space that leads them."""
 
 
 class Transducer:
@@ -68,8 +75,12 @@ class Transducer:
     def __init__(self, score: dict[str, float]):
         self.score = score
         self.begins = {p[:n] for p in score for n in range(1, len(p))}
-        self.compatible = Memo(lambda pair: merged(pair[0] + pair[1], self.score) == list(pair), 500_000)
+        self.compatible = Memo(self._compatible, 500_000)
+        # The tokens that touch a piece's border while it is being merged.
+        self.ends = Memo(lambda piece: {parts[-1] for parts in merge_steps(piece, score)})
+        self.starts = Memo(lambda piece: {parts[0] for parts in merge_steps(piece, score)})
         self.maps = Memo(lambda chunk: self.run(START, chunk)[1])
+        self.words = Memo(lambda word: self.run(START, word if word[:1] == "\n" else " " + word)[1], 600_000)
         self.cut = re.compile(rf"[ {SPACE}]+[^ {SPACE}]*")
         self._reset()
 
@@ -78,15 +89,24 @@ class Transducer:
         self.number = {self.states[0]: START}
         self.moves: list[dict] = [{}]
 
+    def _compatible(self, pair: tuple[str, str]) -> bool:
+        """Whether merging both pieces' characters together gives these two pieces."""
+        left, right = pair
+        if not any(a + b in self.score for a in self.ends[left] for b in self.starts[right]):
+            return True
+        *_, parts = merge_steps(left + right, self.score)
+        return parts == [left, right]
+
     def _compile(self, state: int, char: str) -> tuple[int, int]:
         """The transition (next state, growth of the count) of one character."""
-        if char not in self.score:
+        letter = SPACE if char == " " else char
+        if letter not in self.score:
             move = START, len(char.encode())
         else:
-            live = self.states[state]
-            token, growth = next((seen + char, rest + 1) for seen, before, rest in live if seen + char in self.score
-                                 and (before is None or self.compatible[before, seen + char]))
-            after = tuple((seen + char, before, rest - growth) for seen, before, rest in live if seen + char in self.begins)
+            live = [(seen + letter, before, rest) for seen, before, rest in self.states[state]]
+            token, growth = next((text, rest + 1) for text, before, rest in live if text in self.score
+                                 and (before is None or self.compatible[before, text]))
+            after = tuple((text, before, rest - growth) for text, before, rest in live if text in self.begins)
             after += (("", token, 0),)
             number = self.number.get(after)
             if number is None:
@@ -99,12 +119,13 @@ class Transducer:
 
     def run(self, state: int, chunk: str) -> tuple[int, int]:
         """The chunk's state map at one incoming state: (outgoing state, tokens)."""
-        total = 0
+        moves, total = self.moves, 0
         for char in chunk:
-            char = SPACE if char == " " else char
-            move = self.moves[state].get(char) or self._compile(state, char)
-            state = move[0]
-            total += move[1]
+            try:
+                state, more = moves[state][char]
+            except KeyError:
+                state, more = self._compile(state, char)
+            total += more
         return state, total
 
     def scan(self, maps: Iterable) -> int:
@@ -120,20 +141,28 @@ class Transducer:
             return 0
         if len(self.states) > MAX_STATES:
             self._reset()
-        total, long = 0, []
-        for chunk in self.cut.finditer(" " + text) if len(text) > (1 << 22) else [None]:
-            if chunk is None:  # chunks that begin with a space and are not long: constant maps
-                chunks = self.cut.findall(" " + text)
-                long = [c for c in chunks if len(c) > CHUNK]
-                total = sum(map(self.maps.__getitem__, chunks if not long else [c for c in chunks if len(c) <= CHUNK]))
-            elif len(chunk[0]) > CHUNK:
-                long = [chunk[0]]
-            else:
-                total += self.maps[chunk[0]]
-            for c in long:
-                total += self.scan((lambda s, part=c[i:i + CHUNK]: self.run(s, part)) for i in range(0, len(c), CHUNK))
-            long = []
-        return total
+        return sum(map(self._tokens, self._chunks(text)))
+
+    def _chunks(self, text: str) -> Iterable[list[str]]:
+        """Lists of chunks, each beginning with its spaces; of a very long text a part at a time."""
+        text = " " + text
+        flat = text[1:].replace("\n", " \n")
+        if len(text) > PART:
+            found = (m[0] for m in self.cut.finditer(text))
+            while part := list(islice(found, PART >> 4)):
+                yield part
+        elif "\n" in self.score or "  " in flat or SPACE in flat or flat[0] in " \n":
+            yield self.cut.findall(text)
+        else:  # words without the one space that leads them; lines end for certain, so a line break begins a chunk too
+            yield Words(flat.split(" "))
+
+    def _tokens(self, chunks: list[str]) -> int:
+        memo = self.words if isinstance(chunks, Words) else self.maps
+        if max(map(len, chunks)) <= CHUNK:
+            return sum(map(memo.__getitem__, chunks))
+        lead = lambda c: " " + c if memo is self.words and c[:1] != "\n" else c
+        return sum(memo[c] if len(c) <= CHUNK else self.scan(
+            lambda s, part=lead(c)[i:i + CHUNK]: self.run(s, part) for i in range(0, len(c) + 1, CHUNK)) for c in chunks)
 
 
 _transducers: dict[int, Transducer] = {}
