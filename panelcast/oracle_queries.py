@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .oracle import (calendar_cols, div, cyclic_cols, holiday_cols, holiday_cte, r, select_list, stat_cols,
+from .oracle import (PANELS, calendar_cols, div, cyclic_cols, holiday_cols, holiday_cte, r, select_list, stat_cols,
                      with_day_mean, with_panels)
 from .constants import KEY_HOURS
-from .registry import ALL_FEATS, CAL_INT, CYC_DIGITS, PAIR_COLS, SCALE_COLS, STAT
+from .registry import ALL_FEATS, CAL_INT, CYC_DIGITS, ON_SUPPLY, PAIR_COLS, SCALE_COLS, STAT
 
 KEYS = "series_key, date_hour, y"
 
@@ -440,3 +440,6 @@ b AS ({build("m")})""") + one
 
 SQL["leakage_check"] = _leakage_sql(24)
 SQL["leakage_check_d2"] = _leakage_sql(48)
+
+SQL |= {f"{name}_supply": SQL[name].replace(PANELS["panel_hourly"], PANELS["panel_supply"]).replace("panel_hourly", "panel_supply")
+        for name in ON_SUPPLY}

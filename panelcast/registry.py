@@ -9,6 +9,7 @@ both sides.
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,8 +145,8 @@ def q_time_mode_lags(spark, d):
     return out.select(*KEYS, *STAT["lag"], *STAT["change"])
 
 
-def q_daily_summary(spark, d):
-    days = M.daily_summary(panel_hourly(spark, d), "y")
+def q_daily_summary(spark, d, panel=panel_hourly):
+    days = M.daily_summary(panel(spark, d), "y")
     days = days.withColumnsRenamed({"mean_v": "mean_y", "min_v": "min_y", "max_v": "max_y"})
     return days.withColumn("mean_y", round_half_up(F.col("mean_y"), 6))
 
@@ -187,17 +188,17 @@ def q_between_slice(spark, d):
     return between_slice(panel_hourly(spark, d), "2024-01-10 06:00:00", "2024-01-12 18:00:00")
 
 
-def q_chrono_split(spark, d):
-    return chrono_split(panel_hourly(spark, d)).select(*KEYS, "split")
+def q_chrono_split(spark, d, panel=panel_hourly):
+    return chrono_split(panel(spark, d)).select(*KEYS, "split")
 
 
-def _lagged_split(spark, d):
-    base = exact_history_stats(panel_hourly(spark, d)).select(*KEYS, *STAT["lag"])
+def _lagged_split(spark, d, panel=panel_hourly):
+    base = exact_history_stats(panel(spark, d)).select(*KEYS, *STAT["lag"])
     return chrono_split(base)
 
 
-def q_impute_train_median(spark, d):
-    sp = _lagged_split(spark, d)
+def q_impute_train_median(spark, d, panel=panel_hourly):
+    sp = cut_lineage(_lagged_split(spark, d, panel))
     tr, te = impute_train_median(sp.where(F.col("split") == "train"), [sp.where(F.col("split") == "test")],
                                  STAT["lag"])
     return tr.unionByName(te)
@@ -270,12 +271,12 @@ def q_pred_best(spark, d):
                      default="roll_30d")
 
 
-def q_panel_profile(spark, d):
-    return _r6(M.profile(panel_hourly(spark, d)), ["mean_y"])
+def q_panel_profile(spark, d, panel=panel_hourly):
+    return _r6(M.profile(panel(spark, d)), ["mean_y"])
 
 
-def q_histogram50(spark, d):
-    return M.histogram(panel_hourly(spark, d), "y", 50)
+def q_histogram50(spark, d, panel=panel_hourly):
+    return M.histogram(panel(spark, d), "y", 50)
 
 
 def q_feature_availability(spark, d):
@@ -304,8 +305,8 @@ def q_blend_weighted(spark, d):
     return _r6(blend(predictions_fx(spark, d), "weighted", weights=w), ["pred"])
 
 
-def q_time_folds(spark, d):
-    return time_folds(panel_hourly(spark, d)).select(*KEYS, "rn", "fold", "test_size")
+def q_time_folds(spark, d, panel=panel_hourly):
+    return time_folds(panel(spark, d)).select(*KEYS, "rn", "fold", "test_size")
 
 
 def _panel_days(spark, d):
@@ -323,10 +324,10 @@ def q_eval_day_spine(spark, d):
     return eval_day_spine(spark, *_day_range(spark, d))
 
 
-def q_topk_preview(spark, d):
+def q_topk_preview(spark, d, panel=panel_hourly):
     from pyspark.sql import Window
     w = Window.partitionBy("series_key").orderBy(F.col("y").desc(), F.col("date_hour").asc())
-    return panel_hourly(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select(
+    return panel(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select(
         *KEYS, "rank")
 
 
@@ -631,3 +632,7 @@ QUERIES = {
     "all_features_supply": q_all_features_supply,
     "daily_summary": q_daily_summary,
 }
+
+# The same operators on the panel whose series grow with the data.
+ON_SUPPLY = ("daily_summary", "chrono_split", "impute_train_median", "panel_profile", "histogram50", "time_folds", "topk_preview")
+QUERIES |= {f"{name}_supply": partial(QUERIES[name], panel=panel_supply) for name in ON_SUPPLY}
