@@ -17,8 +17,8 @@ can repeat.  Neighbouring windows mostly share their substring ("anchor"), which
 Texts are read as UTF-8; places are byte offsets.  Order is (id, text hash, start).
 
 Defined results: a null text is empty; texts shorter than SPAN bytes lose nothing; rows that repeat id and text
-are one document and get equal results; different texts of one id are ordered by their hash; null ids come last;
-ids are integers; an empty table gives an empty table; other columns are ignored.
+are one document and get equal results; different texts of one id are ordered by their hash; null ids come last, by
+the hash of their text; ids are integers below 2**62; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ SHALLOW = 32
 HOT = 2000
 CHUNK = 1 << 20
 SUFFIXES = 1 << 18
-NO_ID = np.iinfo(np.int64).max
+NO_ID = 1 << 62
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -177,9 +177,14 @@ def _in_company(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, id (null: the largest), tie (rank of the text among those of one id), again (repeats id and text), text."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"),
-                       filled(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    """doc, id, tie (rank of the text among those of one id), again (repeats id and text), text.
+
+    The rows are partitioned by id, and whatever meets them later joins by id alone.  Every reader takes the same
+    columns and the id is never null, so that one exchange of the texts serves all of them.
+    """
+    rows = docs.select(F.col(id_col).alias("doc"), filled(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    no_id = F.lit(NO_ID) + F.pmod("mark", F.lit(NO_ID - 1))
+    rows = rows.select("doc", F.coalesce(F.col("doc").cast("bigint"), no_id, F.lit(NO_ID)).alias("id"), "text", "mark")
     same_id = Window.partitionBy("id").orderBy("mark", "text")
     return rows.select("doc", "id", (F.dense_rank().over(same_id) - 1).cast("int").alias("tie"),
                        (F.row_number().over(same_id) > F.rank().over(same_id)).alias("again"), "text")
@@ -207,7 +212,7 @@ def _anchor_rows(base: DataFrame) -> DataFrame:
             if out:
                 yield ready()
         return each
-    return map_batches(base.where(~F.col("again")).select("id", "tie", "text"), make, "h bigint, id bigint, tie int, at bigint")
+    return map_batches(base.where(~F.col("again")).select("id", "tie", "text", "doc"), make, "h bigint, id bigint, tie int, at bigint")
 
 
 def _byte_rows(found: DataFrame) -> DataFrame:
@@ -295,11 +300,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = _documents(docs, id_col, text_col)
     rows = _anchor_rows(base)
     rows = rows.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("often > 1")
-    own = rows.groupBy("id", "tie").agg(F.sort_array(F.collect_list(
-        F.struct("at", "h", (F.col("often") > HOT).alias("often")))).alias("anchors"))
-    found = base.where(~F.col("again")).join(own, ["id", "tie"]).select("id", "tie", "text", "anchors")
-    ranges = _ranges(_byte_rows(found)).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    joined = base.join(ranges, ["id", "tie"], "left").select("doc", "text", "ranges")
+    own = rows.groupBy("id").agg(F.sort_array(F.collect_list(
+        F.struct("tie", "at", "h", (F.col("often") > HOT).alias("often")))).alias("anchors"))
+    of_text = lambda c: F.filter(c, lambda x: x["tie"] == F.col("tie")).alias(c)
+    found = base.where(~F.col("again")).join(own, "id").select("id", "tie", "text", of_text("anchors"), "doc")
+    ranges = _ranges(_byte_rows(found)).groupBy("id").agg(F.collect_list(F.struct("tie", "start", "end")).alias("ranges"))
+    joined = base.join(ranges, "id", "left").select("doc", "text", of_text("ranges"))
 
     def make():
         def each(batch):
