@@ -11,8 +11,8 @@ All counts run over all documents.  Everything is DataFrame expressions: values
 its matches, Luhn sums and running lengths from array functions.  Patterns are written so that they never back up
 over what they have read (possessive), which keeps them linear and off the stack on very long runs.
 
-Defined results: a null text is empty; rows that repeat id and text count as one document in the statistics and
-each get their spans; ids may be null; an empty table gives an empty table; other columns are ignored.
+Defined results: a null text is empty; rows that repeat id and text count each as a document, and as one surrounding,
+and each get their spans; ids may be null; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,29 +119,31 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A value that stands in several places of a document has one row, with the words around all of them.
     """
     rows = _rows(docs, id_col, text_col).where(F.col("text").rlike("@|[0-9]"))
-    spans = rows.select("mark", "text", F.explode(base_spans(F.col("text"))).alias("s"))
-    return spans.select("mark", F.col("s.kind").alias("kind"), F.col("s.value").alias("value"),
-                        _near(F.col("text"), F.col("s")).alias("near")) \
-        .groupBy("mark", "kind", "value").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"),
-                                              F.bit_xor(F.xxhash64("near")).alias("context"))
+    rows = rows.select("mark", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    rows = rows.select("mark", "text", "spans", F.explode(F.array_distinct(F.transform(
+        "spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
+    own = F.filter("spans", lambda s: (s["kind"] == F.col("e.kind")) & (s["value"] == F.col("e.value")))
+    near = F.array_distinct(F.flatten(F.transform(own, lambda s: _near(F.col("text"), s))))
+    return rows.select("mark", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), near.alias("near")) \
+        .withColumn("context", F.xxhash64(F.array_sort("near")))
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """kind, value, term, strength (PMI / IC) of the terms at or above the lower threshold."""
-    pairs = found.select("kind", "value", "mark", "context", F.explode(F.array_distinct("near")).alias("term"))
+    pairs = found.select("kind", "value", "context", F.explode("near").alias("term"))
     pairs = pairs.groupBy("kind", "value", "term").agg(
-        F.count_distinct("mark").alias("both"), F.count_distinct("context").alias("contexts"))
+        F.count(F.lit(1)).alias("both"), F.count_distinct("context").alias("contexts"))
     pairs = cut_lineage(pairs.where(F.col("contexts") >= CONTEXTS))
-    values = found.groupBy("kind", "value").agg(F.count_distinct("mark").alias("with_value"))
+    values = found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("with_value"))
 
+    # Documents with a term: each document names its terms once, so counting before the shuffle leaves a row per term and task.
     terms = cut_lineage(pairs.select("term").distinct())
-    texts = _rows(docs, id_col, text_col)
-    everywhere = texts.select("mark", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    with_term = everywhere.join(small_enough(terms), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    n = texts.select("mark").distinct().count()
+    everywhere = docs.select(F.explode(F.array_distinct(_words(filled(text_col)))).alias("term"))
+    with_term = everywhere.join(small_enough(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    n = float(max(docs.count(), 1))
     scored = pairs.join(values, ["kind", "value"]).join(with_term, "term")
-    pmi = F.log(F.lit(float(max(n, 1))) * F.col("both") / (F.col("with_value") * F.col("with_term")))
-    content = F.log(F.lit(float(max(n, 1))) / F.col("with_value"))
+    pmi = F.log(F.lit(n) * F.col("both") / (F.col("with_value") * F.col("with_term")))
+    content = F.log(F.lit(n) / F.col("with_value"))
     scored = scored.withColumn("strength", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
     return scored.where(F.col("strength") >= GENERALISE - 1e-9).select("kind", "value", "term", "strength")
 
