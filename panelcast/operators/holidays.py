@@ -54,13 +54,16 @@ def _default_by_date(spark: SparkSession, cap: int) -> DataFrame:
 
 def add_holidays(df: DataFrame, holidays: DataFrame | None = None, time_col: str = "date_hour",
                  cap: int = HOLIDAY_DISTANCE_CAP) -> DataFrame:
-    """Add ``is_holiday, is_pre_holiday, is_post_holiday, days_to_nearest_holiday, is_major_holiday``."""
+    """Add ``is_holiday, is_pre_holiday, is_post_holiday, days_to_nearest_holiday, is_major_holiday``.
+
+    The default calendar is broadcast (its size is fixed); how a caller's table is joined is left to the optimizer.
+    """
     if holidays is None:
-        by_date = _default_by_date(df.sparkSession, cap)
+        by_date = F.broadcast(_default_by_date(df.sparkSession, cap))
     else:
         by_date = holiday_features_by_date(holidays, cap)
     by_date = by_date.withColumnRenamed("date", "_hdate")
-    out = df.withColumn("_hdate", F.to_date(F.col(time_col))).join(F.broadcast(by_date), "_hdate", "left")
+    out = df.withColumn("_hdate", F.to_date(F.col(time_col))).join(by_date, "_hdate", "left")
     return out.withColumns({
         "is_holiday": F.coalesce("is_holiday", F.lit(0)),
         "is_pre_holiday": F.coalesce("is_pre_holiday", F.lit(0)),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..constants import BLEND_EPS
 
+MAX_STRATEGIES = 1000
+
 
 def to_long(wide: DataFrame, columns: Sequence[str], ids: Sequence[str] = ("series_key", "date_hour"),
             name: str = "strategy", value: str = "pred") -> DataFrame:
@@ -44,9 +46,10 @@ def blend(long: DataFrame, how: str = "mean", weights: DataFrame | None = None,
         wcols = [c for c in weights.columns if c in ("series_key", name)]
         wt = weights.select(*wcols, (F.lit(1.0) / (F.col("rmse") + F.lit(BLEND_EPS))).alias("_w"))
         if "series_key" not in wcols:
-            # One weight per strategy: a handful of rows (bounded by the strategy count).  Joining on
-            # that low-cardinality key with a shuffle would put all predictions in a few partitions.
-            wt = F.broadcast(wt)
+            # One weight per strategy, a handful of rows: a shuffle on that key would put all predictions in a few
+            # partitions.  A table that is not that small is joined as the optimizer sees fit.
+            if wt.limit(MAX_STRATEGIES + 1).count() <= MAX_STRATEGIES:
+                wt = F.broadcast(wt)
         j = long.where(F.col(value).isNotNull()).join(wt, wcols)
         return j.groupBy(*ids).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(out))
     raise ValueError(f"unknown blend {how!r}")
