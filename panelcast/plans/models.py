@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MODEL_DEFAULTS
-from ..operators.clean import impute_train_median
 from ..operators.selection import apply_standardizer, fit_standardizer
+from ..operators.stats import exact_median
+from ..session import cut_lineage
 
 MAX_DEPTH = 30  # of an MLlib tree; also stands for "no limit"
 MODEL_KINDS = ("random_forest", "ridge", "xgboost", "lightgbm")
@@ -76,13 +77,12 @@ def make_estimator(kind: str, params: Mapping | None = None, features_col: str =
 class FittedModel:
     """A fitted pipeline plus the training statistics needed to apply it."""
 
-    def __init__(self, kind, features, model: PipelineModel, medians: DataFrame, scaler: DataFrame):
+    def __init__(self, kind, features, model: PipelineModel, fill: Mapping, scaler: DataFrame):
         self.kind, self.features, self.model = kind, list(features), model
-        self.medians, self.scaler = medians, scaler
+        self.fill, self.scaler = dict(fill), scaler
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        filled = impute_train_median(self.medians, [df], self.features, by=())[1]
-        return apply_standardizer(filled, self.scaler, self.features).fillna(0.0, subset=self.features)
+        return apply_standardizer(_filled(df, self.fill), self.scaler, self.features).fillna(0.0, subset=self.features)
 
     def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
         return self.model.transform(self.prepare(df)).drop("features").withColumnRenamed("pred", out)
@@ -92,19 +92,24 @@ class FittedModel:
         last = self.model.stages[-1]
         vals = (last.featureImportances.toArray() if hasattr(last, "featureImportances")
                 else np.abs(last.coefficients.toArray()))
-        spark = self.medians.sparkSession
+        spark = self.scaler.sparkSession
         pdf = pd.DataFrame({"feature": self.features, "importance": vals.astype(float)})
         return spark.createDataFrame(pdf).orderBy(F.col("importance").desc(), F.col("feature"))
 
 
+def _filled(df: DataFrame, fill: Mapping) -> DataFrame:
+    """NULLs filled with the training medians (two or three dozen numbers, held as literals)."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v).cast("double")) for c, v in fill.items()})
+
+
 def fit_model(train: DataFrame, kind: str, features: Sequence[str], target: str = "y",
               params: Mapping | None = None) -> FittedModel:
     """Fit one model on a training frame (M1 + M2): median fill, ddof=0 scaling, MLlib estimator."""
     features = list(features)
     tr = train.where(F.col(target).isNotNull())
-    medians = tr.select(*features)
-    filled = impute_train_median(medians, [tr], features, by=())[1]
-    scaler = fit_standardizer(filled, features)
+    fill = exact_median(tr, [], features).first().asDict()
+    filled = _filled(tr, fill)
+    scaler = cut_lineage(fit_standardizer(filled, features))     # one row, read by every later use
     # A column with no training value at all has no median: it scales to the constant 0.
     prepared = apply_standardizer(filled, scaler, features).fillna(0.0, subset=features)
     est = make_estimator(kind, params)
@@ -116,7 +121,7 @@ def fit_model(train: DataFrame, kind: str, features: Sequence[str], target: str
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     label = prepared.withColumn("label", F.col(target).cast("double"))
     model = Pipeline(stages=[asm, est]).fit(label)
-    return FittedModel(kind, features, model, medians, scaler)
+    return FittedModel(kind, features, model, fill, scaler)
 
 
 # ------------------------------------------------------------------ per-group closed-form ridge
