@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import filled, let
 
 MARKS = ".!?|;。！？"
-#: A piece ends after its mark (with the white space that follows) or line break, before anything else.
-PIECE_END = rf"(?<=[{MARKS}\n]|[{MARKS}]\s|[{MARKS}]\s\s)(?![\s{MARKS}])"
+#: A piece: what stands before a mark or line break, and the marks and white space that follow.
+PIECE = rf"[^{MARKS}\n]++(?:[{MARKS}\n][{MARKS}\s]*+)?+|[{MARKS}\n][{MARKS}\s]*+"
 SUM_LANES = 8
 BIT_HASHES = 2
 BITS = 31
@@ -40,7 +40,7 @@ RANGE_ROWS, MAX_RANGES = 2048, 10_000
 
 
 def pieces(text: Column) -> Column:
-    return F.filter(F.split(text, PIECE_END), lambda u: u != "")
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
 def fingerprint(text: Column) -> Column:
