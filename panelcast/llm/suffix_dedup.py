@@ -3,7 +3,7 @@
 All suffixes of a corpus are too many to sort by shuffling them, and most are not needed: of the SPAN byte windows of a
 text, each is filed under one of its K-byte substrings, the one with the smallest hash (the leftmost of equals).  Equal windows
 are filed under the same substring at the same place, so only windows under a substring that occurs more than once
-can repeat.  Neighbouring windows mostly share their substring ("anchor"), which leaves about 3 anchors per 100 bytes.
+can repeat.  Neighbouring windows mostly share their substring ("anchor"), which leaves between 2 and 3 anchors per 100 bytes.
 
 1. Every text gives its anchors (hash, place, range of windows); anchors whose hash occurs once are dropped.
 2. The others meet their texts again and take the bytes of their windows along.  Equal byte ranges inside a task are
@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_rows import map_batches, map_whole_groups
-from .common import filled
+from .arrow_rows import map_batches, map_whole_groups, texts_of
+from .common import filled, small_enough, stored
 from .shingles import BYTE, mix64, powers
 
-SPAN, K = 100, 32
+SPAN, K = 100, 20
 SHALLOW = 32
-HOT = 2000
+HOT, LOCAL = 10_000, 8
 CHUNK = 1 << 20
 SUFFIXES = 1 << 18
 NO_ID = 1 << 62
@@ -75,6 +75,13 @@ def _anchors_of(raw: np.ndarray):
     return hashes[place].view(np.int64), place, starts, ends
 
 
+def hashes_at(data: bytes, places: np.ndarray) -> np.ndarray:
+    """The anchor hashes of a text at these places."""
+    up, _ = powers(K)
+    letters = np.frombuffer(data, np.uint8)[places[:, None] + np.arange(K)]
+    return mix64((BYTE[letters] * up[:K]).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
 def equal_windows(flat: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     """A number for each suffix ``flat[at:at + SPAN]``, equal for suffixes of one group with equal bytes.
 
@@ -215,6 +222,22 @@ def _anchor_rows(base: DataFrame) -> DataFrame:
     return map_batches(base.where(~F.col("again")).select("id", "tie", "text", "doc"), make, "h bigint, id bigint, tie int, at bigint")
 
 
+def _frequent_anchors(docs: DataFrame, text_col: str) -> DataFrame:
+    """h of anchors that occur often: counted per batch, dropped where a batch has few, summed.
+
+    An anchor that is missed occurs fewer than LOCAL times in nearly every batch, so its rows are few for a group.
+    """
+    def make():
+        def each(batch):
+            found = [anchors(t.encode())[0] for t in texts_of(batch.column(0))]
+            h, n = np.unique(np.concatenate([f.astype(np.int64) for f in found]), return_counts=True)
+            some = n >= LOCAL
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(n[some])], ["h", "n"])
+        return each
+    local = map_batches(docs.select(F.col(text_col).alias("text")), make, "h bigint, n bigint")
+    return stored(local.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).select("h"))
+
+
 def _byte_rows(found: DataFrame) -> DataFrame:
     """The bytes of the windows under repeated anchors, or (bytes null) ranges that are known to repeat.
 
@@ -232,7 +255,9 @@ def _byte_rows(found: DataFrame) -> DataFrame:
             for k, (text, own) in enumerate(zip(batch.column(2), batch.column(3))):
                 data, own = text.as_py().encode(), own.values
                 known = []
-                for h, at, often in zip(*(own.field(c).to_pylist() for c in ("h", "at", "often"))):
+                found = own.field("at").to_numpy()
+                hashes = hashes_at(data, found >> 16).tolist()
+                for h, at, often in zip(hashes, found.tolist(), own.field("often").to_pylist()):
                     place = at >> 16
                     lo, hi = place - (at >> 8 & 255), place - (at & 255)
                     # (first window, last window, distance to the anchor)
@@ -298,10 +323,14 @@ def _ranges(byte_rows: DataFrame) -> DataFrame:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, spans array<struct<start, end>> (removed, maximal, in order), kept (bytes)."""
     base = _documents(docs, id_col, text_col)
-    rows = _anchor_rows(base)
-    rows = rows.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("often > 1")
+    frequent = small_enough(_frequent_anchors(docs, text_col)).withColumn("often", F.lit(True))
+    rows = _anchor_rows(base).join(frequent, "h", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    # Frequent anchors are known to repeat; they are counted under numbers of their own, spread over all tasks.
+    rows = rows.select(F.when(F.col("often"), F.xxhash64("id", "tie", "at")).otherwise(F.col("h")).alias("counted"),
+                       "id", "tie", "at", "often")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("counted"))).where("often or n > 1")
     own = rows.groupBy("id").agg(F.sort_array(F.collect_list(
-        F.struct("tie", "at", "h", (F.col("often") > HOT).alias("often")))).alias("anchors"))
+        F.struct("tie", "at", "often"))).alias("anchors"))
     of_text = lambda c: F.filter(c, lambda x: x["tie"] == F.col("tie")).alias(c)
     found = base.where(~F.col("again")).join(own, "id").select("id", "tie", "text", of_text("anchors"), "doc")
     ranges = _ranges(_byte_rows(found)).groupBy("id").agg(F.collect_list(F.struct("tie", "start", "end")).alias("ranges"))

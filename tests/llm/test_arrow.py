@@ -246,6 +246,7 @@ def cut(spark, pairs):
 @pytest.mark.parametrize("hot, letters", [(2000, "ab"), (2, "ab"), (2000, "abcdefgh é"), (3, "abcdefgh é")])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot, letters):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "LOCAL", 2)
     rng = random.Random(hot)
     pool = ["".join(rng.choice(letters) for _ in range(rng.randrange(50, 300))) for _ in range(6)] + ["a" * 700, "ab" * 300]
     pairs = [(i, "".join(rng.choice(pool)[rng.randrange(0, 60):][:rng.randrange(30, 400)] for _ in range(rng.randrange(0, 6)))) for i in range(60)]
