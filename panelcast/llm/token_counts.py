@@ -32,7 +32,7 @@ from .arrow_rows import Memo, map_batches, texts_of
 SPACE = "▁"
 CHUNK = 4096
 PART = 1 << 22
-MAX_STATES = 400_000
+MAX_STATES = 300_000
 START = 0
 
 
@@ -75,7 +75,7 @@ class Transducer:
     def __init__(self, score: dict[str, float]):
         self.score = score
         self.begins = {p[:n] for p in score for n in range(1, len(p))}
-        self.compatible = Memo(self._compatible, 500_000)
+        self.compatible = Memo(self._compatible, 250_000)
         # The tokens that touch a piece's border while it is being merged.
         self.ends = Memo(lambda piece: {parts[-1] for parts in merge_steps(piece, score)})
         self.starts = Memo(lambda piece: {parts[0] for parts in merge_steps(piece, score)})
@@ -168,17 +168,21 @@ class Transducer:
 _transducers: dict[int, Transducer] = {}
 
 
+def transducer_of(score: dict[str, float]) -> Transducer:
+    """One transducer per vocabulary and worker process, so that later tasks find it compiled."""
+    key = hash(tuple(score))
+    if key not in _transducers:
+        _transducers[key] = Transducer(score)
+    return _transducers[key]
+
+
 def token_count_report(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def make():
-        score = shared.value
-        key = hash(tuple(score))
-        if key not in _transducers:
-            _transducers[key] = Transducer(score)
-        machine = _transducers[key]
+        machine = transducer_of(shared.value)
 
         def each(batch):
             n_bytes, n_tokens = [], []
