@@ -85,8 +85,8 @@ class Codec:
             self.shorter[i] = next((usable[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in usable), -1)
         automaton.make_automaton()
         self.automaton = automaton
-        self.compatible = Memo(self._compatible, 300_000)
-        self.parts = Memo(self._encode_part)
+        self.compatible = Memo(self._compatible, 150_000)
+        self.parts = Memo(self._encode_part, 250_000)
 
         pool = [s.encode("latin-1") for s in text_of]
         for s, i in self.special.items():
