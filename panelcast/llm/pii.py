@@ -1,11 +1,12 @@
 """Personal data: pattern spans, and terms of the corpus that give a protected value away.
 
 Four kinds of values are found by pattern (e-mail address, IP address, card number, phone number).  Each distinct
-value is a protected entity e.  A term t that stands near e is judged by what it tells about e, estimated from
-documents:  PMI(e; t) = log(N n(e, t) / (n(e) n(t))),  against the information content IC(e) = log(N / n(e)).
-At PMI = IC the term never occurs without e and reveals it fully.  In documents that contain e, terms with
+value is a protected entity e.  A term t that stands in a document with e, at any distance and also inside e, is judged by
+what it tells about e, estimated from whole documents:  PMI(e; t) = log(N n(e, t) / (n(e) n(t))),  against the
+information content IC(e) = log(N / n(e)).  At PMI = IC the term never occurs without e and reveals it fully.  In documents that contain e, terms with
 PMI >= REMOVE * IC are removed and those with PMI >= GENERALISE * IC are generalised (to the shape of the word).
-Evidence must come from at least CONTEXTS documents with different surroundings of e, so copies of one passage prove nothing.
+Evidence must come from at least CONTEXTS documents with different surroundings of e (the NEAR_WORDS words on each side),
+so copies of one passage prove nothing.  The surroundings tell copies apart; they do not limit which terms are judged.
 
 All counts run over all documents.  Everything is DataFrame expressions: values and places come from splitting a text at
 its matches, Luhn sums and running lengths from array functions.  Patterns are written so that they never back up
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import filled, let, running_sums, small_enough
+from .common import BROADCAST_ROWS, filled, let, running_sums, small_enough, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -114,34 +115,47 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """mark, kind, value, near (words around it), context (their hash): a row for each value of a document.
+    """mark, words (the distinct ones of the text) and values array<struct<kind, value, context>>: a row for each document with values.
 
-    A value that stands in several places of a document has one row, with the words around all of them.
+    A value that stands in several places of a document is listed once; its context is the hash of the words around all of them.
     """
     rows = _rows(docs, id_col, text_col).where(F.col("text").rlike("@|[0-9]"))
     rows = rows.select("mark", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    rows = rows.select("mark", "text", "spans", F.explode(F.array_distinct(F.transform(
-        "spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
-    own = F.filter("spans", lambda s: (s["kind"] == F.col("e.kind")) & (s["value"] == F.col("e.value")))
-    near = F.array_distinct(F.flatten(F.transform(own, lambda s: _near(F.col("text"), s))))
-    return rows.select("mark", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), near.alias("near")) \
-        .withColumn("context", F.xxhash64(F.array_sort("near")))
-
-
-def revealing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """kind, value, term, strength (PMI / IC) of the terms at or above the lower threshold."""
-    pairs = found.select("kind", "value", "context", F.explode("near").alias("term"))
-    pairs = pairs.groupBy("kind", "value", "term").agg(
-        F.count(F.lit(1)).alias("both"), F.count_distinct("context").alias("contexts"))
-    pairs = cut_lineage(pairs.where(F.col("contexts") >= CONTEXTS))
-    values = found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("with_value"))
+
+    def listed(e: Column) -> Column:
+        own = F.filter("spans", lambda s: (s["kind"] == e["kind"]) & (s["value"] == e["value"]))
+        near = F.array_distinct(F.flatten(F.transform(own, lambda s: _near(F.col("text"), s))))
+        return F.struct(e["kind"].alias("kind"), e["value"].alias("value"), F.xxhash64(F.array_sort(near)).alias("context"))
+
+    distinct = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
+    return rows.select("mark", F.array_distinct(_words(F.col("text"))).alias("words"), F.transform(distinct, listed).alias("values"))
+
+
+def _contexts() -> Column:
+    """Different contexts of a group, counted as far as two (CONTEXTS): that adds up per task before the shuffle."""
+    return F.size(F.array_distinct(F.array(F.min("context"), F.max("context"))))
+
+
+def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """kind, value, term, strength (PMI / IC) of the terms at or above the lower threshold; found has the mentions."""
+    held = found.select(F.explode("values").alias("e"), "words").select("e.*", "words")
+    values = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("with_value"), _contexts().alias("contexts"))
+    values = cut_lineage(values.where(F.col("contexts") >= CONTEXTS).drop("contexts"))
+    # The others have no term with enough contexts.  Pairs are counted per task first, so a value that very many documents hold
+    # sends a row per term and task.
+    pairs = held.join(small_enough(values.select("kind", "value")), ["kind", "value"], "left_semi")
+    pairs = pairs.select("kind", "value", "context", F.explode("words").alias("term")).groupBy("kind", "value", "term").agg(
+        F.count(F.lit(1)).alias("both"), _contexts().alias("contexts"))
+    pairs = stored(pairs.where(F.col("contexts") >= CONTEXTS).drop("contexts"))
 
     # Documents with a term: each document names its terms once, so counting before the shuffle leaves a row per term and task.
     terms = cut_lineage(pairs.select("term").distinct())
     everywhere = docs.select(F.explode(F.array_distinct(_words(filled(text_col)))).alias("term"))
-    with_term = everywhere.join(small_enough(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        everywhere = everywhere.join(F.broadcast(terms), "term")
+    with_term = everywhere.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     n = float(max(docs.count(), 1))
-    scored = pairs.join(values, ["kind", "value"]).join(with_term, "term")
+    scored = pairs.join(small_enough(values), ["kind", "value"]).join(with_term, "term")
     pmi = F.log(F.lit(n) * F.col("both") / (F.col("with_value") * F.col("with_term")))
     content = F.log(F.lit(n) / F.col("with_value"))
     scored = scored.withColumn("strength", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
@@ -150,15 +164,16 @@ def revealing_terms(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
 
 def terms_of_documents(found: DataFrame, revealing: DataFrame) -> DataFrame:
     """mark, terms array<struct<term, strength>>: what to hide in each document that contains a protected value."""
-    hits = found.select("mark", "kind", "value").distinct().join(revealing, ["kind", "value"])
+    held = found.select("mark", F.explode("values").alias("e")).select("mark", "e.kind", "e.value").distinct()
+    hits = held.join(revealing, ["kind", "value"])
     strongest = hits.groupBy("mark", "term").agg(F.max("strength").alias("strength"))
     return strongest.groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("term", "strength"))).alias("terms"))
 
 
 def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text, base, hidden``: pattern spans, and the spans of revealing terms that lie outside them."""
-    found = cut_lineage(mentions(docs, id_col, text_col))
-    terms = cut_lineage(terms_of_documents(found, revealing_terms(docs, found, id_col, text_col)))
+    found = stored(mentions(docs, id_col, text_col))
+    terms = cut_lineage(terms_of_documents(found, revealing_terms(docs, found, text_col)))
     rows = _rows(docs, id_col, text_col).withColumn("base", base_spans(F.col("text")))
     rows = rows.join(small_enough(terms), "mark", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"),

@@ -238,6 +238,49 @@ def test_revealing_terms(spark):
     assert text[100] == plain[0][1]
 
 
+def terms_by_hand(texts, everywhere):
+    """Terms hidden in each text: PMI over whole documents, in the texts with the value or in all."""
+    words = [set(filter(None, re.split(r"[\W_]+", t.lower()))) for t in texts]
+    around = lambda t, v: tuple(sorted({w for m in re.finditer(re.escape(v), t) for w in (
+        re.findall(r"[^\W_]+", t[:m.start()].lower())[-8:] + re.findall(r"[^\W_]+", t[m.end():].lower())[:8])}))
+    holders = {}
+    for i, t in enumerate(texts):
+        for v in set(re.findall(r"[a-z0-9]+@[a-z.]+[a-z]", t)):
+            holders.setdefault(v, []).append(i)
+    out = [set() for _ in texts]
+    for v, docs in holders.items():
+        for w in set().union(*(words[i] for i in docs)):
+            both = [i for i in docs if w in words[i]]
+            if len({around(texts[i], v) for i in both}) < 2:
+                continue
+            with_term = [i for i, x in enumerate(words) if w in x]
+            pmi = math.log(len(texts) * len(both) / (len(docs) * len(with_term)))
+            if pmi >= 0.9 * math.log(len(texts) / len(docs)) - 1e-9:
+                for i in with_term if everywhere else both:
+                    out[i].add(w)
+    return out
+
+
+def hidden_words(spans, text):
+    places = [s.split(":") for s in spans.split(",") if s.startswith("term")]
+    return {text[int(a):int(b)].lower() for _, a, b in places}
+
+
+def test_terms_at_any_distance(spark):
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    texts = [f"Zorblat {some(30)} ann{i % 2}@x.org {some(30)} tail{i % 2}" for i in range(8)]
+    texts += [f"head {some(20)}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {g["doc_id"]: g["spans"] for g in records(pii.pii_report(df))}
+    by_hand = terms_by_hand(texts, False)
+    for i, t in enumerate(texts[:8]):
+        assert hidden_words(got[i], t) == {w for w in by_hand[i] if re.search(rf"(?i)(?<![\w@.]){w}(?![\w@.])", t)}
+        assert f"tail{i % 2}" in hidden_words(got[i], t)
+    one = spark.createDataFrame([(i, t.replace("ann1", "ann0")) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert all("term:0:7" in g["spans"].split(",") for g in records(pii.pii_report(one)) if g["doc_id"] < 8)
+
+
 def test_running_sums(spark, monkeypatch):
     df = spark.createDataFrame([([],), ([5],), (list(range(700)),)], "a array<long>").select(running_sums(F.col("a")).alias("s"))
     for n, r in zip((0, 1, 700), df.collect()):
