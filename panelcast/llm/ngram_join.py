@@ -5,7 +5,8 @@ probability SPREAD / |set|, by a hash that all sets share; a set goes to the nod
 most LEAF sets is compared by brute force.  In a larger one its sets pick again, by a hash of the node, and so on: similar
 sets tend to pick the same paths, other sets part.  A pair of similarity 0.8 shares at least SPREAD * 0.8 picked tokens on
 average in each level, which bounds the chance that it shares a path of ``levels`` nodes; the number of runs follows from
-that chance and the target recall (most pairs meet in the first level already).
+that chance for LEVELS levels and the target recall (most pairs meet in the first level already).  Sets in nodes that have to be
+split further get more runs, as many as the target asks for at DEPTH levels; nodes are not split beyond that.
 
 A node that keeps more than half of its parent's sets holds sets that are truly alike, such as a big group of near copies;
 splitting it further would not help.  It is compared in blocks of about BLOCK_TOKENS tokens: a task gets two blocks, so
@@ -46,12 +47,30 @@ BLOCK_TOKENS = 1 << 20
 FLAT = 1 << 20
 
 
-def runs_for(recall: float, similarity: float = SIMILARITY, levels: int = LEVELS, spread: float = SPREAD) -> int:
-    """Runs until a pair of this similarity has met with probability ``recall``, if it needs all levels."""
+def meeting(levels: int, similarity: float = SIMILARITY, spread: float = SPREAD) -> float:
+    """Least chance that a pair of this similarity shares a path of so many nodes in one run."""
     meet = 1.0
     for _ in range(levels):
         meet = 1 - math.exp(-spread * similarity * meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    return meet
+
+
+def runs_for(recall: float, similarity: float = SIMILARITY, levels: int = LEVELS, spread: float = SPREAD) -> int:
+    """Runs until a pair of this similarity has met with probability ``recall``, if it needs all levels."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - meeting(levels, similarity, spread)))
+
+
+def more_runs_for(recall: float, similarity: float = SIMILARITY) -> int:
+    """Further runs for sets in nodes that are split after LEVELS, so that a pair meets with ``recall`` if it needs all DEPTH levels.
+
+    A pair is missed if it has no path of LEVELS nodes, or if it has one, loses it further down and misses the further runs too.
+    """
+    if DEPTH <= LEVELS:
+        return 0
+    runs, deep = runs_for(recall, similarity, LEVELS), 1 - meeting(DEPTH, similarity)
+    never = (1 - meeting(LEVELS, similarity)) ** runs
+    later, room = deep ** runs - never, max(1 - recall - never, 1e-3 * (1 - recall))
+    return max(math.ceil(math.log(room / later) / math.log(deep)), 0)
 
 
 class Sets:
@@ -92,12 +111,16 @@ def _spans(ends: np.ndarray, limit: int):
         at = to
 
 
+def _roots(first: int, runs: int) -> np.ndarray:
+    return mix64(np.arange(first + 1, first + runs + 1, dtype=np.uint64) * BYTE[3])
+
+
 def shingle_paths(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
     """id, digest (of the text), key (128 bits of the set), n (its size) and the nodes of the first level."""
     rows = docs.select(F.col(id_col).alias("id"), F.md5(filled(text_col)).alias("digest"), F.col(text_col).alias("text"))
 
     def make():
-        roots = mix64(np.arange(1, runs + 1, dtype=np.uint64) * BYTE[3])
+        roots = _roots(0, runs)
 
         def each(batch):
             sets = list(shingle_sets([t or "" for t in batch.column(2).to_pylist()]))
@@ -232,9 +255,13 @@ def _counted(rows: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("members > 1"))
 
 
-def _nodes_to_compare(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Splits nodes until they are small or do not part.  Returns (node, blocks) and the memberships (key, node)."""
-    chosen, memberships = [], []
+def _split(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """Splits nodes until they are small or do not part.
+
+    Returns, of each level, the nodes to compare and the memberships (key, node), and (key, n) of the sets in nodes that
+    were split after LEVELS, None if there are none.
+    """
+    chosen, memberships, deep = [], [], None
     for depth in range(1, DEPTH + 1):
         whole = F.col("members") > KEPT * F.coalesce("parent_members", F.lit(float("inf")))
         done = (F.col("members") <= LEAF) | whole | F.lit(depth == DEPTH)
@@ -243,8 +270,23 @@ def _nodes_to_compare(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> tup
         big = nodes.where(~done).select("node", "members")
         if not big.take(1):
             break
-        rows = stored(_children(rows.select("node", "key", "n").join(small_enough(big), "node"), sets))
+        rows = rows.select("node", "key", "n").join(small_enough(big), "node")
+        if depth == LEVELS:
+            deep = rows.select("key", "n").distinct()
+        rows = stored(_children(rows, sets))
         nodes = _counted(rows)
+    return chosen, memberships, deep
+
+
+def _nodes_to_compare(rows: DataFrame, nodes: DataFrame, sets: DataFrame, runs: int, more: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes to compare (node, blocks) and the memberships (key, node), with ``more`` runs for the sets that need them."""
+    chosen, memberships, deep = _split(rows, nodes, sets)
+    if deep is not None and more:
+        roots = F.explode(F.array(*[F.lit(int(r)) for r in _roots(runs, more).view(np.int64)]))
+        rows = deep.select(roots.alias("node"), "key", "n", F.lit(None).cast("bigint").alias("members"))
+        rows = stored(_children(rows, sets))
+        for all_, new in zip((chosen, memberships), _split(rows, _counted(rows), sets)):
+            all_ += new
     every, pairs = chosen[0], memberships[0]
     for c, m in zip(chosen[1:], memberships[1:]):
         every, pairs = every.unionByName(c), pairs.unionByName(m)
@@ -260,7 +302,8 @@ def _first(id_: str, digest: str):
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """The rows (id, digest, key) and what is known of each class: key, rep, class_size, first, n_links."""
-    rows = stored(shingle_paths(docs, id_col, text_col, runs_for(recall, similarity)))
+    runs = runs_for(recall, similarity, LEVELS)
+    rows = stored(shingle_paths(docs, id_col, text_col, runs))
     classes = stored(rows.groupBy("key").agg(
         F.min(_first("id", "digest")).alias("rep"), F.count(F.lit(1)).alias("class_size"), F.max("n").alias("n"),
         F.any_value("nodes").alias("nodes")))
@@ -270,7 +313,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, similarity: float, reca
     company = level.join(nodes.select("node"), "node", "left_semi").select("key").distinct()
     sets = stored(_sets_of(classes.select("key", "rep", F.col("class_size").alias("weight")).join(company, "key"),
                            docs, id_col, text_col))
-    chosen, memberships = _nodes_to_compare(level, nodes, sets)
+    chosen, memberships = _nodes_to_compare(level, nodes, sets, runs, more_runs_for(recall, similarity))
     members = memberships.join(chosen, "node").groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("node", "blocks"))).alias("nodes"))
     compared = cut_lineage(compare_nodes(_by_block(members.join(sets, "key")), similarity))

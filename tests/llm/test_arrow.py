@@ -170,6 +170,21 @@ def test_join_equals_brute_force(spark, monkeypatch, leaf, block):
     assert any(n > 5 for _, _, n in got)
 
 
+def test_join_recall_past_three_levels(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAF", 1)
+    monkeypatch.setattr(ngram_join, "KEPT", 2.0)              # every node with company is split down to DEPTH
+    pairs = []
+    for i in range(800):
+        text = " ".join(f"w{i}x{j}" for j in range(54))       # 50 shingles; without the last ten words 40 of them: 0.8
+        pairs += [(2 * i, text), (2 * i + 1, " ".join(text.split()[:44]))]
+    assert linked(pairs[0][1], pairs[1][1]) and not linked(pairs[0][1], pairs[2][1])
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    got = records(ngram_join.jaccard_join(df))
+    assert all(g["n_links"] <= 1 and g["class_id"] in (g["doc_id"], g["doc_id"] // 2 * 2) for g in got)
+    missed = sum(g["n_links"] == 0 for g in got) / len(got)
+    assert missed <= 1.5 * (1 - ngram_join.RECALL)            # by chance; with the runs for three levels it is about 0.04
+
+
 def test_join_of_awkward_rows(spark):
     docs = documents(spark)
     pairs = [(r[0], r[1]) for r in rows()]
