@@ -3,7 +3,7 @@
 Four kinds of values are found by pattern (e-mail address, IP address, card number, phone number).  Each distinct
 value is a protected entity e.  A term t that stands in a document with e, at any distance and also inside e, is judged by
 what it tells about e, estimated from whole documents:  PMI(e; t) = log(N n(e, t) / (n(e) n(t))),  against the
-information content IC(e) = log(N / n(e)).  At PMI = IC the term never occurs without e and reveals it fully.  In documents that contain e, terms with
+information content IC(e) = log(N / n(e)).  At PMI = IC the term never occurs without e and reveals it fully.  In all documents, with e or without it, terms with
 PMI >= REMOVE * IC are removed and those with PMI >= GENERALISE * IC are generalised (to the shape of the word).
 Evidence must come from at least CONTEXTS documents with different surroundings of e (the NEAR_WORDS words on each side),
 so copies of one passage prove nothing.  The surroundings tell copies apart; they do not limit which terms are judged.
@@ -114,13 +114,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .withColumn("mark", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"))
 
 
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """mark, words (the distinct ones of the text) and values array<struct<kind, value, context>>: a row for each document with values.
+def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """words (the distinct ones of the text) and values array<struct<kind, value, context>>: a row for each document with values.
 
     A value that stands in several places of a document is listed once; its context is the hash of the words around all of them.
     """
-    rows = _rows(docs, id_col, text_col).where(F.col("text").rlike("@|[0-9]"))
-    rows = rows.select("mark", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    rows = docs.select(filled(text_col).alias("text")).where(F.col("text").rlike("@|[0-9]"))
+    rows = rows.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
 
     def listed(e: Column) -> Column:
         own = F.filter("spans", lambda s: (s["kind"] == e["kind"]) & (s["value"] == e["value"]))
@@ -128,7 +128,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.struct(e["kind"].alias("kind"), e["value"].alias("value"), F.xxhash64(F.array_sort(near)).alias("context"))
 
     distinct = F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
-    return rows.select("mark", F.array_distinct(_words(F.col("text"))).alias("words"), F.transform(distinct, listed).alias("values"))
+    return rows.select(F.array_distinct(_words(F.col("text"))).alias("words"), F.transform(distinct, listed).alias("values"))
 
 
 def _contexts() -> Column:
@@ -162,18 +162,18 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text") -
     return scored.where(F.col("strength") >= GENERALISE - 1e-9).select("kind", "value", "term", "strength")
 
 
-def terms_of_documents(found: DataFrame, revealing: DataFrame) -> DataFrame:
-    """mark, terms array<struct<term, strength>>: what to hide in each document that contains a protected value."""
-    held = found.select("mark", F.explode("values").alias("e")).select("mark", "e.kind", "e.value").distinct()
-    hits = held.join(revealing, ["kind", "value"])
-    strongest = hits.groupBy("mark", "term").agg(F.max("strength").alias("strength"))
-    return strongest.groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("term", "strength"))).alias("terms"))
+def terms_of_documents(docs: DataFrame, revealing: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """mark, terms array<struct<term, strength>>: what to hide in each document, whether it contains the protected value or not."""
+    strongest = cut_lineage(revealing.groupBy("term").agg(F.max("strength").alias("strength")))
+    words = _rows(docs, id_col, text_col).select("mark", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    hits = words.join(small_enough(strongest), "term").groupBy("mark", "term").agg(F.max("strength").alias("strength"))
+    return hits.groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("term", "strength"))).alias("terms"))
 
 
 def all_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text, base, hidden``: pattern spans, and the spans of revealing terms that lie outside them."""
-    found = stored(mentions(docs, id_col, text_col))
-    terms = cut_lineage(terms_of_documents(found, revealing_terms(docs, found, text_col)))
+    found = stored(mentions(docs, text_col))
+    terms = cut_lineage(terms_of_documents(docs, revealing_terms(docs, found, text_col), id_col, text_col))
     rows = _rows(docs, id_col, text_col).withColumn("base", base_spans(F.col("text")))
     rows = rows.join(small_enough(terms), "mark", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"),

@@ -238,8 +238,8 @@ def test_revealing_terms(spark):
     assert text[100] == plain[0][1]
 
 
-def terms_by_hand(texts, everywhere):
-    """Terms hidden in each text: PMI over whole documents, in the texts with the value or in all."""
+def terms_by_hand(texts):
+    """Terms hidden in each text: PMI over whole documents, with the value or without it."""
     words = [set(filter(None, re.split(r"[\W_]+", t.lower()))) for t in texts]
     around = lambda t, v: tuple(sorted({w for m in re.finditer(re.escape(v), t) for w in (
         re.findall(r"[^\W_]+", t[:m.start()].lower())[-8:] + re.findall(r"[^\W_]+", t[m.end():].lower())[:8])}))
@@ -256,7 +256,7 @@ def terms_by_hand(texts, everywhere):
             with_term = [i for i, x in enumerate(words) if w in x]
             pmi = math.log(len(texts) * len(both) / (len(docs) * len(with_term)))
             if pmi >= 0.9 * math.log(len(texts) / len(docs)) - 1e-9:
-                for i in with_term if everywhere else both:
+                for i in with_term:
                     out[i].add(w)
     return out
 
@@ -273,7 +273,7 @@ def test_terms_at_any_distance(spark):
     texts += [f"head {some(20)}" for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {g["doc_id"]: g["spans"] for g in records(pii.pii_report(df))}
-    by_hand = terms_by_hand(texts, False)
+    by_hand = terms_by_hand(texts)
     for i, t in enumerate(texts[:8]):
         assert hidden_words(got[i], t) == {w for w in by_hand[i] if re.search(rf"(?i)(?<![\w@.]){w}(?![\w@.])", t)}
         assert f"tail{i % 2}" in hidden_words(got[i], t)
@@ -281,6 +281,20 @@ def test_terms_at_any_distance(spark):
     assert all("term:0:7" in g["spans"].split(",") for g in records(pii.pii_report(one)) if g["doc_id"] < 8)
 
 
+def test_terms_in_documents_without_the_value(spark):
+    texts = [f"Quibble ann@x.org number{i}" for i in range(20)] + ["a quibble here", "A Quibble there"]
+    texts += [f"plain text {i}" for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {g["doc_id"]: g["spans"] for g in records(pii.pii_report(df))}
+    by_hand = terms_by_hand(texts)
+    assert by_hand[20] == by_hand[21] == {"quibble"}          # 20 of 22 documents with it have the value: above 0.9 of IC
+    assert (got[20], got[21]) == ("term:2:9", "term:2:9")
+    assert all("term:0:7" in got[i].split(",") for i in range(20))
+    assert all(got[i] == "" for i in range(22, len(texts)))
+    clean = {r["doc_id"]: r["sanitised"] for r in records(pii.sanitise(df))}
+    assert clean[20] == "a xxxxxxx here" and clean[21] == "A Xxxxxxx there"
+
+
 def test_running_sums(spark, monkeypatch):
     df = spark.createDataFrame([([],), ([5],), (list(range(700)),)], "a array<long>").select(running_sums(F.col("a")).alias("s"))
     for n, r in zip((0, 1, 700), df.collect()):
