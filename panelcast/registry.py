@@ -425,14 +425,7 @@ ML_FEATS = ["n_events", "n_users", "k_avg", "hour", "dayofweek", "is_weekend", "
             "days_to_nearest_holiday", "y_same_hour_2d_ago", "y_same_hour_7d_ago", "y_same_hour_30d_mean",
             "y_same_hour_30d_std", "y_daily_mean_2d_ago", "y_hourly_change", "y_daily_change"]
 NAIVE = ["naive_2d", "naive_7d", "roll_30d"]
-# Parameters the registered model queries pass (the reference feeds tuned parameters to these steps too);
-# library defaults remain the reference defaults (100 trees / 100 boosting rounds).
-CHECK_PARAMS = {
-    "random_forest": {"n_estimators": 30, "max_depth": 8, "random_state": 42},
-    "xgboost": {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1, "random_state": 42},
-    "lightgbm": {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1, "random_state": 42},
-    "ridge": {"alpha": 1.0},
-}
+POOLED = ["random_forest", "xgboost", "lightgbm", "stacking"]
 
 
 def _day_range(spark, d):
@@ -455,48 +448,39 @@ def q_backtest_ridge(spark, d):
 
 
 def q_backtest_pooled(spark, d):
-    """Pooled MLlib refits per origin day (the reference's daily refit loop) over the last three days."""
-    import datetime as _dt
+    """Pooled MLlib refits per origin day (the reference's daily refit loop) over the whole panel, all four strategies."""
     from .plans.backtest import backtest
-    _, end = _day_range(spark, d)
-    return backtest(feature_table(spark, d), end - _dt.timedelta(days=3), end, ["random_forest", "naive_2d"],
-                    ML_FEATS, "y", prefix="y", model_params=CHECK_PARAMS)
+    start, end = _day_range(spark, d)
+    return backtest(feature_table(spark, d), start, end, [*POOLED, "naive_2d"], ML_FEATS, "y", prefix="y")
 
 
 def q_model_fit_predict(spark, d):
     from .plans.tuning import train_eval
-    m, _, pred = train_eval(feature_table(spark, d), "random_forest", ML_FEATS, "y",
-                            params=CHECK_PARAMS["random_forest"])
+    m, _, pred = train_eval(feature_table(spark, d), "random_forest", ML_FEATS, "y")
     return pred.select(*KEYS, "split", "pred")
 
 
 def q_feature_importance(spark, d):
     from .plans.models import fit_model
     ft = feature_table(spark, d)
-    return fit_model(chrono_split(ft).where("split = 'train'"), "xgboost", ML_FEATS, "y",
-                     CHECK_PARAMS["xgboost"]).importances()
+    return fit_model(chrono_split(ft).where("split = 'train'"), "xgboost", ML_FEATS, "y").importances()
 
 
 def q_stacking(spark, d):
-    from .plans.stacking import stack_predict
-    ft = feature_table(spark, d)
-    _, end = _day_range(spark, d)
-    import datetime as _dt
-    last = end - _dt.timedelta(days=1)
-    tr = ft.where((F.col("date_hour") >= F.lit(last - _dt.timedelta(days=60)).cast("timestamp_ntz")) &
-                  (F.col("date_hour") < F.lit(last).cast("timestamp_ntz")))
-    te = ft.where(F.to_date("date_hour") == F.lit(last))
-    return stack_predict(tr, te, ML_FEATS, "y", model_params=CHECK_PARAMS)
+    """Stacked predictions of every day that has enough history."""
+    from .plans.backtest import backtest_predictions
+    start, end = _day_range(spark, d)
+    return backtest_predictions(feature_table(spark, d), start, end, ["stacking"], ML_FEATS, "y").select(*KEYS, "pred")
 
 
 def q_grid_search(spark, d):
     from .plans.tuning import grid_search
-    return grid_search(feature_table(spark, d), "ridge", ML_FEATS, {"alpha": [0.1, 1.0, 10.0]}, "y")
+    return grid_search(feature_table(spark, d), "ridge", ML_FEATS, target="y")
 
 
 def q_auto_select(spark, d):
     from .plans.tuning import auto_select
-    board, _ = auto_select(feature_table(spark, d), ML_FEATS, "y", params=CHECK_PARAMS)
+    board, _ = auto_select(feature_table(spark, d), ML_FEATS, "y")
     return board
 
 
@@ -508,13 +492,13 @@ def q_forecast(spark, d):
         lambda x: add_history_stats(x, "y")))
     fut = build_future_features(p.where(F.col("date_hour") >= cut).drop("y", "y_cents"), hist, "y")
     best = M.best_strategy(evaluations_fx(spark, d), by=["series_key"])
-    return forecast(hist, fut, [*NAIVE, "ridge"], ML_FEATS, "y", best=best).drop("created_at")
+    return forecast(hist, fut, [*NAIVE, "ridge", *POOLED], ML_FEATS, "y", best=best).drop("created_at")
 
 
 def q_feature_selection(spark, d):
     """Two-stage selection on the hourly feature table (correlation pruning, then importance cut)."""
     from .plans.tuning import feature_selection_pipeline
-    return feature_selection_pipeline(feature_table(spark, d), ALL_FEATS, "y", params=CHECK_PARAMS)
+    return feature_selection_pipeline(feature_table(spark, d), ALL_FEATS, "y")
 
 
 def q_stream_online_eval(spark, d):

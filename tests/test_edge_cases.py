@@ -265,3 +265,32 @@ def test_unknown_strategy_raises(spark):
     assert pred_best(preds, best(None)).first()["pred_best"] == 1.0
     with pytest.raises(Exception, match="no prediction column"):
         pred_best(preds, best("other")).collect()
+
+
+def test_registered_model_queries_do_the_whole_job(spark, monkeypatch):
+    from panelcast import registry
+    from panelcast.plans import backtest, models, tuning
+    seen = {}
+
+    def spy(name):
+        def called(*args, **kw):
+            seen[name] = args, kw
+            raise InterruptedError
+        return called
+
+    lo, hi = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
+    four = ["random_forest", "xgboost", "lightgbm", "stacking"]
+    monkeypatch.setattr(registry, "feature_table", lambda *a: spark.range(1).select(F.lit(1.0).alias("y")))
+    monkeypatch.setattr(registry, "chrono_split", lambda ft: ft.withColumn("split", F.lit("train")))
+    monkeypatch.setattr(registry, "_day_range", lambda *a: (lo, hi))
+    for module, name in ((backtest, "backtest"), (backtest, "backtest_predictions"), (backtest, "forecast"), (models, "fit_model"),
+                         (tuning, "train_eval"), (tuning, "grid_search"), (tuning, "auto_select"), (tuning, "feature_selection_pipeline")):
+        monkeypatch.setattr(module, name, spy(name))
+    for q in ("backtest_pooled", "stacking", "forecast", "feature_importance", "model_fit_predict", "grid_search", "auto_select",
+              "feature_selection"):
+        with pytest.raises(InterruptedError):
+            registry.QUERIES[q](spark, "/root/testdata/sf0.001")
+    assert seen["backtest"][0][1:3] == seen["backtest_predictions"][0][1:3] == (lo, hi)
+    assert set(four) < set(seen["backtest"][0][3]) and set(four) < set(seen["forecast"][0][2])
+    assert len(seen["grid_search"][0]) == 3 and "grid" not in seen["grid_search"][1]
+    assert not any(isinstance(x, dict) for args, kw in seen.values() for x in (*args, *kw.values()))   # library defaults
