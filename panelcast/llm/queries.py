@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, langid, mixing, ngram_join, pii, suffix_dedup, token_counts
+from . import bpe, chat, exact_dedup, fingerprints, langid, mixing, negatives, ngram_join, pii, suffix_dedup, token_counts, token_files, vector_codes
 from .common import read_table
 
 
@@ -56,6 +56,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_report(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), label=moved)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_code_report(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fingerprints": op2_fingerprints,
@@ -67,6 +81,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op11_token_files": op11_token_files,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {}
@@ -126,3 +143,69 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
        row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM d
 """
+
+SQL["op12_hard_negatives"] = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id AS id,
+         CAST(CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256.0::DOUBLE * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.uid, a.id AS anchor_id, c.id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM v AS a JOIN v AS c ON a.id % 50 = 0 AND (a.label <> c.label OR a.id IS DISTINCT FROM c.id)),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, id NULLS LAST) AS slot FROM s WHERE same)
+  WHERE slot <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.uid, p.slot ORDER BY s.score DESC, s.id NULLS LAST) AS INTEGER) AS rank
+  FROM p JOIN s ON p.uid = s.uid AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def _codes_sql(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    """Rounds of assignment and averaging, each a pair of tables; vectors have parts x width components."""
+    axes = range(width)
+    out = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT uid, part, {", ".join(f"v[part * {width} + {j + 1}] AS x{j}" for j in axes)}
+  FROM v, range({parts}) AS r(part)),
+c0 AS MATERIALIZED (
+  SELECT part, entry, {", ".join(f"x{j} AS e{j}" for j in axes)}
+  FROM p JOIN (SELECT uid, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry FROM v) USING (uid)
+  WHERE entry < {entries})"""]
+    for k in range(rounds + 1):
+        far = " + ".join(f"(x{j} - e{j}) * (x{j} - e{j})" for j in axes)
+        out.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT uid, part, min(d) AS d, CAST(arg_min(entry, struct_pack(d := d, entry := entry)) AS BIGINT) AS entry
+  FROM (SELECT uid, part, entry, {far} AS d FROM p JOIN c{k} USING (part)) GROUP BY uid, part)""")
+        if k < rounds:
+            mean = ", ".join(f"coalesce(CAST((s{j} - ((s{j} % n) + n) % n) // n AS BIGINT), e{j}) AS e{j}" for j in axes)
+            out.append(f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, {mean}
+  FROM c{k} AS c LEFT JOIN (
+    SELECT a.part, a.entry, count(*) AS n, {", ".join(f"sum(x{j}) AS s{j}" for j in axes)}
+    FROM a{k} AS a JOIN p USING (uid, part) GROUP BY a.part, a.entry) AS m ON m.part = c.part AND m.entry = c.entry)""")
+    return "WITH" + ",".join(out) + f""",
+o AS (
+  SELECT uid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY uid),
+h AS (
+  SELECT sha256(string_agg(concat_ws(',', {", ".join(f"e{j}" for j in axes)}), ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM o JOIN v USING (uid), h
+"""
+
+
+SQL["op13_vector_codes"] = _codes_sql()
