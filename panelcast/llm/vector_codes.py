@@ -135,14 +135,14 @@ def _moved(state: DataFrame, packed: Packed, parts: int, books: Codebooks) -> Co
     def run(batches):
         total, count = np.zeros((parts, k, width), np.int64), np.zeros((parts, k), np.int64)
         for batch in batches:
-            grid = grid_of(batch.column(0), kind, dims).astype(np.int64).reshape(-1, parts, width)
+            grid = grid_of(batch.column(0), kind, dims).astype(np.int64).reshape(batch.num_rows, parts, width)
             code = grid_of(batch.column(1), "u1", parts)
             for p in range(parts):
                 np.add.at(total[p], code[:, p], grid[:, p])
                 count[p] += np.bincount(code[:, p], minlength=k)
         place, entry = (x.reshape(-1) for x in np.indices((parts, k)))
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(entry), pa.array(count.reshape(-1)),
-                                          pa.array(list(total.reshape(-1, width)), pa.list_(pa.int64()))],
+                                          pa.array(total.reshape(parts * k, width).tolist(), pa.list_(pa.int64()))],
                                          ["part", "entry", "n", "total"])
 
     sums = state.select("v", "code").mapInArrow(run, "part bigint, entry bigint, n bigint, total array<bigint>")
