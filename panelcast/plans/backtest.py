@@ -4,12 +4,10 @@
 per-day row counts.  Strategies then run as:
 
 * ``naive_*`` / ``roll_*`` — a feature column read on the test rows (no fit, no training rows);
-* ``ridge`` — one closed-form ridge per ``(series, origin)`` group in
-  ``applyInPandas`` (bounded groups, fully parallel), on the origin fan-out
-  ``rolling_origins`` of the columns it needs;
-* ``random_forest`` / ``xgboost`` / ``lightgbm`` / ``stacking`` — pooled MLlib
-  fits over all series, one distributed fit per origin on a time slice of the features (written once),
-  origins submitted from a small thread pool so independent jobs overlap.
+* ``ridge`` — one closed-form ridge per ``(series, origin)`` from daily Gram sums
+  (``plans.ridge``; every row is summed up once);
+* ``random_forest`` / ``xgboost`` / ``lightgbm`` / ``stacking`` — histogram trees over
+  all series of an origin's window; the fits of all origins, kinds and folds are one plan (``plans.forests``).
 
 Ridge is fitted per series and the pooled strategies over all of them without a series feature, so their errors
 compare the two ways of training as much as the models.
@@ -21,19 +19,19 @@ metrics group by ``(series, origin, strategy)``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MIN_TRAIN_ROWS, STRATEGY_TO_PRED_COL, TRAIN_DAYS
+from ..constants import MIN_TRAIN_ROWS, N_FOLDS, STRATEGY_TO_PRED_COL, TRAIN_DAYS
 from ..functions.exprs import join_null_safe
 from ..operators.clean import chosen_column
 from ..operators.folds import eligible_origins, origin_test_rows, rolling_origins
 from ..operators.metrics import metrics
 from ..session import cut_lineage
-from .models import fit_model, ridge_by_group
-from .stacking import stack_predict
+from .forests import FULL, TREE_KINDS, binned, fit_predict, tree_spec
+from .ridge import rolling_ridge
+from .stacking import BASE_KINDS, stack, with_folds
 
 NAIVE_COLUMNS = {"naive_2d": "same_hour_2d_ago", "naive_7d": "same_hour_7d_ago", "roll_30d": "same_hour_30d_mean"}
 POOLED = ("random_forest", "xgboost", "lightgbm", "stacking")
@@ -42,71 +40,63 @@ POOLED = ("random_forest", "xgboost", "lightgbm", "stacking")
 def backtest_predictions(features: DataFrame, start, end, strategies: Sequence[str], feature_cols: Sequence[str],
                          target: str = "y", prefix: str | None = None, key: str = "series_key",
                          time: str = "date_hour", train_days: int = TRAIN_DAYS,
-                         min_train_rows: int = MIN_TRAIN_ROWS, model_params: Mapping | None = None,
-                         parallelism: int = 2) -> DataFrame:
+                         min_train_rows: int = MIN_TRAIN_ROWS, model_params: Mapping | None = None) -> DataFrame:
     """Long test-day predictions ``(key, origin, time, strategy, pred, actual)`` for every strategy."""
     p = prefix or target
     origins = cut_lineage(eligible_origins(features, start, end, train_days, min_train_rows, key, time, target))
     test = origin_test_rows(features, origins, key, time)
     alpha = float((model_params or {}).get("ridge", {}).get("alpha", 1.0))
-    parts, rows = [], None
+    unknown = set(strategies) - {*NAIVE_COLUMNS, *POOLED, "ridge"}
+    if unknown:
+        raise ValueError(f"unknown strategy {sorted(unknown)}")
+    parts = []
     for s in strategies:
         if s in NAIVE_COLUMNS:
             parts.append(test.select(key, "origin", time, F.lit(s).alias("strategy"),
                                      F.col(f"{p}_{NAIVE_COLUMNS[s]}").cast("double").alias("pred")))
         elif s == "ridge":
-            folds = rolling_origins(features.select(*_columns(key, time, target, feature_cols)), start, end, train_days,
-                                    min_train_rows, key, time, target)
-            r = ridge_by_group(folds, [key, "origin"], feature_cols, target, alpha=alpha,
-                               min_train_rows=min_train_rows)
+            r = rolling_ridge(features.select(*_columns(key, time, target, feature_cols)), start, end, feature_cols, target, [alpha],
+                              train_days, min_train_rows, key, time)
             parts.append(r.select(key, "origin", time, F.lit(s).alias("strategy"), "pred"))
-        elif s in POOLED:
-            rows = rows or cut_lineage(features.select(*_columns(key, time, target, feature_cols)))
-            parts.append(_pooled(rows, origin_test_rows(rows, origins, key, time), origins, s, feature_cols, target, key, time,
-                                 train_days, model_params, parallelism))
-        else:
-            raise ValueError(f"unknown strategy {s!r}")
+    if pooled := [s for s in strategies if s in POOLED]:
+        parts.append(_pooled(features, start, end, pooled, feature_cols, target, key, time, train_days, min_train_rows, model_params))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
     act = test.select(key, "origin", time, F.col(target).alias("actual"))
-    return out.join(act, [key, "origin", time])
+    return join_null_safe(out, act, [key, "origin", time])
 
 
 def _columns(key, time, target, feature_cols) -> list[str]:
     return list(dict.fromkeys([key, time, target, *feature_cols]))
 
 
-def _pooled(rows: DataFrame, test: DataFrame, origins: DataFrame, kind: str, feature_cols, target, key, time, train_days,
-            model_params, parallelism) -> DataFrame:
-    """One pooled fit per origin (all series that can be tested that day), origins submitted concurrently.
+def _pooled(rows: DataFrame, start, end, kinds: Sequence[str], feature_cols, target, key, time, train_days, min_train_rows,
+            model_params) -> DataFrame:
+    """``(key, origin, time, strategy, pred)`` of pooled strategies for every origin, fitted together (``plans.forests``).
 
-    ``rows`` is materialised; a fit reads the time slice of its window, no row is copied.  Only the list of
-    origin days comes to the driver.
+    A training set is an origin's window over all series that can be tested that day.  ``rows`` may have ``_f`` (true: a
+    future row, for testing only; the others then only train).
     """
-    days = [r["origin"] for r in origins.select("origin").distinct().orderBy("origin").collect()]
-
-    def one(origin):
-        day = F.lit(origin)
-        window = (F.col(time) >= F.date_sub(day, train_days).cast("timestamp_ntz")) & (F.col(time) < day.cast("timestamp_ntz"))
-        tr = join_null_safe(rows.where(window), origins.where(F.col("origin") == day), [key], "left_semi")
-        te = test.where(F.col("origin") == day)
-        if kind == "stacking":
-            pr = stack_predict(tr, te, feature_cols, target, key=key, time=time, model_params=model_params)
-        else:
-            m = fit_model(tr, kind, feature_cols, target, (model_params or {}).get(kind))
-            pr = m.predict(te).select(key, time, "pred")
-        return pr.select(key, F.lit(origin).alias("origin"), time, F.lit(kind).alias("strategy"),
-                         F.greatest(F.col("pred"), F.lit(0.0)).alias("pred") if kind == "stacking" else "pred")
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        frames = list(ex.map(one, days))
-    if not frames:
-        return rows.sparkSession.createDataFrame(
-            [], f"{key} string, origin date, {time} timestamp_ntz, strategy string, pred double")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    feature_cols = list(feature_cols)
+    future = ["_f"] if "_f" in rows.columns else []
+    packed = cut_lineage(binned(rows.select(*_columns(key, time, target, feature_cols), *future), feature_cols, [key, time], target))
+    folds = rolling_origins(packed, start, end, train_days, min_train_rows, key, time, target)
+    train, test = folds.where("role = 'train'").where(F.col(target).isNotNull()), folds.where("role = 'test'")
+    if future:
+        train, test = train.where("not _f"), test.where("_f")
+    bases = [s for s in kinds if s != "stacking"]
+    stacked = "stacking" in kinds
+    variants = {s: [FULL] * (s in bases) + list(range(N_FOLDS)) * stacked for s in TREE_KINDS if s in bases or stacked}
+    specs = {s: tree_spec(s, (model_params or {}).get(s)) for s in variants}
+    preds = cut_lineage(fit_predict(with_folds(train, test, N_FOLDS, key, time, ["origin"]), specs, len(feature_cols), ["origin"],
+                                    [key, time], target, variants))
+    cols = [key, "origin", time, "strategy", "pred"]
+    out = preds.where((F.col("variant") == FULL) & F.col("model").isin(bases)).withColumn("strategy", F.col("model")).select(*cols)
+    if stacked:
+        actual = train.select("origin", key, time, F.col(target).cast("double").alias("_y"))
+        top = stack(preds.where(F.col("variant") != FULL), actual, BASE_KINDS, ["origin"], key, time)
+        out = out.unionByName(top.withColumn("strategy", F.lit("stacking")).select(*cols))
     return out
 
 
@@ -145,23 +135,20 @@ def forecast(history_features: DataFrame, future_features: DataFrame, strategies
     origins = cut_lineage(eligible_origins(both, start, end, train_days, min_train_rows, key, time, target))
     test = origin_test_rows(both.where("_f"), origins, key, time)
     alpha = float((model_params or {}).get("ridge", {}).get("alpha", 1.0))
-    parts, rows = [], None
+    unknown = set(strategies) - {*NAIVE_COLUMNS, *POOLED, "ridge"}
+    if unknown:
+        raise ValueError(f"unknown strategy {sorted(unknown)}")
+    parts = []
     for s in strategies:
         if s in NAIVE_COLUMNS:
             parts.append(test.select(key, time, F.lit(s).alias("strategy"),
                                      F.col(f"{target}_{NAIVE_COLUMNS[s]}").alias("pred")))
         elif s == "ridge":
-            folds = rolling_origins(both, start, end, train_days, min_train_rows, key, time, target)
-            folds = folds.where((F.col("role") == "train") & ~F.col("_f") | (F.col("role") == "test") & F.col("_f"))
-            r = ridge_by_group(folds, [key, "origin"], feature_cols, target, alpha=alpha, min_train_rows=min_train_rows,
-                               clip_low=None)
+            r = rolling_ridge(both, start, end, feature_cols, target, [alpha], train_days, min_train_rows, key, time, F.col("_f"))
             parts.append(r.select(key, time, F.lit(s).alias("strategy"), "pred"))
-        elif s in POOLED:
-            rows = rows or cut_lineage(hist.select(*cols))
-            parts.append(_pooled(rows, test, origins, s, feature_cols, target, key, time, train_days, model_params, 2)
-                         .select(key, time, "strategy", "pred"))
-        else:
-            raise ValueError(f"unknown strategy {s!r}")
+    if pooled := [s for s in strategies if s in POOLED]:
+        parts.append(_pooled(both, start, end, pooled, feature_cols, target, key, time, train_days, min_train_rows, model_params)
+                     .select(key, time, "strategy", "pred"))
     long = parts[0]
     for x in parts[1:]:
         long = long.unionByName(x)
