@@ -10,19 +10,22 @@ places and the bits beyond that width.  After the blocks come an index of block
     documents  id i64, whether the id is null u8, number of ids u64; each as one run
     trailer    blocks u64, documents u64, ids u64, place of the index u64, magic
 
-Documents are dealt to tasks by ranges of (id, hash of the ids, place in the table), so equal and null ids spread too.
-A task writes files under names of its own and reports them in rows; only the files named by tasks that Spark accepted
-count, so a lost or repeated task leaves files that nobody reads.  Order: id, null last; rows of one id by their hash.
+Documents are dealt by ranges of ids that hold about as many rows each; an id (or null) with more rows than that has several.
+Texts stay where they are read; only token ids are shuffled.  A task writes files under names of its own and reports them in
+rows; only the files named by tasks that Spark accepted count, so a lost or repeated task leaves files that nobody reads.
+Order: id, null last; rows of one id by a hash of their token ids (by their places in the table, if there are very many).
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .arrow_rows import Memo, map_batches, texts_of
 from .common import stored
+from .shingles import mix64
 
 MAGIC, VERSION = b"PFOR", 1
 BLOCK = 256
@@ -42,6 +46,8 @@ FILE_IDS = 1 << 24
 #: Ids packed or unpacked at a time.
 SPAN = 1 << 17
 HEADER, TRAILER, HEAD = struct.Struct("<4sHHH"), struct.Struct("<QQQQ4s"), 7
+#: Widths at which packed bits are plain little-endian integers.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 POWERS = np.uint64(1) << np.arange(33, dtype=np.uint64)
 
 MANIFEST = "path string, part bigint, seq bigint, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -49,6 +55,38 @@ MANIFEST = "path string, part bigint, seq bigint, n_docs bigint, n_ids bigint, n
 
 # --- blocks ------------------------------------------------------------------------------------------------------------
 
+def _pack(values: np.ndarray, w: int) -> np.ndarray:
+    """The values (k x BLOCK, below 2^w) as bytes (k x BLOCK * w / 8), the lowest bit first."""
+    if w in WHOLE:
+        return values.astype(WHOLE[w]).view(np.uint8)
+    if w > 16:
+        bits = ((values[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    # Eight values make w bytes: four values to a word, two such words to sixteen bytes.
+    four = values.astype(np.uint64).reshape(-1, 2, 4)
+    words = four[:, :, 0] | four[:, :, 1] << np.uint64(w) | four[:, :, 2] << np.uint64(2 * w) | four[:, :, 3] << np.uint64(3 * w)
+    both = np.stack([words[:, 0] | words[:, 1] << np.uint64(4 * w), words[:, 1] >> np.uint64(64 - 4 * w)], axis=1)
+    return np.ascontiguousarray(both.astype("<u8").view(np.uint8)[:, :w]).reshape(len(values), -1)
+
+
+def _unpack(body: np.ndarray, w: int) -> np.ndarray:
+    """The values that ``_pack`` packed."""
+    if w in WHOLE:
+        return np.ascontiguousarray(body).view(WHOLE[w]).astype(np.uint32)
+    if w > 16:
+        bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(body), BLOCK, w)
+        value = np.zeros((len(body), BLOCK), np.uint32)
+        for j in range(w):
+            value |= bits[:, :, j].astype(np.uint32) << np.uint32(j)
+        return value
+    wide = np.zeros((len(body) * BLOCK // 8, 16), np.uint8)
+    wide[:, :w] = body.reshape(-1, w)
+    both = wide.view("<u8")
+    words = np.stack([both[:, 0], both[:, 0] >> np.uint64(4 * w) | both[:, 1] << np.uint64(64 - 4 * w)], axis=1)
+    four = words[:, :, None] >> (np.arange(4, dtype=np.uint64) * np.uint64(w)) & np.uint64((1 << w) - 1)
+    return four.astype(np.uint32).reshape(len(body), BLOCK)
+
+
 def pack_blocks(ids: np.ndarray, upper: int, percentile: int = PERCENTILE) -> list[bytes]:
     """Blocks of ``ids`` (k x BLOCK, uint32); ``upper`` is the number of bytes of an outlier's upper bits."""
     low = ids.min(axis=1)
@@ -59,8 +97,7 @@ def pack_blocks(ids: np.ndarray, upper: int, percentile: int = PERCENTILE) -> li
     packed: list[bytes] = [b""] * len(ids)
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = ((rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-        for r, line in zip(rows.tolist(), np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")):
+        for r, line in zip(rows.tolist(), _pack(rest[rows] & np.uint32((1 << w) - 1), w)):
             packed[r] = line.tobytes()
     out = []
     for k in range(len(ids)):
@@ -80,11 +117,7 @@ def unpack_blocks(raw: np.ndarray, starts: np.ndarray, upper: int) -> np.ndarray
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
         body = raw[starts[rows][:, None] + HEAD + np.arange(BLOCK * w // 8)]
-        bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        value = np.zeros((len(rows), BLOCK), np.uint32)
-        for j in range(w):
-            value |= bits[:, :, j].astype(np.uint32) << np.uint32(j)
-        ids[rows] = value
+        ids[rows] = _unpack(body, w)
     block = np.repeat(np.arange(len(starts)), n_out)
     if len(block):
         nth = np.arange(len(block)) - np.repeat(np.cumsum(n_out) - n_out, n_out)
@@ -213,6 +246,13 @@ def _byte_chars() -> dict[int, int]:
 BYTE_CHARS = _byte_chars()
 
 
+class Parts(Memo):
+    """Remembers parts of LONG characters at most."""
+
+    def __missing__(self, part: str) -> bytes:
+        return super().__missing__(part) if len(part) <= LONG else self.make(part)
+
+
 class WordEncoder:
     """Ids of a text by a vocabulary of lower-case words: each distinct part of a text is encoded once by the library.
 
@@ -228,7 +268,7 @@ class WordEncoder:
         self.library.no_padding()
         self.kind = kind
         self.model = self.library.model
-        self.parts = Memo(self._part, WORDS)
+        self.parts = Parts(self._part, WORDS)
         self.specials = {t.content[:2] for t in self.library.get_added_tokens_decoder().values()}
 
     def _ids(self, part: str) -> bytes:
@@ -255,10 +295,7 @@ class WordEncoder:
         if any(s in text for s in self.specials):
             return self._ids(text)
         if text.isascii() or not PLAIN.search(text):
-            parts = PARTS.findall(text.lower())
-            if len(max(parts, key=len, default="")) <= LONG:
-                return b"".join(map(self.parts.__getitem__, parts))
-            return b"".join([self.parts[p] if len(p) <= LONG else self._part(p) for p in parts])
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(text.lower())))
         return b"".join([self._ids(w) if PLAIN.search(w) else self._segment(w) for w in BLANK.split(text)])
 
     def encode(self, text: str) -> bytes:
@@ -274,11 +311,36 @@ def id_kind(definition: str) -> str:
     return "<u2" if Tokenizer.from_str(definition).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
-def token_bytes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1) -> tuple[DataFrame, str]:
-    """(id bigint, ids binary) of each document, its ids and then ``end_id``; and the type of an id in the bytes.
+class Ranges(NamedTuple):
+    """Ranges of ids that hold about as many rows each: their upper ends, ascending, and ranges for rows without an id.
+
+    An id with so many rows that it ends several ranges has its rows dealt over them.
+    """
+    ends: np.ndarray
+    without: int
+
+    def of(self, ids: np.ndarray, null: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """The range of each row; ``draw`` (0 to 1) deals the rows of an id that has several, in ascending order."""
+        first, last = (np.searchsorted(self.ends, ids, side) for side in ("left", "right"))
+        n = np.where(null, self.without, np.maximum(last - first, 1))
+        return np.where(null, len(self.ends) + 1, first) + np.minimum((draw * n).astype(np.int64), n - 1)
+
+
+def id_ranges(docs: DataFrame, id_col: str, n: int) -> Ranges:
+    """About ``n`` ranges of the ids, from their quantiles: n numbers come to the driver, and only the ids are read."""
+    ids = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"))
+    found = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [1.0], F.lit(100 * n)).alias("ends"),
+                    F.count("*").alias("all"), F.count("id").alias("known")).first()
+    return Ranges(np.array(found["ends"] or [], np.int64), max(1, math.ceil(n * (1 - found["known"] / max(1, found["all"])))))
+
+
+def token_rows(docs: DataFrame, path: str, ranges: Ranges, id_col: str = "doc_id", text_col: str = "text",
+               end_id: int | None = 1) -> tuple[DataFrame, str]:
+    """(range, id, tie, ids) of each document: its ids and then ``end_id`` as bytes; and the type of an id in the bytes.
 
     A null text counts as empty.  ``path`` names a vocabulary of the tokenizers library whose pre-tokenizer removes white
-    space and cuts by the pattern of PARTS.  Special tokens in texts are found as the library finds them.
+    space and cuts by the pattern of PARTS.  Special tokens in texts are found as the library finds them.  ``tie`` orders rows of
+    one id: by a hash of their ids, or, where the id has several ranges, by their places in the table.
     """
     with open(path, encoding="utf-8") as f:
         definition = f.read()
@@ -289,15 +351,22 @@ def token_bytes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     def make():
         if (shared.value, kind) not in _encoders:
             _encoders[shared.value, kind] = WordEncoder(shared.value, kind)
-        encoder = _encoders[shared.value, kind]
+        encoder, place = _encoders[shared.value, kind], [TaskContext.get().partitionId() << 40]
 
         def each(batch):
-            ids = pa.array([encoder.encode(t) + end for t in texts_of(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
+            ids = [encoder.encode(t) + end for t in texts_of(batch.column(1))]
+            doc, null = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            tie = np.array([zlib.crc32(i) for i in ids], np.int64)
+            dealt = mix64(np.arange(place[0], place[0] + len(ids)).astype(np.uint64)) >> np.uint64(32)
+            place[0] += len(ids)
+            several = np.where(null, ranges.without, np.diff([np.searchsorted(ranges.ends, doc, s) for s in ("left", "right")], axis=0)[0]) > 1
+            tie = np.where(several, dealt.astype(np.int64), tie)
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(doc, null, tie / 2.0 ** 32)), batch.column(0), pa.array(tie),
+                                              pa.array(ids, pa.binary())], ["range", "id", "tie", "ids"])
         return each
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return map_batches(rows, make, "id bigint, ids binary"), kind
+    return map_batches(rows, make, "range bigint, id bigint, tie bigint, ids binary"), kind
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -305,28 +374,31 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, id_
     """Writes the ids of all documents under ``folder`` (one of its own in the checkpoint folder) and returns the manifest.
 
     A row of the manifest names a file, its place in the order (part, seq), its documents, ids and bytes, and in ``start``
-    the number of ids in the files before it.  An empty table gives an empty manifest.  Files hold about ``file_ids`` ids,
-    and whole documents.
+    the number of ids in the files before it.  An empty table gives an empty manifest.  Files hold about ``file_ids`` ids at
+    most, and whole documents.
     """
-    tokens, kind = token_bytes(docs, path, id_col, text_col, end_id)
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, kind = token_rows(docs, path, id_ranges(docs, id_col, n), id_col, text_col, end_id)
     upper = int(kind[-1])
-    folder = folder or f"{ensure_checkpoint_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    order = [F.col("id").asc_nulls_last(), F.xxhash64("ids"), F.col("place")]
-    rows = stored(tokens).withColumn("place", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "ids")
+    folder = folder or f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    rows = rows.repartition(n, "range").sortWithinPartitions("range", "id", "tie", "ids")
 
     def run(batches):
         store, base = filesystem(folder)
         store.create_dir(base, recursive=True)
-        part, name, seq, out, done = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, None, []
+        name, part, seq, out, done = uuid.uuid4().hex, -1, 0, None, []
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for here, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
+                if out is not None and (here != part or out.n_ids >= file_ids):
+                    done.append((out.path, part, seq, *out.close()))
+                    out = None
+                if here != part:
+                    part, seq = here, -1
                 if out is None:
+                    seq += 1
                     out = FileWriter(store, f"{base}/{part:06d}-{seq:06d}-{name}.pfor", upper, percentile)
                 out.add(doc, np.frombuffer(ids.as_buffer(), kind).astype(np.uint32))
-                if out.n_ids >= file_ids:
-                    done.append((out.path, part, seq, *out.close()))
-                    out, seq = None, seq + 1
         if out is not None:
             done.append((out.path, part, seq, *out.close()))
         names = ["path", "part", "seq", "n_docs", "n_ids", "n_bytes"]

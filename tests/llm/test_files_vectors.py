@@ -54,6 +54,15 @@ def test_word_encoder_segments(monkeypatch):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("w", range(1, 33))
+def test_every_width_packs_like_a_bit_string(w):
+    values = np.random.default_rng(w).integers(0, 1 << w, (3, token_files.BLOCK), dtype=np.uint64).astype(np.uint32)
+    packed = token_files._pack(values, w)
+    want = [int("".join(f"{v:0{w}b}" for v in row[::-1].tolist()), 2).to_bytes(token_files.BLOCK * w // 8, "little") for row in values]
+    assert [p.tobytes() for p in packed] == want
+    assert (token_files._unpack(packed, w) == values).all()
+
+
 @pytest.mark.parametrize("upper,top", [(2, 1 << 16), (4, 1 << 32)])
 def test_blocks_come_back(upper, top):
     rng = np.random.default_rng(upper)
@@ -93,6 +102,23 @@ def test_token_files_many_files_and_lost_attempts(spark, tmp_path):
     assert sorted((r["start"], len(r["token_ids"])) for r in back) == sorted((r["start"], r["n_tokens"]) for r in again)
 
 
+def test_token_files_deal_a_hot_id_over_ranges(spark):
+    rng = random.Random(3)
+    table = [(rng.choice([7, 7, 7, None, i]), f"text {i} " * rng.randrange(4)) for i in range(600)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    ranges = token_files.id_ranges(df, "doc_id", 8)
+    assert (ranges.ends == 7).sum() >= 3 and ranges.without >= 2
+    lanes = records(token_files.token_rows(df, WORDS, ranges)[0].groupBy("id").agg(F.count_distinct("range").alias("n")).where("id = 7 OR id IS NULL"))
+    assert all(r["n"] >= 2 for r in lanes)
+    back = sorted(records(token_files.read_token_files(token_files.write_token_files(df, WORDS))), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in back]
+    known = [i for i in ids if i is not None]
+    assert known == sorted(known) and ids[:len(known)] == known and len(ids) == len(table)
+    lib = Tokenizer.from_file(WORDS)
+    assert sorted((str(r["doc_id"]), r["token_ids"]) for r in back) == sorted(
+        (str(i), [*lib.encode(t, add_special_tokens=False).ids, 1]) for i, t in table)
+
+
 def test_token_files_random_access(tmp_path):
     store, base = token_files.filesystem(f"file://{tmp_path}")
     writer = token_files.FileWriter(store, f"{base}/x.pfor", 2)
