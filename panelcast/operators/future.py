@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FUTURE_GAP_DAYS, FUTURE_LOOKBACK_DAYS, KEY_HOURS
 from ..functions.calendar import add_calendar
-from ..functions.exprs import ratio
+from ..functions.exprs import join_null_safe, ratio
 from ..session import cut_lineage
 from .folds import series_row_number
 from .holidays import add_holidays
@@ -57,8 +57,8 @@ def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *
     sc = (lambda c: c / F.lit(float(divisor))) if divisor else (lambda c: c)
     fut_keys = future.select(key, F.col(time).alias("_t")).distinct()
     bounds = fut_keys.groupBy(key).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    h = (history.where(F.col(target).isNotNull()).select(key, F.col(time).alias("_u"), F.col(target).alias("_y"))
-         .join(bounds, key)
+    h = (join_null_safe(history.where(F.col(target).isNotNull()).select(key, F.col(time).alias("_u"), F.col(target).alias("_y")),
+                        bounds, [key])
          .where((F.col("_u") >= F.col("_lo") - F.expr(f"interval {lookback_days} days")) &
                 (F.col("_u") < F.col("_hi") - F.expr(f"interval {gap_days} days")))
          .select(key, "_u", "_y"))
@@ -79,7 +79,7 @@ def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *
     t_lo = F.col("_t") - F.expr(f"interval {lookback_days} days")
     t_hi = F.col("_t") - F.expr(f"interval {gap_days} days")
     at = lambda days: F.max(F.when(F.col("_u") == F.col("_t") - F.expr(f"interval {days} days"), F.col("_y")))
-    sh = (cand.join(h.select(key, "_day", F.col("_hr").alias("_th"), "_u", "_y"), [key, "_day", "_th"])
+    sh = (join_null_safe(cand, h.select(key, "_day", F.col("_hr").alias("_th"), "_u", "_y"), [key, "_day", "_th"])
           .where((F.col("_u") >= t_lo) & (F.col("_u") < t_hi))
           .groupBy(key, "_t").agg(ratio(F.sum("_y"), F.count("_y")).alias("_shm"),
                                   F.stddev_samp("_y").alias("_shs"), F.min("_y").alias("_shmin"),
@@ -89,7 +89,7 @@ def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *
     days = (h.groupBy(key, "_day", "_hr").agg(F.sum("_y").alias("s"), F.count("_y").alias("c"),
                                                 F.max("_pos").alias("m"))
             .groupBy(key, "_day").agg(F.collect_list(F.struct(F.col("_hr").alias("hr"), "s", "c", "m")).alias("_a")))
-    cj = cand.join(days, [key, "_day"])
+    cj = join_null_safe(cand, days, [key, "_day"])
     keep = F.filter("_a", lambda x: F.when(F.col("_k") == gap_days, x["hr"] < F.col("_th"))
                     .when(F.col("_k") == lookback_days, x["hr"] >= F.col("_th")).otherwise(F.lit(True)))
     cj = cj.withColumn("_a", keep)
@@ -114,12 +114,14 @@ def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *
                                      F.struct(F.lit(1).alias("o"), (F.col("_idx") - 1).alias("pos")),
                                      F.struct(F.lit(24).alias("o"), (F.col("_idx") - 24).alias("pos")))).alias("_q"))
     need = need.select(key, "_t", F.col("_q.o").alias("_o"), F.col("_q.pos").alias("_pos"))
-    ch = (need.join(h.select(key, "_pos", "_y"), [key, "_pos"])
+    ch = (join_null_safe(need, h.select(key, "_pos", "_y"), [key, "_pos"])
           .groupBy(key, "_t").agg(F.max(F.when(F.col("_o") == 0, F.col("_y"))).alias("_y0"),
                                   F.max(F.when(F.col("_o") == 1, F.col("_y"))).alias("_y1"),
                                   F.max(F.when(F.col("_o") == 24, F.col("_y"))).alias("_y24")))
 
-    out = fut_keys.join(sh, [key, "_t"], "left").join(dstat, [key, "_t"], "left").join(ch, [key, "_t"], "left")
+    out = fut_keys
+    for part in (sh, dstat, ch):
+        out = join_null_safe(out, part, [key, "_t"], "left")
     hr = F.hour("_t")
     cols = {
         f"{p}_same_hour_2d_ago": sc(F.col("_e2")),
@@ -137,7 +139,7 @@ def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *
     for kh in key_hours:
         cols[f"{p}_hour{kh}_30d_mean"] = F.when(hr == kh, sc(F.col("_shm")))
     out = out.select(key, "_t", *[v.alias(k) for k, v in cols.items()])
-    return future.join(out.withColumnRenamed("_t", time), [key, time], "left")
+    return join_null_safe(future, out.withColumnRenamed("_t", time), [key, time], "left")
 
 
 def build_future_features(future: DataFrame, history: DataFrame, target: str = "y", *,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_STRATEGY, HIST_BINS, SMAPE_SCALE
-from ..functions.exprs import smape_term
+from ..functions.exprs import join_null_safe, smape_term
 
 
 def metrics(df: DataFrame, by: Sequence[str], actual: str = "actual", pred: str = "pred") -> DataFrame:
@@ -53,14 +53,14 @@ def join_actuals(preds: DataFrame, actuals: DataFrame, key: str = "series_key",
                  target: str = "y") -> DataFrame:
     """Predictions ⋈ actuals on (series, time) (J1); the actual column is named ``actual``."""
     act = actuals.select(key, time, F.col(target).alias("actual"))
-    return preds.join(act, [key, time])
+    return join_null_safe(preds, act, [key, time])
 
 
 def unevaluated(preds: DataFrame, evaluations: DataFrame, eval_type: str = "online",
                 key: str = "series_key", time: str = "date_hour") -> DataFrame:
     """Prediction rows whose day has no evaluation of ``eval_type`` yet (J2, anti-join)."""
     done = evaluations.where(F.col("eval_type") == eval_type).select(key, F.col("date").alias("_d")).distinct()
-    return preds.withColumn("_d", F.to_date(time)).join(done, [key, "_d"], "left_anti").drop("_d")
+    return join_null_safe(preds.withColumn("_d", F.to_date(time)), done, [key, "_d"], "left_anti").drop("_d")
 
 
 def evaluate_online(preds: DataFrame, actuals: DataFrame, evaluations: DataFrame, pred_col: str = "pred",
@@ -134,7 +134,7 @@ def histogram(df: DataFrame, value: str, bins: int = HIST_BINS, key: str = "seri
     v = F.col(value)
     d = df.where(v.isNotNull())
     bounds = d.groupBy(key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    d = d.join(bounds, key)
+    d = join_null_safe(d, bounds, [key])
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
         F.least(F.lit(bins), F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))) + 1))

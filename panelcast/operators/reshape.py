@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BLEND_EPS
+from ..functions.exprs import join_null_safe
 
 MAX_STRATEGIES = 1000
 
@@ -50,6 +51,6 @@ def blend(long: DataFrame, how: str = "mean", weights: DataFrame | None = None,
             # partitions.  A table that is not that small is joined as the optimizer sees fit.
             if wt.limit(MAX_STRATEGIES + 1).count() <= MAX_STRATEGIES:
                 wt = F.broadcast(wt)
-        j = long.where(F.col(value).isNotNull()).join(wt, wcols)
+        j = join_null_safe(long.where(F.col(value).isNotNull()), wt, wcols)
         return j.groupBy(*ids).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(out))
     raise ValueError(f"unknown blend {how!r}")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio, round_half_up
+from ..functions.exprs import join_null_safe, ratio, round_half_up
 from ..session import cut_lineage
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -169,7 +169,7 @@ def apply_standardizer(df: DataFrame, stats: DataFrame, cols: Sequence[str], by:
     """
     by = list(by)
     if by:
-        j = df.join(stats, by)
+        j = join_null_safe(df, stats, by)
         mu = {c: F.col(f"{c}__mu") for c in cols}
         sd = {c: F.col(f"{c}__sd") for c in cols}
     else:

@@ -303,8 +303,8 @@ def leakage_check(df: DataFrame, cutoff, target: str = "y", *, key: str = "serie
     b = add_history_stats(masked, target, key=key, time=time, **kw)
     feats = features or [c for c in a.columns if c not in df.columns]
     on_day = F.to_date(time) == day
-    j = a.where(on_day).select(key, time, *feats).alias("a").join(
-        b.where(on_day).select(key, time, *feats).alias("b"), [key, time])
-    diff = [F.sum((~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))).cast("int")).alias(f) for f in feats]
+    hidden = b.where(on_day).select(key, time, *[F.col(f).alias(f"_h_{f}") for f in feats])
+    j = join_null_safe(a.where(on_day).select(key, time, *feats), hidden, [key, time])
+    diff = [F.sum((~F.col(f).eqNullSafe(F.col(f"_h_{f}"))).cast("int")).alias(f) for f in feats]
     return j.agg(F.count(F.lit(1)).alias("_n"), *diff).unpivot(["_n"], feats, "feature", "n_changed") \
         .withColumnRenamed("_n", "n_rows").select("feature", "n_rows", "n_changed")
