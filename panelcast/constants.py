@@ -163,6 +163,20 @@ MODEL_DEFAULTS = {
     "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "random_state": 42},
     "lightgbm": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "random_state": 42},
 }
+# --- fixed values: search grids and bounds --------------------------------------------------
+RIDGE_GRID_RANGE = (-3.0, 3.0, 10)          # log10 start, log10 stop, count
+DEFAULT_GRIDS = {
+    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [5, 10, 15], "min_samples_leaf": [1, 2, 4]},
+    "xgboost": {"n_estimators": [50, 100], "max_depth": [3, 6], "learning_rate": [0.01, 0.1]},
+    "lightgbm": {"n_estimators": [50, 100], "max_depth": [3, 6], "learning_rate": [0.01, 0.1]},
+}
+SEARCH_BOUNDS = {
+    "random_forest": {"n_estimators": (50, 300), "max_depth": (3, 15), "min_samples_split": (2, 20), "min_samples_leaf": (1, 10)},
+    "xgboost": {"learning_rate": (0.01, 0.3), "max_depth": (3, 10), "n_estimators": (50, 300),
+                "subsample": (0.6, 1.0), "colsample_bytree": (0.6, 1.0), "reg_alpha": (0, 1), "reg_lambda": (0, 1)},
+    "lightgbm": {"learning_rate": (0.01, 0.3), "max_depth": (3, 10), "n_estimators": (50, 300), "num_leaves": (20, 100),
+                 "subsample": (0.6, 1.0), "colsample_bytree": (0.6, 1.0), "reg_alpha": (0, 1), "reg_lambda": (0, 1)},
+}
 META_RIDGE_ALPHAS_RANGE = (-3.0, 3.0, 20)   # log10 start, log10 stop, count
 SMAPE_SCALE = 100.0
 BLEND_EPS = 1e-6

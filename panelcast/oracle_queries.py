@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from .oracle import (PANELS, calendar_cols, div, cyclic_cols, holiday_cols, holiday_cte, r, select_list, stat_cols,
                      with_day_mean, with_panels)
-from .constants import KEY_HOURS
-from .registry import ALL_FEATS, CAL_INT, CYC_DIGITS, ON_SUPPLY, PAIR_COLS, SCALE_COLS, STAT
+from .constants import KEY_HOURS, N_FOLDS
+from .plans.tuning import DEFAULT_GRIDS
+from .registry import ALL_FEATS, CAL_INT, CYC_DIGITS, FUTURE_FROM, ON_SUPPLY, PAIR_COLS, SCALE_COLS, STAT
 
 KEYS = "series_key, date_hour, y"
 
@@ -254,7 +257,7 @@ FROM (SELECT series_key, max(date_hour) AS mx FROM panel_hourly GROUP BY 1) m"""
     "all_features": _all_features_sql("panel_hourly", "n_events, n_users, k_avg",
                                       ("lag", "rolling", "daily", "change", "key_hour"), True),
     "all_features_supply": _all_features_sql("panel_supply", "n_lines, qty, disc_avg",
-                                             ("lag", "rolling", "daily", "change"), False),
+                                             ("lag", "rolling", "daily", "change", "key_hour"), True),
     "scan_time_slice": "SELECT event_type AS series_key, ts AS date_hour, TRY_CAST(value AS DOUBLE) AS value, "
         "TRY_CAST(user_id AS DOUBLE) AS user_id FROM events "
         "WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'",
@@ -407,6 +410,51 @@ def _backtest_sql() -> str:
 
 
 SQL["backtest_metrics"] = _backtest_sql()
+
+# Ridge with one feature x: with z = (x - mean) / deviation over the training rows, the coefficient is sum(z y') / (sum(z z) + alpha).
+RIDGE1_FIT = ("count(*) AS n, avg(CAST(n_events AS DOUBLE)) AS xm, avg(y) AS ym, stddev_pop(CAST(n_events AS DOUBLE)) AS sx, "
+              "covar_pop(y, CAST(n_events AS DOUBLE)) AS c")
+
+
+def _ridge1(alpha: str) -> str:
+    return f"ym + CASE WHEN sx = 0 THEN 0.0 ELSE (n_events - xm) / sx * (n * c / sx) / (n + {alpha}) END"
+
+
+def _rolling_ridge1(source: str, asked: str) -> str:
+    return f"""f AS (
+  SELECT d.series_key, d.origin, {RIDGE1_FIT}
+  FROM (SELECT DISTINCT series_key, CAST(date_hour AS DATE) AS origin FROM {asked}) d JOIN {source} p
+    ON p.series_key = d.series_key AND p.date_hour >= CAST(d.origin - INTERVAL 60 DAY AS TIMESTAMP)
+   AND p.date_hour < CAST(d.origin AS TIMESTAMP) AND p.y IS NOT NULL
+  GROUP BY 1, 2 HAVING count(*) >= 24),
+lp AS (
+  SELECT t.series_key, f.origin, t.date_hour, 'ridge' AS strategy, {r(_ridge1("1.0"), 6)} AS pred, t.y AS actual
+  FROM {asked} t JOIN f ON f.series_key = t.series_key AND f.origin = CAST(t.date_hour AS DATE))"""
+
+
+SQL["backtest_ridge1"] = with_panels("panel_hourly", extra=_rolling_ridge1("panel_hourly", "panel_hourly")) + (
+    "SELECT series_key, origin AS date, strategy, n, rmse, mape, r2 FROM (" + metric_sql("lp", "series_key, origin, strategy") + ") m")
+SQL["forecast_ridge1"] = with_panels("panel_hourly", extra=f"""h AS (SELECT * FROM panel_hourly WHERE date_hour < TIMESTAMP '{FUTURE_FROM}'),
+a AS (SELECT * FROM panel_hourly WHERE date_hour >= TIMESTAMP '{FUTURE_FROM}'),
+""" + _rolling_ridge1("h", "a")) + "SELECT series_key, date_hour, pred AS pred_ridge, pred AS pred_best FROM lp"
+
+
+def _grid_ridge1_sql(k: int = N_FOLDS) -> str:
+    points = ", ".join(f"('{json.dumps({'alpha': float(a)})}', CAST('{float(a)!r}' AS DOUBLE))" for a in DEFAULT_GRIDS["ridge"]["alpha"])
+    return with_panels("panel_hourly", extra=f"""x AS (
+  SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date_hour) AS rn, count(*) OVER (PARTITION BY series_key) AS m,
+         count(*) OVER (PARTITION BY series_key) // {k + 1} AS ts
+  FROM panel_hourly WHERE y IS NOT NULL),
+g AS (SELECT params, alpha, CAST(i AS BIGINT) AS i FROM (VALUES {points}) v(params, alpha), range({k}) AS q(i)),
+f AS (SELECT i, {RIDGE1_FIT} FROM x, range({k}) AS q(i) WHERE ts > 0 AND rn <= m - ({k} - i) * ts GROUP BY i),
+s AS (
+  SELECT params, g.i, sqrt(avg((y - ({_ridge1("alpha")})) * (y - ({_ridge1("alpha")})))) AS rmse
+  FROM g JOIN f ON f.i = g.i JOIN x ON x.ts > 0 AND x.rn > m - ({k} - g.i) * ts AND x.rn <= m - ({k} - g.i - 1) * ts
+  GROUP BY 1, 2)
+""") + f"SELECT 'ridge' AS model, params, {r('avg(rmse)', 6)} AS rmse FROM s GROUP BY params"
+
+
+SQL["grid_ridge1"] = _grid_ridge1_sql()
 SQL["replace_slice"] = fx(evals=True) + """SELECT series_key, date, strategy, """ + r("rmse", 6) + " AS rmse, " + \
     r("mape", 6) + " AS mape, " + r("r2", 6) + """ AS r2, eval_type FROM (
   SELECT * FROM ev WHERE NOT (eval_type = 'backtest' AND date >= DATE '2024-01-05' AND date < DATE '2024-01-15')

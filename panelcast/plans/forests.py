@@ -45,7 +45,7 @@ MAX_DEPTH = 30
 BITS = 30
 FULL = -1
 TREE_KINDS = ("random_forest", "xgboost", "lightgbm")
-KNOWN = {"n_estimators", "max_depth", "learning_rate", "min_samples_leaf", "min_samples_split", "reg_lambda", "subsample",
+KNOWN = {"n_estimators", "max_depth", "learning_rate", "min_samples_leaf", "min_samples_split", "reg_alpha", "reg_lambda", "subsample",
          "colsample_bytree", "random_state"}
 
 
@@ -58,6 +58,7 @@ class TreeSpec(NamedTuple):
     min_leaf: int
     min_split: int
     ridge: float
+    lasso: float
     rows: float
     columns: float
     seed: int
@@ -76,7 +77,7 @@ def tree_spec(kind: str, params: Mapping | None = None) -> TreeSpec:
     forest = kind == "random_forest"
     return TreeSpec(not forest, int(p["n_estimators"]), depth, 1.0 if forest else float(p["learning_rate"]),
                     int(p.get("min_samples_leaf", 20 if kind == "lightgbm" else 1)), int(p.get("min_samples_split", 2)),
-                    float(p.get("reg_lambda", 1.0 if kind == "xgboost" else 0.0)), float(p.get("subsample", 1.0)),
+                    float(p.get("reg_lambda", 1.0 if kind == "xgboost" else 0.0)), float(p.get("reg_alpha", 0.0)), float(p.get("subsample", 1.0)),
                     float(p.get("colsample_bytree", 1.0)), int(p.get("random_state", 42)))
 
 
@@ -111,7 +112,12 @@ class Tree:
 
 
 def leaf_value(spec: TreeSpec, g: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.rint(spec.step * g / np.maximum(n + spec.ridge, 1e-12)).astype(np.int64)
+    return np.rint(spec.step * shrunk(spec, g) / np.maximum(n + spec.ridge, 1e-12)).astype(np.int64)
+
+
+def shrunk(spec: TreeSpec, g: np.ndarray) -> np.ndarray:
+    """Gradient sums moved towards 0 by the absolute penalty (in the units of the sums)."""
+    return g if not spec.lasso else np.sign(g) * np.maximum(np.abs(g) - spec.lasso, 0.0)
 
 
 def best_splits(spec: TreeSpec, g: np.ndarray, n: np.ndarray, used: np.ndarray):
@@ -122,15 +128,15 @@ def best_splits(spec: TreeSpec, g: np.ndarray, n: np.ndarray, used: np.ndarray):
     total, count = g[:, 0].sum(axis=1), n[:, 0].sum(axis=1)
     gl, nl = np.cumsum(g[:, :, :-1], axis=2), np.cumsum(n[:, :, :-1], axis=2)
     gr, nr = total[:, None, None] - gl, count[:, None, None] - nl
-    score = gl * gl / np.maximum(nl + spec.ridge, 1e-12)
-    score += gr * gr / np.maximum(nr + spec.ridge, 1e-12)
+    score = shrunk(spec, gl) ** 2 / np.maximum(nl + spec.ridge, 1e-12)
+    score += shrunk(spec, gr) ** 2 / np.maximum(nr + spec.ridge, 1e-12)
     if spec.min_leaf > 1:
         score[np.minimum(nl, nr) < spec.min_leaf] = -np.inf
     if not used.all():
         score[:, ~used] = -np.inf
     flat = score.reshape(len(score), -1)
     at, row = flat.argmax(axis=1), np.arange(len(flat))
-    whole = total * total / np.maximum(count + spec.ridge, 1e-12)
+    whole = shrunk(spec, total) ** 2 / np.maximum(count + spec.ridge, 1e-12)
     feature, cut = at // score.shape[2], at % score.shape[2]
     left, left_n = gl[row, feature, cut], nl[row, feature, cut]
     good = (flat[row, at] > whole * (1 + 1e-12) + 1e-9) & (count >= spec.min_split) & (left_n > 0) & (left_n < count)
@@ -426,6 +432,7 @@ def fit_predict(rows: DataFrame, specs: Mapping[str, TreeSpec], n_features: int,
     by, ids = list(by), list(ids)
     top = rows.agg(F.max(F.abs(F.col(target).cast("double")))).first()[0] or 1.0
     scale = 2.0 ** (BITS - math.ceil(math.log2(top)) - 1)
+    specs = {name: s._replace(lasso=s.lasso * scale) for name, s in specs.items()}
     y = F.col(target).cast("double")
     rows = rows.select(*by, *ids, "role", "fold", "_rid", "_bins", F.round(y * F.lit(scale)).cast("bigint").alias("_y"))
     rows = cut_lineage(rows.where((F.col("role") == "test") | F.col("_y").isNotNull()))

@@ -1,15 +1,15 @@
 """Hyper-parameter search, model selection and single-model evaluation.
 
-Every candidate fit is a distributed MLlib job; candidates are submitted from
-a small thread pool so independent jobs overlap on the cluster.  Folds are
-expanding time folds (never ``CrossValidator``'s k-fold, which would train
-on the future).
+The points of a search over models of trees are one plan over shared, binned folds (``plans.forests``).  Single fits and
+ridge are distributed MLlib jobs; candidates are submitted from a small thread pool so independent jobs overlap on the
+cluster.  Folds are expanding time folds (never ``CrossValidator``'s k-fold, which would train on the future).
 """
 
 from __future__ import annotations
 
 import itertools
 import json
+import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -17,29 +17,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import N_FOLDS, TRAIN_RATIO
+from ..constants import DEFAULT_GRIDS, N_FOLDS, RIDGE_GRID_RANGE, SEARCH_BOUNDS, TRAIN_RATIO
+from ..functions.exprs import join_null_safe
 from ..operators.folds import chrono_split, fold_train_rows, time_folds
 from ..session import cut_lineage
 from ..operators.metrics import metrics
 from ..operators.reshape import blend
 from ..operators.selection import importance_cut, prune_correlated
+from .forests import TREE_KINDS, binned, fit_predict, tree_spec
 from .models import MODEL_KINDS, fit_model
+from .stacking import with_folds
 
-# Default grids and search bounds (parameters of the search, reference values).
-DEFAULT_GRIDS = {
-    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [5, 10, 15], "min_samples_leaf": [1, 2, 4]},
-    "ridge": {"alpha": list(np.logspace(-3, 3, 10))},
-    "xgboost": {"n_estimators": [50, 100], "max_depth": [3, 6], "learning_rate": [0.01, 0.1]},
-    "lightgbm": {"n_estimators": [50, 100], "max_depth": [3, 6], "learning_rate": [0.01, 0.1]},
-}
-SEARCH_BOUNDS = {
-    "random_forest": {"n_estimators": (50, 300), "max_depth": (3, 15), "min_samples_leaf": (1, 10)},
-    "xgboost": {"learning_rate": (0.01, 0.3), "max_depth": (3, 10), "n_estimators": (50, 300),
-                "subsample": (0.6, 1.0), "colsample_bytree": (0.6, 1.0)},
-    "lightgbm": {"learning_rate": (0.01, 0.3), "max_depth": (3, 10), "n_estimators": (50, 300),
-                 "subsample": (0.6, 1.0), "colsample_bytree": (0.6, 1.0)},
-}
-INT_PARAMS = {"n_estimators", "max_depth", "min_samples_leaf"}
+INT_PARAMS = {"n_estimators", "max_depth", "min_samples_leaf", "min_samples_split"}
+#: Steps of the neighbourhood grid; 1 for the others.
+STEPS = {"n_estimators": 20, "min_samples_split": 2}
+#: Search parameters that trees grown level by level do not have; a search lists them instead of using them.
+WITHOUT_COUNTERPART = ("num_leaves",)
+DEFAULT_GRIDS = DEFAULT_GRIDS | {"ridge": {"alpha": list(np.logspace(*RIDGE_GRID_RANGE[:2], RIDGE_GRID_RANGE[2]))}}
 
 
 def folded(df: DataFrame, target: str = "y", k: int = N_FOLDS, key: str = "series_key", time: str = "date_hour") -> DataFrame:
@@ -65,9 +59,13 @@ def fold_rmse(f: DataFrame, kind: str, params: Mapping, features: Sequence[str],
 def grid_search(df: DataFrame, kind: str, features: Sequence[str], grid: Mapping | None = None, target: str = "y",
                 k: int = N_FOLDS, parallelism: int = 2, base_params: Mapping | None = None) -> DataFrame:
     """Score every grid point with time folds (M10); rows ``(model, params, rmse)`` sorted by RMSE."""
-    grid = grid or DEFAULT_GRIDS[kind]
-    names = sorted(grid)
-    points = [dict(zip(names, vals)) for vals in itertools.product(*[grid[n] for n in names])]
+    points = points_of(grid or DEFAULT_GRIDS[kind])
+    if kind in TREE_KINDS:
+        full = [{**(base_params or {}), **p} for p in points]
+        scores = tree_scores(binned_folds(df, features, target, k), {str(i): (kind, p) for i, p in enumerate(full)}, len(features), target, k)
+        rows = [(kind, json.dumps(p, sort_keys=True, default=float), scores[str(i)]) for i, p in enumerate(full)]
+        return df.sparkSession.createDataFrame(rows, "model string, params string, rmse double").orderBy(
+            F.col("rmse").asc_nulls_last(), "params")
     folds = df if "n_rows" in df.columns and "fold" in df.columns else folded(df, target, k)
 
     def score(p):
@@ -88,24 +86,48 @@ def random_points(kind: str, n: int, seed: int = 42) -> list[dict]:
         p = {}
         for name, (lo, hi) in SEARCH_BOUNDS[kind].items():
             v = rng.uniform(lo, hi)
-            p[name] = int(v) if name in INT_PARAMS else float(v)
+            if name not in WITHOUT_COUNTERPART:
+                p[name] = int(v) if name in INT_PARAMS else float(v)
         out.append(p)
     return out
 
 
 def neighbourhood(kind: str, best: Mapping) -> dict:
-    """±1 step grid around a point, clipped to the bounds (forest: ±20 trees)."""
+    """One step around a point in each whole-numbered parameter, clipped to the bounds (forest: 20 trees, 2 rows to split)."""
     grid = {}
     for name, (lo, hi) in SEARCH_BOUNDS[kind].items():
-        v = best[name]
-        if name in INT_PARAMS:
-            step = 20 if name == "n_estimators" else 1
-            grid[name] = sorted({max(int(lo), int(v) - step), int(v), min(int(hi), int(v) + step)})
-        else:
-            grid[name] = [v]
+        if name in best:
+            v, step = best[name], STEPS.get(name, 1)
+            grid[name] = sorted({max(int(lo), int(v) - step), int(v), min(int(hi), int(v) + step)}) if name in INT_PARAMS else [v]
     return grid
 
 
+def points_of(grid: Mapping) -> list[dict]:
+    names = sorted(grid)
+    return [dict(zip(names, vals)) for vals in itertools.product(*[grid[n] for n in names])]
+
+
+def binned_folds(df: DataFrame, features: Sequence[str], target: str = "y", k: int = N_FOLDS, key: str = "series_key",
+                 time: str = "date_hour") -> DataFrame:
+    """Rows with a target, binned once and with their folds: every point of a search reads this table."""
+    rows = binned(df.where(F.col(target).isNotNull()).select(*dict.fromkeys([key, time, target, *features])), features, [key, time], target)
+    return cut_lineage(with_folds(rows, rows.limit(0), k, key, time, []).withColumn("_set", F.lit(0)))
+
+
+def tree_scores(folds: DataFrame, points: Mapping[str, tuple[str, Mapping]], n_features: int, target: str = "y", k: int = N_FOLDS,
+                key: str = "series_key", time: str = "date_hour") -> dict[str, float]:
+    """Mean validation RMSE of every named point (kind, params); all points and folds are fitted in one plan."""
+    specs = {name: tree_spec(kind, params) for name, (kind, params) in points.items()}
+    preds = fit_predict(folds, specs, n_features, ["_set"], [key, time], target, {name: range(k) for name in specs})
+    rows = join_null_safe(preds, folds.select(key, time, F.col(target).cast("double").alias("_y")), [key, time])
+    rmse = rows.groupBy("model", "variant").agg(F.sqrt(F.avg((F.col("pred") - F.col("_y")) ** 2)).alias("rmse"))
+    found = {r["model"]: (r["n"], r["rmse"]) for r in rmse.groupBy("model").agg(
+        F.count("*").alias("n"), F.avg("rmse").alias("rmse")).collect()}                     # one row a point
+    if any(found.get(name, (0,))[0] < k for name in points):
+        raise ValueError("a fold has no row to learn from or to validate on; use fewer folds or more rows")
+    return {name: float(found[name][1]) for name in points}
+
+
 def feature_selection_pipeline(df: DataFrame, features: Sequence[str], target: str = "y", keep: float = 0.5,
                                limit: float = 0.95, threshold="median", params: Mapping | None = None,
                                seed: int = 42) -> DataFrame:
@@ -123,31 +145,75 @@ def feature_selection_pipeline(df: DataFrame, features: Sequence[str], target: s
     return importance_cut(imps[0].unionByName(imps[1]), threshold)
 
 
-def tune_once(df: DataFrame, start, end, features: Sequence[str], target: str = "y",
-              kinds: Sequence[str] = ("random_forest", "xgboost", "lightgbm"), n_random: int = 10,
-              seed: int = 42, parallelism: int = 2, time: str = "date_hour") -> dict:
-    """One-shot tuning job over ``[start, end)`` (M11): selection, then search per model.
+def halving(folds: DataFrame, points: Mapping[str, tuple[str, dict]], n_features: int, shares: Sequence[float], target: str = "y",
+            k: int = N_FOLDS, key: str = "series_key", time: str = "date_hour") -> list[tuple[int, str, str, dict, int, float]]:
+    """Successive halving: (round, name, kind, params, trees, rmse) of every fit.
+
+    Round i gives each point that is left ``shares[i]`` of its trees; then the better half of each kind stays (ties by name).
+    The budget follows from the points and shares: points x (share + share / 2 + ...) of full fits.
+    """
+    out, left = [], dict(points)
+    for i, share in enumerate(shares):
+        tries = {name: (kind, {**p, "n_estimators": max(1, math.ceil(share * p["n_estimators"]))}) for name, (kind, p) in left.items()}
+        scores = tree_scores(folds, tries, n_features, target, k, key, time)
+        out += [(i, name, *left[name], tries[name][1]["n_estimators"], scores[name]) for name in left]
+        for kind in {kind for kind, _ in left.values()}:
+            own = sorted((n for n in left if left[n][0] == kind), key=lambda n: (scores[n], n))
+            for name in own[math.ceil(len(own) / 2):] if i < len(shares) - 1 else ():
+                del left[name]
+    return out
+
+
+def tune_once(df: DataFrame, start, end, features: Sequence[str], target: str = "y", kinds: Sequence[str] = TREE_KINDS,
+              n_points: int = 8, shares: Sequence[float] = (0.25, 0.5, 1.0), seed: int = 42, k: int = N_FOLDS,
+              key: str = "series_key", time: str = "date_hour", select: bool = True) -> DataFrame:
+    """One tuning job over ``[start, end)`` (M11) as one table (item, model, round, name, value, chosen).
+
+    * ``feature``: the two-stage selection (``select=False``: all features stay), value = importance;
+    * ``search``: ``n_points`` seeded random points a model, by successive halving over shared, pre-binned folds;
+    * ``grid``: for the forest, one step around its best point in depth, rows to split and rows in a leaf (halving again), then in
+      the number of trees;
+    * ``without_counterpart``: search parameters that these models do not have.
 
-    Returns ``{'selected_features': [...], 'params': {kind: {...}}, 'scores': DataFrame}``.
+    ``name`` holds the feature or the parameters (JSON), ``value`` the mean validation RMSE, ``chosen`` marks the features kept and the
+    best parameters of each model.  The same input and seed give the same table.
     """
     w = df.where((F.col(time) >= F.lit(start).cast("timestamp_ntz")) & (F.col(time) < F.lit(end).cast("timestamp_ntz"))
                  & F.col(target).isNotNull())
-    cut = feature_selection_pipeline(w, features, target, seed=seed)
-    selected = [r["feature"] for r in cut.where("selected").orderBy(F.col("importance").desc()).collect()]
-    params, scores = {}, []
-    folds = folded(w, target)
-    for kind in kinds:
-        pts = random_points(kind, n_random, seed)
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            res = list(ex.map(lambda p: (p, fold_rmse(folds, kind, {**p, "random_state": seed}, selected, target)), pts))
-        best = min(res, key=lambda t: t[1])[0]
-        if kind == "random_forest":
-            g = grid_search(folds, kind, selected, neighbourhood(kind, best), target, parallelism=parallelism,
-                            base_params={"random_state": seed})
-            scores.append(g)
-            best = json.loads(g.first()["params"])
-        params[kind] = {**best, "random_state": seed}
-    return {"selected_features": selected, "params": params, "scores": scores}
+    rows, selected = [], list(features)
+    if select:
+        cut = feature_selection_pipeline(w, features, target, seed=seed).orderBy(F.col("importance").desc(), "feature").collect()
+        selected = [r["feature"] for r in cut if r["selected"]]
+        rows += [("feature", None, None, r["feature"], float(r["importance"]), bool(r["selected"])) for r in cut]
+    folds = binned_folds(w, selected, target, k, key, time)
+    base = {"random_state": seed}
+    name = lambda p: json.dumps(p, sort_keys=True, default=float)
+    points = {f"{kind} {i:03d}": (kind, {**p, **base}) for kind in kinds for i, p in enumerate(random_points(kind, n_points, seed))}
+    fits = [("search", f) for f in halving(folds, points, len(selected), shares, target, k, key, time)]
+
+    def best_of(kind):
+        full = [(f[5], name(f[3])) for _, f in fits if f[2] == kind and f[4] == f[3]["n_estimators"]]
+        return min(full)[1]
+
+    if "random_forest" in kinds:
+        for varied in (("max_depth", "min_samples_split", "min_samples_leaf"), ("n_estimators",)):
+            best = json.loads(best_of("random_forest"))
+            grid = {n: v if n in varied else [best[n]] for n, v in neighbourhood("random_forest", best).items()}
+            near = {f"grid {i:03d}": ("random_forest", {**p, **base}) for i, p in enumerate(points_of(grid))}
+            fits += [("grid", f) for f in halving(folds, near, len(selected), shares if len(varied) > 1 else (1.0,), target, k, key, time)]
+    winners = {(kind, best_of(kind)) for kind in kinds}
+    taken = set()
+    for item, (i, _, kind, p, trees, rmse) in fits:
+        won = trees == p["n_estimators"] and (kind, name(p)) in winners and (kind, name(p)) not in taken
+        taken |= {(kind, name(p))} if won else set()
+        rows.append((item, kind, i, name(p), rmse, won))
+    rows += [("without_counterpart", kind, None, n, None, False) for kind in kinds for n in SEARCH_BOUNDS[kind] if n in WITHOUT_COUNTERPART]
+    return df.sparkSession.createDataFrame(rows, "item string, model string, round int, name string, value double, chosen boolean")
+
+
+def chosen_params(tuned: DataFrame) -> dict[str, dict]:
+    """The best parameters of each model of a ``tune_once`` table."""
+    return {r["model"]: json.loads(r["name"]) for r in tuned.where("chosen and model is not null").collect()}
 
 
 def train_eval(df: DataFrame, kind: str, features: Sequence[str], target: str = "y", params: Mapping | None = None,

@@ -116,9 +116,8 @@ def q_all_features(spark, d):
 def q_all_features_supply(spark, d):
     """The full feature build on the supplier panel (series count grows with the data)."""
     p = add_holidays(add_calendar(panel_supply(spark, d)))
-    out = exact_history_stats(p)
-    return out.select(*KEYS, "n_lines", "qty", "disc_avg", *CAL_INT, *HOL,
-                      *[c for g in ("lag", "rolling", "daily", "change") for c in STAT[g]])
+    out = exact_history_stats(p, extra_round={c: CYC_DIGITS for c in CAL_CYC})
+    return out.select(*KEYS, "n_lines", "qty", "disc_avg", *CAL_INT, *CAL_CYC, *HOL, *[c for g in STAT.values() for c in g])
 
 
 def q_split_series_features(spark, d):
@@ -447,8 +446,35 @@ def q_backtest_ridge(spark, d):
     return backtest(feature_table(spark, d), start, end, ["ridge"], ML_FEATS, "y", prefix="y")
 
 
+RIDGE1 = ["n_events"]
+
+
+def q_backtest_ridge1(spark, d):
+    """The ridge backtest with one feature, whose solution is a plain formula."""
+    from .plans.backtest import backtest_predictions
+    start, end = _day_range(spark, d)
+    preds = backtest_predictions(panel_hourly(spark, d), start, end, ["ridge"], RIDGE1, "y")
+    m = M.metrics(_r6(preds, ["pred"]), ["series_key", "origin", "strategy"])
+    return _r6(m.select("series_key", F.col("origin").alias("date"), "strategy", "n", *MET), MET)
+
+
+def q_forecast_ridge1(spark, d):
+    """The forecast of the days from FUTURE_FROM on by ridge with one feature."""
+    from .plans.backtest import forecast
+    p = panel_hourly(spark, d)
+    cut = F.lit(FUTURE_FROM).cast("timestamp_ntz")
+    out = forecast(p.where(F.col("date_hour") < cut), p.where(F.col("date_hour") >= cut).drop("y", "y_cents"), ["ridge"], RIDGE1, "y")
+    return _r6(out.drop("created_at"), ["pred_ridge", "pred_best"])
+
+
+def q_grid_ridge1(spark, d):
+    """Grid search of the ridge penalty with one feature: mean RMSE over the expanding folds."""
+    from .plans.tuning import grid_search
+    return _r6(grid_search(panel_hourly(spark, d), "ridge", RIDGE1, target="y"), ["rmse"])
+
+
 def q_backtest_pooled(spark, d):
-    """Pooled MLlib refits per origin day (the reference's daily refit loop) over the whole panel, all four strategies."""
+    """Pooled refits per origin day (the reference's daily refit loop) over the whole panel, all four strategies."""
     from .plans.backtest import backtest
     start, end = _day_range(spark, d)
     return backtest(feature_table(spark, d), start, end, [*POOLED, "naive_2d"], ML_FEATS, "y", prefix="y")
@@ -478,6 +504,13 @@ def q_grid_search(spark, d):
     return grid_search(feature_table(spark, d), "ridge", ML_FEATS, target="y")
 
 
+def q_tune_once(spark, d):
+    """The tuning job over the whole panel: feature selection, successive halving, the forest's neighbourhood grid."""
+    from .plans.tuning import tune_once
+    start, end = _day_range(spark, d)
+    return tune_once(feature_table(spark, d), start, end, ML_FEATS, "y")
+
+
 def q_auto_select(spark, d):
     from .plans.tuning import auto_select
     board, _ = auto_select(feature_table(spark, d), ML_FEATS, "y")
@@ -540,11 +573,15 @@ def q_stream_hourly_panel(spark, d):
 QUERIES = {
     "backtest_metrics": q_backtest_metrics,
     "backtest_ridge": q_backtest_ridge,
+    "backtest_ridge1": q_backtest_ridge1,
+    "forecast_ridge1": q_forecast_ridge1,
+    "grid_ridge1": q_grid_ridge1,
     "backtest_pooled": q_backtest_pooled,
     "model_fit_predict": q_model_fit_predict,
     "feature_importance": q_feature_importance,
     "stacking": q_stacking,
     "grid_search": q_grid_search,
+    "tune_once": q_tune_once,
     "auto_select": q_auto_select,
     "forecast": q_forecast,
     "replace_slice": q_replace_slice,
