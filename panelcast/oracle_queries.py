@@ -461,6 +461,8 @@ SQL["replace_slice"] = fx(evals=True) + """SELECT series_key, date, strategy, ""
   UNION ALL
   SELECT series_key, date, strategy, rmse * 2, mape, r2, eval_type FROM ev
   WHERE strategy = 'naive_2d' AND date >= DATE '2024-01-05' AND date < DATE '2024-01-10' AND eval_type = 'backtest') u"""
+SQL["swap_slice"] = SQL["replace_slice"]
+SQL["stream_hourly_panel_closed"] = with_panels("panel_hourly") + "SELECT series_key, date_hour, y_cents, y, n_events FROM panel_hourly"
 SQL["stream_hourly_panel"] = with_panels("panel_hourly") + """SELECT series_key, date_hour, y_cents, y, n_events
 FROM panel_hourly WHERE date_hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
 SQL["split_series_features"] = with_panels("panel_daily") + "SELECT series_key, date_hour, y,\n  " + select_list(

@@ -570,7 +570,62 @@ def q_stream_hourly_panel(spark, d):
     return spark.read.parquet(root + "/out")
 
 
+ARRIVALS = 6
+
+
+def q_stream_hourly_panel_closed(spark, d):
+    """T1 over several micro-batches with out-of-order and repeated events, closed at the end: the hours emitted and those in state."""
+    import os
+    from .streaming.hourly import run_hourly_panel, unfinished_hours
+    root = os.path.join(ensure_dir(spark), f"arrivals-{uuid.uuid4().hex}")
+    events = spark.read.parquet(f"{d}/events.parquet")
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (hi - lo).total_seconds() / (ARRIVALS - 1)
+    # An event arrives up to 90 minutes late, every 17th twice at once and every 19th again in the next part (later than the watermark).
+    late = F.pmod(F.xxhash64("event_id"), F.lit(5400))
+    part = F.floor((F.timestamp_diff("SECOND", F.lit(lo), F.col("ts")) + late) / F.lit(step)).cast("int")
+    again = F.when(F.col("event_id") % 17 == 0, F.array(part, part)).when(
+        F.col("event_id") % 19 == 0, F.array(part, part + 1)).otherwise(F.array(part))
+    arrivals = cut_lineage(events.withColumn("_part", F.explode(again)))
+    for k in range(ARRIVALS + 1):
+        arrivals.where(F.col("_part") == k).drop("_part").repartition(4).write.mode("append").parquet(root + "/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(root + "/in")
+    run_hourly_panel(stream, root + "/out", root + "/ckpt", id_col="event_id")
+    return spark.read.parquet(root + "/out").unionByName(unfinished_hours(spark, root + "/ckpt"))
+
+
+def q_swap_slice(spark, d):
+    """S7 on storage: the evaluations as a versioned table, one slice of it swapped (twice, which is once)."""
+    import os
+    from .sources.versions import read_evaluations, swap_slice
+    root = os.path.join(ensure_dir(spark), f"evaluations-{uuid.uuid4().hex}")
+    old = evaluations_fx(spark, d)
+    for kind in ("backtest", "online"):
+        swap_slice(spark, root, old.where(F.col("eval_type") == kind), "2000-01-01", "2100-01-01", kind)
+    new = old.where((F.col("strategy") == "naive_2d") & (F.col("date") >= F.lit("2024-01-05").cast("date")) &
+                    (F.col("date") < F.lit("2024-01-10").cast("date"))).withColumn("rmse", F.col("rmse") * 2)
+    for _ in range(2):
+        swap_slice(spark, root, new, "2024-01-05", "2024-01-15", "backtest")
+    return _r6(read_evaluations(spark, root), MET)
+
+
+def q_batch_job(spark, d):
+    """The batch job on the hourly panel: tuning on the first part of January, backtest after it, forecast from FUTURE_FROM on."""
+    import os
+    from .plans.batch import batch_job
+    p = panel_hourly(spark, d)
+    cut = F.lit(FUTURE_FROM).cast("timestamp_ntz")
+    hist = cut_lineage(add_holidays(add_calendar(p.where(F.col("date_hour") < cut))).transform(lambda x: add_history_stats(x, "y")))
+    fut = build_future_features(p.where(F.col("date_hour") >= cut).drop("y", "y_cents"), hist, "y")
+    root = os.path.join(ensure_dir(spark), "batch-job")
+    done = batch_job(hist, fut, p, ML_FEATS, root, uuid.uuid4().hex, tuning=("2024-01-01", "2024-01-15"), testing=("2024-01-15", FUTURE_FROM))
+    return done["report"]
+
+
 QUERIES = {
+    "stream_hourly_panel_closed": q_stream_hourly_panel_closed,
+    "swap_slice": q_swap_slice,
+    "batch_job": q_batch_job,
     "backtest_metrics": q_backtest_metrics,
     "backtest_ridge": q_backtest_ridge,
     "backtest_ridge1": q_backtest_ridge1,

@@ -145,3 +145,51 @@ def test_overlapping_windows_raise(spark):
         with pytest.raises(ValueError):
             batch.check_windows(tune, test)
     batch.check_windows(("2024-01-01", "2024-01-05"), ("2024-01-05", "2024-01-07"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------------
+
+EVENTS = "event_id long, ts timestamp_ntz, event_type string, value double"
+
+
+def test_stream_with_late_and_repeated_events_closes_to_the_batch_panel(spark, tmp_path):
+    from panelcast.streaming.hourly import late_rows, run_hourly_panel, unfinished_hours
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    parts = [[(1, at(0.1), "a", 2.0), (2, at(0.5), None, 4.0), (1, at(0.1), "a", 2.0)],        # a repeated event
+             [(3, at(5.0), "a", 1.0), (4, at(3.9), "a", 3.0)],                                   # out of order, in time
+             [(6, at(5.5), "a", 5.0)],
+             [(5, at(0.2), "a", 99.0), (2, at(0.5), None, 4.0)],                                 # both too late
+             [(7, at(9.0), None, 7.0)]]
+    for part in parts:
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = run_hourly_panel(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), id_col="event_id")
+    emitted = spark.read.parquet(str(tmp_path / "out"))
+    rest = unfinished_hours(spark, str(tmp_path / "ckpt"))
+    show = lambda df: sorted((str(r["series_key"]), r["date_hour"].hour, r["y"], r["n_events"]) for r in df.collect())
+    assert show(emitted) == [("None", 0, 4.0, 1), ("a", 0, 2.0, 1), ("a", 3, 3.0, 1), ("a", 5, 3.0, 2)]
+    assert show(rest) == [("None", 9, 7.0, 1)]
+    late = late_rows(query)
+    assert late.where("operator like 'dedupe%'").agg(F.sum("n_late")).first()[0] == 2
+
+
+def test_online_eval_cost_does_not_grow_with_history(spark, tmp_path):
+    from panelcast.streaming.hourly import online_eval_batch
+    t0 = dt.datetime(2024, 1, 1)
+    actuals = spark.createDataFrame([("a", t0 + dt.timedelta(hours=h), float(h)) for h in range(24 * 6)],
+                                    "series_key string, date_hour timestamp_ntz, y double")
+    day = lambda d, by: actuals.where(F.dayofmonth("date_hour") == d).withColumn("pred", F.col("y") + by).drop("y")
+    run = online_eval_batch(actuals, str(tmp_path / "ev"))
+    for d in range(1, 6):
+        run(day(d, 1.0), d)
+    store = tmp_path / "ev_predictions"
+    files = {d.name: sorted(f.name for f in d.glob("*.parquet")) for d in store.iterdir() if d.is_dir()}
+    assert len(files) == 5
+    run(day(5, 2.0), 6)                                               # predicted again: the later batch wins
+    run(day(5, 1.0), 5)                                               # an old batch replayed: the later one still wins
+    after = {d.name: sorted(f.name for f in d.glob("*.parquet")) for d in store.iterdir() if d.is_dir()}
+    assert {n for n in files if files[n] != after[n]} == {"day=2024-01-05"}            # other days are not touched
+    assert sorted((r["date"].day, round(r["rmse"], 9)) for r in spark.read.parquet(str(tmp_path / "ev")).collect()) == [
+        (1, 1.0), (2, 1.0), (3, 1.0), (4, 1.0), (5, 2.0)]
+    run(day(9, 1.0).limit(0), 7)                                      # an empty batch
