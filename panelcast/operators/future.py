@@ -33,6 +33,7 @@ from ..functions.exprs import join_null_safe, ratio
 from ..session import cut_lineage
 from .folds import series_row_number
 from .holidays import add_holidays
+from .ranges import DAY, lookback_join
 
 
 def future_timeline(df: DataFrame, days: int, key: str = "series_key", time: str = "date_hour") -> DataFrame:
@@ -70,17 +71,13 @@ def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *
     fut_keys = cut_lineage(fut_keys)
     h = cut_lineage(h)
 
-    # Candidate days: k = 1..lookback_days before t's day.
-    cand = fut_keys.select(key, "_t", F.explode(F.sequence(F.lit(gap_days), F.lit(lookback_days))).alias("_k"))
-    cand = cand.withColumns({"_day": F.date_sub(F.to_date("_t"), F.col("_k")), "_th": F.hour("_t")})
+    asked = fut_keys.select(key, "_t", F.to_date("_t").alias("_d"), F.hour("_t").alias("_th"))
 
-    # Same-hour rows inside the lookback.  J4: the rows exactly 2 and 7 days back are
-    # same-hour rows on candidate days 2 and 7, so the same aggregate picks them up.
-    t_lo = F.col("_t") - F.expr(f"interval {lookback_days} days")
-    t_hi = F.col("_t") - F.expr(f"interval {gap_days} days")
+    # Same-hour rows inside the lookback (J5).  J4: the rows exactly 2 and 7 days back are
+    # among them, so the same aggregate picks them up.
     at = lambda days: F.max(F.when(F.col("_u") == F.col("_t") - F.expr(f"interval {days} days"), F.col("_y")))
-    sh = (join_null_safe(cand, h.select(key, "_day", F.col("_hr").alias("_th"), "_u", "_y"), [key, "_day", "_th"])
-          .where((F.col("_u") >= t_lo) & (F.col("_u") < t_hi))
+    sh = (lookback_join(asked, h.select(key, F.col("_hr").alias("_th"), "_u", "_y"), "_t", "_u", gap_days * DAY,
+                        lookback_days * DAY, [key, "_th"])
           .groupBy(key, "_t").agg(ratio(F.sum("_y"), F.count("_y")).alias("_shm"),
                                   F.stddev_samp("_y").alias("_shs"), F.min("_y").alias("_shmin"),
                                   F.max("_y").alias("_shmax"), at(2).alias("_e2"), at(7).alias("_e7")))
@@ -89,7 +86,8 @@ def add_future_stats(future: DataFrame, history: DataFrame, target: str = "y", *
     days = (h.groupBy(key, "_day", "_hr").agg(F.sum("_y").alias("s"), F.count("_y").alias("c"),
                                                 F.max("_pos").alias("m"))
             .groupBy(key, "_day").agg(F.collect_list(F.struct(F.col("_hr").alias("hr"), "s", "c", "m")).alias("_a")))
-    cj = join_null_safe(cand, days, [key, "_day"])
+    cj = lookback_join(asked, days, "_d", "_day", (gap_days - 1) * DAY, lookback_days * DAY, [key]).withColumn(
+        "_k", F.datediff("_d", "_day"))
     keep = F.filter("_a", lambda x: F.when(F.col("_k") == gap_days, x["hr"] < F.col("_th"))
                     .when(F.col("_k") == lookback_days, x["hr"] >= F.col("_th")).otherwise(F.lit(True)))
     cj = cj.withColumn("_a", keep)

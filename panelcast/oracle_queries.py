@@ -8,7 +8,7 @@ from .oracle import (PANELS, calendar_cols, div, cyclic_cols, holiday_cols, holi
                      with_day_mean, with_panels)
 from .constants import KEY_HOURS, N_FOLDS
 from .plans.tuning import DEFAULT_GRIDS
-from .registry import ALL_FEATS, CAL_INT, CYC_DIGITS, FUTURE_FROM, ON_SUPPLY, PAIR_COLS, SCALE_COLS, STAT
+from .registry import ALL_FEATS, CAL_INT, CYC_DIGITS, FUTURE_FROM, LEAK_DAYS, ON_SUPPLY, PAIR_COLS, SCALE_COLS, STAT
 
 KEYS = "series_key, date_hour, y"
 
@@ -461,6 +461,39 @@ SQL["replace_slice"] = fx(evals=True) + """SELECT series_key, date, strategy, ""
   UNION ALL
   SELECT series_key, date, strategy, rmse * 2, mape, r2, eval_type FROM ev
   WHERE strategy = 'naive_2d' AND date >= DATE '2024-01-05' AND date < DATE '2024-01-10' AND eval_type = 'backtest') u"""
+SQL["lookback_range"] = with_panels("panel_hourly") + f"""SELECT f.series_key, f.date_hour, count(h.y_cents) AS n,
+  CAST(sum(h.y_cents) AS BIGINT) AS total, min(h.y_cents) AS least, max(h.y_cents) AS most
+FROM (SELECT series_key, date_hour FROM panel_hourly WHERE date_hour >= TIMESTAMP '{FUTURE_FROM}') f
+LEFT JOIN (SELECT * FROM panel_hourly WHERE date_hour < TIMESTAMP '{FUTURE_FROM}') h
+  ON h.series_key = f.series_key AND h.date_hour >= f.date_hour - INTERVAL 31 DAY AND h.date_hour < f.date_hour - INTERVAL 1 DAY
+GROUP BY 1, 2"""
+
+
+def _page_sql() -> str:
+    """Ridge of one feature with training gaps at the median, predicted with gaps at 0 and clipped at 0."""
+    x = stat_cols()["y_same_hour_2d_ago"]
+    return with_panels("panel_hourly", extra=f"""h0 AS (SELECT * FROM panel_hourly WHERE date_hour < TIMESTAMP '{FUTURE_FROM}'),
+h AS (SELECT y, date_hour, {x} AS x FROM h0),
+m AS (SELECT median(x) AS med FROM h WHERE y IS NOT NULL),
+f AS (SELECT count(*) AS n, avg(coalesce(x, med)) AS xm, avg(y) AS ym, stddev_pop(coalesce(x, med)) AS sx,
+             covar_pop(y, coalesce(x, med)) AS c FROM h, m WHERE y IS NOT NULL),
+a AS (
+  SELECT p.series_key, p.date_hour, p.k_avg, s.y AS x, w.y AS x7
+  FROM (SELECT * FROM panel_hourly WHERE date_hour >= TIMESTAMP '{FUTURE_FROM}') p
+  LEFT JOIN h0 s ON s.series_key = p.series_key AND s.date_hour = p.date_hour - INTERVAL 2 DAY
+  LEFT JOIN h0 w ON w.series_key = p.series_key AND w.date_hour = p.date_hour - INTERVAL 7 DAY),
+pg AS (
+  SELECT series_key, date_hour, x, x7, k_avg, CAST(date_hour AS DATE) AS day, CAST(hour(date_hour) AS INTEGER) AS hour,
+         {r("greatest(0.0, ym + CASE WHEN sx = 0 THEN 0.0 ELSE (coalesce(x, 0.0) - xm) / sx * (n * c / sx) / (n + 1.0) END)", 6)} AS predicted_price
+  FROM a, f)""")
+
+
+SQL["predict_page"] = _page_sql() + "SELECT series_key, date_hour, predicted_price, day, hour FROM pg"
+SQL["predict_page_summary"] = _page_sql() + f"""SELECT series_key, day, {r("avg(predicted_price)", 6)} AS mean_v,
+  min(predicted_price) AS min_v, max(predicted_price) AS max_v,
+  CAST(max(CASE WHEN x IS NOT NULL THEN 1 ELSE 0 END) + max(CASE WHEN x7 IS NOT NULL THEN 1 ELSE 0 END)
+       + max(CASE WHEN k_avg IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_features
+FROM pg GROUP BY 1, 2"""
 SQL["swap_slice"] = SQL["replace_slice"]
 SQL["stream_hourly_panel_closed"] = with_panels("panel_hourly") + "SELECT series_key, date_hour, y_cents, y, n_events FROM panel_hourly"
 SQL["stream_hourly_panel"] = with_panels("panel_hourly") + """SELECT series_key, date_hour, y_cents, y, n_events
@@ -489,6 +522,28 @@ b AS ({build("m")})""") + one
 
 
 SQL["leakage_check"] = _leakage_sql(24)
+
+
+def _leakage_report_sql() -> str:
+    """Two copies of the panel for every cut-off day, one with the target hidden; the windows run within a copy."""
+    key = "series_key, cutoff, hidden"
+    cols = stat_cols(key=key, std_digits=9, daily_digits=9)
+    days = ", ".join(f"(DATE '{day}')" for day in LEAK_DAYS)
+    one = " UNION ALL ".join(
+        f"SELECT a.cutoff, '{c}' AS feature, count(*) AS n_rows, "
+        f"CAST(sum(CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN 1 ELSE 0 END) AS BIGINT) AS n_changed "
+        f"FROM b0 a JOIN b0 b ON NOT a.hidden AND b.hidden AND a.cutoff = b.cutoff AND a.series_key = b.series_key "
+        f"AND a.date_hour = b.date_hour GROUP BY 1" for c in cols)
+    return with_panels("panel_hourly", extra=f"""m AS (
+  SELECT p.* REPLACE (CASE WHEN hidden AND CAST(date_hour AS DATE) >= cutoff - 1 THEN NULL ELSE y_cents END AS y_cents), cutoff, hidden
+  FROM panel_hourly p, (VALUES {days}) c(cutoff), (VALUES (false), (true)) h(hidden)
+  WHERE CAST(date_hour AS DATE) <= cutoff),
+b0 AS MATERIALIZED (
+  SELECT * FROM (SELECT {key}, date_hour, {select_list(cols)} FROM {with_day_mean("m", key=key)}) x
+  WHERE CAST(date_hour AS DATE) = cutoff)""") + one
+
+
+SQL["leakage_report"] = _leakage_report_sql()
 SQL["leakage_check_d2"] = _leakage_sql(48)
 
 SQL |= {f"{name}_supply": SQL[name].replace(PANELS["panel_hourly"], PANELS["panel_supply"]).replace("panel_hourly", "panel_supply")

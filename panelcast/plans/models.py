@@ -81,11 +81,18 @@ class FittedModel:
         self.kind, self.features, self.model = kind, list(features), model
         self.fill, self.scaler = dict(fill), scaler
 
-    def prepare(self, df: DataFrame) -> DataFrame:
-        return apply_standardizer(_filled(df, self.fill), self.scaler, self.features).fillna(0.0, subset=self.features)
-
-    def predict(self, df: DataFrame, out: str = "pred") -> DataFrame:
-        return self.model.transform(self.prepare(df)).drop("features").withColumnRenamed("pred", out)
+    def fill_values(self, impute: str = "train_median") -> dict:
+        """What gaps are filled with at predict time (P7: the training medians, P8: zero)."""
+        if impute not in ("train_median", "zero"):
+            raise ValueError(f"gaps are filled by 'train_median' or 'zero', not {impute!r}")
+        return self.fill if impute == "train_median" else dict.fromkeys(self.features, 0.0)
+
+    def prepare(self, df: DataFrame, impute: str = "train_median") -> DataFrame:
+        filled = _filled(df, self.fill_values(impute))
+        return apply_standardizer(filled, self.scaler, self.features).fillna(0.0, subset=self.features)
+
+    def predict(self, df: DataFrame, out: str = "pred", impute: str = "train_median") -> DataFrame:
+        return self.model.transform(self.prepare(df, impute)).drop("features").withColumnRenamed("pred", out)
 
     def importances(self) -> DataFrame:
         """Feature importances sorted descending (M3): tree importances or |coefficient|."""

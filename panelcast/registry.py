@@ -132,6 +132,24 @@ def q_leakage_check(spark, d):
     return leakage_check(panel_hourly(spark, d), "2024-01-20", "y", min_lag=24)
 
 
+LEAK_DAYS = [f"2024-01-{day:02d}" for day in range(11, 30, 2)]
+
+
+def q_leakage_report(spark, d):
+    """Ten cut-off days at once for the history features: what of day D changes when the target of D-1 and D is hidden."""
+    from .operators.leakage import history_builder, leakage_report
+    from .operators.windows import add_history_stats
+    return leakage_report(panel_hourly(spark, d), history_builder(add_history_stats, "y"), LEAK_DAYS, "y")
+
+
+def q_leakage_future(spark, d):
+    """The same for the features of future rows, which look at least one day back."""
+    from .operators.future import build_future_features
+    from .operators.leakage import future_builder, leakage_report
+    panel = panel_hourly(spark, d).select("series_key", "date_hour", "y")
+    return leakage_report(panel, future_builder(build_future_features, "y"), LEAK_DAYS, "y", lookback_days=32)
+
+
 def q_leakage_check_d2(spark, d):
     """Same check with the documented D-2 rule (min_lag=48): nothing may change."""
     from .operators.windows import leakage_check
@@ -504,6 +522,42 @@ def q_grid_search(spark, d):
     return grid_search(feature_table(spark, d), "ridge", ML_FEATS, target="y")
 
 
+PAGE_FEATURES = ["y_same_hour_2d_ago"]
+
+
+def _page(spark, d):
+    """A ridge of one feature kept with ``impute='zero'``, and the future rows it predicts in a session of its own."""
+    import os
+    from .plans.models import fit_model
+    from .plans.page import predict_page, save_model
+    p = panel_hourly(spark, d)
+    cut = F.lit(FUTURE_FROM).cast("timestamp_ntz")
+    hist = exact_history_stats(p.where(F.col("date_hour") < cut))
+    path = os.path.join(ensure_dir(spark), f"page-{uuid.uuid4().hex}")
+    save_model(fit_model(hist, "ridge", PAGE_FEATURES, "y"), path, "zero")
+    fut = cut_lineage(build_future_features(p.where(F.col("date_hour") >= cut).drop("y", "y_cents"), hist, "y"))
+    return predict_page(spark.newSession(), path, fut), fut
+
+
+def q_predict_page(spark, d):
+    return _r6(_page(spark, d)[0], ["predicted_price"])
+
+
+def q_predict_page_summary(spark, d):
+    from .plans.page import page_summary
+    pred, fut = _page(spark, d)
+    out = page_summary(_r6(pred, ["predicted_price"]), fut, [*PAGE_FEATURES, "y_same_hour_7d_ago", "k_avg"])
+    return _r6(out, ["mean_v"])
+
+
+def q_lookback_range(spark, d):
+    """History in [t - 31 days, t - 1 day) of each future row."""
+    from .operators.ranges import lookback_range
+    p = panel_hourly(spark, d)
+    cut = F.lit(FUTURE_FROM).cast("timestamp_ntz")
+    return lookback_range(p.where(F.col("date_hour") >= cut), p.where(F.col("date_hour") < cut), "y_cents")
+
+
 def q_tune_once(spark, d):
     """The tuning job over the whole panel: feature selection, successive halving, the forest's neighbourhood grid."""
     from .plans.tuning import tune_once
@@ -625,6 +679,11 @@ def q_batch_job(spark, d):
 QUERIES = {
     "stream_hourly_panel_closed": q_stream_hourly_panel_closed,
     "swap_slice": q_swap_slice,
+    "leakage_report": q_leakage_report,
+    "leakage_future": q_leakage_future,
+    "predict_page": q_predict_page,
+    "predict_page_summary": q_predict_page_summary,
+    "lookback_range": q_lookback_range,
     "batch_job": q_batch_job,
     "backtest_metrics": q_backtest_metrics,
     "backtest_ridge": q_backtest_ridge,
