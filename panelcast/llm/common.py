@@ -34,13 +34,13 @@ def single_spaced(text: Column) -> Column:
     return F.regexp_replace(text, SPACE + r"{2,}|[\x09-\x0D]", " ")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The table written as Parquet to the shared checkpoint folder and read again.
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """The table written as Parquet to the shared checkpoint folder and read again, in files of their own for values of ``by``.
 
     Cuts the lineage like a checkpoint, takes less room, and readers fetch only the columns they use.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,8 +5,11 @@ probability SPREAD / |set|, by a hash that all sets share; a set goes to the nod
 most LEAF sets is compared by brute force.  In a larger one its sets pick again, by a hash of the node, and so on: similar
 sets tend to pick the same paths, other sets part.  A pair of similarity 0.8 shares at least SPREAD * 0.8 picked tokens on
 average in each level, which bounds the chance that it shares a path of ``levels`` nodes; the number of runs follows from
-that chance for LEVELS levels and the target recall (most pairs meet in the first level already).  Sets in nodes that have to be
-split further get more runs, as many as the target asks for at DEPTH levels; nodes are not split beyond that.
+that chance for LEVELS levels and the target recall (most pairs meet in the first level already), and SPARE.  Nodes may have to be
+split further, at most to DEPTH.  That matters for a set if OFTEN or more of its first-level nodes are split: it gets more runs, as many
+as the target asks for if all its paths need DEPTH levels.  With fewer, the tokens that lead to small nodes suffice: where
+a share f of a pair's shared tokens leads to DEPTH levels, the pair is missed with exp(-SPREAD * similarity * runs * (1 - f * 0.65)),
+that is 0.2 % at f = 0.62, the most that a set below OFTEN can share with a partner of similarity 0.8.
 
 A node that keeps more than half of its parent's sets holds sets that are truly alike, such as a big group of near copies;
 splitting it further would not help.  It is compared in blocks of about BLOCK_TOKENS tokens: a task gets two blocks, so
@@ -45,6 +48,8 @@ KEPT = 0.5
 DEPTH = 12
 BLOCK_TOKENS = 1 << 20
 FLAT = 1 << 20
+SPARE = 1
+OFTEN = 0.5
 
 
 def meeting(levels: int, similarity: float = SIMILARITY, spread: float = SPREAD) -> float:
@@ -60,14 +65,14 @@ def runs_for(recall: float, similarity: float = SIMILARITY, levels: int = LEVELS
     return math.ceil(math.log(1 - recall) / math.log(1 - meeting(levels, similarity, spread)))
 
 
-def more_runs_for(recall: float, similarity: float = SIMILARITY) -> int:
-    """Further runs for sets in nodes that are split after LEVELS, so that a pair meets with ``recall`` if it needs all DEPTH levels.
+def more_runs_for(recall: float, similarity: float, runs: int) -> int:
+    """Runs beyond ``runs`` until a pair that needs all DEPTH levels meets with ``recall``.
 
     A pair is missed if it has no path of LEVELS nodes, or if it has one, loses it further down and misses the further runs too.
     """
     if DEPTH <= LEVELS:
         return 0
-    runs, deep = runs_for(recall, similarity, LEVELS), 1 - meeting(DEPTH, similarity)
+    deep = 1 - meeting(DEPTH, similarity)
     never = (1 - meeting(LEVELS, similarity)) ** runs
     later, room = deep ** runs - never, max(1 - recall - never, 1e-3 * (1 - recall))
     return max(math.ceil(math.log(room / later) / math.log(deep)), 0)
@@ -150,7 +155,7 @@ def unpacked_tokens(data: bytes) -> np.ndarray:
 
 def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """node, key, n, parent_members of the next level, for rows (node, key, n, members)."""
-    rows = rows.join(sets.select("key", "tokens"), "key").select("node", "key", "n", "members", "tokens")
+    rows = rows.join(sets.where("big").select("key", "tokens"), "key").select("node", "key", "n", "members", "tokens")
 
     def make():
         def each(batch):
@@ -278,12 +283,13 @@ def _split(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> tuple[list[Dat
     return chosen, memberships, deep
 
 
-def _nodes_to_compare(rows: DataFrame, nodes: DataFrame, sets: DataFrame, runs: int, more: int) -> tuple[DataFrame, DataFrame]:
+def _nodes_to_compare(rows: DataFrame, nodes: DataFrame, sets: DataFrame, often: DataFrame, runs: int,
+                      more: int) -> tuple[DataFrame, DataFrame]:
     """The nodes to compare (node, blocks) and the memberships (key, node), with ``more`` runs for the sets that need them."""
     chosen, memberships, deep = _split(rows, nodes, sets)
     if deep is not None and more:
         roots = F.explode(F.array(*[F.lit(int(r)) for r in _roots(runs, more).view(np.int64)]))
-        rows = deep.select(roots.alias("node"), "key", "n", F.lit(None).cast("bigint").alias("members"))
+        rows = deep.join(often, "key").select(roots.alias("node"), "key", "n", F.lit(None).cast("bigint").alias("members"))
         rows = stored(_children(rows, sets))
         for all_, new in zip((chosen, memberships), _split(rows, _counted(rows), sets)):
             all_ += new
@@ -302,7 +308,7 @@ def _first(id_: str, digest: str):
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """The rows (id, digest, key) and what is known of each class: key, rep, class_size, first, n_links."""
-    runs = runs_for(recall, similarity, LEVELS)
+    runs = runs_for(recall, similarity, LEVELS) + SPARE
     rows = stored(shingle_paths(docs, id_col, text_col, runs))
     classes = stored(rows.groupBy("key").agg(
         F.min(_first("id", "digest")).alias("rep"), F.count(F.lit(1)).alias("class_size"), F.max("n").alias("n"),
@@ -310,10 +316,13 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, similarity: float, reca
 
     level = classes.select("key", "n", F.explode("nodes").alias("node"), F.lit(None).cast("bigint").alias("parent_members"))
     nodes = _counted(level)
-    company = level.join(nodes.select("node"), "node", "left_semi").select("key").distinct()
-    sets = stored(_sets_of(classes.select("key", "rep", F.col("class_size").alias("weight")).join(company, "key"),
-                           docs, id_col, text_col))
-    chosen, memberships = _nodes_to_compare(level, nodes, sets, runs, more_runs_for(recall, similarity))
+    company = level.join(nodes.select("node", "members"), "node").groupBy("key").agg(F.count_if(F.col("members") > LEAF).alias("split"))
+    company = stored(classes.select("key", "rep", F.col("class_size").alias("weight"), F.size("nodes").alias("all")).join(
+        company, "key").withColumns({"big": F.col("split") > 0, "often": F.col("split") >= OFTEN * F.col("all")}).drop("split", "all"))
+    # Tokens are read again for each level that is split: those of sets in big nodes lie in files of their own.
+    sets = stored(_sets_of(company, docs, id_col, text_col), "big")
+    chosen, memberships = _nodes_to_compare(level, nodes, sets, company.where("often").select("key"), runs,
+                                            more_runs_for(recall, similarity, runs))
     members = memberships.join(chosen, "node").groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("node", "blocks"))).alias("nodes"))
     compared = cut_lineage(compare_nodes(_by_block(members.join(sets, "key")), similarity))
@@ -353,14 +362,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _sets_of(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, weight, tokens of classes (key, rep, weight).
+    """key, weight, big, tokens of classes (key, rep, weight, big).
 
     Texts meet the classes by the id and digest of their first row, so copies are not fetched.
     """
     id_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id_key")
     texts = docs.select(id_key(id_col), F.md5(filled(text_col)).alias("digest"), F.col(text_col).alias("text"))
-    members = members.select("key", "weight", id_key("rep.id"), F.col("rep.digest").alias("digest"))
-    found = members.join(texts, ["id_key", "digest"]).select("key", "weight", "text")
+    members = members.select("key", "weight", "big", id_key("rep.id"), F.col("rep.digest").alias("digest"))
+    found = members.join(texts, ["id_key", "digest"]).select("key", "weight", "text", "big")
 
     def make():
         seen = set()  # rows that repeat id and text meet here one after the other; their set is needed once
@@ -373,10 +382,10 @@ def _sets_of(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
             batch = batch.take(pa.array(new, pa.int64()))
             sets = shingle_sets([t or "" for t in batch.column(2).to_pylist()])
             tokens = pa.array([packed_tokens(np.unique(s & np.uint64((1 << 48) - 1))) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], ["key", "weight", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens, batch.column(3)], ["key", "weight", "tokens", "big"])
         return each
 
-    return map_batches(found, make, "key binary, weight bigint, tokens binary")
+    return map_batches(found, make, "key binary, weight bigint, tokens binary, big boolean")
 
 
 def _by_block(members: DataFrame) -> DataFrame:

@@ -185,6 +185,19 @@ def test_join_recall_past_three_levels(spark, monkeypatch):
     assert missed <= 1.5 * (1 - ngram_join.RECALL)            # by chance; with the runs for three levels it is about 0.04
 
 
+def test_join_recall_where_part_of_the_tokens_is_common(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAF", 20)
+    common = [f"c{j}" for j in range(24)]                     # 20 shingles of 64 that all texts share: their nodes are split again and again
+    pairs = []
+    for i in range(500):
+        own = [f"w{i}x{j}" for j in range(44)]
+        pairs += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + own[:32]))]
+    assert linked(pairs[0][1], pairs[1][1]) and not linked(pairs[0][1], pairs[2][1])
+    got = records(ngram_join.jaccard_join(spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)))
+    assert all(g["n_links"] <= 1 and g["class_id"] in (g["doc_id"], g["doc_id"] // 2 * 2) for g in got)
+    assert sum(g["n_links"] == 0 for g in got) / len(got) <= 1 - ngram_join.RECALL
+
+
 def test_join_of_awkward_rows(spark):
     docs = documents(spark)
     pairs = [(r[0], r[1]) for r in rows()]
