@@ -1,18 +1,20 @@
 """Document fingerprints: a homomorphic multiset hash over paragraph pieces.
 
-A text is cut after line breaks and sentence marks.  Every piece is hashed to a wide vector and the vectors are
-summed, so the fingerprint does not depend on the order of the pieces, and pieces can be added to or taken from a
-fingerprint without the rest of the text.  Two groups of lanes:
+A text is cut after line breaks and sentence marks.  Every piece is hashed (SHA-256 of its text, then 64 bits of that digest
+under each of several seeds) to a wide vector and the vectors are summed, so the fingerprint does not depend on the order of the
+pieces, and pieces can be added to or taken from a fingerprint without the rest of the text.  Two groups of lanes:
 
-* ``sums``: 8 lanes of 32 uniform bits, summed modulo 2**32 (256 bits).  Equal multisets of pieces have equal
-  sums; different ones collide with probability 2**-256.
+* ``sums``: 16 lanes of 32 bits from 8 seeds, summed modulo 2**32.  Equal multisets of pieces have equal sums.  Different pieces
+  have vectors of their own as far as SHA-256 tells them apart, and different multisets meet by chance with about 2**-512 (the
+  seeded 64-bit hash is not a cryptographic one, so nothing is claimed against texts made to collide).
 * ``lanes``: 124 lanes of one bit (counted, modulo 2**31).  Read as +1 / -1 they form a random projection of the
   multiset: the squared length of the difference of two vectors estimates the number of pieces that only one side has.
 
 Everything is DataFrame expressions; a text is hashed inside its row, without a shuffle.
 
-The report pairs every document with the next one in descending id order.  Documents are dealt to ranges of ids; the
-first row of each range also goes to the range above it, so one shuffle (by range) gives every row its neighbour.
+The report pairs every document with the next one in descending id order.  Documents are dealt to ranges of ids that hold about
+as many rows each (borders from quantiles); an id, or null, with more rows than that has several ranges, ordered by a hash of
+the text.  The first row of each range also goes to the range before it, so one shuffle (by range) gives every row its neighbour.
 
 Defined results: a null text is empty; an empty text has no pieces and all lanes 0; two empty texts have likeness 1,
 an empty and another text 0; a null id comes last in the order, equal ids are ordered by a hash of the text; repeated
@@ -31,7 +33,7 @@ from .common import filled, let
 MARKS = ".!?|;。！？"
 #: A piece: what stands before a mark or line break, and the marks and white space that follow.
 PIECE = rf"[^{MARKS}\n]++(?:[{MARKS}\n][{MARKS}\s]*+)?+|[{MARKS}\n][{MARKS}\s]*+"
-SUM_LANES = 8
+SUM_HASHES = 8
 BIT_HASHES = 2
 BITS = 31
 MOD32 = (1 << 32) - 1
@@ -49,7 +51,7 @@ def fingerprint(text: Column) -> Column:
 
     def lanes_of(hashes: Column, which: int) -> Column:
         # Two lanes (bits j and j + 31 of the hash) share one sum; each stays below 2**31.
-        own = hashes if which == 0 else F.transform(hashes, lambda h: F.xxhash64(h, F.lit(which)))
+        own = F.transform(hashes, lambda h: F.xxhash64(F.lit(which), h))
         return let(own, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda j: F.aggregate(
             hs, zero, lambda a, h: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(PAIR)))))
 
@@ -58,13 +60,13 @@ def fingerprint(text: Column) -> Column:
         lanes = F.flatten(F.transform(packed, lambda p: F.array(
             p.bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftright(p, BITS))))
         # One 64-bit hash feeds two 32-bit lanes.
-        sums = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SUM_LANES // 2 - 1)), lambda k: let(
-            F.transform(hashes, lambda h: F.xxhash64(h, k, F.lit("sum"))), lambda hs: F.array(
+        sums = F.flatten(F.transform(F.sequence(F.lit(BIT_HASHES), F.lit(BIT_HASHES + SUM_HASHES - 1)), lambda k: let(
+            F.transform(hashes, lambda h: F.xxhash64(k, h)), lambda hs: F.array(
                 F.aggregate(hs, zero, lambda a, h: (a + h.bitwiseAND(F.lit(MOD32))).bitwiseAND(F.lit(MOD32))),
                 F.aggregate(hs, zero, lambda a, h: (a + F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(MOD32)))))))
         return F.struct(F.size(hashes).cast("bigint").alias("n"), sums.alias("sums"), lanes.alias("lanes"))
 
-    return let(F.transform(pieces(text), lambda u: F.xxhash64(u)), build)
+    return let(F.transform(pieces(text), lambda u: F.sha2(u, 256)), build)
 
 
 def as_text(fp: Column) -> Column:
@@ -93,29 +95,55 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
                     add(a["lanes"], b["lanes"], (1 << BITS) - 1).alias("lanes"))
 
 
+def _range_of(borders: list[int], without: int):
+    """The range of an id and tie, as an expression: ranges descend as ids descend (null last) and ties ascend.
+
+    Range k holds the ids above border k - 1 up to border k.  An id that is several borders has as many ranges, a null ``without``
+    ranges below 0.  Borders are searched by halving.
+    """
+    table = F.split(F.lit(",".join(map(str, borders))), ",").cast("array<decimal(20,0)>") if borders else None
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))]) if borders else None
+
+    def below(id_: Column, or_equal: bool) -> Column:
+        if table is None:
+            return F.lit(0)
+        passed = lambda b: b <= id_ if or_equal else b < id_
+        return F.aggregate(steps, F.lit(0), lambda low, step: F.when(
+            F.coalesce(passed(F.get(table, low + step - 1)), F.lit(False)), low + step).otherwise(low))
+
+    def at(id_: Column, tie: Column) -> Column:
+        share = tie / F.lit(2.0 ** 64) + F.lit(0.5)
+        own = lambda n: F.least(F.floor(share * n), n - 1)
+        several = let(F.struct(below(id_, False).alias("first"), below(id_, True).alias("last")), lambda x: let(
+            F.greatest(x["last"] - x["first"], F.lit(1)), lambda n: x["first"] + n - 1 - own(n)))
+        return F.when(id_.isNull(), F.lit(-1) - own(F.lit(without))).otherwise(several).cast("bigint")
+    return at
+
+
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    ids = docs.select(F.col(id_col).cast("decimal(20,0)").alias("id"))
-    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    low, high = int(low or 0), int(high or 0)
-    per_range = max(RANGE_ROWS, math.ceil(n / MAX_RANGES))
-    width = max(1, math.ceil((high - low + 1) * per_range / max(n, 1)))
-    at = lambda c: F.coalesce(F.floor((c - F.lit(low).cast("decimal(20,0)")) / F.lit(width)), F.lit(-1)).cast("bigint")
-
-    # At most MAX_RANGES rows and the ranges of null ids: the first id of each range, and the range before it.
-    firsts = ids.groupBy(at(F.col("id")).alias("range")).agg(F.max("id").alias("first"))
+    keys = docs.select(F.col(id_col).cast("decimal(20,0)").alias("id"))
+    n, known = keys.agg(F.count(F.lit(1)), F.count("id")).first()
+    ranges = max(1, min(MAX_RANGES, math.ceil(n / RANGE_ROWS)))
+    borders = [] if ranges == 1 else keys.agg(F.percentile_approx(
+        "id", [k / ranges for k in range(1, ranges)], F.lit(100 * ranges))).first()[0] or []
+    at = _range_of([int(x) for x in borders], max(1, math.ceil(ranges * (n - known) / max(n, 1))))
+
+    # A row for each range (MAX_RANGES for ids and as many for nulls at most): its first row, and the range before it.
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(id_col).cast("decimal(20,0)").alias("id"), filled(text_col).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumns({"range": at(F.col("id"), F.col("tie")), "place": F.struct(
+        F.col("id").isNull().alias("none"), (-F.col("id")).alias("back"), F.col("tie").alias("tie"))})
+    firsts = rows.groupBy("range").agg(F.min("place").alias("first"))
     down = Window.orderBy(F.col("range").desc())
     firsts = firsts.select("range", "first", F.coalesce(
         F.lag("range").over(down), F.min("range").over(Window.partitionBy())).alias("goes_to"))
-
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(id_col).cast("decimal(20,0)").alias("id"),
-                       filled(text_col).alias("text")).withColumn("range", at(F.col("id")))
     rows = rows.join(F.broadcast(firsts), "range")
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("goes_to").alias("range"), F.lit(True).alias("guest"))
-    rows = rows.select("doc", "id", "text", F.explode(
-        F.when(F.col("id").eqNullSafe(F.col("first")), F.array(own, guest)).otherwise(F.array(own))).alias("at"))
-    rows = rows.select("doc", "id", "text", F.xxhash64("text").alias("tie"), "at.range", "at.guest")
+    rows = rows.select("doc", "id", "text", "tie", F.explode(
+        F.when(F.col("place").eqNullSafe(F.col("first")), F.array(own, guest)).otherwise(F.array(own))).alias("at"))
+    rows = rows.select("doc", "id", "text", "tie", "at.range", "at.guest")
 
     order = Window.partitionBy("range").orderBy("guest", F.col("id").desc_nulls_last(), "tie")
     rows = rows.withColumn("next", F.lead("text").over(order))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from panelcast.llm import chat, exact_dedup, fingerprints, mixing, pii
@@ -123,6 +124,73 @@ def test_neighbours_across_ranges(spark, monkeypatch):
         assert g["edited_sha256"] == sha(t[:len(t) - len(t) // 2] + n[:len(t) // 2])
 
 
+PIECE = re.compile(fingerprints.PIECE, re.ASCII)
+
+
+def lanes_by_hand(text):
+    """Number of pieces, sums and one-bit lanes of a text, piece by piece."""
+    found = PIECE.findall(text)
+    sums, lanes = [0] * 16, [0] * 124
+    for piece in found:
+        digest = sha(piece).encode()
+        seeded = [xxhash.xxh64_intdigest(digest, xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)) for k in range(10)]
+        for k, h in enumerate(seeded[:2]):
+            for j in range(31):
+                lanes[62 * k + 2 * j] += h >> j & 1
+                lanes[62 * k + 2 * j + 1] += h >> (j + 31) & 1
+        for k, h in enumerate(seeded[2:]):
+            sums[2 * k] = (sums[2 * k] + h) % 2 ** 32
+            sums[2 * k + 1] = (sums[2 * k + 1] + (h >> 32)) % 2 ** 32
+    return len(found), sums, lanes
+
+
+def likeness_by_hand(a, b):
+    (m, s, x), (n, t, y) = a, b
+    if (m, s) == (n, t):
+        return 1.0
+    u, v = [2 * c - m for c in x], [2 * c - n for c in y]
+    both = sum(c * c for c in u) + sum(c * c for c in v)
+    return max(0.0, 1 - sum((p - q) ** 2 for p, q in zip(u, v)) / both) if both else 0.0
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    texts = {r[0]: r[1] or "" for r in rows()[:38]}
+    down = sorted(texts, reverse=True)
+    df = spark.createDataFrame([(i, t or None) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    got = records(fingerprints.fingerprint_report(df))
+    assert len(got) == len(texts)
+    show = lambda f: f"{f[0]}:{''.join(f'{x:08x}' for x in f[1])}:{'.'.join(f'{x:x}' for x in f[2])}"
+    for g in got:
+        text, after = texts[g["doc_id"]], texts[down[(down.index(g["doc_id"]) + 1) % len(down)]]
+        edited = text[:len(text) - len(text) // 2] + after[:len(text) // 2]
+        own, changed, other = lanes_by_hand(text), lanes_by_hand(edited), lanes_by_hand(after)
+        assert (g["fingerprint"].upper(), g["edited_fingerprint"].upper()) == (show(own).upper(), show(changed).upper())
+        assert g["near_edited"] == pytest.approx(likeness_by_hand(own, changed), abs=1e-9)
+        assert g["near_next"] == pytest.approx(likeness_by_hand(own, other), abs=1e-9)
+
+
+def test_ranges_hold_as_many_rows_whatever_the_ids(spark):
+    at = fingerprints._range_of([10, 20, 20, 20, 30], 3)
+    table = [(i, t) for i in (None, -5, 10, 11, 20, 21, 30, 31) for t in (-2 ** 63, -2 ** 61, 0, 2 ** 62, 2 ** 63 - 1)]
+    df = spark.createDataFrame(table, "id long, tie long").withColumn("id", F.col("id").cast("decimal(20,0)"))
+    got = df.select("id", "tie", at(F.col("id"), F.col("tie")).alias("at")).collect()
+    order = sorted(got, key=lambda r: (r["id"] is None, -(r["id"] or 0), r["tie"]))
+    assert [r["at"] for r in order] == sorted((r["at"] for r in got), reverse=True)
+    lanes = lambda i: {r["at"] for r in got if r["id"] == i}
+    assert (lanes(None), lanes(20), lanes(10), lanes(11), lanes(-5), lanes(31)) == ({-1, -2, -3}, {1, 2, 3}, {0}, {1}, {0}, {5})
+
+
+def test_neighbours_of_outlying_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 10)
+    ids = [*range(120), 10 ** 15, *[7] * 60, *[None] * 60]
+    df = spark.createDataFrame([(i, f"a text {k}. and more {k * k}.") for k, i in enumerate(ids)], "doc_id long, text string").repartition(4)
+    texts = [r["text"] for r in df.select("text", "doc_id", F.xxhash64("text").alias("tie")).orderBy(
+        F.col("doc_id").desc_nulls_last(), "tie").collect()]
+    want = sorted(sha(t[:len(t) - len(t) // 2] + n[:len(t) // 2]) for t, n in zip(texts, texts[1:] + texts[:1]))
+    assert sorted(g["edited_sha256"] for g in records(fingerprints.fingerprint_report(df))) == want
+
+
 def test_fingerprint_algebra(spark):
     df = spark.createDataFrame([("First. Second. Third.", "First. ", "Second. Third.", "Else. Other. Third.")],
                                "ta string, tc string, td string, te string")
