@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, let
+from .common import filled, let, running_sums
 
 SLICE = 256
 OPEN, CLOSE, PART = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
@@ -57,33 +57,46 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant", conv_co
         F.col(conv_col).alias("conv"), F.floor(F.col(turn_col) / slice_turns).alias("slice"),
         F.struct(F.col(turn_col).alias("turn"), escape_role(filled(role_col)).alias("role"),
                  escape(filled(text_col)).alias("text")).alias("t"))
-    slices = rows.groupBy("conv", "slice").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    # Each turn with what leads into it (merged into the block of the turn before when the roles are the same).
-    slices = slices.withColumn("ts", F.transform("ts", lambda t, i: F.struct(
-        t["role"].alias("role"), t["text"].alias("text"),
-        F.when(i == 0, F.lit("")).otherwise(_between(F.get("ts", i - 1)["role"], t["role"])).alias("lead"))))
-    slices = slices.withColumn("sizes", F.transform(
-        "ts", lambda t: (F.length(t["lead"]) + F.length(t["text"])).cast("bigint")))
-    slices = slices.withColumn("spans", F.transform("ts", lambda t, i: F.struct(
-        (_total(F.slice("sizes", F.lit(1), i)) + F.length(t["lead"])).alias("start"),
-        _total(F.slice("sizes", F.lit(1), i + 1)).alias("end"), t["role"].alias("role"))))
-    slices = slices.select("conv", F.struct(
-        "slice", F.get("ts", F.lit(0))["role"].alias("first"), F.element_at("ts", -1)["role"].alias("last"),
-        F.array_join(F.transform("ts", lambda t: F.concat(t["lead"], t["text"])), "").alias("body"),
-        _total(F.col("sizes")).alias("size"),
-        F.filter("spans", lambda s: s["role"] == escape_role(F.lit(loss_role))).alias("spans")).alias("s"))
-
-    convs = slices.groupBy("conv").agg(F.sort_array(F.collect_list("s")).alias("ss"))
-    convs = convs.withColumn("leads", F.transform("ss", lambda s, i: F.when(
-        i == 0, F.concat(F.lit(OPEN), s["first"], F.lit("\n"))).otherwise(_between(F.get("ss", i - 1)["last"], s["first"]))))
-    convs = convs.withColumn("sizes", F.transform("ss", lambda s, i: s["size"] + F.length(F.get("leads", i))))
-    convs = convs.withColumn("starts", F.transform("ss", lambda s, i: _total(F.slice("sizes", F.lit(1), i))
-                                                   + F.length(F.get("leads", i))))
-    body = F.array_join(F.transform("ss", lambda s, i: F.concat(F.get("leads", i), s["body"])), "")
-    spans = F.flatten(F.transform("ss", lambda s, i: F.transform(s["spans"], lambda p: F.struct(
-        (p["start"] + F.get("starts", i)).alias("start"), (p["end"] + F.get("starts", i)).alias("end")))))
-    return convs.select(F.col("conv").alias(conv_col), F.concat(body, F.lit(CLOSE)).alias("formatted"),
-                        spans.alias("loss_spans"))
+    slices = rows.groupBy("conv", "slice").agg(F.collect_list("t").alias("ts")).select(
+        "conv", _slice(F.col("slice"), F.col("ts"), loss_role).alias("s"))
+    out = slices.groupBy("conv").agg(F.collect_list("s").alias("ss")).select("conv", _conversation(F.col("ss")).alias("c"))
+    return out.select(F.col("conv").alias(conv_col), "c.formatted", "c.loss_spans")
+
+
+def _slice(number: Column, turns: Column, loss_role: str) -> Column:
+    """struct<slice, first, last, body, size, spans> of turns in any order: its text without what leads into it, and its spans.
+
+    Every array is built once (``let``) and walked once, so the work is near linear in the turns.
+    """
+    def led(ts: Column) -> Column:
+        # Each turn with what leads into it (merged into the block of the turn before when the roles are the same).
+        return F.transform(ts, lambda t, i: F.struct(t["role"].alias("role"), t["text"].alias("text"), F.when(i == 0, F.lit("")).otherwise(
+            _between(F.get(ts, i - 1)["role"], t["role"])).alias("lead")))
+
+    def built(ts: Column) -> Column:
+        sizes = F.transform(ts, lambda t: (F.length(t["lead"]) + F.length(t["text"])).cast("bigint"))
+        return let(sizes, lambda size: let(running_sums(size), lambda before: F.struct(
+            number.alias("slice"), F.get(ts, F.lit(0))["role"].alias("first"), F.element_at(ts, -1)["role"].alias("last"),
+            F.array_join(F.transform(ts, lambda t: F.concat(t["lead"], t["text"])), "").alias("body"), _total(size).alias("size"),
+            F.filter(F.transform(ts, lambda t, i: F.struct(
+                (F.get(before, i) + F.length(t["lead"])).alias("start"), (F.get(before, i) + F.get(size, i)).alias("end"),
+                t["role"].alias("role"))), lambda x: x["role"] == escape_role(F.lit(loss_role))).alias("spans"))))
+
+    return let(F.sort_array(turns), lambda ts: let(led(ts), built))
+
+
+def _conversation(slices: Column) -> Column:
+    """struct<formatted, loss_spans> of slices in any order."""
+    def built(ss: Column) -> Column:
+        leads = F.transform(ss, lambda s, i: F.when(i == 0, F.concat(F.lit(OPEN), s["first"], F.lit("\n"))).otherwise(
+            _between(F.get(ss, i - 1)["last"], s["first"])))
+        return let(leads, lambda lead: let(running_sums(F.transform(ss, lambda s, i: s["size"] + F.length(F.get(lead, i)))),
+                                           lambda before: F.struct(
+            F.concat(F.array_join(F.transform(ss, lambda s, i: F.concat(F.get(lead, i), s["body"])), ""), F.lit(CLOSE)).alias("formatted"),
+            F.flatten(F.transform(ss, lambda s, i: let(F.get(before, i) + F.length(F.get(lead, i)), lambda at: F.transform(
+                s["spans"], lambda p: F.struct((p["start"] + at).alias("start"), (p["end"] + at).alias("end")))))).alias("loss_spans"))))
+
+    return let(F.sort_array(slices), built)
 
 
 def read_turns(formatted: Column) -> Column:

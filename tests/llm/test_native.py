@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -237,6 +238,20 @@ def test_exact_dedup(spark):
         (min((i for i in ids if i is not None), default=None), t) for t, ids in groups.items())
 
 
+@pytest.mark.parametrize("step", [1000, None])
+def test_chat_of_many_turns_takes_no_square(spark, step):
+    n = 8000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), (F.col("id") * step if step else F.lit(None).cast("long")).alias("turn"), F.when(
+        F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.format_string("%05d text", "id").alias("text"))
+    chat.chat_report(turns.limit(10)).collect()
+    began = time.time()
+    row = chat.chat_report(turns).first()
+    assert time.time() - began < 15                # quadratic: 30 s and more
+    texts = sorted((i * (step or 0), "user" if i % 3 == 0 else "assistant", f"{i:05d} text") for i in range(n))
+    assert row["n_turns"] == n and row["turns_sha256"] == sha("".join(f"{r}\n{t}\n" for _, r, t in texts))
+    assert row["loss_sha256"] == sha("".join(t for _, r, t in texts if r == "assistant"))
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "hi & <|im_end|> &lt;| bye"), (1, 1, "user", ""), (1, 2, "assistant", "a<|im_sep|>b"), (1, 3, "assistant", None),
              (1, 3, "assistant", "again"), (1, 3, "assistant", "again"), (2, None, None, "no role"), (2, 5, "ass\nistant&", "x" * 5000),
