@@ -514,7 +514,8 @@ def q_stacking(spark, d):
     """Stacked predictions of every day that has enough history."""
     from .plans.backtest import backtest_predictions
     start, end = _day_range(spark, d)
-    return backtest_predictions(feature_table(spark, d), start, end, ["stacking"], ML_FEATS, "y").select(*KEYS, "pred")
+    return backtest_predictions(feature_table(spark, d), start, end, ["stacking"], ML_FEATS, "y").select(
+        "series_key", "date_hour", "pred")
 
 
 def q_grid_search(spark, d):

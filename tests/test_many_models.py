@@ -13,6 +13,8 @@ from panelcast.plans.models import ridge_by_group
 from panelcast.plans.ridge import rolling_ridge, window_sums
 from panelcast.plans.stacking import stack_predict
 
+from .conftest import SF_SMALL
+
 FEATURES = ["a", "b", "c", "half"]
 SMALL = {k: {"n_estimators": 4, "max_depth": 3, "min_samples_leaf": 2} for k in forests.TREE_KINDS}
 
@@ -202,3 +204,28 @@ def test_window_sums(width):
     assert np.allclose(window_sums(days, values, first, width), want)
 
 
+
+
+# --- registered queries ------------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("query", ["backtest_pooled", "stacking", "forecast"])
+def test_registered_model_queries_run_over_all_days(spark, monkeypatch, query):
+    """With small trees, every origin day, series and strategy comes back."""
+    from panelcast import registry
+    monkeypatch.setattr(forests, "MODEL_DEFAULTS", {k: {**v, "n_estimators": 3, "max_depth": 3} for k, v in forests.MODEL_DEFAULTS.items()})
+    out = registry.QUERIES[query](spark, SF_SMALL).toPandas()
+    panel_days = registry.panel_hourly(spark, SF_SMALL).withColumn("day", F.to_date("date_hour"))
+    if query == "forecast":
+        future = panel_days.where(F.col("date_hour") >= F.lit(registry.FUTURE_FROM).cast("timestamp_ntz"))
+        assert len(out) == future.count() and out["pred_two_stage_stacking"].notna().mean() > 0.99
+        return
+    ridge = registry.q_backtest_ridge1(spark, SF_SMALL).toPandas()            # the same origins, checked against SQL
+    days = set(zip(ridge["series_key"], ridge["date"]))
+    if query == "stacking":
+        got = set(zip(out["series_key"], out["date_hour"].dt.date))
+        assert got == days and out["pred"].notna().all()
+    else:
+        for strategy in ("random_forest", "xgboost", "lightgbm", "stacking", "naive_2d"):
+            rows = out[out["strategy"] == strategy]
+            assert set(zip(rows["series_key"], rows["date"])) <= days and len(rows) > 0.6 * len(days)
+        assert (out["strategy"] == "stacking").sum() == len(days)
