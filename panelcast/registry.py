@@ -664,19 +664,6 @@ def q_swap_slice(spark, d):
     return _r6(read_evaluations(spark, root), MET)
 
 
-def q_batch_job(spark, d):
-    """The batch job on the hourly panel: tuning on the first part of January, backtest after it, forecast from FUTURE_FROM on."""
-    import os
-    from .plans.batch import batch_job
-    p = panel_hourly(spark, d)
-    cut = F.lit(FUTURE_FROM).cast("timestamp_ntz")
-    hist = cut_lineage(add_holidays(add_calendar(p.where(F.col("date_hour") < cut))).transform(lambda x: add_history_stats(x, "y")))
-    fut = build_future_features(p.where(F.col("date_hour") >= cut).drop("y", "y_cents"), hist, "y")
-    root = os.path.join(ensure_dir(spark), "batch-job")
-    done = batch_job(hist, fut, p, ML_FEATS, root, uuid.uuid4().hex, tuning=("2024-01-01", "2024-01-15"), testing=("2024-01-15", FUTURE_FROM))
-    return done["report"]
-
-
 QUERIES = {
     "stream_hourly_panel_closed": q_stream_hourly_panel_closed,
     "swap_slice": q_swap_slice,
@@ -685,7 +672,6 @@ QUERIES = {
     "predict_page": q_predict_page,
     "predict_page_summary": q_predict_page_summary,
     "lookback_range": q_lookback_range,
-    "batch_job": q_batch_job,
     "backtest_metrics": q_backtest_metrics,
     "backtest_ridge": q_backtest_ridge,
     "backtest_ridge1": q_backtest_ridge1,
