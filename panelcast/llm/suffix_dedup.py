@@ -9,9 +9,9 @@ can repeat.  Neighbouring windows mostly share their substring ("anchor"), which
 2. The others meet their texts again and take the bytes of their windows along.  Equal byte ranges inside a task are
    settled at once: only the earliest travels on.  Windows of very frequent anchors travel one by one under a hash of
    their own bytes, so a passage that many documents share spreads over tasks and is settled mostly before the shuffle.
-3. Under each anchor the windows, as suffixes of the byte ranges, are sorted deep-shallow: multikey quicksort on
-   8-byte characters down to SHALLOW bytes; what still ties is ordered by blind tries, which branch at the first byte in
-   which a group differs and skip what it has in common.  Of equal windows all but the earliest are repeated.
+3. Under each anchor the windows are grouped deep-shallow: their labels are refined by sorting (``numpy.lexsort``, not a multikey
+   quicksort) on 8-byte words down to SHALLOW bytes; what still ties is told apart by blind tries, which branch at the first
+   byte in which a group differs and skip what it has in common.  Of equal windows all but the earliest are repeated.
 4. The repeated ranges meet their texts, and what they cover is cut out.
 
 Texts are read as UTF-8; places are byte offsets.  Order is (id, text hash, start).
