@@ -14,6 +14,9 @@ parameter point.  Here they are one plan, not a driver loop of jobs:
 Both ways use the same histograms, the same choice of splits and the same integer leaf values, so they give the same
 trees.  A split minimises squared error; ties go to the first feature, then the lowest cut.  Forests draw Poisson(1)
 weights per row and tree, subsampling keeps rows by the same hash of (row, tree, seed).
+
+A search (``fold_errors``) grows trees that its points share once: a model with fewer trees is a prefix of one with more, and a
+forest's tree of less depth or with more rows to split is the deeper tree cut short.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ from ..session import cut_lineage
 MAX_BINS = 64
 #: Binned values of a training set that one task may take (a byte each, some 30 bytes while trees grow).
 LOCAL_CELLS = 1 << 23
+#: The same for rows packed in blocks (``packed``), which take less.
+PACKED_CELLS = 1 << 24
+#: Trees that a task grows to measure importances.
+TREES_A_TASK = 2
 #: Histogram cells that are compared at a time (they stay in a core's cache).
 LEVEL_CELLS = 1 << 14
 #: Histogram cells that a task holds before it hands them on.
@@ -84,31 +91,50 @@ def tree_spec(kind: str, params: Mapping | None = None) -> TreeSpec:
 # --- one tree ----------------------------------------------------------------------------------------------------------
 
 class Tree:
-    """Nodes in order of creation: feature (-1: a leaf), highest bin that goes left, left child (the right one follows), value."""
+    """Nodes in order of creation: feature (-1: a leaf), highest bin that goes left, left child (the right one follows), value, and
+    the sums of targets and weights it was made from."""
 
     def __init__(self):
         self.feature, self.cut, self.left, self.value = (np.empty(0, t) for t in (np.int32, np.int32, np.int32, np.int64))
+        self.g, self.n = np.empty(0), np.empty(0)
 
-    def add(self, values: np.ndarray) -> np.ndarray:
+    def add(self, spec: TreeSpec, g: np.ndarray, n: np.ndarray) -> np.ndarray:
         """New leaves; returns their numbers."""
-        n = len(values)
-        first = len(self.value)
-        self.feature = np.append(self.feature, np.full(n, -1, np.int32))
-        self.cut = np.append(self.cut, np.zeros(n, np.int32))
-        self.left = np.append(self.left, np.full(n, -1, np.int32))
-        self.value = np.append(self.value, values.astype(np.int64))
-        return np.arange(first, first + n)
+        values = leaf_value(spec, g, n)
+        self.g, self.n = np.append(self.g, g), np.append(self.n, n)
+        first, new = len(self.value), len(values)
+        self.feature = np.append(self.feature, np.full(new, -1, np.int32))
+        self.cut = np.append(self.cut, np.zeros(new, np.int32))
+        self.left = np.append(self.left, np.full(new, -1, np.int32))
+        self.value = np.append(self.value, values)
+        return np.arange(first, first + new)
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """The leaf each row ends in."""
-        node = np.zeros(len(bins), np.int64)
-        row = np.arange(len(bins))
-        while len(row):
-            at = node[row]
-            inner = self.feature[at] >= 0
-            row, at = row[inner], at[inner]
-            node[row] = self.left[at] + (bins[row, self.feature[at]] > self.cut[at])
-        return node
+        return self.leaves_cut(bins, [MAX_DEPTH], 0)[MAX_DEPTH]
+
+    def leaves_cut(self, bins: np.ndarray, depths: Sequence[int], min_split: int) -> dict[int, np.ndarray]:
+        """The leaf each row ends in if the tree is cut at each of the depths and below nodes of fewer than ``min_split`` rows."""
+        node, row, found = np.zeros(len(bins), np.int64), np.arange(len(bins)), {}
+        inner = (self.feature >= 0) & (self.n >= min_split)
+        for depth in range(max(depths) + 1):
+            if depth in depths:
+                found[depth] = node if depth == max(depths) else node.copy()
+            row = row[inner[node[row]]]
+            if not len(row):
+                break
+            if depth < max(depths):
+                at = node[row]
+                node[row] = self.left[at] + (bins[row, self.feature[at]] > self.cut[at])
+        return {d: found.get(d, node) for d in depths}
+
+    def importances(self, features: int) -> np.ndarray:
+        """The share of each feature in what the splits take off the squared error."""
+        split = np.flatnonzero(self.feature >= 0)
+        left = self.left[split]
+        fit = lambda i: self.g[i] ** 2 / self.n[i]
+        gain = np.bincount(self.feature[split], fit(left) + fit(left + 1) - fit(split), features)
+        return gain / gain.sum() if gain.sum() > 0 else gain
 
 
 def leaf_value(spec: TreeSpec, g: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -186,8 +212,8 @@ def grow_tree(spec: TreeSpec, bins: np.ndarray, y: np.ndarray, w: np.ndarray, us
     tree = Tree()
     row = np.flatnonzero(w)
     y, w = y[row].astype(np.float64), w[row].astype(np.float64)
-    cells = bins[row].astype(np.int64) + np.arange(features) * n_bins
-    front = tree.add(leaf_value(spec, (y * w).sum(keepdims=True), w.sum(keepdims=True)))
+    cells = bins[row].astype(np.int32) + (np.arange(features) * n_bins).astype(np.int32)
+    front = tree.add(spec, (y * w).sum(keepdims=True), w.sum(keepdims=True))
     node = np.zeros(len(row), np.int64)
     at_once = max(1, LEVEL_CELLS // (features * n_bins))
     for _ in range(spec.depth):
@@ -217,7 +243,7 @@ def grow_tree(spec: TreeSpec, bins: np.ndarray, y: np.ndarray, w: np.ndarray, us
         if not len(split):
             break
         feature, cut, gl, nl, gt, nt = (x[split] for x in found)
-        new = tree.add(leaf_value(spec, np.stack([gl, gt - gl], axis=1).ravel(), np.stack([nl, nt - nl], axis=1).ravel()))
+        new = tree.add(spec, np.stack([gl, gt - gl], axis=1).ravel(), np.stack([nl, nt - nl], axis=1).ravel())
         tree.feature[front[split]], tree.cut[front[split]], tree.left[front[split]] = feature, cut, new[::2]
         place = np.full(n, -1)
         place[split] = np.arange(len(split))
@@ -242,16 +268,41 @@ class Model(NamedTuple):
         return self.base + (total if spec.boost else total / max(1, len(self.trees)))
 
 
-def fit_trees(spec: TreeSpec, bins: np.ndarray, y: np.ndarray, rid: np.ndarray, n_bins: int = MAX_BINS) -> Model:
-    """All trees of one model on the rows of one task; ``y`` in fixed point."""
-    base, n_bins = int(y.sum()) // len(y), min(n_bins, int(bins.max(initial=0)) + 2)
-    trees, rest = [], y - base
-    for k in range(spec.n_trees):
+def grown_trees(spec: TreeSpec, bins: np.ndarray, y: np.ndarray, rid: np.ndarray, base: int, numbers: Sequence[int],
+                n_bins: int = MAX_BINS) -> Iterator[Tree]:
+    """The trees of these numbers on the rows of one task, one after the other (boosting: from 0 on)."""
+    n_bins, rest = min(n_bins, int(bins.max(initial=0)) + 2), y - base
+    for k in numbers:
         tree = grow_tree(spec, bins, rest, row_weights(spec, rid, k), tree_columns(spec, bins.shape[1], k), n_bins)
-        trees.append(tree)
+        yield tree
         if spec.boost:
             rest = rest - tree.value[tree.leaves(bins)]
-    return Model(base, trees)
+
+
+def fit_trees(spec: TreeSpec, bins: np.ndarray, y: np.ndarray, rid: np.ndarray, n_bins: int = MAX_BINS) -> Model:
+    """All trees of one model on the rows of one task; ``y`` in fixed point."""
+    base = int(y.sum()) // len(y)
+    return Model(base, list(grown_trees(spec, bins, y, rid, base, range(spec.n_trees), n_bins)))
+
+
+def shared_trees(spec: TreeSpec) -> TreeSpec:
+    """What models whose trees can be grown once have in common: all but the number of trees; of forests also not depth and rows to split."""
+    return spec._replace(n_trees=0) if spec.boost else spec._replace(n_trees=0, depth=0, min_split=0)
+
+
+def predictions_shared(specs: Mapping[str, TreeSpec], bins: np.ndarray, y: np.ndarray, rid: np.ndarray, asked: np.ndarray) -> dict[str, np.ndarray]:
+    """Fixed-point predictions of models with the same ``shared_trees`` for the rows ``asked``, as ``Model.predict`` gives them."""
+    most = {f: max(getattr(s, f) for s in specs.values()) for f in ("n_trees", "depth")}
+    spec = next(iter(specs.values()))._replace(**most, min_split=min(s.min_split for s in specs.values()))
+    base, totals = int(y.sum()) // len(y), {name: np.zeros(len(asked), np.int64) for name in specs}
+    for k, tree in enumerate(grown_trees(spec, bins, y, rid, base, range(spec.n_trees))):
+        there = {name: s for name, s in specs.items() if k < s.n_trees}
+        for split in {s.min_split for s in there.values()} if len(tree.value) else ():
+            same = {name: s.depth for name, s in there.items() if s.min_split == split}
+            leaves = tree.leaves_cut(asked, sorted(set(same.values())), split)
+            for name, depth in same.items():
+                totals[name] += tree.value[leaves[depth]]
+    return {name: base + (totals[name] if s.boost else totals[name] / max(1, s.n_trees)) for name, s in specs.items()}
 
 
 # --- training sets spread over tasks -----------------------------------------------------------------------------------
@@ -368,11 +419,11 @@ def _grown(spec: TreeSpec, growing: dict, fronts: dict, splits: list) -> dict:
         x = s["m"], s["k"]
         tree = growing[x]
         if fronts[x] is None:
-            tree.add(leaf_value(spec, np.array([s["g"]]), np.array([s["n"]])))
+            tree.add(spec, np.array([s["g"]]), np.array([s["n"]]))
         if s["feature"] < 0:
             continue
         node = 0 if fronts[x] is None else fronts[x][s["node"]]
-        both = tree.add(leaf_value(spec, np.array([s["gl"], s["g"] - s["gl"]]), np.array([s["nl"], s["n"] - s["nl"]])))
+        both = tree.add(spec, np.array([s["gl"], s["g"] - s["gl"]]), np.array([s["nl"], s["n"] - s["nl"]]))
         tree.feature[node], tree.cut[node], tree.left[node] = s["feature"], s["cut"], both[0]
         new.setdefault(x, []).extend(both.tolist())
     return {x: np.array(f) for x, f in new.items()}
@@ -421,6 +472,97 @@ def binned(df: DataFrame, features: Sequence[str], ids: Sequence[str], target: s
     return rows.mapInArrow(run, schema)
 
 
+def fixed_scale(top: float | None) -> float:
+    """What targets up to ``top`` are multiplied by to become fixed-point integers."""
+    return 2.0 ** (BITS - math.ceil(math.log2(top or 1.0)) - 1)
+
+
+def packed(rows: DataFrame, fold: str, target: str, scale: float) -> DataFrame:
+    """``binned`` rows in blocks (fold, n, bins, rid, y, actual): the rows of a batch and fold side by side in bytes."""
+    rows = rows.select(F.col(fold).cast("int").alias("fold"), "_bins", "_rid", F.round(F.col(target).cast("double") * F.lit(scale)).cast("bigint").alias("y"),
+                       F.col(target).cast("double").alias("actual")).where("fold is not null and y is not null")
+
+    def run(batches):
+        for batch in batches:
+            folds = batch.column(0).to_numpy()
+            for f in np.unique(folds).tolist():
+                bins, *numbers = batch.filter(pa.array(folds == f)).columns[1:]
+                values = [f, len(bins), b"".join(bins.to_pylist()), *(x.to_numpy().tobytes() for x in numbers)]
+                types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["fold", "n", "bins", "rid", "y", "actual"])
+    return rows.mapInArrow(run, "fold int, n int, bins binary, rid binary, y binary, actual binary")
+
+
+def _unpacked(table: pa.Table, features: int):
+    """Fold, bins, row ids, fixed-point targets and targets of the rows of blocks."""
+    column = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+    fold = np.repeat(table.column("fold").to_numpy(), table.column("n").to_numpy())
+    return fold, column("bins", np.uint8).reshape(len(fold), features), column("rid", np.int64), column("y", np.int64), column("actual", np.float64)
+
+
+def _dealt(blocks: DataFrame, units: int) -> DataFrame:
+    """All blocks for each unit of work; a unit is seconds or minutes of work on little input, so units are spread by their number."""
+    return blocks.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(units - 1))))
+
+
+def fold_errors(rows: DataFrame, specs: Mapping[str, TreeSpec], n_features: int, target: str, k: int,
+                cells: int = PACKED_CELLS) -> DataFrame | None:
+    """(model, variant, n, error) of every model and fold 0 to k - 1: mean squared error on the rows of the fold, learnt from those before.
+
+    ``rows`` is one training set as in ``fit_predict``.  A task takes the rows up to one fold and grows the trees of all models that
+    share them.  None if the set has more than ``cells`` binned values.
+    """
+    size = rows.agg(F.max(F.abs(F.col(target).cast("double"))).alias("top"), F.count("*").alias("n")).first()
+    if size["n"] * n_features > cells:
+        return None
+    scale = fixed_scale(size["top"])
+    families: dict = {}
+    for name, s in specs.items():
+        families.setdefault(shared_trees(s), {})[name] = s._replace(lasso=s.lasso * scale)
+    members = list(families.values())
+
+    def run(key, table):
+        i, v = divmod(key[0].as_py(), k)
+        fold, bins, rid, y, actual = _unpacked(table, n_features)
+        learn, ask, out = fold < v, fold == v, []
+        if learn.any() and ask.any():
+            for name, pred in predictions_shared(members[i], bins[learn], y[learn], rid[learn], bins[ask]).items():
+                # Summed in order of size: how the rows are dealt does not show.
+                out.append((name, v, int(ask.sum()), float(np.sort((pred / scale - actual[ask]) ** 2).sum() / ask.sum())))
+        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate([pa.string(), pa.int32(), pa.int64(), pa.float64()])],
+                        names=["model", "variant", "n", "error"])
+
+    units = len(members) * k
+    work = _dealt(packed(rows, "fold", target, scale), units).where(F.col("unit") % k >= F.col("fold")).repartition(4 * units, "unit")
+    return work.groupBy("unit").applyInArrow(run, "model string, variant int, n bigint, error double")
+
+
+def forest_importances(rows: DataFrame, spec: TreeSpec, features: Sequence[str], target: str, cells: int = PACKED_CELLS) -> DataFrame | None:
+    """(feature, importance) of a forest on the ``binned`` rows: the mean of its trees' shares of the error taken off.
+
+    Each task grows TREES_A_TASK trees and returns one number per tree and feature.  None if there are more than ``cells`` binned values.
+    """
+    features = list(features)
+    size = rows.agg(F.max(F.abs(F.col(target).cast("double"))).alias("top"), F.count(target).alias("n")).first()
+    if size["n"] * len(features) > cells:
+        return None
+
+    def run(key, table):
+        first = key[0].as_py() * TREES_A_TASK
+        _, bins, rid, y, _ = _unpacked(table, len(features))
+        base, numbers = int(y.sum()) // len(y), range(first, min(first + TREES_A_TASK, spec.n_trees))
+        found = [tree.importances(len(features)) for tree in grown_trees(spec, bins, y, rid, base, numbers)]
+        return pa.table([np.repeat(np.array(numbers, np.int32), len(features)), pa.array(features * len(found)), np.concatenate(found)],
+                        names=["tree", "feature", "importance"])
+
+    units = math.ceil(spec.n_trees / TREES_A_TASK)
+    blocks = packed(rows.withColumn("_fold", F.lit(0)), "_fold", target, fixed_scale(size["top"]))
+    trees = _dealt(blocks, units).repartition(4 * units, "unit").groupBy("unit").applyInArrow(run, "tree int, feature string, importance double")
+    # Rounded sums of whole trees: the order in which they come does not show.
+    return trees.groupBy("feature").agg(F.sum(F.col("importance").cast("decimal(28,18)")).cast("double").alias("importance")).withColumn(
+        "importance", F.col("importance") / F.lit(float(spec.n_trees)))
+
+
 def fit_predict(rows: DataFrame, specs: Mapping[str, TreeSpec], n_features: int, by: Sequence[str], ids: Sequence[str],
                 target: str, variants: Mapping[str, Sequence[int]], local_cells: int = LOCAL_CELLS) -> DataFrame:
     """Predictions (by..., ids..., model, variant, role, pred) of every model and variant of every training set.
@@ -430,8 +572,7 @@ def fit_predict(rows: DataFrame, specs: Mapping[str, TreeSpec], n_features: int,
     a target and predicts the test rows; variant i learns from the rows before fold i and predicts that fold and the test rows.
     """
     by, ids = list(by), list(ids)
-    top = rows.agg(F.max(F.abs(F.col(target).cast("double")))).first()[0] or 1.0
-    scale = 2.0 ** (BITS - math.ceil(math.log2(top)) - 1)
+    scale = fixed_scale(rows.agg(F.max(F.abs(F.col(target).cast("double")))).first()[0])
     specs = {name: s._replace(lasso=s.lasso * scale) for name, s in specs.items()}
     y = F.col(target).cast("double")
     rows = rows.select(*by, *ids, "role", "fold", "_rid", "_bins", F.round(y * F.lit(scale)).cast("bigint").alias("_y"))

@@ -23,8 +23,9 @@ from ..operators.folds import chrono_split, fold_train_rows, time_folds
 from ..session import cut_lineage
 from ..operators.metrics import metrics
 from ..operators.reshape import blend
+from ..operators.stats import exact_median
 from ..operators.selection import importance_cut, prune_correlated
-from .forests import TREE_KINDS, binned, fit_predict, tree_spec
+from .forests import TREE_KINDS, binned, fit_predict, fold_errors, forest_importances, tree_spec
 from .models import MODEL_KINDS, fit_model
 from .stacking import with_folds
 
@@ -33,6 +34,8 @@ INT_PARAMS = {"n_estimators", "max_depth", "min_samples_leaf", "min_samples_spli
 STEPS = {"n_estimators": 20, "min_samples_split": 2}
 #: Search parameters that trees grown level by level do not have; a search lists them instead of using them.
 WITHOUT_COUNTERPART = ("num_leaves",)
+#: Rows up to which MLlib grows the unlimited forest of the selection: the driver holds its nodes, some rows x trees of them.
+FOREST_ROWS = 1 << 12
 DEFAULT_GRIDS = DEFAULT_GRIDS | {"ridge": {"alpha": list(np.logspace(*RIDGE_GRID_RANGE[:2], RIDGE_GRID_RANGE[2]))}}
 
 
@@ -118,14 +121,18 @@ def tree_scores(folds: DataFrame, points: Mapping[str, tuple[str, Mapping]], n_f
                 key: str = "series_key", time: str = "date_hour") -> dict[str, float]:
     """Mean validation RMSE of every named point (kind, params); all points and folds are fitted in one plan."""
     specs = {name: tree_spec(kind, params) for name, (kind, params) in points.items()}
-    preds = fit_predict(folds, specs, n_features, ["_set"], [key, time], target, {name: range(k) for name in specs})
-    rows = join_null_safe(preds, folds.select(key, time, F.col(target).cast("double").alias("_y")), [key, time])
-    rmse = rows.groupBy("model", "variant").agg(F.sqrt(F.avg((F.col("pred") - F.col("_y")) ** 2)).alias("rmse"))
-    found = {r["model"]: (r["n"], r["rmse"]) for r in rmse.groupBy("model").agg(
-        F.count("*").alias("n"), F.avg("rmse").alias("rmse")).collect()}                     # one row a point
-    if any(found.get(name, (0,))[0] < k for name in points):
+    errors = fold_errors(folds, specs, n_features, target, k)
+    if errors is None:      # a training set beyond one task
+        preds = fit_predict(folds, specs, n_features, ["_set"], [key, time], target, {name: range(k) for name in specs})
+        rows = join_null_safe(preds, folds.select(key, time, F.col(target).cast("double").alias("_y")), [key, time])
+        errors = rows.groupBy("model", "variant").agg(F.avg((F.col("pred") - F.col("_y")) ** 2).alias("error"))
+    rmse = errors.withColumn("rmse", F.sqrt("error"))
+    found: dict = {}
+    for r in rmse.orderBy("model", "variant").collect():                                     # one row a point and fold
+        found.setdefault(r["model"], []).append(r["rmse"])
+    if any(len(found.get(name, ())) < k for name in points):
         raise ValueError("a fold has no row to learn from or to validate on; use fewer folds or more rows")
-    return {name: float(found[name][1]) for name in points}
+    return {name: math.fsum(found[name]) / k for name in points}
 
 
 def feature_selection_pipeline(df: DataFrame, features: Sequence[str], target: str = "y", keep: float = 0.5,
@@ -140,11 +147,28 @@ def feature_selection_pipeline(df: DataFrame, features: Sequence[str], target: s
         # An unlimited forest and the boosting library's own step and depth, not the page's defaults.
         own = {"max_depth": None} if kind == "random_forest" else {"max_depth": 6, "learning_rate": 0.3}
         p = {"n_estimators": 100, "random_state": seed, **own, **((params or {}).get(kind) or {})}
-        m = fit_model(df, kind, stage1, target, p)
-        imps.append(m.importances().withColumn("model", F.lit(kind)))
+        found = large_forest_importances(df, stage1, target, p) if kind == "random_forest" else None
+        if found is None:
+            found = fit_model(df, kind, stage1, target, p).importances()
+        imps.append(found.withColumn("model", F.lit(kind)))
     return importance_cut(imps[0].unionByName(imps[1]), threshold)
 
 
+def large_forest_importances(df: DataFrame, features: Sequence[str], target: str, params: Mapping) -> DataFrame | None:
+    """(feature, importance) of a forest on more than FOREST_ROWS rows, its trees dealt to tasks (``plans.forests``); None if there are fewer.
+
+    Gaps are filled with the median as in ``fit_model``.  The trees' draws come from hashes of whole rows.
+    """
+    whole = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]).alias("_row")
+    rows = df.where(F.col(target).isNotNull()).select(whole, target, *features)
+    if rows.count() <= FOREST_ROWS:
+        return None
+    fill = exact_median(rows, [], features).first().asDict()
+    filled = cut_lineage(rows.select("_row", target, *[
+        F.coalesce(F.col(c).cast("double"), F.lit(fill[c]).cast("double"), F.lit(0.0)).alias(c) for c in features]))
+    return forest_importances(cut_lineage(binned(filled, features, ["_row"], target)), tree_spec("random_forest", params), features, target)
+
+
 def halving(folds: DataFrame, points: Mapping[str, tuple[str, dict]], n_features: int, shares: Sequence[float], target: str = "y",
             k: int = N_FOLDS, key: str = "series_key", time: str = "date_hour") -> list[tuple[int, str, str, dict, int, float]]:
     """Successive halving: (round, name, kind, params, trees, rmse) of every fit.

@@ -3,10 +3,11 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.plans import batch, tuning
+from panelcast.plans import batch, forests, tuning
 from panelcast.plans.batch import batch_job
 from panelcast.plans.tuning import chosen_params, grid_search, tune_once
 from panelcast.sources.versions import pointed, published, read_evaluations, staged_run, swap_slice
@@ -56,6 +57,48 @@ def test_grid_search_of_trees_is_one_plan(spark):
         grid_search(df.limit(2), "xgboost", FEATURES, {"max_depth": [1]}, base_params={"n_estimators": 2})
 
 
+def test_points_of_a_search_share_their_trees():
+    rng = np.random.default_rng(5)
+    bins = np.column_stack([rng.integers(0, 20, 300), rng.integers(0, 5, 300)]).astype(np.uint8)
+    y, rid = (1000 * bins[:, 0].astype(np.int64) * (bins[:, 1] + 1) + rng.integers(-900, 900, 300)), rng.integers(0, 1 << 60, 300)
+    forest = [{"n_estimators": n, "max_depth": d, "min_samples_split": s} for n in (2, 5) for d in (1, 3, 6) for s in (2, 25)]
+    for kind, points in (("random_forest", forest), ("xgboost", [{"n_estimators": n, "max_depth": 3, "subsample": 0.7} for n in (1, 4)])):
+        specs = {str(i): forests.tree_spec(kind, p) for i, p in enumerate(points)}
+        assert len({forests.shared_trees(s) for s in specs.values()}) == 1
+        found = forests.predictions_shared(specs, bins[:200], y[:200], rid[:200], bins[200:])
+        for name, spec in specs.items():
+            alone = forests.fit_trees(spec, bins[:200], y[:200], rid[:200]).predict(spec, bins[200:])
+            assert (found[name] == alone).all()
+
+
+def test_scores_of_a_search_equal_those_of_one_fit_a_point(spark, monkeypatch):
+    folds = tuning.binned_folds(panel(spark, days=6), FEATURES, "y")
+    points = {f"{kind} {d}": (kind, {"n_estimators": 3, "max_depth": d}) for kind in ("random_forest", "xgboost") for d in (2, 4)}
+    scores = tuning.tree_scores(folds, points, len(FEATURES), "y")
+    assert scores == tuning.tree_scores(folds.repartition(5), points, len(FEATURES), "y")
+    monkeypatch.setattr(tuning, "fold_errors", lambda *a: None)
+    assert scores == pytest.approx(tuning.tree_scores(folds, points, len(FEATURES), "y"), rel=1e-12)
+
+
+def test_selection_of_many_rows_grows_its_forest_in_tasks(spark, monkeypatch):
+    def small_only(df, kind, *rest):
+        assert kind != "random_forest"
+        return fit_model(df, "xgboost", *rest[:2], {"n_estimators": 2, "max_depth": 2})
+
+    fit_model = tuning.fit_model
+    monkeypatch.setattr(tuning, "fit_model", small_only)
+    monkeypatch.setattr(tuning, "FOREST_ROWS", 100)
+    df = panel(spark, days=6)
+    p = {"n_estimators": 9, "max_depth": None, "random_state": 42}
+    found = {r["feature"]: r["importance"] for r in tuning.large_forest_importances(df, FEATURES, "y", p).collect()}
+    assert sum(found.values()) == pytest.approx(1) and max(found, key=found.get) == "c"
+    assert found == {r["feature"]: r["importance"] for r in tuning.large_forest_importances(df.repartition(7), FEATURES, "y", p).collect()}
+    cut = tuning.feature_selection_pipeline(df, FEATURES, "y", keep=1.0).collect()
+    assert {r["feature"] for r in cut if r["selected"]} >= {"c"}
+    monkeypatch.setattr(tuning, "FOREST_ROWS", 10_000)
+    assert tuning.large_forest_importances(df, FEATURES, "y", p) is None
+
+
 # --- versions ----------------------------------------------------------------------------------------------------------
 
 def evaluations(spark, days, rmse, eval_type="backtest", strategy="naive", series="s"):
